@@ -1,0 +1,37 @@
+"""Checked sizes: what may be sorted in one task, and what may be broadcast."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+_FALLBACK_BYTES = 128 * 1024 * 1024
+BROADCAST_BYTES = 32 * 1024 * 1024
+
+
+def _bytes(text: str) -> int:
+    units = {"k": 1 << 10, "m": 1 << 20, "g": 1 << 30}
+    digits = text.lower().rstrip("b")
+    return int(digits[:-1]) * units[digits[-1]] if digits[-1:] in units else int(digits)
+
+
+def leaf_bytes(df: DataFrame) -> int:
+    """Total size of the base relations a plan reads (unknown sizes count as huge)."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    total, i = 0, 0
+    for i in range(leaves.size()):
+        total += int(str(leaves.apply(i).stats().sizeInBytes()))
+    return total
+
+
+def fits_one_task(df: DataFrame) -> bool:
+    """True when everything the plan reads would be a single scan task anyway, so ordering it in
+    one window partition costs nothing extra. Larger inputs take the bucketed plans."""
+    limit = df.sparkSession.conf.get("keepwell.oneTaskBytes", None)
+    limit = _bytes(limit) if limit else _FALLBACK_BYTES
+    return leaf_bytes(df) <= limit
+
+
+def broadcast_if_small(df: DataFrame) -> DataFrame:
+    """Broadcast hint only behind a size check; otherwise adaptive execution picks the join."""
+    return F.broadcast(df) if leaf_bytes(df) <= BROADCAST_BYTES else df
