@@ -162,17 +162,59 @@ def arm_sums(outcomes: DataFrame, keys: Sequence[str] = ("experiment_id",)) -> D
     return outcomes.groupBy(*map(col, keys)).agg(*aggs)
 
 
-def srm_check(sums: DataFrame, designs: DataFrame) -> DataFrame:
-    """Chi-square of the arm sizes against the planned split; failed beyond the 0.1 % point."""
-    j = sums.join(designs.select("experiment_id", "control_share"), "experiment_id")
+def analysis_frame(sums: DataFrame, designs: DataFrame) -> DataFrame:
+    """Every statistic of every experiment as columns beside its sums. One row per experiment, one
+    aggregate over the outcomes: the steps below only pick columns from here."""
+    j = sums.join(designs, "experiment_id")
     n = F.col("n_treatment") + F.col("n_control")
     et, ec = n * (1 - F.col("control_share")), n * F.col("control_share")
     chi2 = F.pow(F.col("n_treatment") - et, 2) / et + F.pow(F.col("n_control") - ec, 2) / ec
     limit = normal_quantile(1 - SRM_LIMIT / 2) ** 2
-    return j.select("experiment_id", "n_treatment", "n_control",
-                    et.alias("expected_treatment"), ec.alias("expected_control"),
-                    ratio(F.col("n_control"), n).alias("observed_control_share"),
-                    chi2.alias("chi2"), (chi2 > limit).alias("failed"))
+    j = j.withColumns({
+        "expected_treatment": et, "expected_control": ec, "chi2": chi2, "failed": chi2 > limit,
+        "observed_control_share": ratio(F.col("n_control"), n)})
+    j = j.withColumns(rate_comparison(j))
+    nt = F.col("n_treatment")
+    saved, low, high = -F.col("difference") * nt, -F.col("ci_high") * nt, -F.col("ci_low") * nt
+    cost, value = F.col("offer_cost") * F.col("acceptors"), F.col("customer_value")
+    j = j.withColumns({
+        "customers_saved": saved, "saved_low": low, "saved_high": high,
+        "acceptance_rate": ratio(F.col("acceptors"), nt), "total_offer_cost": cost,
+        "net_value": saved * value - cost, "net_low": low * value - cost,
+        "net_high": high * value - cost})
+    j = j.withColumn("guards", F.filter(F.array(
+        _guard("complaints", "complaints", "watch_complaints", "complaints_tolerance"),
+        _guard("arpu", "revenue", "watch_arpu", "arpu_tolerance")),
+        lambda g: g["watched"] & (g["n"] > 0)))
+    return j.withColumn("breached", F.array_sort(F.transform(
+        F.filter("guards", lambda g: g["breached"]), lambda g: g["guardrail"])))
+
+
+def _guard(name: str, g: str, watch: str, tolerance: str) -> Column:
+    nt, nc = F.col(f"{g}_n_treatment"), F.col(f"{g}_n_control")
+    mt, mc = F.col(f"{g}_m_treatment"), F.col(f"{g}_m_control")
+    vt, vc = F.col(f"{g}_v_treatment"), F.col(f"{g}_v_control")
+    ok = (nt > 1) & (nc > 1)
+    half = F.when(ok, F.col("z") * F.sqrt(vt / nt + vc / nc))
+    d = F.when(ok, mt - mc)
+    margin = F.col(tolerance) * F.abs(F.coalesce(mc, F.lit(0.0)))
+    breach = (d - half > margin) if name == "complaints" else (d + half < -margin)
+    reach_t = F.when(nt > 1, F.col("z") * F.sqrt(vt / nt))
+    reach_c = F.when(nc > 1, F.col("z") * F.sqrt(vc / nc))
+    return F.struct(
+        F.lit(name).alias("guardrail"), F.col(watch).alias("watched"), (nt + nc).alias("n"),
+        mt.alias("treatment_mean"), mc.alias("control_mean"),
+        (mt - reach_t).alias("treatment_low"), (mt + reach_t).alias("treatment_high"),
+        (mc - reach_c).alias("control_low"), (mc + reach_c).alias("control_high"),
+        d.alias("difference"), (d - half).alias("ci_low"), (d + half).alias("ci_high"),
+        F.coalesce(breach, F.lit(False)).alias("breached"))
+
+
+def srm_check(sums: DataFrame, designs: DataFrame) -> DataFrame:
+    """Chi-square of the arm sizes against the planned split; failed beyond the 0.1 % point."""
+    return analysis_frame(sums, designs).select(
+        "experiment_id", "n_treatment", "n_control", "expected_treatment", "expected_control",
+        "observed_control_share", "chi2", "failed")
 
 
 def rate_comparison(df: DataFrame, treated: tuple[str, str] = ("x_treatment", "n_treatment"),
@@ -202,10 +244,13 @@ def rate_comparison(df: DataFrame, treated: tuple[str, str] = ("x_treatment", "n
         "z_stat": F.when((pooled > 0) & (pooled < 1), d / se)}
 
 
+RATE_COLUMNS = ("treatment_rate", "control_rate", "treatment_low", "treatment_high", "control_low",
+                "control_high", "difference", "ci_low", "ci_high", "relative_lift", "z_stat")
+
+
 def compare_rates(sums: DataFrame, designs: DataFrame) -> DataFrame:
     """Intention-to-treat comparison per experiment."""
-    j = sums.join(designs.select("experiment_id", "z"), "experiment_id")
-    return j.select("experiment_id", *[e.alias(n) for n, e in rate_comparison(j).items()])
+    return analysis_frame(sums, designs).select("experiment_id", *RATE_COLUMNS)
 
 
 def per_protocol(sums: DataFrame, designs: DataFrame) -> DataFrame:
@@ -218,30 +263,8 @@ def per_protocol(sums: DataFrame, designs: DataFrame) -> DataFrame:
 def guardrails(sums: DataFrame, designs: DataFrame) -> DataFrame:
     """Mean per arm and interval of the difference; breached beyond the tolerated share of the
     control mean (complaints up, revenue down)."""
-    j = sums.join(designs, "experiment_id")
-    parts = []
-    for name, g, watch, tol in (("complaints", "complaints", "watch_complaints",
-                                 "complaints_tolerance"),
-                                ("arpu", "revenue", "watch_arpu", "arpu_tolerance")):
-        nt, nc = F.col(f"{g}_n_treatment"), F.col(f"{g}_n_control")
-        mt, mc = F.col(f"{g}_m_treatment"), F.col(f"{g}_m_control")
-        vt, vc = F.col(f"{g}_v_treatment"), F.col(f"{g}_v_control")
-        ok = (nt > 1) & (nc > 1)
-        half = F.when(ok, F.col("z") * F.sqrt(vt / nt + vc / nc))
-        d = F.when(ok, mt - mc)
-        margin = F.col(tol) * F.abs(F.coalesce(mc, F.lit(0.0)))
-        breach = (d - half > margin) if name == "complaints" else (d + half < -margin)
-        parts.append(F.struct(
-            F.lit(name).alias("guardrail"), F.col(watch).alias("_w"), (nt + nc).alias("_n"),
-            mt.alias("treatment_mean"), mc.alias("control_mean"),
-            (mt - F.col("z") * F.sqrt(vt / F.nullif(nt, F.lit(0)))).alias("treatment_low"),
-            (mt + F.col("z") * F.sqrt(vt / F.nullif(nt, F.lit(0)))).alias("treatment_high"),
-            (mc - F.col("z") * F.sqrt(vc / F.nullif(nc, F.lit(0)))).alias("control_low"),
-            (mc + F.col("z") * F.sqrt(vc / F.nullif(nc, F.lit(0)))).alias("control_high"),
-            d.alias("difference"), (d - half).alias("ci_low"), (d + half).alias("ci_high"),
-            F.coalesce(breach, F.lit(False)).alias("breached")))
-    return (j.select("experiment_id", F.explode(F.array(*parts)).alias("g"))
-            .where("g._w and g._n > 0").select("experiment_id", "g.*").drop("_w", "_n"))
+    return (analysis_frame(sums, designs).select("experiment_id", F.explode("guards").alias("g"))
+            .select("experiment_id", "g.*").drop("watched", "n"))
 
 
 def segment_breakdown(outcomes: DataFrame, designs: DataFrame) -> DataFrame:
@@ -261,34 +284,16 @@ def segment_breakdown(outcomes: DataFrame, designs: DataFrame) -> DataFrame:
 
 def experiment_impact(sums: DataFrame, designs: DataFrame) -> DataFrame:
     """Customers saved, acceptance and money, with the interval carried through."""
-    itt = compare_rates(sums, designs).select("experiment_id", "difference", "ci_low", "ci_high")
-    j = sums.join(itt, "experiment_id").join(
-        designs.select("experiment_id", "customer_value", "offer_cost"), "experiment_id")
-    n = F.col("n_treatment")
-    saved, low, high = -F.col("difference") * n, -F.col("ci_high") * n, -F.col("ci_low") * n
-    cost = F.col("offer_cost") * F.col("acceptors")
-    return j.select(
-        "experiment_id", saved.alias("customers_saved"), low.alias("saved_low"),
-        high.alias("saved_high"), "acceptors", ratio(F.col("acceptors"), n).alias("acceptance_rate"),
-        cost.alias("total_offer_cost"), (saved * F.col("customer_value") - cost).alias("net_value"),
-        (low * F.col("customer_value") - cost).alias("net_low"),
-        (high * F.col("customer_value") - cost).alias("net_high"))
+    return analysis_frame(sums, designs).select(
+        "experiment_id", "customers_saved", "saved_low", "saved_high", "acceptors",
+        "acceptance_rate", "total_offer_cost", "net_value", "net_low", "net_high")
 
 
-def decision_helper(sums: DataFrame, designs: DataFrame) -> DataFrame:
-    """A suggestion per experiment with its reasons; a person decides."""
-    itt = compare_rates(sums, designs).select("experiment_id", "ci_low", "ci_high")
-    srm = srm_check(sums, designs).select("experiment_id", "failed")
-    net = experiment_impact(sums, designs).select("experiment_id", "net_value")
-    broken = (guardrails(sums, designs).where("breached").groupBy("experiment_id")
-              .agg(F.array_sort(F.collect_list("guardrail")).alias("breached")))
-    j = (sums.select("experiment_id", "n_treatment", "n_control")
-         .join(designs.select("experiment_id", "need_treatment", "need_control"), "experiment_id")
-         .join(itt, "experiment_id").join(srm, "experiment_id").join(net, "experiment_id")
-         .join(broken, "experiment_id", "left"))
+def with_verdict(j: DataFrame) -> DataFrame:
+    """Adds verdict, reasons and the extra sample an open test still needs."""
     good, bad = F.col("ci_high") < 0, F.col("ci_low") > 0
     value = F.col("net_value")
-    breach = F.coalesce(F.size("breached"), F.lit(0)) > 0
+    breach = F.size("breached") > 0
     loses = F.coalesce(value < 0, F.lit(False))
     verdict = (F.when(F.col("failed"), "untrustworthy").when(bad | loses, "dont_ship")
                .when(good & F.coalesce(value > 0, F.lit(False)) & ~breach, "ship")
@@ -309,26 +314,26 @@ def decision_helper(sums: DataFrame, designs: DataFrame) -> DataFrame:
         F.when(open_end & (more_t == 0) & (more_c == 0),
                "The test reached its planned size; any effect is probably smaller than the "
                "minimum detectable effect.")))
-    return j.select("experiment_id", "verdict", reasons.alias("reasons"),
-                    F.coalesce("breached", F.array().cast("array<string>")).alias("breached"),
-                    F.when(open_end, more_t).alias("extra_treatment"),
-                    F.when(open_end, more_c).alias("extra_control"))
+    return j.withColumns({"reasons": reasons, "extra_treatment": F.when(open_end, more_t),
+                          "extra_control": F.when(open_end, more_c)})
+
+
+def decision_helper(sums: DataFrame, designs: DataFrame) -> DataFrame:
+    """A suggestion per experiment with its reasons; a person decides."""
+    return with_verdict(analysis_frame(sums, designs)).select(
+        "experiment_id", "verdict", "reasons", "breached", "extra_treatment", "extra_control")
 
 
 def analyse(outcomes: DataFrame, designs: DataFrame) -> DataFrame:
     """One row per experiment: split check, comparison, impact and verdict. Calling it again with
     other designs re-uses the same outcomes with new assumptions."""
-    sums = arm_sums(outcomes)
-    srm = srm_check(sums, designs).select(
+    j = with_verdict(analysis_frame(arm_sums(outcomes), designs))
+    return j.select(
         "experiment_id", "n_treatment", "n_control", F.col("chi2").alias("srm_chi2"),
-        F.col("failed").alias("srm_failed"))
-    itt = compare_rates(sums, designs)
-    out = srm.join(itt, "experiment_id")
-    out = out.join(experiment_impact(sums, designs).drop("acceptors"), "experiment_id")
-    out = out.join(decision_helper(sums, designs).select("experiment_id", "verdict", "reasons"),
-                   "experiment_id")
-    return out.withColumns({"srm_p": two_sided_p(F.sqrt("srm_chi2")),
-                            "p_value": two_sided_p("z_stat")})
+        F.col("failed").alias("srm_failed"), *RATE_COLUMNS, "customers_saved", "saved_low",
+        "saved_high", "acceptance_rate", "total_offer_cost", "net_value", "net_low", "net_high",
+        "verdict", "reasons", two_sided_p(F.sqrt("chi2")).alias("srm_p"),
+        two_sided_p("z_stat").alias("p_value"))
 
 
 def offer_evidence(analysis: DataFrame, experiments: DataFrame) -> DataFrame:
