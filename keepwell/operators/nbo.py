@@ -194,12 +194,13 @@ def acceptance_models(data: DataFrame, long: DataFrame, numeric: Sequence[str],
         if usable:
             mine = long.where(F.col("offer") == r["offer"]).select("customer_id", "accepted")
             train = data.join(mine, data[id_column].cast("string") == mine["customer_id"].cast("string"),
-                              "inner").drop(mine["customer_id"])
+                              "inner").drop(mine["customer_id"]).persist()
             name = f"accept_{len(rows)}"
             fitted = ml.fit(train, numeric, categorical, "accepted", learner="logistic",
                             balanced=False)
             auc = ml.cross_validated_auc(train, numeric, categorical, "accepted", id_column,
                                          learner="logistic", balanced=False)
+            train.unpersist()
             scored = ml.score(fitted, scored, name)
         rows.append((r["offer"], r["shown"], r["accepted"], name, auc, not usable))
     table = data.sparkSession.createDataFrame(
