@@ -106,16 +106,16 @@ def previous_values(df: DataFrame, keys: Sequence[str], order: Sequence[str],
     cut = with_range(df, keys, order, per_key=False)
     parts = [*keys, _BUCKET]
     inner = Window.partitionBy(*map(col, parts)).orderBy(*by)
-    local = cut.select("*", F.row_number().over(inner).alias("_pos"), *[
+    local = cut.select("*", F.row_number().over(inner).alias("__pos"), *[
         F.lag(col(c)).over(inner).alias(new) for new, c in values.items()])
-    packed = F.struct(*map(col, order), *[col(c).alias(f"_v{i}")
+    packed = F.struct(*map(col, order), *[col(c).alias(f"__v{i}")
                                           for i, c in enumerate(values.values())])
-    last = cut.groupBy(*map(col, parts)).agg(F.max(packed).alias("_last"))
+    last = cut.groupBy(*map(col, parts)).agg(F.max(packed).alias("__last"))
     outer = Window.partitionBy(*map(col, keys)).orderBy(_BUCKET)
-    carried = last.select(*map(col, parts), F.lag("_last").over(outer).alias("_carry"))
+    carried = last.select(*map(col, parts), F.lag("__last").over(outer).alias("__carry"))
     joined = local.join(carried, [local[p].eqNullSafe(carried[p]) for p in parts], "left")
     return joined.select(*[local[c] for c in df.columns], *[
-        F.when(local["_pos"] == 1, F.col(f"_carry._v{i}")).otherwise(local[new]).alias(new)
+        F.when(local["__pos"] == 1, F.col(f"__carry.__v{i}")).otherwise(local[new]).alias(new)
         for i, new in enumerate(values)])
 
 

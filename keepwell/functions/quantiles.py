@@ -100,8 +100,9 @@ def _bracketed(df: DataFrame, values: list[str], probs: list[float], keys: list[
             if r is None or r["a"] is None or r["b"] is None or r["below"] > math.floor(rank):
                 missing.setdefault(key, set()).add(i)
                 continue
-            part = rank - math.floor(rank)
-            found.setdefault(key, {})[i] = r["a"] + (r["b"] - r["a"]) * part
+            low, high = math.floor(rank), math.ceil(rank)
+            found.setdefault(key, {})[i] = r["a"] if low == high else (
+                (high - rank) * r["a"] + (rank - low) * r["b"])
         wanted = missing
         slack = min(1.0, slack * 16)
     out = T.StructType([*[tall.schema[k] for k in by],

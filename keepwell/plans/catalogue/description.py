@@ -83,15 +83,16 @@ QUERIES = {
   SELECT count(*) AS rows, sum(churned)::BIGINT AS churned, avg(churned) AS churn_rate
   FROM planted""")),
     "numeric_summary": (
-        lambda s, d: e.numeric_summary(base(s, d), NUMBERS, "churned"),
+        lambda s, d: rounded(e.numeric_summary(base(s, d), NUMBERS, "churned"), "mean", "sd", "q25",
+                             "median", "q75", places=6),
         oracle("planted", f"""
   WITH t AS ({_TALL.format('planted').replace('UNPIVOT', 'UNPIVOT INCLUDE NULLS')}),
   g AS (SELECT feature, value, 'all' AS "group" FROM t UNION ALL
         SELECT feature, value, CASE WHEN churned = 1 THEN 'churned' ELSE 'retained' END FROM t)
   SELECT feature, "group", count(value) AS n, count(*) - count(value) AS missing,
-         avg(value) AS mean, stddev_samp(value) AS sd, min(value) AS min,
-         quantile_cont(value, .25) AS q25, quantile_cont(value, .5) AS median,
-         quantile_cont(value, .75) AS q75, max(value) AS max FROM g GROUP BY 1, 2""")),
+         round(avg(value), 6) AS mean, round(stddev_samp(value), 6) AS sd, min(value) AS min,
+         round(quantile_cont(value, .25), 6) AS q25, round(quantile_cont(value, .5), 6) AS median,
+         round(quantile_cont(value, .75), 6) AS q75, max(value) AS max FROM g GROUP BY 1, 2""")),
     "histogram": (
         lambda s, d: e.histogram(base(s, d), NUMBERS),
         oracle("planted", f"""

@@ -336,22 +336,20 @@ QUERIES = {
         oracle("offer_history planted predictions", f"""WITH {_NBO} SELECT best_offer, count(*) AS customers,
   round(sum(round_even(expected_value, 4)), 1) AS expected_value FROM nbo GROUP BY 1""")),
     "revenue_at_risk": (
-        lambda s, d: rounded(b.revenue_at_risk(business_base(s, d), "churn_probability", "avg_order").select(
-            "customer_id", "revenue_at_risk"), "revenue_at_risk", places=4),
+        lambda s, d: b.revenue_at_risk(business_base(s, d), "churn_probability", "avg_order").select(
+            "customer_id", "revenue_at_risk"),
         oracle("customers predictions", f"""WITH {_BASE} SELECT customer_id,
-  round(churn_probability * coalesce(avg_order, 0) * 12, 4) AS revenue_at_risk FROM bc""")),
+  churn_probability * coalesce(avg_order, 0) * 12 AS revenue_at_risk FROM bc""")),
     "offer_eligibility": (
         lambda s, d: b.eligible_pairs(business_base(s, d), CATALOGUE),
         oracle("customers predictions", f"""WITH {_BASE}, {_TERMS} SELECT customer_id, name AS offer
   FROM bc, terms WHERE {_ELIGIBLE}""")),
     "next_best_offer_assumed": (
-        lambda s, d: rounded(best(s, d).select(
+        lambda s, d: best(s, d).select(
             "customer_id", "risk_band", "p_churn", "arpu", "best_offer", "expected_saving", "expected_cost",
-            "eligible_offers", "runner_up", "runner_up_saving"), "expected_saving", "runner_up_saving",
-            "arpu", places=4),
+            "eligible_offers", "runner_up", "runner_up_saving"),
         oracle("customers predictions", f"""WITH {_SAVINGS} SELECT customer_id, risk_band, p_churn,
-  round(arpu, 4) AS arpu, best_offer, round(expected_saving, 4) AS expected_saving, expected_cost,
-  eligible_offers, runner_up, round(runner_up_saving, 4) AS runner_up_saving FROM nb""")),
+  arpu, best_offer, expected_saving, expected_cost, eligible_offers, runner_up, runner_up_saving FROM nb""")),
     "roi_by_segment": (
         lambda s, d: rounded(b.roi_by_segment(best(s, d), b.segment_key("segment")), "total_saving",
                              "total_cost", "roi", places=3),

@@ -1,9 +1,13 @@
-"""Compare registered queries with their DuckDB SQL: python tests/oracle_check.py [pattern] [sf]."""
+"""Compare registered queries with their DuckDB SQL: python tests/oracle_check.py [pattern] [sf].
+
+With KEEPWELL_ONE_TASK_BYTES=0 every order-dependent step takes its bucketed plan for large data.
+"""
 
 from __future__ import annotations
 
 import fnmatch
 import math
+import os
 import sys
 import time
 from pathlib import Path
@@ -14,14 +18,19 @@ sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 
 TABLES = ("region nation customer supplier part orders lineitem events documents embeddings "
           "pages benchmark labels conversations").split()
+STRICT = "STRICT" in os.environ
 
 
 def norm(v):
     if isinstance(v, float):
+        if STRICT and not math.isnan(v):
+            return repr(v + 0.0)
         return None if math.isnan(v) else f"{v:.9g}" if v else "0"
     if isinstance(v, bool) or v is None or isinstance(v, str):
         return v
     if isinstance(v, int):
+        if STRICT:
+            return repr(float(v))
         return f"{float(v):.9g}" if abs(v) < 2**53 else str(v)
     if isinstance(v, (list, tuple)):
         return tuple(norm(x) for x in v)
@@ -68,6 +77,8 @@ def main() -> int:
     sf = f"/root/testdata/{sys.argv[2] if len(sys.argv) > 2 else 'sf0.01'}"
     spark = get_session(master="local[8]", **{"spark.sql.shuffle.partitions": "8",
                                              "spark.driver.memory": "8g"})
+    if "KEEPWELL_ONE_TASK_BYTES" in os.environ:
+        spark.conf.set("keepwell.oneTaskBytes", os.environ["KEEPWELL_ONE_TASK_BYTES"])
     con = duckdb.connect()
     for t in TABLES:
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
