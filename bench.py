@@ -12,6 +12,7 @@ import os
 import sys
 import tempfile
 import time
+from concurrent.futures import ThreadPoolExecutor
 from pathlib import Path
 
 sys.path.insert(0, str(Path(__file__).resolve().parent))
@@ -59,10 +60,14 @@ def stages(spark, folder):
 
     def exploratory():
         df = stored("base")
-        for t in (describe.overview(df, "churned"), describe.numeric_summary(df, NUM, "churned"),
-                  describe.histogram(df, NUM), describe.category_rates(df, CAT, "churned"),
-                  describe.correlation_matrix(df, NUM), describe.tenure_bands(df, "tenure", "churned")):
-            run(t)
+        steps = (lambda: describe.overview(df, "churned"),
+                 lambda: describe.numeric_summary(df, NUM, "churned"),
+                 lambda: describe.histogram(df, NUM),
+                 lambda: describe.category_rates(df, CAT, "churned"),
+                 lambda: describe.correlation_matrix(df, NUM),
+                 lambda: describe.tenure_bands(df, "tenure", "churned"))
+        with ThreadPoolExecutor(6) as pool:  # independent tables, as in the analysis chain
+            list(pool.map(lambda step: run(step()), steps))
 
     def segmentation():
         run(segment.segment(stored("base"), NUM, "customer_id", "tenure", starts=1,
@@ -70,9 +75,11 @@ def stages(spark, folder):
 
     def surviving():
         df = survival.durations(stored("base"), "tenure")
-        run(survival.downsample(survival.kaplan_meier(df, "tenure", "churned")))
-        run(survival.logrank_tests(survival.logrank_sums(df, ["region", "segment"], "tenure",
-                                                         "churned")))
+        steps = (lambda: survival.downsample(survival.kaplan_meier(df, "tenure", "churned")),
+                 lambda: survival.logrank_tests(survival.logrank_sums(
+                     df, ["region", "segment"], "tenure", "churned")))
+        with ThreadPoolExecutor(2) as pool:
+            list(pool.map(lambda step: run(step()), steps))
 
     def testing():
         run(hypothesis.run_tests(stored("base"), CAT, NUM, "churned"))
@@ -111,7 +118,7 @@ def main() -> None:
     times: dict[str, float] = {}
     for name, step in stages(spark, folder).items():
         best = None
-        for _ in range(2 if COPIES == 1 else 1):
+        for _ in range(3 if COPIES == 1 else 1):
             start = time.perf_counter()
             step()
             took = time.perf_counter() - start

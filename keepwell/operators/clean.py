@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from keepwell.functions.quantiles import quantiles
 from keepwell.functions.scalar import col, half_even, no_nan, squeeze, to_number, to_time
-from keepwell.functions.size import broadcast_if_small
+from keepwell.functions.size import broadcast_if_small, fits_one_task
 from keepwell.roles import Roles
 
 # Cleaning limits.
@@ -146,15 +146,20 @@ class Limits:
 
 def outlier_limits(df: DataFrame, columns: Sequence[str]) -> dict[str, Limits]:
     """Fences and moments per column (a few numbers each). Columns with fewer than four values or
-    three distinct ones have none: only whether a third value exists matters, so no distinct
-    count is shuffled."""
-    q = {r["variable"]: r["q"] for r in quantiles(df, columns, [0.25, 0.75]).collect()}
+    three distinct ones have none."""
     aggs = []
     for i, c in enumerate(columns):
         v = col(c).cast("double")
         aggs += [F.count(v).alias(f"n{i}"), F.avg(v).alias(f"m{i}"), F.stddev_pop(v).alias(f"s{i}"),
                  F.min(v).alias(f"lo{i}"), F.max(v).alias(f"hi{i}")]
-    row = df.agg(*aggs).first()
+    if fits_one_task(df):
+        row = df.agg(*aggs, *[F.percentile(col(c).cast("double"), F.array(F.lit(0.25), F.lit(0.75)))
+                              .alias(f"q{i}") for i, c in enumerate(columns)]).first()
+        q = {c: row[f"q{i}"] for i, c in enumerate(columns)}
+    else:
+        row = df.agg(*aggs).first()
+        q = {r["variable"]: r["q"] for r in quantiles(df, columns, [0.25, 0.75]).collect()}
+    # A third distinct value exists when something lies strictly between the two ends.
     inner = df.agg(*[F.bool_or((col(c) > row[f"lo{i}"]) & (col(c) < row[f"hi{i}"])).alias(f"x{i}")
                      if row[f"n{i}"] else F.lit(False).alias(f"x{i}")
                      for i, c in enumerate(columns)]).first()

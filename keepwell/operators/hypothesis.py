@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -140,13 +141,21 @@ def group_moments(df: DataFrame, columns: Sequence[str], y: str) -> DataFrame:
     return spread(df.agg(*aggs), outs, "variable")
 
 
+def _jarque_bera(g: int) -> Column:
+    return F.col(f"n{g}") / 6 * (F.pow(f"skew{g}", F.lit(2)) + F.pow(f"kurt{g}", F.lit(2)) / 4)
+
+
+def with_normality(moments: DataFrame) -> DataFrame:
+    """Adds the Jarque-Bera statistic and its exact df-2 probability per group (all rows count)."""
+    return moments.withColumns({
+        "jb0": _jarque_bera(0), "jb1": _jarque_bera(1),
+        "p_normal0": F.exp(-_jarque_bera(0) / 2), "p_normal1": F.exp(-_jarque_bera(1) / 2)
+    }).withColumn("normal", (F.col("p_normal0") >= ALPHA) & (F.col("p_normal1") >= ALPHA))
+
+
 def normality(moments: DataFrame) -> DataFrame:
-    """Jarque-Bera statistic and exact df-2 probability of each group, on all rows."""
-    def jb(g: int) -> Column:
-        return F.col(f"n{g}") / 6 * (F.pow(f"skew{g}", F.lit(2)) + F.pow(f"kurt{g}", F.lit(2)) / 4)
-    return moments.select("variable", *[e for g in (0, 1) for e in (
-        jb(g).alias(f"jb{g}"), F.exp(-jb(g) / 2).alias(f"p_normal{g}"))]).withColumn(
-        "normal", (F.col("p_normal0") >= ALPHA) & (F.col("p_normal1") >= ALPHA))
+    return with_normality(moments).select("variable", "jb0", "p_normal0", "jb1", "p_normal1",
+                                          "normal")
 
 
 def levene(df: DataFrame, columns: Sequence[str], y: str, *, large: bool | None = None
@@ -175,20 +184,24 @@ def levene(df: DataFrame, columns: Sequence[str], y: str, *, large: bool | None
                     F.try_divide((n - 2) * between, within).alias("w"))
 
 
-def welch(moments: DataFrame) -> DataFrame:
-    """t and Welch-Satterthwaite df (churned minus retained) and Cohen's d."""
-    a = F.pow("sd1", F.lit(2)) / F.col("n1")
-    b = F.pow("sd0", F.lit(2)) / F.col("n0")
+def with_welch(moments: DataFrame) -> DataFrame:
+    """Adds t and Welch-Satterthwaite df (churned minus retained) and Cohen's d."""
+    a = F.pow("sd1", F.lit(2)) / F.nullif(F.col("n1"), F.lit(0))
+    b = F.pow("sd0", F.lit(2)) / F.nullif(F.col("n0"), F.lit(0))
     gap = F.col("mean1") - F.col("mean0")
-    t = F.try_divide(gap, F.sqrt(a + b))
-    df = F.try_divide(F.pow(a + b, F.lit(2)),
-                      F.pow(a, F.lit(2)) / (F.col("n1") - 1) + F.pow(b, F.lit(2)) / (F.col("n0") - 1))
+    spread_of = F.pow(a, F.lit(2)) / F.nullif(F.col("n1") - 1, F.lit(0)) + F.pow(
+        b, F.lit(2)) / F.nullif(F.col("n0") - 1, F.lit(0))
     pooled = F.sqrt(((F.col("n1") - 1) * F.pow("sd1", F.lit(2))
                      + (F.col("n0") - 1) * F.pow("sd0", F.lit(2)))
-                    / (F.col("n1") + F.col("n0") - 2))
-    d = F.coalesce(F.try_divide(gap, pooled), F.lit(0.0))
-    return moments.where("n0 > 1 and n1 > 1").select(
-        "variable", t.alias("t"), df.alias("df"), d.alias("cohens_d"))
+                    / F.nullif(F.col("n1") + F.col("n0") - 2, F.lit(0)))
+    return moments.withColumns({
+        "t": F.try_divide(gap, F.sqrt(a + b)),
+        "df": F.try_divide(F.pow(a + b, F.lit(2)), spread_of),
+        "cohens_d": F.coalesce(F.try_divide(gap, pooled), F.lit(0.0))})
+
+
+def welch(moments: DataFrame) -> DataFrame:
+    return with_welch(moments).where("n0 > 1 and n1 > 1").select("variable", "t", "df", "cohens_d")
 
 
 def mann_whitney(df: DataFrame, columns: Sequence[str], y: str, *, large: bool | None = None
@@ -253,22 +266,25 @@ def categorical_tests(df: DataFrame, columns: Sequence[str], y: str) -> DataFram
 def numeric_tests(df: DataFrame, columns: Sequence[str], y: str, *, large: bool | None = None,
                   chosen_only: bool = True) -> DataFrame:
     """Welch where both groups look normal, Mann-Whitney elsewhere (or both rows of each)."""
-    m = group_moments(df, columns, y)
-    info = (m.join(F.broadcast(normality(m)), "variable").join(F.broadcast(welch(m)), "variable")
-            .join(F.broadcast(mann_whitney(df, columns, y, large=large)
-                              .select("variable", "u", "rank_biserial", "z", "ties")), "variable"))
+    moments = with_welch(with_normality(group_moments(df, columns, y)))
+    ranks = mann_whitney(df, columns, y, large=large)
+    with ThreadPoolExecutor(2) as pool:  # two independent aggregates, one short row per column
+        found, placed = pool.map(lambda t: {r["variable"]: r for r in t.collect()},
+                                 (moments, ranks))
     rows = []
-    for r in info.collect():
+    for c in columns:
+        if c not in placed:
+            continue
+        r, u = found[c], placed[c]
         n = r["n0"] + r["n1"]
-        note = "chosen" if r["normal"] else None
         if r["normal"] or not chosen_only:
-            rows.append((r["variable"], "numeric", "Welch's t-test", r["t"], r["df"],
-                         dist.t_sf2(r["t"], r["df"]), "cohens_d", r["cohens_d"], n, note))
+            rows.append((c, "numeric", "Welch's t-test", r["t"], r["df"],
+                         dist.t_sf2(r["t"], r["df"]), "cohens_d", r["cohens_d"], n,
+                         "chosen" if r["normal"] else None))
         if not r["normal"] or not chosen_only:
-            rows.append((r["variable"], "numeric", "Mann-Whitney U test", r["u"], None,
-                         mann_whitney_p(r["u"], r["n1"], r["n0"], r["z"], r["ties"]),
-                         "rank_biserial", r["rank_biserial"], n,
-                         None if r["normal"] else "chosen"))
+            rows.append((c, "numeric", "Mann-Whitney U test", u["u"], None,
+                         mann_whitney_p(u["u"], u["n1"], u["n0"], u["z"], u["ties"]),
+                         "rank_biserial", u["rank_biserial"], n, None if r["normal"] else "chosen"))
     return df.sparkSession.createDataFrame(rows, TEST_SCHEMA)
 
 
@@ -333,11 +349,15 @@ def run_tests(df: DataFrame, categorical: Sequence[str], numeric: Sequence[str],
               skip_reasons(df, categorical, numeric, y).where("reason is null").collect()}
     order = [c for c in [*categorical, *numeric] if c in usable][:MAX_TESTS]
     cats, nums = [c for c in categorical if c in order], [c for c in numeric if c in order]
-    tests = spark.createDataFrame([], TEST_SCHEMA)
+    steps = []
     if cats:
-        tests = tests.unionByName(categorical_tests(df, cats, y))
+        steps.append(lambda: categorical_tests(df, cats, y))
     if nums:
-        tests = tests.unionByName(numeric_tests(df, nums, y))
+        steps.append(lambda: numeric_tests(df, nums, y))
+    tests = spark.createDataFrame([], TEST_SCHEMA)
+    with ThreadPoolExecutor(2) as pool:
+        for part in pool.map(lambda step: step(), steps):
+            tests = tests.unionByName(part)
     if extra is not None:
         tests = tests.unionByName(extra)
     return rank_tests(with_bands(benjamini_hochberg(tests, alpha=alpha)))

@@ -8,12 +8,13 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from keepwell.functions.ordered import (evenly_spaced, numbered, previous_values, running_sums,
                                         value_counts)
 from keepwell.functions.scalar import col, ratio
+from keepwell.functions.size import fits_one_task
 
 # Top share, bins, deciles, curve sizes, classification threshold.
 TOP_SHARE = 0.10
@@ -68,17 +69,12 @@ def rank_groups(long: DataFrame, ends: Callable[[int], Sequence[int]], *,
 
     `ends(n)` gives the last rank of each block. Scores wholly inside a block are added from
     their counts; only scores that straddle a block end are split by row number."""
-    spark = long.sparkSession
+    if not (not fits_one_task(long) if large is None else large):
+        order = Window.partitionBy(KIND).orderBy(F.desc("p"), "row_id")
+        return _ranked_blocks(long.withColumn("_k", F.row_number().over(order)), long, ends)
     table = running_sums(score_table(long), [KIND], "p", {"stop": "n"}, descending=True,
                          large=large).withColumn("start", F.col("stop") - F.col("n"))
-    sizes = long.groupBy(KIND).agg(F.count("*").alias("n")).collect()
-    rows = []
-    for r in sizes:
-        low = 0
-        for g, hi in enumerate(ends(r["n"]), start=1):
-            rows.append((r[KIND], g, low, hi))
-            low = hi
-    blocks = F.broadcast(spark.createDataFrame(rows, f"{KIND} string, g int, low long, high long"))
+    blocks = _blocks(long, ends)
     inside = (table.join(blocks, KIND)
               .where((F.col("start") >= F.col("low")) & (F.col("stop") <= F.col("high")))
               .select(KIND, "g", "n", "pos"))
@@ -93,6 +89,30 @@ def rank_groups(long: DataFrame, ends: Callable[[int], Sequence[int]], *,
              .select(KIND, "g", F.lit(1).cast("long").alias("n"), F.col("y").cast("long").alias("pos")))
     sums = inside.unionByName(split).groupBy(KIND, "g").agg(F.sum("n").alias("n"),
                                                             F.sum("pos").alias("churners"))
+    return _with_empty(blocks, sums)
+
+
+def _blocks(long: DataFrame, ends: Callable[[int], Sequence[int]]) -> DataFrame:
+    rows = []
+    for r in long.groupBy(KIND).agg(F.count("*").alias("n")).collect():  # one row per kind
+        low = 0
+        for g, hi in enumerate(ends(r["n"]), start=1):
+            rows.append((r[KIND], g, low, hi))
+            low = hi
+    return F.broadcast(long.sparkSession.createDataFrame(
+        rows, f"{KIND} string, g int, low long, high long"))
+
+
+def _ranked_blocks(ranked: DataFrame, long: DataFrame, ends: Callable[[int], Sequence[int]]
+                   ) -> DataFrame:
+    blocks = _blocks(long, ends)
+    here = (F.col("_k") > F.col("low")) & (F.col("_k") <= F.col("high"))
+    sums = ranked.join(blocks, KIND).where(here).groupBy(KIND, "g").agg(
+        F.count("*").alias("n"), F.sum("y").cast("long").alias("churners"))
+    return _with_empty(blocks, sums)
+
+
+def _with_empty(blocks: DataFrame, sums: DataFrame) -> DataFrame:
     return blocks.join(sums, [KIND, "g"], "left").select(
         KIND, "g", F.coalesce("n", F.lit(0)).alias("n"),
         F.coalesce("churners", F.lit(0)).alias("churners"))
@@ -118,9 +138,8 @@ def _even_split(n: int, parts: int = DECILES) -> list[int]:
 
 def deciles(long: DataFrame, *, large: bool | None = None) -> DataFrame:
     """Lift and cumulative gains by score decile (1 = highest)."""
-    from pyspark.sql import Window  # ten rows per kind
-
     d = rank_groups(long, _even_split, large=large).withColumnRenamed("g", "decile")
+    # Ten rows per kind from here on.
     w = Window.partitionBy(KIND).orderBy("decile").rowsBetween(Window.unboundedPreceding, 0)
     every = Window.partitionBy(KIND)
     total, pos = F.sum("n").over(every), F.sum("churners").over(every)

@@ -7,6 +7,7 @@ offer cross product is ever shuffled or ranked with a window.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -104,12 +105,15 @@ def score_next_best_offers(customers: DataFrame, rates: DataFrame, costs: DataFr
     becomes one map per segment."""
     rated = retention_lift(rates, cfg.measured_lift)
     overall = rated.where("segment is null")
-    names = [r["offer"] for r in eligible_offers(overall.select("offer"), cfg.max_discount)
-             .orderBy("offer").limit(MAX_OFFERS + 1).collect()]
+    wanted = [eligible_offers(overall, cfg.max_discount).orderBy("offer").limit(MAX_OFFERS + 1)]
+    wanted += [costs.limit(MAX_OFFERS + 1)] if costs is not None else []
+    with ThreadPoolExecutor(2) as pool:  # one row per offer each
+        found = list(pool.map(DataFrame.collect, wanted))
+    base = {r["offer"]: r for r in found[0]}
+    names = sorted(base)
     if len(names) > MAX_OFFERS:
         raise ValueError(f"more than {MAX_OFFERS} offers; group them before scoring")
-    price = {r["offer"]: r["offer_cost"] for r in costs.collect()} if costs is not None else {}
-    base = {r["offer"]: r for r in overall.where(F.col("offer").isin(names)).collect()}
+    price = {r["offer"]: r["offer_cost"] for r in found[1]} if costs is not None else {}
     entry = F.struct(F.col("offer").alias("key"), F.struct(
         "p_accept", "stay_if_accepted", "stay_if_declined", "retention_lift").alias("value"))
     maps = F.broadcast(rated.where(F.col("segment").isNotNull()).groupBy("segment").agg(

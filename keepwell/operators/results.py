@@ -12,6 +12,7 @@ from collections.abc import Sequence
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from keepwell.functions.dist import normal_quantile, normal_sf2
 from keepwell.functions.scalar import col, no_nan, ratio, wilson
@@ -33,7 +34,7 @@ class ResultsError(ValueError):
     """The results file cannot be used."""
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def two_sided_p(z: pd.Series) -> pd.Series:
     """Normal probability of each |z|; runs on aggregated rows only."""
     return z.map(lambda x: None if pd.isna(x) else normal_sf2(x))

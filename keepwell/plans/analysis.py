@@ -7,6 +7,7 @@ submitted together; each result is one table under the output folder.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
@@ -35,17 +36,18 @@ class Options:
     medium: float = 0.3
 
 
-def describe_stage(df: DataFrame, roles: Roles) -> dict[str, DataFrame]:
+def describe_stage(df: DataFrame, roles: Roles) -> dict[str, Callable[[], DataFrame]]:
+    """The description tables as independent steps."""
     f, y = roles.features(df.columns), roles.target
-    out = {"overview": describe.overview(df, y)}
+    out = {"overview": lambda: describe.overview(df, y)}
     if f["numeric"]:
-        out |= {"numeric_summary": describe.numeric_summary(df, f["numeric"], y),
-                "histogram": describe.histogram(df, f["numeric"]),
-                "correlation": describe.correlation_matrix(df, f["numeric"])}
+        out |= {"numeric_summary": lambda: describe.numeric_summary(df, f["numeric"], y),
+                "histogram": lambda: describe.histogram(df, f["numeric"]),
+                "correlation": lambda: describe.correlation_matrix(df, f["numeric"])}
     if f["categorical"]:
-        out["category_rates"] = describe.category_rates(df, f["categorical"], y)
+        out["category_rates"] = lambda: describe.category_rates(df, f["categorical"], y)
     if roles.time:
-        out["tenure_bands"] = describe.tenure_bands(df, roles.time, y)
+        out["tenure_bands"] = lambda: describe.tenure_bands(df, roles.time, y)
     return out
 
 
@@ -96,8 +98,9 @@ def run(df: DataFrame, roles: Roles, out: str, row_id: str = "row_id",
         extra = offer_ops.offer_tests(long, people)
 
     def described() -> None:
-        for name, table in describe_stage(base, roles).items():
-            keep(name, table)
+        steps = describe_stage(base, roles)
+        with ThreadPoolExecutor(len(steps)) as inner:
+            list(inner.map(lambda item: keep(item[0], item[1]()), steps.items()))
 
     def segmented() -> DataFrame | None:
         result = segments.segment(base, numeric, key, roles.time, ks=options.ks,
