@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -16,8 +14,10 @@ DELIMITER_PATTERN = r"\s*[;,|\n]\s*"
 DISCOUNT_PATTERN = r"(\d+(?:\.\d+)?)\s*%\s*(?:loyalty\s*)?(?:discount|off)"
 # Fixed value: characters that make a spreadsheet read a cell as a formula.
 FORMULA_PATTERN = r"^[=+\-@\t\r]"
-# Accepted spellings of dates.
-DATE_FORMATS = ("yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd", "yyyy/MM/dd", "MM/dd/yyyy", "dd MMM yyyy")
+# Accepted spellings of dates besides ISO, with the shape of each.
+DATE_FORMATS = (("yyyy/MM/dd", r"^\d{4}/\d{2}/\d{2}$"), ("MM/dd/yyyy", r"^\d{2}/\d{2}/\d{4}$"),
+                ("dd MMM yyyy", r"^\d{2} [A-Za-z]{3} \d{4}$"))
+ISO_DATE = r"^\d{4}-\d{1,2}-\d{1,2}([ T].*)?$"
 
 
 def col(c: str | Column) -> Column:
@@ -37,8 +37,7 @@ def blank_to_null(c: str | Column) -> Column:
 
 def squeeze(c: str | Column) -> Column:
     """Trimmed text with single inner spaces; blank becomes null."""
-    return F.nullif(F.regexp_replace(F.trim(F.regexp_replace(col(c), r"\s+", " ")), "^ | $", ""),
-                    F.lit(""))
+    return F.nullif(F.trim(F.regexp_replace(col(c), r"\s+", " ")), F.lit(""))
 
 
 def to_number(c: str | Column) -> Column:
@@ -51,9 +50,14 @@ def no_nan(c: Column) -> Column:
     return F.when(~F.isnan(c), c)
 
 
-def to_time(c: str | Column, formats: Sequence[str] = DATE_FORMATS) -> Column:
+def to_time(c: str | Column) -> Column:
+    """Lenient date parsing. The shape of the text picks the format, so a cell is parsed once and
+    never by trial and error."""
     text = F.trim(col(c).cast("string"))
-    return F.coalesce(*[F.try_to_timestamp(text, F.lit(f)) for f in formats])
+    out = F.when(text.rlike(ISO_DATE), text.try_cast("timestamp"))
+    for pattern, shape in DATE_FORMATS:
+        out = out.when(text.rlike(shape), F.try_to_timestamp(text, F.lit(pattern)))
+    return out
 
 
 def flag(c: str | Column) -> Column:

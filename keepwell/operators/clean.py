@@ -235,8 +235,9 @@ class Cleaned:
 
 
 def all_spelling_changes(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Spelling replacements of every text column from one count: column, spelling, canonical, n."""
-    counts = (tall(df, {c: squeeze(c) for c in columns}, ("column", "spelling"))
+    """Spelling replacements of every (already squeezed) text column from one count: column,
+    spelling, canonical, n."""
+    counts = (tall(df, {c: col(c) for c in columns}, ("column", "spelling"))
               .where("spelling is not null").groupBy("column", "spelling")
               .agg(F.count("*").alias("n")))
     best = counts.groupBy(F.col("column").alias("_c"), F.lower("spelling").alias("_k")).agg(

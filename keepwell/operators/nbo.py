@@ -19,6 +19,7 @@ from keepwell.functions.scalar import col, half_even, no_nan, offer_discount, sm
 NO_OFFER = "No offer"
 PROVEN, OBSERVED = "experiment-proven", "observational"
 MAX_OFFERS = 1000
+MAX_RATES = 100_000
 
 
 @dataclass(frozen=True)
@@ -103,21 +104,26 @@ def score_next_best_offers(customers: DataFrame, rates: DataFrame, costs: DataFr
     `customers`: customer_id, segment, churn_probability, risk_band[, revenue][, one column of
     predicted acceptance per offer named in `acceptance`]. The rate table (offers x segments)
     becomes one map per segment."""
-    rated = retention_lift(rates, cfg.measured_lift)
-    overall = rated.where("segment is null")
-    wanted = [eligible_offers(overall, cfg.max_discount).orderBy("offer").limit(MAX_OFFERS + 1)]
-    wanted += [costs.limit(MAX_OFFERS + 1)] if costs is not None else []
-    with ThreadPoolExecutor(2) as pool:  # one row per offer each
+    spark = customers.sparkSession
+    rated = retention_lift(rates, cfg.measured_lift).withColumn(
+        "_eligible", F.coalesce(offer_discount("offer"), F.lit(0.0)) <= cfg.max_discount + 1e-12)
+    wanted = [rated.limit(MAX_RATES + 1)] + ([costs.limit(MAX_RATES + 1)] if costs is not None else [])
+    with ThreadPoolExecutor(2) as pool:  # one row per offer and segment, and one per offer
         found = list(pool.map(DataFrame.collect, wanted))
-    base = {r["offer"]: r for r in found[0]}
+    if len(found[0]) > MAX_RATES:
+        raise ValueError(f"more than {MAX_RATES} offer rates; group offers or segments first")
+    base = {r["offer"]: r for r in found[0] if r["segment"] is None and r["_eligible"]}
     names = sorted(base)
-    if len(names) > MAX_OFFERS:
-        raise ValueError(f"more than {MAX_OFFERS} offers; group them before scoring")
     price = {r["offer"]: r["offer_cost"] for r in found[1]} if costs is not None else {}
-    entry = F.struct(F.col("offer").alias("key"), F.struct(
-        "p_accept", "stay_if_accepted", "stay_if_declined", "retention_lift").alias("value"))
-    maps = F.broadcast(rated.where(F.col("segment").isNotNull()).groupBy("segment").agg(
-        F.map_from_entries(F.collect_list(entry)).alias("_rates")))
+    by_segment: dict = {}
+    for r in found[0]:
+        if r["segment"] is not None and r["_eligible"]:
+            by_segment.setdefault(r["segment"], {})[r["offer"]] = (
+                r["p_accept"], r["stay_if_accepted"], r["stay_if_declined"], r["retention_lift"])
+    kind = customers.schema["segment"].dataType.simpleString()
+    maps = F.broadcast(spark.createDataFrame(
+        list(by_segment.items()), f"segment {kind}, _rates map<string,struct<p_accept:double,"
+        "stay_if_accepted:double,stay_if_declined:double,retention_lift:double>>"))
     c = customers.where(F.col("risk_band").isin(*cfg.bands)).join(maps, "segment", "left")
     if declined is not None:
         refused = declined.groupBy("customer_id").agg(F.collect_set("offer").alias("_refused"))
