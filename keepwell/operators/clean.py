@@ -232,6 +232,12 @@ class Cleaned:
     frame: DataFrame
     log: DataFrame
     health: DataFrame
+    kept: DataFrame | None = None
+
+    def release(self) -> None:
+        """Give back the executors' copy once the cleaned table is stored."""
+        if self.kept is not None:
+            self.kept.unpersist()
 
 
 def all_spelling_changes(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -388,4 +394,4 @@ def clean(df: DataFrame, roles: Roles, row_id: str, min_rows: int = 100) -> Clea
                                        F.col("minority")).alias("health_score"))
     table = spark.createDataFrame([x for x in log if x[2]],
                                   "step string, column string, rows_affected long, detail string")
-    return Cleaned(frame, table, health)
+    return Cleaned(frame, table, health, marked)

@@ -29,6 +29,7 @@ MAX_COEF = 15.0
 MAX_REFITS = 10
 TOP_REASONS = 3
 FOREST_ROWS = 15
+MAX_TERMS = 4096  # the solver's limit
 Z95 = 1.959963984540054
 MISSING = "Missing"
 
@@ -180,12 +181,15 @@ def reference_levels(df: DataFrame, categorical: Sequence[str]) -> dict[str, lis
     counts = (tall(df, {c: F.coalesce(col(c).cast("string"), F.lit(MISSING)) for c in categorical},
                    ("c", "v")).groupBy("c", "v").agg(F.count("*").alias("n")))
     out: dict[str, list[tuple[int, str]]] = {}
-    for r in counts.limit(4096).collect():
+    rows = counts.limit(MAX_TERMS + 1).collect()
+    if len(rows) > MAX_TERMS:
+        raise ValueError(f"more than {MAX_TERMS} levels; leave out columns with very many levels")
+    for r in rows:
         out.setdefault(r["c"], []).append((r["n"], r["v"]))
     levels = {}
-    for c, rows in out.items():
-        ref = min(rows, key=lambda t: (-t[0], t[1]))[1]
-        levels[c] = [ref, *sorted(v for _, v in rows if v != ref)]
+    for c, seen in out.items():
+        ref = min(seen, key=lambda t: (-t[0], t[1]))[1]
+        levels[c] = [ref, *sorted(v for _, v in seen if v != ref)]
     return levels
 
 

@@ -198,7 +198,10 @@ def acceptance_models(data: DataFrame, long: DataFrame, numeric: Sequence[str],
     catalog = long.groupBy("offer").agg(F.count("*").alias("shown"),
                                         F.sum("accepted").alias("accepted"))
     rows, scored = [], data
-    for r in catalog.orderBy("offer").limit(MAX_OFFERS).collect():
+    offers = catalog.orderBy("offer").limit(MAX_OFFERS + 1).collect()
+    if len(offers) > MAX_OFFERS:
+        raise ValueError(f"more than {MAX_OFFERS} offers; group them before modelling")
+    for r in offers:
         usable = r["shown"] >= cfg.min_exposures and 0 < r["accepted"] < r["shown"]
         auc, name = None, None
         if usable:

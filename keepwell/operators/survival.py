@@ -148,11 +148,14 @@ def by_level(df: DataFrame, columns: Sequence[str], time: str, event: str) -> Da
 def logrank_sums(df: DataFrame, columns: Sequence[str], time: str, event: str, *,
                  large: bool | None = None) -> DataFrame:
     """Observed and expected events and covariance sums per column; groups are numbered by level
-    (few levels per column) so each time is one row with one entry per group."""
+    so each time is one row with one entry per group. Columns with more than six levels are left
+    out, as grouping columns never have more."""
     long = by_level(df, columns, time, event)
     names = long.select("variable", "level").distinct().withColumn(
         "_g", F.row_number().over(Window.partitionBy("variable").orderBy("level")) - 1)
-    names = names.where(F.col("_g") < MAX_LEVELS)
+    levels = names.groupBy("variable").agg(F.array_sort(F.collect_list(
+        F.struct("_g", "level"))).alias("_l")).where(F.size("_l") <= MAX_LEVELS)
+    names = names.join(F.broadcast(levels.select("variable")), "variable", "left_semi")
     marked = long.join(F.broadcast(names), ["variable", "level"])
     ks = range(MAX_LEVELS)
     per_time = marked.groupBy("variable", col(time).alias("t")).agg(
@@ -175,8 +178,6 @@ def logrank_sums(df: DataFrame, columns: Sequence[str], time: str, event: str, *
     aggs += [F.sum(scale * share[g] * ((1.0 if g == h else 0.0) - share[h])).alias(f"v{g}_{h}")
              for g in ks for h in ks if g <= h]
     sums = ran.groupBy("variable").agg(*aggs)
-    levels = names.groupBy("variable").agg(F.array_sort(F.collect_list(
-        F.struct("_g", "level"))).alias("_l"))
     return sums.join(F.broadcast(levels), "variable").withColumn(
         "levels", F.transform("_l", lambda x: x["level"])).drop("_l")
 

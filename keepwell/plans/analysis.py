@@ -86,6 +86,7 @@ def run(df: DataFrame, roles: Roles, out: str, row_id: str = "row_id",
     keep("cleaning_log", cleaned.log)
     health = keep("data_health", cleaned.health)
     base = keep("clean", cleaned.frame)
+    cleaned.release()
     y = roles.target
     key = roles.ids[0] if roles.ids else row_id
     f = roles.features(base.columns)
@@ -108,7 +109,7 @@ def run(df: DataFrame, roles: Roles, out: str, row_id: str = "row_id",
         if result.frame is None:
             return None
         member = keep("segment_assignment", result.frame.select(key, "segment"))
-        joined = base.join(member, key)
+        joined = base.select(key, y, *map(col, result.features)).join(member, key)
         scale = segments.scales(base, result.features)
         return keep("segment_profile", segments.segment_profile(
             joined, "segment", result.features, y, scale))
@@ -159,9 +160,9 @@ def run(df: DataFrame, roles: Roles, out: str, row_id: str = "row_id",
     if long is not None:
         member = (read_table(spark, done["segment_assignment"]) if profile is not None else
                   base.select(key, F.lit(0).alias("segment")))
-        people = base.join(member, key).select(
-            col(key).cast("string").alias("customer_id"), col("segment"),
-            col(y).alias("churned"), *([roles.revenue] if roles.revenue else []))
+        money = [roles.revenue] if roles.revenue else []
+        people = base.select(key, y, *money).join(member, key).select(
+            col(key).cast("string").alias("customer_id"), "segment", col(y).alias("churned"), *money)
         effect = keep("offer_effectiveness", offer_ops.offer_effectiveness(long, people, "segment"))
         parts.append(facts.offer_facts(effect.where("scope = 'offer'")))
         ready = people.join(predictions.select("customer_id", "churn_probability", "risk_band"),
