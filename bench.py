@@ -48,7 +48,8 @@ def copies(df, key="customer_id"):
         return df
     many = df.withColumn("_c", F.explode(F.sequence(F.lit(0), F.lit(COPIES - 1))))
     wide = F.col(key).cast("long") + F.col("_c") * 10_000_000
-    return many.withColumn(key, wide.cast(df.schema[key].dataType)).drop("_c")
+    out = many.withColumn(key, wide.cast(df.schema[key].dataType)).drop("_c")
+    return out.repartition(4 * int(CPUS))  # a large table is many files
 
 
 def stages(spark, folder):
