@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from keepwell.functions.scalar import half_even, squeeze, to_number, to_time
+from keepwell.functions.scalar import squeeze, to_number, to_time
 from keepwell.operators import clean as c
 from keepwell.operators import profile as p
 from keepwell.plans import views as v
