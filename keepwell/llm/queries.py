@@ -2,13 +2,20 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keepwell.llm import exact, secrets, urls
+from keepwell.llm import exact, secrets, token_files, urls
 from keepwell.llm.store import shared_folder, table
 
 
+def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = shared_folder(spark)
+    token_files.write(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), folder)
+    return token_files.read(spark, folder, with_ids=False)
+
+
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.scan(table(spark, sf_dir, "documents"), f"{shared_folder(spark)}/ledger")
     spans = F.coalesce("spans", F.array().cast(secrets.SPANS))
@@ -63,6 +70,7 @@ FROM p LEFT JOIN f ON f.page_id = p.page_id AND k = 1
 
 
 QUERIES = {
+    "op1_token_files": (op1_token_files, None),
     "op4_secret_scan": (op4_secret_scan, None),
     "op6_exact_dedup": (op6_exact_dedup, _OP6),
     "op7_url_filter": (op7_url_filter, _OP7),
