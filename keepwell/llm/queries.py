@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keepwell.llm import exact, secrets, token_files, urls
+from keepwell.llm import exact, secrets, simhash, token_files, urls
 from keepwell.llm.store import shared_folder, table
 
 
@@ -30,6 +30,11 @@ def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
         secrets.span_text(spans).alias("spans"), "blob")
 
 
+def op5_simhash_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", simhash.as_hex(F.col("fp")).alias("fingerprint"), "component_id")
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_duplicates(table(spark, sf_dir, "documents")).select(
         "doc_id", "keep_id", "group_size", "kept", "text_sha256")
@@ -72,6 +77,7 @@ FROM p LEFT JOIN f ON f.page_id = p.page_id AND k = 1
 QUERIES = {
     "op1_token_files": (op1_token_files, None),
     "op4_secret_scan": (op4_secret_scan, None),
+    "op5_simhash_links": (op5_simhash_links, None),
     "op6_exact_dedup": (op6_exact_dedup, _OP6),
     "op7_url_filter": (op7_url_filter, _OP7),
 }
