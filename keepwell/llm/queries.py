@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keepwell.llm import exact, secrets, simhash, token_files, urls
+from keepwell.llm import exact, language, secrets, simhash, token_files, urls
 from keepwell.llm.store import shared_folder, table
 
 
@@ -16,6 +16,11 @@ def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read(spark, folder, with_ids=False)
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return language.predict(docs, language.train(docs)).drop("sig")
+
+
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.scan(table(spark, sf_dir, "documents"), f"{shared_folder(spark)}/ledger")
     spans = F.coalesce("spans", F.array().cast(secrets.SPANS))
@@ -76,6 +81,7 @@ FROM p LEFT JOIN f ON f.page_id = p.page_id AND k = 1
 
 QUERIES = {
     "op1_token_files": (op1_token_files, None),
+    "op2_language_id": (op2_language_id, None),
     "op4_secret_scan": (op4_secret_scan, None),
     "op5_simhash_links": (op5_simhash_links, None),
     "op6_exact_dedup": (op6_exact_dedup, _OP6),
