@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keepwell.llm import exact, language, secrets, simhash, token_files, urls
+from keepwell.llm import exact, language, secrets, shards, simhash, token_files, topk, urls
 from keepwell.llm.store import shared_folder, table
 
 
@@ -79,6 +79,34 @@ FROM p LEFT JOIN f ON f.page_id = p.page_id AND k = 1
 """
 
 
+def op9_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, 5)
+
+
+_OP9 = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e FROM embeddings
+    WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+  s AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.e, c.e)::BIGINT AS score
+    FROM v q JOIN v c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id),
+  r AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank,
+    vec_id, score FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
+"""
+
+#: Bytes of text in a shard at most.
+SHARD_BYTES = 64 << 20
+
+
+def op10_extendible_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{shared_folder(spark)}/shards"
+    shards.write(table(spark, sf_dir, "documents"), path, SHARD_BYTES)
+    rows = spark.read.parquet(path).select(
+        "doc_id", F.col("shard").substr(F.lit(2), F.length("shard")).alias("shard"),
+        (F.octet_length(F.coalesce("text", F.lit(""))) + shards.ROW).cast("long").alias("n_bytes"))
+    sizes = rows.groupBy("shard").agg(F.sum("n_bytes").alias("shard_bytes"), F.count("*").alias("shard_rows"))
+    return rows.join(sizes, "shard").select("doc_id", "shard", "n_bytes", "shard_bytes", "shard_rows")
+
+
 QUERIES = {
     "op1_token_files": (op1_token_files, None),
     "op2_language_id": (op2_language_id, None),
@@ -86,4 +114,6 @@ QUERIES = {
     "op5_simhash_links": (op5_simhash_links, None),
     "op6_exact_dedup": (op6_exact_dedup, _OP6),
     "op7_url_filter": (op7_url_filter, _OP7),
+    "op9_topk_search": (op9_topk_search, _OP9),
+    "op10_extendible_shards": (op10_extendible_shards, None),
 }
