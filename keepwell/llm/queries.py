@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keepwell.llm import exact, language, secrets, shards, simhash, token_files, topk, urls
+from keepwell.llm import exact, language, mixing, pieces, secrets, shards, simhash, token_files, topk, urls
 from keepwell.llm.store import shared_folder, table
 
 
@@ -79,6 +79,30 @@ FROM p LEFT JOIN f ON f.page_id = p.page_id AND k = 1
 """
 
 
+#: Wanted shares of the tokens.
+TARGETS = {"good": 0.93, "poor": 0.05, "toxic": 0.02}
+
+
+def op8_soft_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rates = mixing.document_rates(table(spark, sf_dir, "documents"),
+                                  mixing.label_domains(table(spark, sf_dir, "labels")), TARGETS)
+    return rates.select("doc_id", "tokens", *[F.get("p", F.lit(k)).alias(f"p_{d}")
+                                              for k, d in enumerate(TARGETS)], "rate")
+
+
+#: A tenth of the merges is dropped.
+DROPOUT_SEED = 17
+
+
+def op3_merge_dropout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    docs = table(spark, sf_dir, "documents")
+    ids = pieces.encode(docs, model, seed=DROPOUT_SEED).withColumn("n_pieces", F.size("pieces").cast("long"))
+    back = pieces.decoded(ids.withColumn("pieces_hash", F.xxhash64("pieces")), model)
+    return back.select("doc_id", "n_pieces", "pieces_hash", F.length("text").cast("long").alias("n_chars"),
+                       F.sha2("text", 256).alias("text_sha256"))
+
+
 def op9_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, 5)
 
@@ -110,10 +134,12 @@ def op10_extendible_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_token_files": (op1_token_files, None),
     "op2_language_id": (op2_language_id, None),
+    "op3_merge_dropout": (op3_merge_dropout, None),
     "op4_secret_scan": (op4_secret_scan, None),
     "op5_simhash_links": (op5_simhash_links, None),
     "op6_exact_dedup": (op6_exact_dedup, _OP6),
     "op7_url_filter": (op7_url_filter, _OP7),
+    "op8_soft_mixing": (op8_soft_mixing, None),
     "op9_topk_search": (op9_topk_search, _OP9),
     "op10_extendible_shards": (op10_extendible_shards, None),
 }
