@@ -22,7 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from keepwell.llm.store import shared_folder, stored
@@ -161,7 +161,7 @@ def search_block(queries: np.ndarray, query_ids: np.ndarray, floor: np.ndarray,
     return best[0] if best else _best([], k)
 
 
-def _search(turn: np.ndarray, k: int):
+def _search(turn: np.ndarray, k: int, per_block: int):
     width = len(turn)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -175,7 +175,7 @@ def _search(turn: np.ndarray, k: int):
                 ids = np.frombuffer(get["ids"].as_buffer(), np.int64)
                 v = np.frombuffer(get["vectors"].as_buffer(), np.int64).reshape(len(ids), width)
                 at, found, score = search_block(q, q_ids, floor, v, ids, turn, k)
-                first = get["q_block"].as_py() * QUERIES
+                first = get["q_block"].as_py() * per_block
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(first + at), pa.array(q_ids[at]), pa.array(found), pa.array(score)],
                     names=["query_row", "query_id", "vec_id", "score"])
@@ -183,28 +183,33 @@ def _search(turn: np.ndarray, k: int):
     return run
 
 
-def _with_floors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _with_floors(per_block: int):
     """Adds to each block of queries the scores to reach, and the least length that can matter."""
-    for batch in batches:
-        for row in range(batch.num_rows):
-            get = {c: batch.column(c)[row] for c in batch.schema.names}
-            n = len(get["q_ids"].as_buffer()) // 8
-            floor = np.full(n, -np.inf)
-            for x in get["floors"].as_py() or []:
-                floor[x["query_row"] - get["q_block"].as_py() * QUERIES] = x["floor"]
-            m = np.frombuffer(get["queries"].as_buffer(), np.int64).reshape(n, -1).astype(np.float64)
-            length = np.sqrt((m ** 2).sum(axis=1))
-            need = np.where(floor > 0, (floor - 0.5) / np.maximum(length, 1e-300), 0.0)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([get["q_block"].as_py()]), pa.array([get["q_ids"].as_py()], pa.binary()),
-                 pa.array([get["queries"].as_py()], pa.binary()), pa.array([floor.tobytes()], pa.binary()),
-                 pa.array([float(need.min(initial=np.inf)) * (1 - 1e-9)])],
-                names=["q_block", "q_ids", "queries", "floor", "need"])
-
-
-def top_k(vectors: DataFrame, is_query, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding"
-          ) -> DataFrame:
-    """query_id, rank, vec_id, score; is_query: a condition on vec_id that chooses the query rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                get = {c: batch.column(c)[row] for c in batch.schema.names}
+                n = len(get["q_ids"].as_buffer()) // 8
+                floor = np.full(n, -np.inf)
+                for x in get["floors"].as_py() or []:
+                    floor[x["query_row"] - get["q_block"].as_py() * per_block] = x["floor"]
+                m = np.frombuffer(get["queries"].as_buffer(), np.int64).reshape(n, -1).astype(np.float64)
+                length = np.sqrt((m ** 2).sum(axis=1))
+                need = np.where(floor > 0, (floor - 0.5) / np.maximum(length, 1e-300), 0.0)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([get["q_block"].as_py()]), pa.array([get["q_ids"].as_py()], pa.binary()),
+                     pa.array([get["queries"].as_py()], pa.binary()), pa.array([floor.tobytes()], pa.binary()),
+                     pa.array([float(need.min(initial=np.inf)) * (1 - 1e-9)])],
+                    names=["q_block", "q_ids", "queries", "floor", "need"])
+
+    return run
+
+
+def top_k(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id",
+          vector_col: str = "embedding", block: int = BLOCK, queries: int = QUERIES) -> DataFrame:
+    """query_id, rank, vec_id, score; is_query: a condition on vec_id that chooses the query rows. block
+    and queries: vectors in a block, and in a block of queries."""
     spark, folder = vectors.sparkSession, shared_folder(vectors.sparkSession)
     rows = stored(whole_vectors(vectors, id_col, vector_col), folder, "rows")
     width, n_queries = rows.agg(F.max(F.size("v")), F.count_if(is_query)).first()
@@ -214,9 +219,9 @@ def top_k(vectors: DataFrame, is_query, k: int = 5, id_col: str = "vec_id", vect
     width = max(width, 1)
     turn = rotation(rows, width)
     by_length = rows.repartitionByRange(F.desc("square")).sortWithinPartitions(F.desc("square"))
-    stock = stored(blocks(by_length, width, BLOCK), folder, "stock")
-    asked = rows.where(is_query).repartition(math.ceil(n_queries / QUERIES))
-    asked = blocks(asked, width, QUERIES).select(
+    stock = stored(blocks(by_length, width, block), folder, "stock")
+    asked = rows.where(is_query).repartition(math.ceil(n_queries / queries))
+    asked = blocks(asked, width, queries).select(
         F.col("block").alias("q_block"), F.col("ids").alias("q_ids"), F.col("vectors").alias("queries"))
     asked = stored(asked, folder, "asked")
     names = "q_block", "q_ids", "queries", "floor", "ids", "vectors"
@@ -224,16 +229,16 @@ def top_k(vectors: DataFrame, is_query, k: int = 5, id_col: str = "vec_id", vect
     longest = stock.select(F.max_by("block", "longest")).first()[0]
     head = stock.where(F.col("block") == longest)
     first = asked.withColumn("floor", F.lit(None).cast("binary")).crossJoin(head)
-    first = stored(first.select(*names).mapInArrow(_search(turn, k), FOUND), folder, "first")
+    first = stored(first.select(*names).mapInArrow(_search(turn, k, queries), FOUND), folder, "first")
     floors = first.groupBy("query_row").agg(F.count("*").alias("n"), F.min("score").alias("floor")).where(
         F.col("n") >= k).select("query_row", "floor")
-    floors = floors.groupBy((F.floor(F.col("query_row") / QUERIES)).alias("q_block")).agg(
+    floors = floors.groupBy(F.expr(f"query_row div {queries}").alias("q_block")).agg(
         F.collect_list(F.struct("query_row", "floor")).alias("floors"))
     ready = stored(asked.join(floors, "q_block", "left").mapInArrow(
-        _with_floors, "q_block long, q_ids binary, queries binary, floor binary, need double"), folder, "ready")
+        _with_floors(queries), "q_block long, q_ids binary, queries binary, floor binary, need double"), folder, "ready")
     rest = stock.where(F.col("block") != longest)
     pairs = rest.join(ready, rest["longest"] >= ready["need"])  # blocks against blocks of queries
-    found = first.unionByName(pairs.select(*names).mapInArrow(_search(turn, k), FOUND))
+    found = first.unionByName(pairs.select(*names).mapInArrow(_search(turn, k, queries), FOUND))
     best = Window.partitionBy("query_row").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select(
         "query_id", "rank", "vec_id", "score")
