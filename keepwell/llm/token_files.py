@@ -27,13 +27,32 @@ from pyspark.sql import functions as F
 from keepwell.llm.store import shared_folder, stored, text_of
 
 END = 0
-MEMO = 300_000  # distinct words a worker remembers
+MEMO = 1_000_000  # distinct words a worker remembers
 PIECE = 1 << 20  # characters split at once
 _CUT = re.compile(r"(?<=\S)(?= \S)")  # no token spans this place
 _SIGNS = r"[!-&(-/:-@\[-`{-~]*"  # not the apostrophe, which begins tokens like 's
-_LETTERS = "[A-Za-zÀ-ÖØ-öø-ÿ]+"
-#: A word and its signs, and those behind one line end; these are the tokenizer's own first parts.
-_WORD = re.compile(rf"( ?{_LETTERS})({_SIGNS})(?:(\n)({_LETTERS})({_SIGNS}))?")
+#: A word and its signs: the tokenizer's own first parts.
+_WORD = re.compile(rf"( ?[A-Za-zÀ-ÖØ-öø-ÿ]+)({_SIGNS})")
+
+# Texts are first cut, quickly, before every space, dot and comma and around every line end. By what a
+# part ends with and what the next begins with, the cut is one of the tokenizer's own boundaries or not.
+_OTHER, _SIGN, _LINE, _SPACED, _BAD = range(5)  # letters and numbers; " x"; other white space
+_BOUNDARY = np.zeros((5, 5), bool)
+_BOUNDARY[_OTHER, [_SIGN, _LINE, _SPACED]] = True
+_BOUNDARY[_SIGN, [_LINE, _SPACED]] = True
+_BOUNDARY[_LINE, [_OTHER, _SIGN]] = True
+
+
+def _edges(part: str) -> tuple[int, int]:
+    """What a part begins and ends with."""
+    if part == "\n":
+        return _LINE, _LINE
+    if not part:
+        return _BAD, _BAD
+    last = _OTHER if part[-1].isalnum() else _BAD if part[-1].isspace() else _SIGN
+    if part[0] == " " and part[1:2].strip():
+        return _SPACED, last
+    return _OTHER if part[0].isalnum() else _BAD if part[0].isspace() else _SIGN, last
 
 
 class _Words(dict):
@@ -57,7 +76,7 @@ class Encoder:
         self.model = self.tokenizer.model
         # the library's own letters for bytes, taken one byte at a time where UTF-8 allows it
         split = ByteLevel(add_prefix_space=False, use_regex=False)
-        self.letters = {ord(c): split.pre_tokenize_str(c)[0][0] for c in " \n"}
+        self.letters = {32: split.pre_tokenize_str(" ")[0][0]}
         for char in map(chr, range(0x80, 0x800)):
             shown = split.pre_tokenize_str(char)[0][0]
             self.letters.update(zip(char.encode(), shown))
@@ -66,34 +85,35 @@ class Encoder:
     def clear(self) -> None:
         self.words = _Words()
         self.words.fresh = []
-        self.parts: dict[str, list[int]] = {}
+        self.signs: dict[str, list[int]] = {"": []}
         self.flat, self.starts = array("i"), array("q", [0])
-        self.unsafe = bytearray()
+        self.begins, self.ends = bytearray(), bytearray()
 
-    def _part(self, part: str) -> list[int]:
-        ids = self.parts.get(part)
-        if ids is None:
-            if part.isascii():
-                shown = part.replace(" ", self.letters[32]).replace("\n", self.letters[10])
-            else:
-                shown = part.encode().decode("latin-1").translate(self.letters)
-            ids = self.parts[part] = [t.id for t in self.model.tokenize(shown)]
-        return ids
+    def _model(self, part: str) -> list[int]:
+        if part.isascii():
+            shown = part.replace(" ", self.letters[32])
+        else:
+            shown = part.encode().decode("latin-1").translate(self.letters)
+        return [t.id for t in self.model.tokenize(shown)]
 
     def _learn(self) -> None:
-        flat, starts, unsafe, part, match = self.flat, self.starts, self.unsafe, self._part, _WORD.fullmatch
         for word in self.words.fresh:
-            plain = match(word)
+            plain = _WORD.fullmatch(word)
             if plain:
-                for piece in plain.groups():
-                    if piece:
-                        flat.extend(part(piece))
-                unsafe.append(0)
+                name, sign = plain.groups()
+                ids = self.signs.get(sign)
+                if ids is None:
+                    ids = self.signs[sign] = self._model(sign)
+                self.flat.extend(self._model(name))
+                self.flat.extend(ids)
+                self.begins.append(_SPACED if word[0] == " " else _OTHER)
+                self.ends.append(_SIGN if sign else _OTHER)
             else:
-                flat.extend(self.tokenizer.encode(word, add_special_tokens=False).ids)
-                unsafe.append(not word or word[-1:].isspace()
-                              or word[:1] == " " and not word[1:2].strip())
-            starts.append(len(flat))
+                self.flat.extend(self.tokenizer.encode(word, add_special_tokens=False).ids)
+                begin, end = _edges(word)
+                self.begins.append(begin)
+                self.ends.append(end)
+            self.starts.append(len(self.flat))
         self.words.fresh.clear()
 
     def _look_up(self, words: list[str]) -> np.ndarray:
@@ -103,7 +123,7 @@ class Encoder:
         return numbers
 
     def _numbers(self, text: str) -> np.ndarray:
-        """Word numbers of one text; words begin at single spaces between other characters."""
+        """Word numbers of one text."""
         found, at = [], 0
         while at < len(text):
             to = len(text)
@@ -112,11 +132,15 @@ class Encoder:
                 to = cut.start() if cut else to
             piece = text[at:to]
             at = to
-            words = [] if "\0" in piece else piece.replace(" ", "\0 ").split("\0")
-            if words and words[0] == "" and piece[:1] == " ":
-                words.pop(0)
-            numbers = self._look_up(words)
-            if not words or np.frombuffer(self.unsafe, np.uint8)[numbers].any():
+            numbers = None
+            if "\0" not in piece:
+                words = piece.replace(" ", "\0 ").replace(",", "\0,").replace(".", "\0.").replace(
+                    "\n", "\0\n\0").split("\0")
+                numbers = self._look_up(words[1:] if not words[0] else words)
+                begins = np.frombuffer(self.begins, np.uint8)[numbers[1:]]
+                if not _BOUNDARY[np.frombuffer(self.ends, np.uint8)[numbers[:-1]], begins].all():
+                    numbers = None
+            if numbers is None:
                 numbers = self._look_up(_CUT.split(piece))
             found.append(numbers)
         return np.concatenate(found) if found else np.zeros(0, np.int64)
@@ -171,15 +195,27 @@ def _tokenize(path: str):
     return run
 
 
-def _plain(width: int, data: bytes) -> np.ndarray:
-    return np.frombuffer(data, f"<u{width}").astype(np.int64)
+def _together(batch: pa.RecordBatch) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(from row, to row, ids, ids per row) of neighbouring rows of one width, a bounded number."""
+    width = batch.column("width").to_numpy()
+    column = batch.column("ids")
+    offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset:column.offset + len(column) + 1]
+    data = np.frombuffer(column.buffers()[2], np.uint8)
+    at = 0
+    while at < len(width):
+        to = at + 1
+        while to < len(width) and width[to] == width[at] and offsets[to] - offsets[at] < 1 << 22:
+            to += 1
+        ids = data[offsets[at]:offsets[to]].view(f"<u{width[at]}")
+        yield at, to, ids, np.diff(offsets[at:to + 1]) // width[at]
+        at = to
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total = np.zeros(0, np.int64)
     for batch in batches:
-        for width, data in zip(batch.column("width").to_pylist(), batch.column("ids").to_pylist()):
-            part = np.bincount(_plain(width, data), minlength=len(total))
+        for _, _, ids, _ in _together(batch):
+            part = np.bincount(ids, minlength=len(total))
             part[:len(total)] += total
             total = part
     ids = np.flatnonzero(total)
@@ -192,30 +228,38 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 LENGTHS = (np.arange(256)[:, None] >> np.array([0, 2, 4, 6]) & 3).astype(np.uint8) + 1
 
 
-def pack(values: np.ndarray) -> tuple[bytes, bytes]:
-    """Control bytes and data bytes of values below 2**32."""
-    values = values.astype("<u4")
-    most = int(values.max(initial=0))
-    size = np.ones(len(values), np.uint8)
-    for limit in (0xFF, 0xFFFF, 0xFFFFFF):
-        if most > limit:
-            size += values > limit
-    width = int(size.max(initial=1))
-    codes = np.zeros(-(-len(values) // 4) * 4, np.uint8)
-    codes[:len(values)] = size - 1
-    control = (codes.reshape(-1, 4) << np.array([0, 2, 4, 6], np.uint8)).sum(axis=1, dtype=np.uint8)
-    used = np.arange(width) < size[:, None]
-    return control.tobytes(), values.view(np.uint8).reshape(-1, 4)[:, :width][used].tobytes()
-
-
-def unpack(control: bytes, data: bytes, n: int) -> np.ndarray:
-    """The n values: lengths by table lookup, then the bytes gathered by position."""
-    size = LENGTHS[np.frombuffer(control, np.uint8)].ravel()[:n]
+def pack(values: np.ndarray, sizes: np.ndarray) -> tuple[list[bytes], list[bytes]]:
+    """Control bytes and data bytes of each document; sizes: values per document, in all values."""
+    values = values.astype("<u4" if values.max(initial=0) > 0xFFFF else "<u2")
+    extra = np.zeros(len(values), np.uint8)  # bytes beyond the first
+    for limit in (0xFF, 0xFFFF, 0xFFFFFF)[:values.itemsize - 1]:
+        extra += values > limit
+    groups = -(-sizes // 4)  # control bytes; a document's last one may be part empty
+    first = np.concatenate([[0], np.cumsum(groups)])
+    ends = np.cumsum(sizes)
+    codes = np.zeros(4 * first[-1], np.uint8)
+    codes[np.arange(len(values)) + np.repeat(4 * first[:-1] - ends + sizes, sizes)] = extra
+    codes = codes.reshape(-1, 4)
+    control = codes[:, 0] | codes[:, 1] << 2 | codes[:, 2] << 4 | codes[:, 3] << 6
+    used = np.arange(values.itemsize) <= extra[:, None]
+    data = values.view(np.uint8).reshape(-1, values.itemsize)[used]
+    upto = np.concatenate([[0], np.cumsum(extra + np.int64(1))])[np.concatenate([[0], ends])]
+    return ([control[a:b].tobytes() for a, b in zip(first, first[1:])],
+            [data[a:b].tobytes() for a, b in zip(upto, upto[1:])])
+
+
+def unpack(control: np.ndarray, data: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The values of neighbouring documents: lengths by table lookup, bytes gathered by position."""
+    groups = -(-sizes // 4)
+    ends = np.cumsum(sizes)
+    place = np.arange(ends[-1] if len(ends) else 0) + np.repeat(
+        4 * (np.cumsum(groups) - groups) - ends + sizes, sizes)
+    size = LENGTHS[control].ravel()[place]
     begin = np.cumsum(size, dtype=np.int64) - size
-    raw = np.frombuffer(data + b"\0\0\0", np.uint8)
-    out = raw[begin].astype(np.uint32)
+    out = data[begin].astype(np.uint32)
     for k in range(1, int(size.max(initial=1))):
-        out |= np.where(size > k, raw[begin + k].astype(np.uint32) << np.uint32(8 * k), np.uint32(0))
+        at = np.flatnonzero(size > k)
+        out[at] |= data[begin[at] + k].astype(np.uint32) << np.uint32(8 * k)
     return out
 
 
@@ -223,17 +267,15 @@ def _pack_documents(rank: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         start = 0
         for batch in batches:
-            rows = []
-            for width, data in zip(batch.column("width").to_pylist(), batch.column("ids").to_pylist()):
-                values = rank[_plain(width, data)]
-                rows.append((start, len(values), *pack(values)))
-                start += len(values)
-            cols = list(zip(*rows)) or [[]] * 4
-            kinds = (pa.int64(), pa.int64(), pa.binary(), pa.binary())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("sig"), batch.column("file")]
-                + [pa.array(c, k) for c, k in zip(cols, kinds)],
-                names=["doc_id", "sig", "file", "start_in_file", "n_tokens", "control", "data"])
+            for at, to, ids, sizes in _together(batch):
+                control, data = pack(rank[ids], sizes)
+                before = start + np.cumsum(sizes) - sizes
+                start += int(sizes.sum())
+                part = batch.slice(at, to - at)
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("doc_id"), part.column("sig"), part.column("file"), pa.array(before, pa.int64()),
+                     pa.array(sizes, pa.int64()), pa.array(control, pa.binary()), pa.array(data, pa.binary())],
+                    names=["doc_id", "sig", "file", "start_in_file", "n_tokens", "control", "data"])
 
     return run
 
@@ -253,7 +295,7 @@ def write(docs: DataFrame, tokenizer: str, folder: str, id_col: str = "doc_id",
     spark = docs.sparkSession
     spark.createDataFrame([(k, i, n) for k, (i, n) in enumerate(table)], "rank int, id long, n long"
                           ).coalesce(1).write.parquet(f"{folder}/vocabulary")
-    rank = np.zeros(max((i for i, _ in table), default=0) + 1, np.int64)
+    rank = np.zeros(max((i for i, _ in table), default=0) + 1, np.uint32)
     rank[[i for i, _ in table]] = np.arange(len(table))
     ordered = ids.repartitionByRange("doc_id", "sig").sortWithinPartitions("doc_id", "sig")
     ordered.withColumn("file", F.spark_partition_id()).mapInArrow(
@@ -261,16 +303,24 @@ def write(docs: DataFrame, tokenizer: str, folder: str, id_col: str = "doc_id",
         "control binary, data binary").write.option("compression", "zstd").parquet(f"{folder}/documents")
 
 
+def _bytes(column: pa.BinaryArray) -> np.ndarray:
+    """The bytes of all rows, one after the other."""
+    offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset:column.offset + len(column) + 1]
+    return np.frombuffer(column.buffers()[2] or b"", np.uint8)[offsets[0]:offsets[-1]]
+
+
 def _read_documents(id_of: np.ndarray, names: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
                 part = batch.slice(at, 1000)
-                ids = [id_of[unpack(c, d, n)].astype("<u4").tobytes() for c, d, n in zip(
-                    part.column("control").to_pylist(), part.column("data").to_pylist(),
-                    part.column("n_tokens").to_pylist())]
-                more = {"ids_crc32": pa.array(map(zlib.crc32, ids), pa.int64()),
-                        "ids": pa.array(ids, pa.binary()) if "ids" in names else None}
+                sizes = part.column("n_tokens").to_numpy()
+                ids = id_of[unpack(_bytes(part.column("control")), _bytes(part.column("data")), sizes)]
+                raw = memoryview(ids.tobytes())
+                upto = 4 * np.concatenate([[0], np.cumsum(sizes)])
+                each = [raw[a:b] for a, b in zip(upto, upto[1:])]
+                more = {"ids_crc32": pa.array(map(zlib.crc32, each), pa.int64()),
+                        "ids": pa.array(each, pa.binary()) if "ids" in names else None}
                 yield pa.RecordBatch.from_arrays(
                     [more[c] if c in more else part.column(c) for c in names], names=names)
 
@@ -280,7 +330,7 @@ def _read_documents(id_of: np.ndarray, names: list[str]):
 def read(spark, folder: str, with_ids: bool = True) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 and, if asked for, ids (little-endian, four bytes each)."""
     rows = spark.read.parquet(f"{folder}/vocabulary").sort("rank").collect()  # bounded by the vocabulary
-    id_of = np.array([r.id for r in rows], np.int64)
+    id_of = np.array([r.id for r in rows], "<u4")
     files = spark.read.parquet(f"{folder}/documents")
     totals = files.groupBy("file").agg(F.sum("n_tokens").alias("n"))
     before = Window.partitionBy(F.lit(0)).orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
