@@ -1,7 +1,7 @@
 """Mixing sources to target weights by soft membership. DataFrame functions only.
 
 A multinomial logistic regression over hashed word frequencies, trained on a bounded sample of a
-labelled table (the SAMPLE labelled documents with the smallest hash of their id), gives every
+labelled table (about SAMPLE labelled documents, chosen by a hash of the id), gives every
 document a probability per domain. Document rates, one each to begin with and never negative, are then
 fitted by projected gradient so that the expected tokens of every domain, sum(rate * tokens *
 probability), match target weight times budget in the least-squares sense. The gradient of a document
@@ -12,7 +12,8 @@ over the stored probabilities, and a rate is the fold of all steps, cut off at z
 Defined cases: null texts count as empty, have no tokens and weigh nothing, their rate follows from
 their probabilities; labels that are null or of an unknown domain, or whose document is missing, are
 not learnt from; without any, all domains are equally likely; a domain that no label has gets no
-probability; targets that no rates reach are approached as far as rates go; repeated rows each count;
+probability; targets that no rates reach are approached for STEPS
+passes, each nearer; repeated rows each count;
 an empty table gives an empty result. `mix` keeps all columns of the table.
 """
 
@@ -26,11 +27,11 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from keepwell.llm.store import shared_folder, stored, text_of
+from keepwell.llm.store import in_sample, shared_folder, stored, text_of
 
-SAMPLE = 10_000  # labelled documents learnt from at most
+SAMPLE = 10_000  # labelled documents learnt from, about
 FEATURES, PASSES, PENALTY = 1 << 14, 40, 1e-2
-STEPS, TOLERANCE = 60, 1e-6
+STEPS, TOLERANCE = 60, 1e-6  # passes at most; largest miss of a share
 
 
 def _features(rows: DataFrame) -> DataFrame:
@@ -48,11 +49,12 @@ def classifier(docs: DataFrame, labelled: DataFrame, domains: list[str], id_col:
     known = labelled.select(F.col("doc_id").alias("_labelled"), order[F.col("domain")].alias("_label"))
     known = known.where("_labelled IS NOT NULL AND _label IS NOT NULL")
     ids = docs.select(F.col(id_col).alias("_there"))
-    known = known.join(ids, known["_labelled"] == ids["_there"], "left_semi")
-    chosen = known.orderBy(F.xxhash64("_labelled"), "_labelled", "_label").limit(sample)
+    known = known.distinct().join(ids, known["_labelled"] == ids["_there"], "left_semi")
+    chosen = known.where(in_sample(F.col("_labelled"), sample, known.count()))
     rows = docs.select(F.col(id_col).alias("_id"), text_of(text_col).alias("_text"))
-    rows = rows.join(F.broadcast(chosen), F.col("_id") == F.col("_labelled"))  # sample rows at most
-    rows = stored(rows.select("_id", "_text", "_label"), shared_folder(docs.sparkSession), "labelled")
+    rows = rows.join(F.broadcast(chosen), F.col("_id") == F.col("_labelled"))  # about sample rows
+    rows = rows.select("_id", "_text", "_label").dropDuplicates(["_id", "_label"])
+    rows = stored(rows, shared_folder(docs.sparkSession), "labelled")
     if rows.isEmpty():
         return None
     return LogisticRegression(featuresCol="_shares", labelCol="_label", family="multinomial", maxIter=PASSES,
@@ -98,21 +100,29 @@ def _state(rows: DataFrame, steps: list[list[float]], k: int, total: float):
     return np.array(got[:k]), gram
 
 
-def fit_rates(rows: DataFrame, goal: list[float]) -> tuple[list[list[float]], list[float]]:
-    """(steps, shares reached); rows: tokens, p; goal: expected tokens per domain over all tokens."""
+def fit_rates(rows: DataFrame, goal: list[float], passes: int = STEPS
+              ) -> tuple[list[list[float]], list[float]]:
+    """(steps, shares reached); rows: tokens, p; goal: expected tokens per domain over all tokens. Where
+    even a fifth of a scaled step brings the shares no nearer, a plain gradient step does."""
     total = rows.agg(F.sum("tokens")).first()[0]
     if not total:
         return [], [0.0] * len(goal)
-    want, steps, size = np.array(goal), [], 1.0
+    want, steps, size, plain = np.array(goal), [], 1.0, False
     shares, gram = _state(rows, steps, len(goal), total)
-    for _ in range(STEPS):
+    steepest = max(np.linalg.eigvalsh(gram).max(), 1e-300)  # every document has a rate to begin with
+    for _ in range(passes):
         short = shares - want
-        if np.abs(short).max() <= TOLERANCE or size < 1e-3:
+        if np.abs(short).max() <= TOLERANCE:
             break
-        step = (size * np.linalg.lstsq(gram, short, rcond=1e-12)[0]).tolist()
-        tried, next_gram = _state(rows, [*steps, step], len(goal), total)
-        if ((tried - want) ** 2).sum() < (short ** 2).sum():
-            steps, shares, gram, size = [*steps, step], tried, next_gram, min(1.0, 2 * size)
+        step = short / steepest if plain else size * np.linalg.lstsq(gram, short, rcond=1e-12)[0]
+        tried, next_gram = _state(rows, [*steps, step.tolist()], len(goal), total)
+        if ((tried - want) ** 2).sum() < (short ** 2).sum() * (1.0 if plain else 1 - 1e-4):
+            steps, shares, gram = [*steps, step.tolist()], tried, next_gram
+            size, plain = min(1.0, 2 * size), False
+        elif plain:
+            break
+        elif size < 0.2:
+            size, plain = 1.0, True
         else:
             size /= 2
     return steps, shares.tolist()

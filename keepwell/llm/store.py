@@ -47,3 +47,8 @@ def equal(left: DataFrame, right: DataFrame, *names: str) -> Column:
     for name in names:
         on = on & left[name].eqNullSafe(right[name])
     return on
+
+
+def in_sample(key: Column, size: int, rows: int) -> Column:
+    """Chooses about size of rows rows by the hash of key: the same ones in every run."""
+    return F.pmod(F.xxhash64(F.lit("sample"), key), F.lit(1 << 40)) < int(2 ** 40 * min(1.0, size / max(rows, 1)))
