@@ -28,11 +28,11 @@ from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
 from keepwell.llm.components import connected_components
-from keepwell.llm.store import shared_folder, stored, text_of
+from keepwell.llm.store import in_sample, shared_folder, stored, text_of
 
 SHINGLE, SEED, LINK = 4, 42, 4
-SHARD = 4096  # fingerprints at home in a shard, about
-SAMPLE = 32768  # fingerprints that the routing tree is built from
+SHARD = 1 << 15  # fingerprints at home in a shard, about
+SAMPLE = 1 << 16  # fingerprints that the routing tree is built from, about
 LEAF = 192  # below this a shard's own tree compares directly
 _STEP = 1 << 16  # shingles hashed at once
 
@@ -194,8 +194,8 @@ def links(points: DataFrame) -> DataFrame:
     """a, b: a spanning forest of the links between the distinct fingerprints of points (fp)."""
     n = points.count()
     depth = min(max(0, math.ceil(math.log2(max(n, 1) / SHARD))), int(math.log2(SAMPLE / 16)))
-    sample = points.orderBy(F.xxhash64("fp"), "fp").limit(SAMPLE).select("fp").toPandas()["fp"]
-    tree = build_tree(sample.to_numpy(np.int64).view(np.uint64), depth)
+    sample = points.where(in_sample(F.col("fp"), SAMPLE, n)).select("fp").toPandas()["fp"]
+    tree = build_tree(np.sort(sample.to_numpy(np.int64)).view(np.uint64), depth)
     dealt = points.select("fp").mapInArrow(_deal(tree), "shard string, fp long, home boolean")
     return dealt.groupBy("shard").applyInArrow(_shard_links, "a long, b long")
 
