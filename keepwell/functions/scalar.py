@@ -14,10 +14,15 @@ DELIMITER_PATTERN = r"\s*[;,|\n]\s*"
 DISCOUNT_PATTERN = r"(\d+(?:\.\d+)?)\s*%\s*(?:loyalty\s*)?(?:discount|off)"
 # Fixed value: characters that make a spreadsheet read a cell as a formula.
 FORMULA_PATTERN = r"^[=+\-@\t\r]"
-# Accepted spellings of dates besides ISO, with the shape of each.
-DATE_FORMATS = (("yyyy/MM/dd", r"^\d{4}/\d{2}/\d{2}$"), ("MM/dd/yyyy", r"^\d{2}/\d{2}/\d{4}$"),
-                ("dd MMM yyyy", r"^\d{2} [A-Za-z]{3} \d{4}$"))
-ISO_DATE = r"^\d{4}-\d{1,2}-\d{1,2}([ T].*)?$"
+# What a number looks like; month names by their first three letters.
+NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
+MONTHS = ("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec")
+_CLOCK = r"(?:[ T]+(\d{1,2}:\d{2}(?::\d{2}(?:\.\d{1,6})?)?(?: ?[zZ]|[+-]\d{2}:?\d{2})?))?$"
+#: Shapes of a date, each with the groups that hold year, month and day.
+DATE_SHAPES = ((r"^(\d{4})[-/.](\d{1,2})[-/.](\d{1,2})", (1, 2, 3)),
+               (r"^(\d{1,2})[-/.](\d{1,2})[-/.](\d{4})", (3, 1, 2)),
+               (r"^(\d{1,2})[ -]([A-Za-z]{3})[a-z]*\.?,?[ -](\d{4})", (3, 2, 1)),
+               (r"^([A-Za-z]{3})[a-z]*\.? (\d{1,2}),? (\d{4})", (3, 1, 2)))
 
 
 def col(c: str | Column) -> Column:
@@ -41,9 +46,10 @@ def squeeze(c: str | Column) -> Column:
 
 
 def to_number(c: str | Column) -> Column:
-    """Text to double: trimmed, thousands commas dropped, anything unreadable null (never NaN)."""
-    text = F.nullif(F.regexp_replace(F.trim(col(c)), ",", ""), F.lit(""))
-    return no_nan(text.try_cast("double"))
+    """Text to double: trimmed, thousands commas dropped, anything unreadable null (never NaN).
+    The engine's own cast would also read suffixes such as 1d."""
+    text = F.regexp_replace(F.trim(col(c).cast("string")), ",", "")
+    return no_nan(F.when(text.rlike(NUMBER), text.try_cast("double")))
 
 
 def no_nan(c: Column) -> Column:
@@ -51,12 +57,24 @@ def no_nan(c: Column) -> Column:
 
 
 def to_time(c: str | Column) -> Column:
-    """Lenient date parsing. The shape of the text picks the format, so a cell is parsed once and
-    never by trial and error."""
+    """Lenient date parsing: year first, month first (day first where the first number is no month)
+    or with the month's name, each with or without a time of day. The shape of the text says where
+    the parts are, so a cell is read once and never by trial and error."""
     text = F.trim(col(c).cast("string"))
-    out = F.when(text.rlike(ISO_DATE), text.try_cast("timestamp"))
-    for pattern, shape in DATE_FORMATS:
-        out = out.when(text.rlike(shape), F.try_to_timestamp(text, F.lit(pattern)))
+    names = F.create_map(*[F.lit(x) for k, m in enumerate(MONTHS) for x in (m, f"{k + 1}")])
+    out = None
+    for shape, (year, month, day) in DATE_SHAPES:
+        full = shape + _CLOCK
+        y, m, d = (F.regexp_extract(text, full, k) for k in (year, month, day))
+        if "A-Z" in shape:
+            m = F.coalesce(names[F.lower(m)], F.lit("0"))
+        elif year == 3:
+            turned = m.cast("int") > 12
+            m, d = F.when(turned, d).otherwise(m), F.when(turned, m).otherwise(d)
+        iso = F.concat(F.concat_ws("-", y, F.lpad(m, 2, "0"), F.lpad(d, 2, "0")),
+                       F.regexp_replace(F.concat(F.lit(" "), F.regexp_extract(text, full, 4)), r" $", ""))
+        when = F.when if out is None else out.when
+        out = when(text.rlike(full), iso.try_cast("timestamp"))
     return out
 
 

@@ -7,26 +7,23 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keepwell.functions.quantiles import quantiles
 from keepwell.functions.scalar import col
 from keepwell.operators.filters import Filter, FilterError, as_number, question_predicate
 
 # Filters per question, groups shown, page size.
-MAX_FILTERS = 3
-MAX_GROUPS = 50
 PAGE_SIZE = 50
 METRICS = ("count", "mean", "median", "sum", "churn_rate")
 
 
 def filter_and_aggregate(df: DataFrame, metric: str, *, filters: Sequence[Filter] = (),
                          column: str | None = None, group_by: str | None = None,
-                         target: str | None = None, ids: Sequence[str] = ()) -> DataFrame:
-    """group, n, value (and, per row, how many groups there are and whether the list is cut at 50,
-    in name order). Without a group: one row with a null group."""
+                         target: str | None = None, ids: Sequence[str] = (),
+                         most: int | None = None) -> DataFrame:
+    """group, n, value (and, per row, how many groups there are and whether the list is cut: it is only
+    where the caller asks for the first `most`, in name order). Without a group: one row with a null
+    group."""
     if metric not in METRICS:
         raise FilterError(f"Unknown metric '{metric}'.")
-    if len(filters) > MAX_FILTERS:
-        raise FilterError(f"At most {MAX_FILTERS} filters are allowed.")
     if metric in ("mean", "median", "sum") and not column:
         raise FilterError(f"Metric '{metric}' needs a numeric column.")
     used = [f.column for f in filters] + [c for c in (group_by, column) if c]
@@ -47,17 +44,15 @@ def filter_and_aggregate(df: DataFrame, metric: str, *, filters: Sequence[Filter
     made = {"count": F.count("*").cast("double"), "mean": F.avg("_v"), "sum": F.sum("_v"),
             "churn_rate": F.avg("_v"), "median": F.lit(None).cast("double")}[metric]
     g = rows.groupBy("group").agg(F.count("*").alias("n"), made.alias("value"))
-    shown = g.orderBy("group").limit(MAX_GROUPS)
+    shown = g if most is None else g.orderBy("group").limit(most)
     if metric == "median":
-        # At most fifty group names, so exact quantiles per group stay bounded.
-        names = [r["group"] for r in shown.select("group").collect()]
-        mine = rows if group_by is None else rows.where(F.col("group").isin(*names))
-        q = quantiles(mine.withColumn("_g", F.coalesce("group", F.lit(""))), ["_v"], [0.5], ["_g"])
-        q = F.broadcast(q.select("_g", F.col("q")[0].alias("_m")))
-        shown = (shown.join(q, F.coalesce(shown["group"], F.lit("")) == q["_g"], "left")
-                 .select("group", "n", F.col("_m").alias("value")))
-    total = F.broadcast(g.agg(F.count("*").alias("groups_total")))
-    return shown.crossJoin(total).withColumn("truncated", F.col("groups_total") > MAX_GROUPS)
+        middle = rows.where(F.col("_v").isNotNull()).groupBy("group").agg(F.median("_v").alias("_m"))
+        middle = middle.withColumnRenamed("group", "_g")
+        shown = shown.join(middle, shown["group"].eqNullSafe(middle["_g"]), "left").select(
+            "group", "n", F.col("_m").alias("value"))
+    total = F.broadcast(g.agg(F.count("*").alias("groups_total")))  # one row
+    cut = F.lit(False) if most is None else F.col("groups_total") > most
+    return shown.crossJoin(total).withColumn("truncated", cut)
 
 
 def customer_frame(clean: DataFrame, predictions: DataFrame, id_column: str) -> DataFrame:

@@ -13,8 +13,6 @@ from keepwell.operators.filters import Filter, segment_predicate
 
 # Balance threshold and levels, filter-builder levels, running statuses, plan hints.
 SMD_LIMIT = 0.1
-BALANCE_LEVELS = 20
-OPTION_LEVELS = 30
 ACTIVE = ("running", "results_uploaded")
 PLAN_HINTS = ("contract", "plan", "tier", "package", "subscription")
 
@@ -62,7 +60,7 @@ def balance_numeric(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def balance_categorical(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """One difference in proportions per level, for the twenty most common levels."""
+    """One difference in proportions per level."""
     long = tall(df, {c: col(c).cast("string") for c in columns}, ("covariate", "level"),
                 keep=["arm"]).where("level is not null")
     counts = long.groupBy("covariate", "level").agg(
@@ -70,13 +68,11 @@ def balance_categorical(df: DataFrame, columns: Sequence[str]) -> DataFrame:
         F.count_if(F.col("arm") == "control").alias("c"))
     totals = F.broadcast(counts.groupBy("covariate").agg(F.sum("t").alias("nt"),
                                                          F.sum("c").alias("nc")))
-    order = Window.partitionBy("covariate").orderBy(F.desc(F.col("t") + F.col("c")), "level")
-    top = counts.withColumn("_k", F.row_number().over(order)).where(F.col("_k") <= BALANCE_LEVELS)
     pt, pc = ratio(F.col("t"), F.col("nt")), ratio(F.col("c"), F.col("nc"))
     pooled = F.sqrt((pt * (1 - pt) + pc * (1 - pc)) / 2)
     both = (F.col("nt") > 0) & (F.col("nc") > 0)
     smd = F.when(both, F.when(pooled == 0, 0.0).otherwise((pt - pc) / pooled))
-    return _flagged(top.join(totals, "covariate").select(
+    return _flagged(counts.join(totals, "covariate").select(
         "covariate", "level", smd.alias("smd"), F.when(both, pt).alias("treatment_mean"),
         F.when(both, pc).alias("control_mean")))
 
@@ -116,9 +112,9 @@ def experiment_customers(clean: DataFrame, predictions: DataFrame, id_column: st
 def exclude_busy(df: DataFrame, assignments: DataFrame, experiments: DataFrame,
                  experiment_id: int) -> DataFrame:
     """Leave out customers in another running experiment that is no demonstration."""
-    live = F.broadcast(experiments.where(
-        F.col("status").isin(*ACTIVE) & ~F.col("demo") & (F.col("experiment_id") != experiment_id))
-        .select("experiment_id"))
+    live = experiments.where(
+        F.col("status").isin(*ACTIVE) & ~F.col("demo") & (F.col("experiment_id") != experiment_id)
+    ).select("experiment_id")
     busy = assignments.join(live, "experiment_id", "left_semi").select("customer_id")
     return df.join(busy, "customer_id", "left_anti")
 
@@ -161,8 +157,9 @@ def write_assignment(assigned: DataFrame, path: str) -> None:
     assigned.write.mode("append").partitionBy("experiment_id").parquet(path)
 
 
-def segment_options(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """What a filter builder can offer: a range per numeric column, common levels otherwise."""
+def segment_options(df: DataFrame, columns: Sequence[str], most: int | None = None) -> DataFrame:
+    """What a filter builder can offer: a range per numeric column, levels otherwise (all, or the
+    `most` common ones)."""
     numeric = [c for c in columns if df.schema[c].dataType.typeName()
                in ("byte", "short", "integer", "long", "float", "double", "decimal")]
     if numeric:
@@ -180,10 +177,10 @@ def segment_options(df: DataFrame, columns: Sequence[str]) -> DataFrame:
         counts = (tall(df, {c: col(c).cast("string") for c in words}, ("column", "level"))
                   .where("level is not null").groupBy("column", "level")
                   .agg(F.count("*").alias("n")))
-        order = Window.partitionBy("column").orderBy(F.desc("n"), "level")
-        top = counts.withColumn("_k", F.row_number().over(order)).where(
-            F.col("_k") <= OPTION_LEVELS)
-        out = out.unionByName(top.select(
+        if most is not None:
+            order = Window.partitionBy("column").orderBy(F.desc("n"), "level")
+            counts = counts.withColumn("_k", F.row_number().over(order)).where(F.col("_k") <= most)
+        out = out.unionByName(counts.select(
             "column", F.lit("categorical").alias("kind"), "level", "n",
             F.lit(None).cast("double").alias("min"), F.lit(None).cast("double").alias("max")))
     if numeric:

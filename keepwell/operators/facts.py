@@ -10,11 +10,8 @@ from pyspark.sql import functions as F
 
 from keepwell.functions.scalar import col
 
-# Tolerances, list lengths of the digest, the number pattern.
+# Tolerances, the number pattern.
 REL_TOL, ABS_TOL = 0.01, 0.005
-CATEGORY_COLUMNS, CATEGORY_LEVELS = 10, 3
-SIGNIFICANT_TESTS, WEAK_TESTS = 20, 5
-DRIVERS, IMPACT_ITEMS, OFFERS = 10, 12, 10
 NUMBER_PATTERN = (r"(?i)(?:<\s*|less than\s+)?(?<![A-Za-z0-9_.])[$₹£€]?"
                   r"(?:\d{1,3}(?:,\d{3})+(?:\.\d+)?|\d+(?:\.\d+)?(?:[eE][-+]?\d+)?)"
                   r"\s*(?:%|×|x\b)?(?![A-Za-z0-9])")
@@ -53,19 +50,22 @@ def health_facts(health: DataFrame) -> DataFrame:
         c: c for c in ("rows_after", "health_score", "duplicates_removed", "positive_rate")})
 
 
-def category_facts(rates: DataFrame, strength: DataFrame) -> DataFrame:
-    """Three highest-rate levels of the ten columns most associated with the outcome.
-    `strength`: variable, cramers_v."""
-    best = F.broadcast(strength.orderBy(F.desc("cramers_v"), "variable").limit(CATEGORY_COLUMNS)
-                       .select(F.col("variable").alias("feature")))
-    order = Window.partitionBy("feature").orderBy(F.desc("churn_rate"), F.desc("n"), "level")
-    top = (rates.join(best, "feature").withColumn("_k", F.row_number().over(order))
-           .where(F.col("_k") <= CATEGORY_LEVELS))
-    return to_facts(top, "churn_by_category", "categorical", F.concat_ws(".", "feature", "level"),
+def category_facts(rates: DataFrame) -> DataFrame:
+    """Rate and size of every level of every column."""
+    return to_facts(rates, "churn_by_category", "categorical", F.concat_ws(".", "feature", "level"),
                     {"churn_rate": "churn_rate", "n": "n"},
                     F.concat_ws(" = ", "feature", "level"))
 
 
+def digest(facts: DataFrame, per_section: int) -> DataFrame:
+    """A short list for a reader: of each section the facts of the largest values, as many as the
+    caller asks for, and how many the section has. Claims are never checked against it."""
+    order = Window.partitionBy("section").orderBy(F.desc(F.abs("value")), "key")
+    sizes = facts.groupBy("section").agg(F.count("*").alias("facts_total"))
+    top = facts.withColumn("_k", F.row_number().over(order)).where(F.col("_k") <= per_section)
+    return top.drop("_k").join(sizes, "section")
+
+
 def segment_facts(profile: DataFrame) -> DataFrame:
     s = F.col("segment").cast("string")
     return to_facts(profile, "segments", "segments", s,
@@ -74,12 +74,7 @@ def segment_facts(profile: DataFrame) -> DataFrame:
 
 
 def test_facts(tests: DataFrame) -> DataFrame:
-    """The significant tests with the smallest p and the strongest of the others."""
-    strong = tests.where("significant").orderBy("p_adjusted", F.desc(F.abs("effect")),
-                                                "variable").limit(SIGNIFICANT_TESTS)
-    weak = tests.where("not significant").orderBy(F.desc(F.abs("effect")),
-                                                  "variable").limit(WEAK_TESTS)
-    return to_facts(strong.unionByName(weak), "hypothesis_tests", "tests", F.col("variable"),
+    return to_facts(tests, "hypothesis_tests", "tests", F.col("variable"),
                     {"p_adjusted": "p_adjusted", "effect": "effect"})
 
 
@@ -90,8 +85,7 @@ def model_facts(evaluation: DataFrame, bands: DataFrame) -> DataFrame:
 
 
 def driver_facts(drivers: DataFrame) -> DataFrame:
-    top = drivers.orderBy("permutation_rank", "feature").limit(DRIVERS)
-    return to_facts(top, "drivers", "drivers", F.col("feature"), {
+    return to_facts(drivers, "drivers", "drivers", F.col("feature"), {
         c: c for c in ("permutation_rank", "mean_abs", "odds_ratio", "or_ci_lower", "or_ci_upper")})
 
 
@@ -105,23 +99,26 @@ def survival_facts(summary: DataFrame, logrank: DataFrame | None = None) -> Data
 
 
 def impact_facts(items: DataFrame) -> DataFrame:
-    """Numbers and savings of the groups with most churners (`items`: one row per group and
-    scenario)."""
-    best = F.broadcast(items.select("id", "churners").distinct().orderBy(F.desc("churners"), "id")
-                       .limit(IMPACT_ITEMS).select("id"))
-    kept = items.join(best, "id", "left_semi")
-    key = F.col("id")
-    base = to_facts(kept.dropDuplicates(["id"]), IMPACT_SECTION, "impact", key, {
-        c: c for c in ("customers", "churners", "churn_rate", "revenue_at_risk")},
-        F.col("label"), key)
-    saved = to_facts(kept, IMPACT_SECTION, "impact", F.concat_ws(".", "id", "scenario"), {
-        "churners_saved": "churners_saved", "revenue_saved": "revenue_saved"}, F.col("label"), key)
-    return base.unionByName(saved)
+    """Numbers and savings of every group (`items`: one row per group and scenario). One pass: the
+    numbers that scenarios share are the same in each of their rows and are kept once."""
+    plain = ("customers", "churners", "churn_rate", "revenue_at_risk")
+    wide = items.groupBy("id", "label", *plain).agg(F.collect_list(F.struct(
+        "scenario", "churners_saved", "revenue_saved")).alias("saved"))
+    own = F.array(*[F.struct(F.lit(c).alias("path"), col(c).cast("double").alias("v")) for c in plain])
+    saved = F.flatten(F.transform("saved", lambda x: F.array(*[F.struct(
+        F.concat_ws(".", x["scenario"], F.lit(c)).alias("path"), x[c].cast("double").alias("v"))
+        for c in ("churners_saved", "revenue_saved")])))
+    each = wide.select("id", "label", F.explode(F.concat(own, saved)).alias("f")).where("f.v IS NOT NULL")
+    last = F.element_at(F.split("f.path", r"\."), -1)
+    return each.select(
+        F.lit(IMPACT_SECTION).alias("section"),
+        F.concat_ws(".", F.lit("impact"), "id", "f.path").alias("key"),
+        significant_digits(F.col("f.v")).alias("value"), F.concat_ws(": ", "label", last).alias("label"),
+        F.col("id").alias("group_id"))
 
 
 def offer_facts(effectiveness: DataFrame) -> DataFrame:
-    top = effectiveness.orderBy("offer").limit(OFFERS)
-    return to_facts(top, "offers", "offers", F.col("offer"), {
+    return to_facts(effectiveness, "offers", "offers", F.col("offer"), {
         "shown": "shown", "acceptance_rate": "acceptance_rate",
         "acceptors.churn_rate": "acceptors_churn_rate",
         "decliners.churn_rate": "decliners_churn_rate"})

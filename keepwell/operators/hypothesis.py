@@ -20,10 +20,8 @@ from keepwell.functions.scalar import col, effect_band
 from keepwell.operators.clean import spread, tall
 from keepwell.operators.survival import association, level_counts
 
-# Limits of the test family.
+# Level of the family, least expected count of a cell.
 ALPHA = 0.05
-MAX_LEVELS = 20
-MAX_TESTS = 40
 MIN_EXPECTED = 5
 OTHER = "Other"
 MISSING = "Missing"
@@ -57,7 +55,7 @@ def cell_contributions(levels: DataFrame) -> DataFrame:
 def merge_rare_levels(table: dict[str, tuple[int, int]]
                       ) -> tuple[dict[str, tuple[int, int]], list[str]]:
     """Fold the smallest level into Other until all expected counts reach five or two levels are
-    left. Works on the counts of one column (at most 21 levels)."""
+    left. Works on the counts of one short table; `merged_levels` is the same for whole columns."""
     now, folded = dict(table), []
     while len(now) > 2:
         r, c = (sum(v[i] for v in now.values()) for i in (0, 1))
@@ -102,8 +100,7 @@ def skip_reasons(df: DataFrame, categorical: Sequence[str], numeric: Sequence[st
         k = F.coalesce("k", F.lit(0))
         parts.append(names.join(levels, "variable", "left").select(
             "variable", F.lit("categorical").alias("kind"),
-            F.when(k < 2, "constant column")
-            .when(k > MAX_LEVELS, f"more than {MAX_LEVELS} levels").alias("reason")))
+            F.when(k < 2, "constant column").alias("reason")))
     if numeric:
         aggs, outs = [], {}
         for i, c in enumerate(numeric):
@@ -250,17 +247,54 @@ def mann_whitney_p(u: float, n1: int, n0: int, z: float | None, ties: bool) -> f
     return 1.0 if z is None else min(1.0, 2 * dist.normal_sf(z))
 
 
+def merged_levels(levels: DataFrame) -> DataFrame:
+    """variable, level, retained, churned, folded after rare levels went into Other, for columns with
+    any number of levels: all that are too small fold, and the next larger one too where they would
+    not be enough together; the largest always stays."""
+    size = F.col("retained") + F.col("churned")
+    totals = levels.groupBy("variable").agg(F.sum("retained").alias("_r"), F.sum("churned").alias("_c"))
+    least = MIN_EXPECTED * (F.col("_r") + F.col("_c")) / F.least("_r", "_c")
+    sized = levels.join(totals, "variable").withColumns({
+        "_other": F.col("level") == OTHER, "_small": F.coalesce(size < least, F.lit(True)),
+        "_place": F.struct(size.alias("n"), F.col("level"))})
+    plain, small = ~F.col("_other"), F.col("_small")
+    sums = sized.groupBy("variable").agg(
+        F.sum(F.when(F.col("_other") | small, size)).alias("_folded"),
+        F.bool_or(small).alias("_any"), F.count_if(plain & ~small).alias("_large"),
+        F.min(F.when(plain & ~small, F.col("_place"))).alias("_next"),
+        F.max(F.when(plain, F.col("_place"))).alias("_top"), F.first(least).alias("_least"))
+    short = F.col("_any") & (F.col("_folded") < F.col("_least")) & (F.col("_large") > 1)
+    goes = plain & F.coalesce((small | (short & (F.col("_place") == F.col("_next"))))
+                              & (F.col("_place") != F.col("_top")), F.lit(False))
+    out = sized.join(sums, "variable").withColumn("_goes", goes)
+    counts = levels.groupBy("variable").agg(F.count("*").alias("_k"))
+    out = out.join(counts, "variable").withColumn("_goes", F.col("_goes") & (F.col("_k") > 2))
+    name = F.when(F.col("_goes"), OTHER).otherwise(F.col("level"))
+    return out.groupBy("variable", name.alias("level")).agg(
+        F.sum("retained").alias("retained"), F.sum("churned").alias("churned"),
+        F.count_if("_goes").alias("folded"))
+
+
 def categorical_tests(df: DataFrame, columns: Sequence[str], y: str) -> DataFrame:
-    """Chi-square or Fisher per column; only the counts (at most 21 levels each) reach the
-    driver."""
-    levels = contingency_table(df, columns, y)
-    few = levels.groupBy("variable").agg(F.count("*").alias("_k")).where(
-        F.col("_k").between(2, MAX_LEVELS + 1)).select("variable")
-    tables: dict[str, dict[str, tuple[int, int]]] = {}
-    for r in levels.join(F.broadcast(few), "variable", "left_semi").collect():
-        tables.setdefault(r["variable"], {})[r["level"]] = (r["retained"], r["churned"])
-    rows = [chi_square_row(c, "categorical", tables[c]) for c in columns if c in tables]
-    return df.sparkSession.createDataFrame(rows, TEST_SCHEMA)
+    """Chi-square or Fisher per column with at least two levels. The sums are one distributed
+    aggregate; the driver sees one row per column."""
+    merged = merged_levels(contingency_table(df, columns, y))
+    found = association(merged)
+    cells = F.sort_array(F.collect_list(F.when(F.col("_k") == 2, F.struct("level", "retained", "churned"))))
+    both = merged.join(found.select("variable", F.col("levels").alias("_k")), "variable")
+    pairs = both.groupBy("variable").agg(F.sum("folded").alias("folded"), cells.alias("cells"))
+    rows = {}
+    for r in found.join(pairs, "variable").where("levels >= 2").collect():
+        note = f"{r['folded']} levels merged into {OTHER}" if r["folded"] else None
+        if r["levels"] == 2 and r["min_expected"] < MIN_EXPECTED:
+            (_, a, b), (_, c, d) = r["cells"]
+            odds, p = dist.fisher_2x2(a, b, c, d)
+            row = ("Fisher's exact test", odds, None, p)
+        else:
+            chi2 = r["chi2"] or 0.0
+            row = ("Chi-square test of independence", chi2, float(r["df"]), dist.chi2_sf(chi2, r["df"]))
+        rows[r["variable"]] = (r["variable"], "categorical", *row, "cramers_v", r["cramers_v"], r["n"], note)
+    return df.sparkSession.createDataFrame([rows[c] for c in columns if c in rows], TEST_SCHEMA)
 
 
 def numeric_tests(df: DataFrame, columns: Sequence[str], y: str, *, large: bool | None = None,
@@ -330,24 +364,24 @@ _EFFECT_TITLES = {"cramers_v": "Cramér's V", "cohens_d": "Cohen's d",
                   "rank_biserial": "rank-biserial r"}
 
 
-def conclusion(variable: str, p_adjusted: float, effect_name: str, effect: float, band: str,
-               alpha: float = ALPHA) -> str:
-    size = f"{band} effect ({_EFFECT_TITLES[effect_name]} = {effect:.4g})"
-    if p_adjusted < alpha:
-        return (f"Significant at alpha = {alpha} (adjusted p = {p_adjusted:.4g}) with a {size}: "
-                f"{variable} is associated with churn.")
-    return (f"Not significant at alpha = {alpha} (adjusted p = {p_adjusted:.4g}); {size}. "
-            f"No evidence that {variable} is associated with churn.")
+def with_conclusion(tests: DataFrame, alpha: float = ALPHA) -> DataFrame:
+    """Adds a reading of each result in words."""
+    titles = F.create_map(*[F.lit(x) for pair in _EFFECT_TITLES.items() for x in pair])
+    found = F.format_string("adjusted p %.4g, level %s; %s %.4g, a %s effect", F.col("p_adjusted"),
+                            F.lit(str(alpha)), titles[F.col("effect_name")], F.col("effect"), F.col("band"))
+    verdict = F.when(F.col("significant"), "churn differs by ").otherwise("no difference shown by ")
+    return tests.withColumn("conclusion", F.when(F.col("p_adjusted").isNotNull(), F.concat(
+        verdict, F.col("variable"), F.lit(" ("), found, F.lit(")"))))
 
 
 def run_tests(df: DataFrame, categorical: Sequence[str], numeric: Sequence[str], y: str, *,
               extra: DataFrame | None = None, alpha: float = ALPHA) -> DataFrame:
-    """The full family (at most 40 column tests, plus offer tests given as `extra`), corrected
-    together and ranked."""
+    """The full family (every usable column, plus offer tests given as `extra`), corrected together
+    and ranked."""
     spark: SparkSession = df.sparkSession
     usable = {r["variable"] for r in
               skip_reasons(df, categorical, numeric, y).where("reason is null").collect()}
-    order = [c for c in [*categorical, *numeric] if c in usable][:MAX_TESTS]
+    order = [c for c in [*categorical, *numeric] if c in usable]
     cats, nums = [c for c in categorical if c in order], [c for c in numeric if c in order]
     steps = []
     if cats:

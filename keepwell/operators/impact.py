@@ -14,7 +14,6 @@ from keepwell.operators.clean import tall
 SCENARIOS = (("reduce_10pct", 0.10), ("reduce_25pct", 0.25))
 MIN_GROUP = 30
 MIN_LIFT = 1.1
-MAX_ITEMS = 40
 OTHER = "Other"
 
 
@@ -85,8 +84,11 @@ def overall_impact(df: DataFrame, y: str, revenue: str | None = None) -> DataFra
     return _finish(g, df, y, revenue is not None)
 
 
-def impact_top(items: DataFrame, overall: DataFrame, limit: int = MAX_ITEMS) -> DataFrame:
-    """The items with most churners (each with its scenarios) and the overall row."""
+def impact_top(items: DataFrame, overall: DataFrame, limit: int | None = None
+               ) -> DataFrame:
+    """The items (all, or the `limit` with most churners; each with its scenarios) and the overall row."""
+    if limit is None:
+        return items.unionByName(overall)
     best = (items.select("id", "churners").distinct().orderBy(F.desc("churners"), "id")
             .limit(limit).select("id"))
     return items.join(F.broadcast(best), "id", "left_semi").unionByName(overall)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 import numpy as np
@@ -142,22 +143,22 @@ def by_level(df: DataFrame, columns: Sequence[str], time: str, event: str) -> Da
                 keep=[time, event]).where("level is not null")
     big = (long.groupBy("variable", "level").agg(F.count("*").alias("_n"))
            .where(F.col("_n") >= MIN_GROUP).select("variable", "level"))
-    return long.join(F.broadcast(big), ["variable", "level"], "left_semi")
+    return long.join(big, ["variable", "level"], "left_semi")
 
 
 def logrank_sums(df: DataFrame, columns: Sequence[str], time: str, event: str, *,
                  large: bool | None = None) -> DataFrame:
     """Observed and expected events and covariance sums per column; groups are numbered by level
-    so each time is one row with one entry per group. Columns with more than six levels are left
-    out, as grouping columns never have more."""
+    so each time is one row with one entry per group. The entries grow with the levels of the widest
+    column given, and the sums with their square."""
     long = by_level(df, columns, time, event)
     names = long.select("variable", "level").distinct().withColumn(
         "_g", F.row_number().over(Window.partitionBy("variable").orderBy("level")) - 1)
     levels = names.groupBy("variable").agg(F.array_sort(F.collect_list(
-        F.struct("_g", "level"))).alias("_l")).where(F.size("_l") <= MAX_LEVELS)
-    names = names.join(F.broadcast(levels.select("variable")), "variable", "left_semi")
-    marked = long.join(F.broadcast(names), ["variable", "level"])
-    ks = range(MAX_LEVELS)
+        F.struct("_g", "level"))).alias("_l"))
+    marked = long.join(names, ["variable", "level"])
+    ks = range(max((r[0] for r in names.groupBy("variable").count().agg(F.max("count")).collect()
+                    if r[0]), default=1))
     per_time = marked.groupBy("variable", col(time).alias("t")).agg(
         *[F.sum(F.when(F.col("_g") == g, col(event)).otherwise(0)).alias(f"d{g}") for g in ks],
         *[F.count_if(F.col("_g") == g).alias(f"c{g}") for g in ks])
@@ -187,7 +188,7 @@ def logrank_table(sums: DataFrame) -> DataFrame:
     rows = F.array(*[F.struct(F.lit(g).alias("g"), F.col(f"o{g}").alias("observed"),
                               F.col(f"e{g}").alias("expected"),
                               F.col(f"v{g}_{g}").alias("variance"))
-                     for g in range(MAX_LEVELS)])
+                     for g in range(len([c for c in sums.columns if re.fullmatch(r"o\d+", c)]))])
     return (sums.select("variable", "levels", F.explode(rows).alias("r"))
             .where(F.col("r.g") < F.size("levels"))
             .select("variable", F.element_at("levels", F.col("r.g") + 1).alias("level"),

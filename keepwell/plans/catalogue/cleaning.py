@@ -150,7 +150,8 @@ QUERIES = {
                                            for x in ("balance", "segment")))),
     "coerce_datetime": (
         lambda s, d: v.dirty(s, d).select("row_id", to_time("last_order").alias("last_order")),
-        oracle("dirty", "SELECT row_id, TRY_CAST(last_order AS TIMESTAMP) AS last_order FROM dirty")),
+        oracle("dirty", """SELECT row_id, coalesce(try_strptime(last_order, '%Y-%m-%d'), try_strptime(last_order, '%m/%d/%Y'),
+    try_strptime(last_order, '%d %b %Y'), try_strptime(last_order, '%b %d, %Y')) AS last_order FROM dirty""")),
     "normalise_text": (
         lambda s, d: v.dirty(s, d).select("row_id", squeeze("segment").alias("segment")),
         oracle("dirty", f"SELECT row_id, {_SQUEEZE} AS segment FROM dirty")),

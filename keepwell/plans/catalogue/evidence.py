@@ -9,7 +9,6 @@ from keepwell.operators import describe as e
 from keepwell.operators import facts as k
 from keepwell.operators import features as l
 from keepwell.operators import impact as t
-from keepwell.operators import survival as sv
 from keepwell.operators import telemetry as tel
 from keepwell.plans import views as v
 from keepwell.plans.catalogue.description import base, rounded, with_wealth
@@ -23,29 +22,27 @@ WORDS = ["region", "segment", "wealth"]
 def facts(s, d):
     """Category and impact facts of the planted base."""
     df = with_wealth(s, d)
-    strength = sv.association(sv.level_counts(df, WORDS, "churned"))
     rates = e.category_rates(df, WORDS, "churned")
     items = t.impact_by_level(df, [*WORDS, "nation"], "churned", "avg_order")
-    return k.facts_table([k.category_facts(rates, strength), k.impact_facts(items)])
+    return k.facts_table([k.category_facts(rates), k.impact_facts(items)])
 
 
 _SIG = "CASE WHEN x = 0 THEN 0 ELSE round_even(x * power(10.0::DOUBLE, 3 - floor(log10(abs(x)))), 0) / power(10.0::DOUBLE, 3 - floor(log10(abs(x)))) END"
 _FACTS = f"""lr AS (SELECT feature, level, count(*) AS n, avg(churned) AS r FROM (SELECT region, segment, CASE WHEN balance
     >= 5000 THEN 'rich' ELSE 'other' END AS wealth, churned FROM planted) UNPIVOT (level FOR feature IN (region, segment, wealth))
     GROUP BY 1, 2),
-  tl AS (SELECT *, row_number() OVER (PARTITION BY feature ORDER BY r DESC, n DESC, level) AS k FROM lr),
   {_LEVEL_ITEMS},
-  ti AS (SELECT * FROM items WHERE id IN (SELECT id FROM (SELECT DISTINCT id, churners FROM items ORDER BY churners DESC, id LIMIT 12))),
+  ti AS MATERIALIZED (SELECT * FROM items),
   rw AS (
-   SELECT 'churn_by_category' AS section, 'categorical.' || feature || '.' || level || '.churn_rate' AS key, r AS x, NULL AS g FROM tl WHERE k <= 3
-   UNION ALL SELECT 'churn_by_category', 'categorical.' || feature || '.' || level || '.n', n, NULL FROM tl WHERE k <= 3
+   SELECT 'churn_by_category' AS section, 'categorical.' || feature || '.' || level || '.churn_rate' AS key, r AS x, NULL AS g FROM lr
+   UNION ALL SELECT 'churn_by_category', 'categorical.' || feature || '.' || level || '.n', n, NULL FROM lr
    UNION ALL SELECT DISTINCT 'impact', 'impact.' || id || '.customers', customers, id FROM ti
    UNION ALL SELECT DISTINCT 'impact', 'impact.' || id || '.churners', churners, id FROM ti
    UNION ALL SELECT DISTINCT 'impact', 'impact.' || id || '.churn_rate', churn_rate, id FROM ti
    UNION ALL SELECT DISTINCT 'impact', 'impact.' || id || '.revenue_at_risk', revenue_at_risk, id FROM ti
    UNION ALL SELECT 'impact', 'impact.' || id || '.' || scenario || '.churners_saved', churners_saved, id FROM ti
    UNION ALL SELECT 'impact', 'impact.' || id || '.' || scenario || '.revenue_saved', revenue_saved, id FROM ti),
-  facts AS (SELECT section, key, {_SIG} AS value, g AS group_id FROM rw)"""
+  facts AS MATERIALIZED (SELECT section, key, {_SIG} AS value, g AS group_id FROM rw)"""
 
 
 def claims(s, d):
@@ -58,7 +55,7 @@ def claims(s, d):
         .when(kind == 2, F.col("value") * 1.5 + 1).otherwise(F.col("value")).alias("claimed"))
 
 
-_CLAIMS = """cl AS (SELECT section AS item, CASE WHEN length(key) % 5 = 4 THEN key || '.x' ELSE key END AS key,
+_CLAIMS = """cl AS MATERIALIZED (SELECT section AS item, CASE WHEN length(key) % 5 = 4 THEN key || '.x' ELSE key END AS key,
     CASE length(key) % 5 WHEN 0 THEN value * 100 WHEN 1 THEN value * 1.005 WHEN 2 THEN value * 1.5 + 1 ELSE value END AS claimed
     FROM facts),
   ck AS (SELECT cl.item, cl.key, claimed, value AS actual, CASE WHEN value IS NULL THEN 'no such fact'

@@ -1,26 +1,8 @@
-"""The derived input tables themselves."""
+"""The sample table of customers."""
 
 from keepwell.plans import views as v
 from keepwell.plans.views import oracle
 
 QUERIES = {
     "view_customers": (lambda s, d: v.customers(s, d), oracle("customers", "SELECT * FROM customers")),
-    "view_customers_planted": (lambda s, d: v.planted(s, d), oracle("planted", "SELECT * FROM planted")),
-    "view_customers_dirty": (lambda s, d: v.dirty(s, d), oracle("dirty", "SELECT * FROM dirty")),
-    "view_offer_history": (lambda s, d: v.offer_history(s, d),
-                           oracle("offer_history", "SELECT * FROM offer_history")),
-    "view_predictions": (lambda s, d: v.predictions(s, d),
-                         oracle("predictions", "SELECT * FROM predictions")),
-    "view_scored": (lambda s, d: v.scored(s, d), oracle("scored", "SELECT * FROM scored")),
-    "view_assignment": (lambda s, d: v.assignment(s, d).drop("segments"),
-                        oracle("assignment", "SELECT * EXCLUDE (segments) FROM assignment")),
-    "view_outcomes": (lambda s, d: v.outcomes(s, d).drop("segments"),
-                      oracle("outcomes", "SELECT * EXCLUDE (segments) FROM outcomes")),
-    "view_outcomes_broken": (
-        lambda s, d: v.outcomes(s, d, broken=True).drop("segments"),
-        oracle("outcomes_broken", "SELECT * EXCLUDE (segments) FROM outcomes_broken")),
-    "view_usage_monthly": (lambda s, d: v.usage_monthly(s, d),
-                           oracle("usage_monthly", "SELECT * FROM usage_monthly")),
-    "view_intervals": (lambda s, d: v.intervals(s, d),
-                       oracle("intervals", "SELECT * FROM intervals")),
 }

@@ -91,12 +91,15 @@ def dirty(spark: SparkSession, sf_dir: str) -> DataFrame:
     cid = F.col("customer_id")
     seg = (F.when(cid % 43 == 0, "  ").when(cid % 41 == 0, F.concat(F.lit(" "), "segment", F.lit("  ")))
            .when(cid % 37 == 0, F.lower("segment")).otherwise(F.col("segment")))
-    bal = F.when(cid % 47 == 0, " ").otherwise(F.format_number("balance", 2))
+    bal = F.when(cid % 47 == 0, " ").when(cid % 53 == 0, "1d").otherwise(F.format_number("balance", 2))
+    last = F.to_date(F.lit(SNAPSHOT)) - F.col("recency").cast("int")
+    shape = F.when(cid % 59 == 0, F.date_format(last, "M/d/yyyy")).when(
+        cid % 61 == 0, F.date_format(last, "d MMM yyyy")).when(
+        cid % 67 == 0, F.date_format(last, "MMM d, yyyy")).otherwise(F.date_format(last, "yyyy-MM-dd"))
     copies = F.when(cid % 50 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
     return base.select(
         F.explode(copies).alias("copy"), cid, seg.alias("segment"), bal.alias("balance"),
-        F.col("region"), F.date_format(F.to_date(F.lit(SNAPSHOT)) - F.col("recency").cast("int"),
-                                       "yyyy-MM-dd").alias("last_order"),
+        F.col("region"), shape.alias("last_order"),
         F.when(F.col("churned") == 1, "Yes").otherwise("No").alias("Churn")).select(
         (cid * 2 + F.col("copy")).alias("row_id"), cid.cast("string").alias("customer_id"),
         "segment", "balance", "region", "last_order", "Churn")
@@ -201,8 +204,11 @@ CTES: dict[str, tuple[tuple[str, ...], str]] = {
          CASE WHEN customer_id % 43 = 0 THEN '  '
               WHEN customer_id % 41 = 0 THEN ' ' || segment || '  '
               WHEN customer_id % 37 = 0 THEN lower(segment) ELSE segment END AS segment,
-         CASE WHEN customer_id % 47 = 0 THEN ' ' ELSE format('{:,.2f}', balance) END AS balance,
-         region, strftime(DATE '2001-02-01' - recency::INTEGER, '%Y-%m-%d') AS last_order,
+         CASE WHEN customer_id % 47 = 0 THEN ' ' WHEN customer_id % 53 = 0 THEN '1d'
+              ELSE format('{:,.2f}', balance) END AS balance,
+         region, strftime(DATE '2001-02-01' - recency::INTEGER, CASE WHEN customer_id % 59 = 0 THEN '%-m/%-d/%Y'
+              WHEN customer_id % 61 = 0 THEN '%-d %b %Y' WHEN customer_id % 67 = 0 THEN '%b %-d, %Y' ELSE '%Y-%m-%d' END)
+           AS last_order,
          CASE WHEN churned = 1 THEN 'Yes' ELSE 'No' END AS "Churn"
   FROM customers JOIN (VALUES (0), (1)) v(copy) ON copy = 0 OR customer_id % 50 = 0"""),
     "offer_history": ((), """
@@ -277,7 +283,7 @@ def oracle(views: str, body: str) -> str:
         body, lead = body[5:], ", "
     else:
         lead = " "
-    heads = ",\n".join(f"{n} AS ({CTES[n][1]})" for n in order)
+    heads = ",\n".join(f"{n} AS MATERIALIZED ({CTES[n][1]})" for n in order)
     if not heads:
         return _expand_units(("WITH " if lead == ", " else "") + body)
     return _expand_units(f"WITH {heads}{lead if lead == ', ' else chr(10)}{body}")
