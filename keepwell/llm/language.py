@@ -4,7 +4,8 @@ Lower-cased text is read as UTF-8 in windows of WINDOW bytes. Filters of several
 bytes (a filter is one weight per byte value and place), each keeps its largest response in the
 window, and a softmax over those gives the language. A document's probabilities are the means over
 all of its windows, weighted by their bytes. The network learns from a bounded sample of the labelled
-rows: the SAMPLE rows with the smallest hash of id and text, two pieces of a text each.
+rows: about SAMPLE of them, chosen by a hash of id and text,
+repeated rows once, two pieces of a text each.
 
 Defined cases: null texts and texts without a letter are "und" with score 0; without labelled rows
 every text is; repeated rows each get their prediction; rows with a null id are never learnt from; an
@@ -21,12 +22,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from keepwell.llm.store import text_of
+from keepwell.llm.store import in_sample, text_of
 
 UNKNOWN = "und"
 WINDOW = 256
 WIDTHS, FILTERS = (2, 3, 4), 16
-SAMPLE = 6000  # labelled rows learnt from at most
+SAMPLE = 6000  # labelled rows learnt from, about
 EPOCHS, BATCH, RATE, SEED = 6, 64, 0.02, 11
 _TOGETHER = 64  # windows convolved at once
 
@@ -130,12 +131,13 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label
     """Learns from labelled rows that are not held out; None if there are none."""
     text = F.col(text_col)
     room = F.greatest(F.length(text) - WINDOW, F.lit(1))
-    pieces = docs.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col)
-                        & text.rlike(r"\p{L}")).select(
+    labelled = docs.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col))
+    chosen = labelled.where(in_sample(F.xxhash64(id_col, text), sample, labelled.count()) & text.rlike(r"\p{L}"))
+    rows = chosen.select(
         F.xxhash64(F.col(id_col).cast("string"), text).alias("h"), F.col(label_col).alias("label"),
         F.substring(text, 1, WINDOW).alias("head"),
-        F.substring(text, (F.pmod(F.xxhash64(text), room) + 1).cast("int"), F.lit(WINDOW)).alias("mid"))
-    rows = pieces.orderBy("h", "label").limit(sample).collect()
+        F.substring(text, (F.pmod(F.xxhash64(text), room) + 1).cast("int"), F.lit(WINDOW)).alias("mid")
+    ).distinct().sort("h", "label").collect()  # about sample rows, repeated ones once
     if not rows:
         return None
     return fit([r.head for r in rows] + [r.mid for r in rows], [r.label for r in rows] * 2)
