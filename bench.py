@@ -71,8 +71,7 @@ def stages(spark, folder):
             list(pool.map(lambda step: run(step()), steps))
 
     def segmentation():
-        run(segment.segment(stored("base"), NUM, "customer_id", "tenure", starts=1,
-                            max_iter=10).frame)
+        run(segment.segment(stored("base"), NUM, "customer_id", "tenure").frame)
 
     def surviving():
         df = survival.durations(stored("base"), "tenure")

@@ -1,10 +1,9 @@
 """Order-dependent computations that never sort a whole column in one task.
 
-Each helper has two plans. An input small enough to be one scan task uses one plain window. A
-larger one is cut into value ranges: edges come from one approximate-quantile pass and enter the
-plan as literals, so a recomputed task always sees the same edges. Rows are ordered inside
-(key, range); the few totals per range are carried forward and joined back. Edges affect only
-the size of the pieces, never the result.
+Rows are cut into value ranges, as many as the session has shuffle partitions: edges come from one
+approximate-quantile pass and enter the plan as literals, so a recomputed task always sees the same
+edges. Rows are ordered inside (key, range); the few totals per range are carried forward and joined
+back. Edges affect only the size of the pieces, never the result.
 """
 
 from __future__ import annotations
@@ -15,24 +14,29 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from keepwell.functions.scalar import col
-from keepwell.functions.size import fits_one_task
 
-RANGES = 256
+LEAST_RANGES = 8
 _BUCKET = "_range"
 
 
 def _sortable(df: DataFrame, name: str) -> Column:
-    """A double that orders like the column (dates and timestamps by their microseconds)."""
+    """A double that orders like the column (dates and timestamps by their microseconds, texts by
+    their first six bytes)."""
     kind = df.schema[name].dataType.typeName()
+    if kind == "string":
+        head = F.substring(F.encode(col(name), "UTF-8"), 1, 6)
+        return F.conv(F.rpad(F.hex(head), 12, "0"), 16, 10).cast("double")
     if kind in ("timestamp", "timestamp_ntz", "date"):
         return F.unix_micros(col(name).cast("timestamp")).cast("double")
     return col(name).cast("double")
 
 
 def with_range(df: DataFrame, keys: Sequence[str], order: Sequence[str], *, per_key: bool,
-               ranges: int = RANGES) -> DataFrame:
+               ranges: int | None = None) -> DataFrame:
     """Add the range number. Every edge value gets a range of its own, so one very frequent
     value cannot swell its neighbours; such a range is cut again by the tie-breaking column."""
+    if ranges is None:
+        ranges = max(LEAST_RANGES, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     probs = F.array(*[F.lit((i + 1) / (ranges + 1)) for i in range(ranges)])
 
     def edges_of(frame: DataFrame, name: str, by: Sequence[str]) -> DataFrame:
@@ -67,17 +71,12 @@ def with_range(df: DataFrame, keys: Sequence[str], order: Sequence[str], *, per_
 
 
 def running_sums(df: DataFrame, keys: Sequence[str], order: str, sums: dict[str, str], *,
-                 descending: bool = False, large: bool | None = None,
-                 per_key: bool = True) -> DataFrame:
+                 descending: bool = False, per_key: bool = True) -> DataFrame:
     """Inclusive running totals {new column: summed column} per key in value order. The order
     values must be distinct within a key (aggregate to distinct values first)."""
     def ordering(name: str) -> Column:
         return col(name).desc() if descending else col(name).asc()
 
-    if not (not fits_one_task(df) if large is None else large):
-        w = (Window.partitionBy(*map(col, keys)).orderBy(ordering(order))
-             .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-        return df.select("*", *[F.sum(col(c)).over(w).alias(new) for new, c in sums.items()])
     cut = with_range(df, keys, [order], per_key=per_key)
     parts = [*keys, _BUCKET]
     inner = (Window.partitionBy(*map(col, parts)).orderBy(ordering(order))
@@ -96,13 +95,10 @@ def running_sums(df: DataFrame, keys: Sequence[str], order: str, sums: dict[str,
 
 
 def previous_values(df: DataFrame, keys: Sequence[str], order: Sequence[str],
-                    values: dict[str, str], *, large: bool | None = None) -> DataFrame:
+                    values: dict[str, str]) -> DataFrame:
     """Values of the preceding row of the same key {new column: source column}. A hot key is
     cut into ranges; each range takes its first predecessor from the last row before it."""
     by = [col(o).asc() for o in order]
-    if not (not fits_one_task(df) if large is None else large):
-        w = Window.partitionBy(*map(col, keys)).orderBy(*by)
-        return df.select("*", *[F.lag(col(c)).over(w).alias(new) for new, c in values.items()])
     cut = with_range(df, keys, order, per_key=False)
     parts = [*keys, _BUCKET]
     inner = Window.partitionBy(*map(col, parts)).orderBy(*by)
@@ -120,13 +116,9 @@ def previous_values(df: DataFrame, keys: Sequence[str], order: Sequence[str],
 
 
 def greatest_before(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str,
-                    new: str, *, large: bool | None = None) -> DataFrame:
+                    new: str) -> DataFrame:
     """Largest value among the rows before the current one (running maximum, exclusive)."""
     by = [col(o).asc() for o in order]
-    if not (not fits_one_task(df) if large is None else large):
-        w = (Window.partitionBy(*map(col, keys)).orderBy(*by)
-             .rowsBetween(Window.unboundedPreceding, -1))
-        return df.select("*", F.max(col(value)).over(w).alias(new))
     cut = with_range(df, keys, order, per_key=False)
     parts = [*keys, _BUCKET]
     inner = (Window.partitionBy(*map(col, parts)).orderBy(*by)
@@ -149,10 +141,10 @@ def value_counts(df: DataFrame, keys: Sequence[str], value: str,
 
 
 def numbered(df: DataFrame, keys: Sequence[str], order: str, new: str, *,
-             large: bool | None = None, descending: bool = False) -> DataFrame:
+             descending: bool = False) -> DataFrame:
     """Row number in order of a column whose values are distinct within a key."""
     one = running_sums(df.withColumn("_one", F.lit(1).cast("long")), keys, order, {new: "_one"},
-                       large=large, descending=descending)
+                       descending=descending)
     return one.drop("_one")
 
 

@@ -1,9 +1,9 @@
 """Exact quantiles (linear interpolation) without holding a column in one task.
 
-A small input uses the built-in exact `percentile`. A large one is bracketed first: one sketch
-pass gives a narrow value interval around every wanted rank; a second pass counts what lies below
-and keeps only the counts inside the interval, from which the two neighbouring order statistics
-are read. A bracket that misses its rank is widened, so results are always exact.
+The column is bracketed first: one sketch pass gives a narrow value interval around every wanted
+rank; a second pass counts what lies below and keeps only the counts inside the interval, from which
+the two neighbouring order statistics are read. A bracket that misses its rank is widened, so
+results are always exact. Nulls and NaN are no values; a group without values has a null result.
 """
 
 from __future__ import annotations
@@ -15,37 +15,27 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from keepwell.functions.scalar import col
-from keepwell.functions.size import fits_one_task
+from keepwell.functions.scalar import col, no_nan
 
 _ACCURACY = 10_000
 
 
 def quantiles(df: DataFrame, values: Sequence[str], probs: Sequence[float],
-              keys: Sequence[str] = (), *, large: bool | None = None) -> DataFrame:
+              keys: Sequence[str] = ()) -> DataFrame:
     """Long table: keys, variable, q (array in the order of `probs`). Groups must be few
-    (columns, outcome classes, levels); nulls are ignored."""
+    (columns, outcome classes, levels)."""
     keys = list(keys)
     if not values:
         raise ValueError("no columns given")
-    if not (not fits_one_task(df) if large is None else large):
-        wide = df.groupBy(*map(col, keys)).agg(*[
-            F.percentile(col(v).cast("double"), F.array(*map(F.lit, probs))).alias(f"_q{i}")
-            for i, v in enumerate(values)])
-        pairs = F.array(*[F.struct(F.lit(v).alias("variable"), col(f"_q{i}").alias("q"))
-                          for i, v in enumerate(values)])
-        return (wide.select(*map(col, keys), F.explode(pairs).alias("_p"))
-                .select(*map(col, keys), "_p.variable", "_p.q"))
     return _bracketed(df, list(values), list(probs), keys)
 
 
 def _bracketed(df: DataFrame, values: list[str], probs: list[float], keys: list[str]) -> DataFrame:
     spark = df.sparkSession
-    pairs = F.array(*[F.struct(F.lit(v).alias("variable"), col(v).cast("double").alias("value"))
+    pairs = F.array(*[F.struct(F.lit(v).alias("variable"), no_nan(col(v).cast("double")).alias("value"))
                       for v in values])
     tall = (df.select(*map(col, keys), F.explode(pairs).alias("_p"))
-            .select(*map(col, keys), "_p.variable", "_p.value")
-            .where(F.col("value").isNotNull() & ~F.isnan("value")))
+            .select(*map(col, keys), "_p.variable", "_p.value"))
     by = [*keys, "variable"]
     found: dict[tuple, dict[int, float]] = {}
     wanted: dict[tuple, set[int]] | None = None
@@ -60,6 +50,9 @@ def _bracketed(df: DataFrame, values: list[str], probs: list[float], keys: list[
         rows = []
         for r in sketch:
             key = tuple(r[k] for k in by)
+            if not r["n"]:
+                found[key] = {}
+                continue
             todo = set(range(len(probs))) if wanted is None else wanted.get(key, set())
             at = dict(zip(edges, r["e"], strict=True))
             for i in sorted(todo):
@@ -107,5 +100,6 @@ def _bracketed(df: DataFrame, values: list[str], probs: list[float], keys: list[
         slack = min(1.0, slack * 16)
     out = T.StructType([*[tall.schema[k] for k in by],
                         T.StructField("q", T.ArrayType(T.DoubleType()))])
-    data = [(*key, [got_q.get(i) for i in range(len(probs))]) for key, got_q in found.items()]
+    data = [(*key, [got_q.get(i) for i in range(len(probs))] if got_q else None)
+            for key, got_q in found.items()]
     return spark.createDataFrame(data, out)

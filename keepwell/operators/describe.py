@@ -26,8 +26,7 @@ def overview(df: DataFrame, y: str) -> DataFrame:
                   F.avg(col(y)).alias("churn_rate"))
 
 
-def numeric_summary(df: DataFrame, columns: Sequence[str], y: str, *, large: bool | None = None
-                    ) -> DataFrame:
+def numeric_summary(df: DataFrame, columns: Sequence[str], y: str) -> DataFrame:
     """Moments in one wide aggregate, quartiles beside it: one row per (feature, group)."""
     groups = {"all": F.lit(True), "churned": col(y) == 1, "retained": col(y) == 0}
     aggs, outs = [], {}
@@ -43,7 +42,7 @@ def numeric_summary(df: DataFrame, columns: Sequence[str], y: str, *, large: boo
     moments = spread(df.agg(*aggs), outs, "_key").withColumn("_parts", F.split("_key", "\t"))
     name = F.when(col(y) == 1, "churned").when(col(y) == 0, "retained")
     both = df.withColumn("_group", F.explode(F.array_compact(F.array(F.lit("all"), name))))
-    q = quantiles(both, columns, [0.25, 0.5, 0.75], ["_group"], large=large)
+    q = quantiles(both, columns, [0.25, 0.5, 0.75], ["_group"])
     q = F.broadcast(q)  # three rows per feature
     m = moments.select(F.col("_parts")[0].alias("feature"), F.col("_parts")[1].alias("group"),
                        "n", "missing", "mean", "sd", "min", "max")

@@ -11,6 +11,7 @@ import pandas as pd
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GeneralizedLinearRegression
+from pyspark.ml.stat import Correlation
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -26,7 +27,6 @@ BACKGROUND_ROWS = 100
 SAMPLE_FEATURES = 10
 SAMPLE_POINTS = 200
 MAX_COEF = 15.0
-MAX_REFITS = 10
 TOP_REASONS = 3
 FOREST_ROWS = 15
 MAX_TERMS = 4096  # the solver's limit
@@ -212,30 +212,43 @@ def odds_ratio_design(train: DataFrame, numeric: Sequence[str], categorical: Seq
     return cols, terms
 
 
-def independent_terms(train: DataFrame, cols: dict[str, Column]) -> tuple[list[str], list[str]]:
-    """Terms that raise the rank, in order, and those that do not. The data is reduced to its
-    Gram matrix in one aggregate; the rank test sees only that."""
-    names = list(cols)
-    wide = train.select(F.lit(1.0).alias("t0"), *[e.alias(f"t{i + 1}")
-                                                  for i, e in enumerate(cols.values())])
-    k = len(names) + 1
-    pairs = [(i, j) for i in range(k) for j in range(i, k)]
-    row = wide.agg(*[F.avg(F.col(f"t{i}") * F.col(f"t{j}")).alias(f"g{i}_{j}")
-                     for i, j in pairs]).first()
-    gram = np.zeros((k, k))
-    for i, j in pairs:
-        gram[i, j] = gram[j, i] = row[f"g{i}_{j}"] or 0.0
-    kept, lost, idx = [], [], [0]
-    for i, name in enumerate(names, start=1):
-        trial = [*idx, i]
-        sub = gram[np.ix_(trial, trial)]
-        d = np.sqrt(np.maximum(np.diag(sub), 1e-300))
-        if np.linalg.eigvalsh(sub / np.outer(d, d)).min() > 1e-9 and gram[i, i] > 1e-12:
-            kept.append(name)
-            idx = trial
-        else:
-            lost.append(name)
-    return kept, lost
+def separated_terms(wide: DataFrame, names: Sequence[str]) -> list[str]:
+    """Columns that tell the outcomes apart by themselves: the ranges of the two outcomes do not
+    overlap, or a 0/1 column has only one outcome where it is 1 (one aggregate)."""
+    ends = [f(F.when(F.col("_y") == y, F.col(c))).alias(f"{tag}{y}{i}") for i, c in enumerate(names)
+            for y in (0, 1) for tag, f in (("a", F.min), ("b", F.max))]
+    marks = [F.bool_and(F.col(c).isin(0.0, 1.0)).alias(f"m{i}") for i, c in enumerate(names)]
+    row = wide.agg(*ends, *marks).first()
+    out = []
+    for i, c in enumerate(names):
+        low0, high0, low1, high1 = (row[f"{t}{y}{i}"] for y in (0, 1) for t in ("a", "b"))
+        if None in (low0, low1):
+            continue
+        apart = high0 < low1 or high1 < low0
+        if apart or row[f"m{i}"] and (low0, low1) == (0, 0) and high0 != high1:
+            out.append(c)
+    return out
+
+
+def independent_terms(wide: DataFrame, names: Sequence[str]) -> list[str]:
+    """Columns that raise the rank beside an intercept, in order: one pass for the correlations of all
+    columns, then one Cholesky decomposition that skips what earlier columns explain."""
+    if not names:
+        return []
+    data = VectorAssembler(inputCols=list(names), outputCol="_x").transform(wide.select(*names))
+    corr = np.nan_to_num(Correlation.corr(data, "_x").first()[0].toArray(), nan=0.0)
+    spread_of = wide.agg(*[F.stddev_pop(c).alias(c) for c in names]).first()
+    kept: list[int] = []
+    rows = np.zeros((0, 0))
+    for i, c in enumerate(names):
+        part = np.linalg.solve(rows, corr[i, kept]) if kept else np.zeros(0)
+        rest = 1.0 - part @ part
+        if spread_of[c] and rest > 1e-9:
+            grown = np.zeros((len(kept) + 1, len(kept) + 1))
+            grown[:-1, :-1], grown[-1, :-1], grown[-1, -1] = rows, part, math.sqrt(rest)
+            rows = grown
+            kept.append(i)
+    return [names[i] for i in kept]
 
 
 ODDS_SCHEMA = ("feature string, term string, label string, coef double, se double, "
@@ -244,45 +257,31 @@ ODDS_SCHEMA = ("feature string, term string, label string, coef double, se doubl
 
 def odds_ratios(train: DataFrame, numeric: Sequence[str], categorical: Sequence[str], y: str
                 ) -> tuple[DataFrame, list[tuple[str, str]]]:
-    """Unpenalised logit terms with Wald intervals, and notes on dropped terms."""
+    """Unpenalised logit terms with Wald intervals, in design order, and notes on dropped terms. Terms
+    that separate the outcomes or depend on others are found beforehand; where several terms separate
+    them only together, those whose coefficients run away are left out and the rest is fitted again.
+    An error of the fit is an error."""
     cols, terms = odds_ratio_design(train, numeric, categorical)
-    kept, lost = independent_terms(train, cols)
-    notes = [(t, "linearly dependent on other terms") for t in lost]
-    spark = train.sparkSession
-    wide = train.select(col(y).cast("double").alias("_y"), *[cols[t].alias(f"t{i}")
-                                                             for i, t in enumerate(kept)]).persist()
-    place = {t: f"t{i}" for i, t in enumerate(kept)}
-    rows: list[tuple] = []
-    for _ in range(MAX_REFITS):
-        if not kept:
-            break
-        data = VectorAssembler(inputCols=[place[t] for t in kept], outputCol="_x").transform(wide)
-        glm = GeneralizedLinearRegression(family="binomial", link="logit", featuresCol="_x",
-                                          labelCol="_y", maxIter=200, tol=1e-8, regParam=0.0)
-        try:
-            model = glm.fit(data)
-            se = list(model.summary.coefficientStandardErrors)
-        except Exception as exc:  # noqa: BLE001 - a singular fit loses its flattest term
-            row = wide.agg(*[F.var_pop(place[t]).alias(place[t]) for t in kept]).first()
-            worst = min(kept, key=lambda t: row[place[t]] or 0.0)
-            notes.append((worst, f"model could not be fitted: {str(exc).splitlines()[0][:80]}"))
-            kept = [t for t in kept if t != worst]
-            continue
-        coef = [float(c) for c in model.coefficients]
-        bad = [i for i, c in enumerate(coef) if abs(c) > MAX_COEF or not math.isfinite(se[i])]
-        if bad:
-            worst = kept[max(bad, key=lambda i: abs(coef[i]))]
-            notes.append((worst, "perfect or quasi-perfect separation (coefficient diverges)"))
-            kept = [t for t in kept if t != worst]
-            continue
-        p = list(model.summary.pValues)
-        rows = [(terms[t]["feature"], t, terms[t]["label"], c, float(s), math.exp(c),
-                 math.exp(c - Z95 * s), math.exp(c + Z95 * s), float(v))
-                for t, c, s, v in zip(kept, coef, se, p)]
-        break
-    wide.unpersist()
-    rows.sort(key=lambda r: -abs(r[3]))
-    return spark.createDataFrame(rows, ODDS_SCHEMA), notes
+    short = {f"t{i}": t for i, t in enumerate(cols)}
+    wide = train.select(col(y).cast("double").alias("_y"), *[cols[t].alias(c) for c, t in short.items()])
+    apart = separated_terms(wide, list(short))
+    kept = independent_terms(wide, [c for c in short if c not in apart])
+    notes = [(short[c], "separates the outcomes" if c in apart else "depends on other terms")
+             for c in short if c not in kept]
+    while kept:
+        data = VectorAssembler(inputCols=kept, outputCol="_x").transform(wide)
+        fit = GeneralizedLinearRegression(family="binomial", link="logit", featuresCol="_x", labelCol="_y",
+                                          maxIter=200, tol=1e-8, regParam=0.0).fit(data)
+        found = list(zip(kept, fit.coefficients, fit.summary.coefficientStandardErrors, fit.summary.pValues))
+        wild = [c for c, b, se, _ in found if abs(b) > MAX_COEF or not math.isfinite(se)]
+        if not wild:
+            rows = [(terms[short[c]]["feature"], short[c], terms[short[c]]["label"], float(b), float(se),
+                     math.exp(b), math.exp(b - Z95 * se), math.exp(b + Z95 * se), float(p))
+                    for c, b, se, p in found]
+            return train.sparkSession.createDataFrame(rows, ODDS_SCHEMA), notes
+        notes += [(short[c], "separates the outcomes together with others") for c in wild]
+        kept = [c for c in kept if c not in wild]
+    raise ValueError(f"no term of the model can be estimated: {notes}")
 
 
 def driver_impact(importance: DataFrame, mean_abs: DataFrame, odds: DataFrame, tests: DataFrame

@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from keepwell.functions.ordered import previous_values
 from keepwell.functions.scalar import col, ratio
-from keepwell.functions.size import broadcast_if_small
 
 # Window of the contact roll-up, repeat window, downtrade share.
 ROLLUP_DAYS = 90
@@ -35,11 +34,10 @@ def downtrade(recent: Column, previous: Column, share: float = DOWNTRADE_SHARE)
 
 
 def repeat_contacts(contacts: DataFrame, customer: str, category: str, time: str, tie: str, *,
-                    days: int = REPEAT_DAYS, large: bool | None = None) -> DataFrame:
+                    days: int = REPEAT_DAYS) -> DataFrame:
     """Adds `is_repeat`: the customer's previous contact had the same category and was at most
     `days` whole days ago. A very active customer is cut into time ranges."""
-    p = previous_values(contacts, [customer], [time, tie], {"_was": category, "_when": time},
-                        large=large)
+    p = previous_values(contacts, [customer], [time, tie], {"_was": category, "_when": time})
     gap = F.floor((F.unix_micros(col(time).cast("timestamp"))
                    - F.unix_micros(F.col("_when").cast("timestamp"))) / F.lit(86_400_000_000))
     again = (F.col("_was") == col(category)) & (gap <= days)
@@ -81,6 +79,6 @@ def offers_received(customers: DataFrame, offers: DataFrame) -> DataFrame:
 
 def price_gap(customers: DataFrame, prices: DataFrame, place: str, paid: str) -> DataFrame:
     """Percent gap to the price of the customer's place (a small lookup)."""
-    j = customers.join(broadcast_if_small(prices), place, "left")
+    j = customers.join(prices, place, "left")
     return j.select("customer_id", F.round(100 * (ratio(col(paid), F.col("price")) - 1), 1)
                     .alias("price_gap_pct"))

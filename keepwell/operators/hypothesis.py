@@ -155,12 +155,11 @@ def normality(moments: DataFrame) -> DataFrame:
                                           "normal")
 
 
-def levene(df: DataFrame, columns: Sequence[str], y: str, *, large: bool | None = None
-           ) -> DataFrame:
+def levene(df: DataFrame, columns: Sequence[str], y: str) -> DataFrame:
     """Brown-Forsythe form: spread around the group medians. Two aggregates over the data."""
     known = df.where(col(y).isin(0, 1))
     med = {(r["variable"], r[y]): r["q"][0] for r in
-           quantiles(known, columns, [0.5], [y], large=large).collect()}
+           quantiles(known, columns, [0.5], [y]).collect()}
     aggs, outs = [], {}
     for i, c in enumerate(columns):
         outs[c] = {}
@@ -201,20 +200,18 @@ def welch(moments: DataFrame) -> DataFrame:
     return with_welch(moments).where("n0 > 1 and n1 > 1").select("variable", "t", "df", "cohens_d")
 
 
-def mann_whitney(df: DataFrame, columns: Sequence[str], y: str, *, large: bool | None = None
-                 ) -> DataFrame:
+def mann_whitney(df: DataFrame, columns: Sequence[str], y: str) -> DataFrame:
     """U of the churned group with mid-ranks, rank-biserial r and the tie-corrected z."""
     long = tall(df.where(col(y).isin(0, 1)), {c: col(c).cast("double") for c in columns},
                 ("variable", "value"), keep=[y])
-    return rank_sums(long, ["variable"], "value", y, large=large)
+    return rank_sums(long, ["variable"], "value", y)
 
 
-def rank_sums(long: DataFrame, keys: Sequence[str], value: str, y: str, *,
-              large: bool | None = None) -> DataFrame:
+def rank_sums(long: DataFrame, keys: Sequence[str], value: str, y: str) -> DataFrame:
     """Rank-sum statistics per key from counts of distinct values."""
     counts = value_counts(long, keys, value, {"c": F.count("*"),
                                               "c1": F.sum(col(y)).cast("long")})
-    ran = running_sums(counts, keys, value, {"upto": "c"}, large=large)
+    ran = running_sums(counts, keys, value, {"upto": "c"})
     c = F.col("c").cast("double")
     mid = F.col("upto") - (c - 1) / 2
     g = ran.groupBy(*map(col, keys)).agg(
@@ -297,11 +294,10 @@ def categorical_tests(df: DataFrame, columns: Sequence[str], y: str) -> DataFram
     return df.sparkSession.createDataFrame([rows[c] for c in columns if c in rows], TEST_SCHEMA)
 
 
-def numeric_tests(df: DataFrame, columns: Sequence[str], y: str, *, large: bool | None = None,
-                  chosen_only: bool = True) -> DataFrame:
+def numeric_tests(df: DataFrame, columns: Sequence[str], y: str, *, chosen_only: bool = True) -> DataFrame:
     """Welch where both groups look normal, Mann-Whitney elsewhere (or both rows of each)."""
     moments = with_welch(with_normality(group_moments(df, columns, y)))
-    ranks = mann_whitney(df, columns, y, large=large)
+    ranks = mann_whitney(df, columns, y)
     with ThreadPoolExecutor(2) as pool:  # two independent aggregates, one short row per column
         found, placed = pool.map(lambda t: {r["variable"]: r for r in t.collect()},
                                  (moments, ranks))

@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 from keepwell.functions.ordered import (evenly_spaced, numbered, previous_values, running_sums,
                                         value_counts)
 from keepwell.functions.scalar import col, ratio
-from keepwell.functions.size import fits_one_task
 
 # Top share, bins, deciles, curve sizes, classification threshold.
 TOP_SHARE = 0.10
@@ -40,8 +39,8 @@ def score_table(long: DataFrame) -> DataFrame:
     return value_counts(long, [KIND], "p", {"n": F.count("*"), "pos": F.sum("y").cast("long")})
 
 
-def roc_auc(long: DataFrame, *, large: bool | None = None) -> DataFrame:
-    ran = running_sums(score_table(long), [KIND], "p", {"upto": "n"}, large=large)
+def roc_auc(long: DataFrame) -> DataFrame:
+    ran = running_sums(score_table(long), [KIND], "p", {"upto": "n"})
     mid = F.col("upto") - (F.col("n") - 1) / 2.0
     g = ran.groupBy(KIND).agg(F.sum(F.col("pos") * mid).alias("r"), F.sum("pos").alias("a"),
                               F.sum(F.col("n") - F.col("pos")).alias("b"))
@@ -49,11 +48,11 @@ def roc_auc(long: DataFrame, *, large: bool | None = None) -> DataFrame:
     return g.select(KIND, ratio(F.col("r") - a * (a + 1) / 2, a * b).alias("roc_auc"))
 
 
-def pr_auc(long: DataFrame, *, large: bool | None = None) -> DataFrame:
+def pr_auc(long: DataFrame) -> DataFrame:
     """Average precision: each distinct score adds its share of the positives times the
     precision at that score."""
     ran = running_sums(score_table(long), [KIND], "p", {"tp": "pos", "seen": "n"},
-                       descending=True, large=large)
+                       descending=True)
     g = ran.groupBy(KIND).agg(F.sum(F.col("pos") * F.col("tp") / F.col("seen")).alias("s"),
                               F.sum("pos").alias("a"))
     return g.select(KIND, ratio(F.col("s"), F.col("a")).alias("pr_auc"))
@@ -63,17 +62,12 @@ def brier(long: DataFrame) -> DataFrame:
     return long.groupBy(KIND).agg(F.avg(F.pow(F.col("p") - F.col("y"), 2)).alias("brier"))
 
 
-def rank_groups(long: DataFrame, ends: Callable[[int], Sequence[int]], *,
-                large: bool | None = None) -> DataFrame:
+def rank_groups(long: DataFrame, ends: Callable[[int], Sequence[int]]) -> DataFrame:
     """Outcomes per block of ranks (score descending, ties by row number).
 
     `ends(n)` gives the last rank of each block. Scores wholly inside a block are added from
     their counts; only scores that straddle a block end are split by row number."""
-    if not (not fits_one_task(long) if large is None else large):
-        order = Window.partitionBy(KIND).orderBy(F.desc("p"), "row_id")
-        return _ranked_blocks(long.withColumn("_k", F.row_number().over(order)), long, ends)
-    table = running_sums(score_table(long), [KIND], "p", {"stop": "n"}, descending=True,
-                         large=large).withColumn("start", F.col("stop") - F.col("n"))
+    table = running_sums(score_table(long), [KIND], "p", {"stop": "n"}, descending=True).withColumn("start", F.col("stop") - F.col("n"))
     blocks = _blocks(long, ends)
     inside = (table.join(blocks, KIND)
               .where((F.col("start") >= F.col("low")) & (F.col("stop") <= F.col("high")))
@@ -82,7 +76,7 @@ def rank_groups(long: DataFrame, ends: Callable[[int], Sequence[int]], *,
            .where((F.col("start") < F.col("high")) & (F.col("stop") > F.col("high")))
            .select(KIND, "p", "start").distinct())
     tied = long.join(F.broadcast(cut), [KIND, "p"])  # at most one score per block end
-    placed = numbered(tied, [KIND, "p"], "row_id", "_k", large=large)
+    placed = numbered(tied, [KIND, "p"], "row_id", "_k")
     rank = F.col("start") + F.col("_k")
     split = (placed.join(blocks, KIND)
              .where((rank > F.col("low")) & (rank <= F.col("high")))
@@ -103,24 +97,15 @@ def _blocks(long: DataFrame, ends: Callable[[int], Sequence[int]]) -> DataFrame:
         rows, f"{KIND} string, g int, low long, high long"))
 
 
-def _ranked_blocks(ranked: DataFrame, long: DataFrame, ends: Callable[[int], Sequence[int]]
-                   ) -> DataFrame:
-    blocks = _blocks(long, ends)
-    here = (F.col("_k") > F.col("low")) & (F.col("_k") <= F.col("high"))
-    sums = ranked.join(blocks, KIND).where(here).groupBy(KIND, "g").agg(
-        F.count("*").alias("n"), F.sum("y").cast("long").alias("churners"))
-    return _with_empty(blocks, sums)
-
-
 def _with_empty(blocks: DataFrame, sums: DataFrame) -> DataFrame:
     return blocks.join(sums, [KIND, "g"], "left").select(
         KIND, "g", F.coalesce("n", F.lit(0)).alias("n"),
         F.coalesce("churners", F.lit(0)).alias("churners"))
 
 
-def at_top(long: DataFrame, share: float = TOP_SHARE, *, large: bool | None = None) -> DataFrame:
+def at_top(long: DataFrame, share: float = TOP_SHARE) -> DataFrame:
     """Precision and recall among the top ceil(share * n) rows."""
-    top = rank_groups(long, lambda n: [-int(-(share * n) // 1)], large=large)
+    top = rank_groups(long, lambda n: [-int(-(share * n) // 1)])
     total = F.broadcast(long.groupBy(KIND).agg(F.sum("y").alias("_pos")))
     return top.join(total, KIND).select(
         KIND, F.col("n").alias("k"), F.col("churners").alias("churners_in_top"),
@@ -136,9 +121,9 @@ def _even_split(n: int, parts: int = DECILES) -> list[int]:
     return ends
 
 
-def deciles(long: DataFrame, *, large: bool | None = None) -> DataFrame:
+def deciles(long: DataFrame) -> DataFrame:
     """Lift and cumulative gains by score decile (1 = highest)."""
-    d = rank_groups(long, _even_split, large=large).withColumnRenamed("g", "decile")
+    d = rank_groups(long, _even_split).withColumnRenamed("g", "decile")
     # Ten rows per kind from here on.
     w = Window.partitionBy(KIND).orderBy("decile").rowsBetween(Window.unboundedPreceding, 0)
     every = Window.partitionBy(KIND)
@@ -170,26 +155,25 @@ def calibration_bins(long: DataFrame) -> DataFrame:
         "observed_rate")
 
 
-def roc_points(long: DataFrame, points: int = ROC_POINTS, *, large: bool | None = None
-               ) -> DataFrame:
+def roc_points(long: DataFrame, points: int = ROC_POINTS) -> DataFrame:
     """Corners of the ROC curve, thinned to evenly spaced points."""
     t = score_table(long).withColumn("neg", F.col("n") - F.col("pos"))
-    ran = running_sums(t, [KIND], "p", {"tp": "pos", "fp": "neg"}, descending=True, large=large)
+    ran = running_sums(t, [KIND], "p", {"tp": "pos", "fp": "neg"}, descending=True)
     # Ascending predecessors are the next points of the descending curve.
-    nxt = previous_values(ran, [KIND], ["p"], {"_pos": "pos", "_neg": "neg"}, large=large)
+    nxt = previous_values(ran, [KIND], ["p"], {"_pos": "pos", "_neg": "neg"})
     corner = F.col("_pos").isNull() | ~(F.col("_pos").eqNullSafe(F.col("pos"))
                                         & F.col("_neg").eqNullSafe(F.col("neg")))
     kept = nxt.where(corner).select(KIND, (-F.col("p")).alias("_o"), "tp", "fp")
     start = long.select(KIND).distinct().select(
         KIND, F.lit(float("-inf")).alias("_o"), F.lit(0).cast("long").alias("tp"),
         F.lit(0).cast("long").alias("fp"))
-    return _thin(kept.unionByName(start), points, large,
+    return _thin(kept.unionByName(start), points,
                  lambda tot: {"fpr": ratio(F.col("fp"), tot["fp"]),
                               "tpr": ratio(F.col("tp"), tot["tp"])}, ("tp", "fp"))
 
 
-def _thin(curve: DataFrame, points: int, large: bool | None, rates, totals) -> DataFrame:
-    placed = numbered(curve, [KIND], "_o", "_at", large=large)
+def _thin(curve: DataFrame, points: int, rates, totals) -> DataFrame:
+    placed = numbered(curve, [KIND], "_o", "_at")
     size = F.broadcast(placed.groupBy(KIND).agg(
         F.count("*").alias("_len"), *[F.max(t).alias(f"_max_{t}") for t in totals]))
     joined = placed.join(size, KIND)
@@ -198,15 +182,15 @@ def _thin(curve: DataFrame, points: int, large: bool | None, rates, totals) -> D
     return out.select(KIND, F.col("_at").alias("point"), *[e.alias(n) for n, e in named.items()])
 
 
-def pr_points(long: DataFrame, points: int = PR_POINTS, *, large: bool | None = None) -> DataFrame:
+def pr_points(long: DataFrame, points: int = PR_POINTS) -> DataFrame:
     """Precision-recall curve from the lowest threshold up, closed at (recall 0, precision 1)."""
     ran = running_sums(score_table(long), [KIND], "p", {"tp": "pos", "seen": "n"},
-                       descending=True, large=large).select(
+                       descending=True).select(
         KIND, F.col("p").alias("_o"), "tp", "seen")
     close = long.select(KIND).distinct().select(
         KIND, F.lit(float("inf")).alias("_o"), F.lit(0).cast("long").alias("tp"),
         F.lit(0).cast("long").alias("seen"))
-    return _thin(ran.unionByName(close), points, large, lambda tot: {
+    return _thin(ran.unionByName(close), points, lambda tot: {
         "recall": ratio(F.col("tp"), tot["tp"]),
         "precision": F.coalesce(ratio(F.col("tp"), F.col("seen")), F.lit(1.0))}, ("tp",))
 
@@ -225,11 +209,11 @@ def threshold_metrics(long: DataFrame, threshold: float = THRESHOLD) -> DataFram
                     F.coalesce(ratio(2 * tp, 2 * tp + fp + fn), zero).alias("f1"))
 
 
-def evaluate(long: DataFrame, *, large: bool | None = None) -> DataFrame:
+def evaluate(long: DataFrame) -> DataFrame:
     """Headline metrics per score kind."""
     size = long.groupBy(KIND).agg(F.count("*").alias("n"), F.avg("y").alias("churn_rate"))
     out = size
-    for part in (roc_auc(long, large=large), pr_auc(long, large=large), brier(long)):
+    for part in (roc_auc(long), pr_auc(long), brier(long)):
         out = out.join(F.broadcast(part), KIND)
     return out
 

@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from keepwell.functions.scalar import DELIMITER_PATTERN, col, flag, ratio, squeeze, to_time
-from keepwell.functions.size import broadcast_if_small
 from keepwell.operators.clean import all_spelling_changes, apply_spellings
 from keepwell.operators.hypothesis import TEST_SCHEMA, chi_square_row
 from keepwell.roles import OfferRoles
@@ -171,6 +170,3 @@ def selection_bias(predictions: DataFrame, long: DataFrame) -> DataFrame:
         F.avg(F.when(~F.col("offered"), F.col("churn_probability"))).alias("never_offered_mean_risk"))
     gap = F.col("offered_mean_risk") - F.col("never_offered_mean_risk")
     return m.select("*", gap.alias("gap"), (gap >= BIAS_GAP).alias("flagged"))
-
-
-__all__ = ["broadcast_if_small", "offer_effectiveness", "ratio", "reshape_offers"]

@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
-import numpy as np
-import pandas as pd
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
@@ -17,11 +15,10 @@ from keepwell.functions.quantiles import quantiles
 from keepwell.functions.scalar import col, hash_unit, no_nan, ratio
 from keepwell.operators.describe import varying
 
-# Seed, range of k, starts, silhouette sample, fewest features, label length.
+# Seed, range of k, starts, fewest features, label length.
 SEED = 42
 K_RANGE = range(2, 9)
-STARTS = 10
-SILHOUETTE_SAMPLE = 2000
+STARTS = 1  # k-means|| spreads its centres before the first iteration
 MIN_FEATURES = 2
 LABEL_FEATURES = 2
 
@@ -39,11 +36,10 @@ class Scale:
     sd: float
 
 
-def scales(df: DataFrame, features: Sequence[str], *, large: bool | None = None
-           ) -> dict[str, Scale]:
+def scales(df: DataFrame, features: Sequence[str]) -> dict[str, Scale]:
     """Median, and mean and population sd after median filling (three numbers per feature)."""
     med = {r["variable"]: r["q"][0] for r in
-           quantiles(df, features, [0.5], large=large).collect()}
+           quantiles(df, features, [0.5]).collect()}
     aggs = []
     for i, f in enumerate(features):
         v = F.coalesce(no_nan(col(f).cast("double")), F.lit(float(med[f])))
@@ -69,40 +65,44 @@ def hash_sample(df: DataFrame, id_column: str, rows: int, seed: int = SEED) -> D
             .orderBy("_h", id_column).limit(rows).drop("_h"))
 
 
-def silhouettes(sample: DataFrame, features: Sequence[str], labels: Sequence[str]) -> DataFrame:
-    """Mean Euclidean silhouette of each label column over a bounded sample (at most 2,000 rows).
-
-    The sample's points travel to the tasks once; each task compares its rows with them in numpy
-    and returns one number per row and label column, so no pairs are ever materialised."""
-    pts = sample.select(*map(col, features), *map(col, labels)).limit(SILHOUETTE_SAMPLE).toPandas()
-    x = pts[list(features)].to_numpy(dtype=float)
-    marks = {c: pts[c].to_numpy() for c in labels}
-    names, cols = list(labels), list(features)
-
-    def width(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in batches:
-            own = part[cols].to_numpy(dtype=float)
-            dist = np.sqrt(((own[:, None, :] - x[None, :, :]) ** 2).sum(axis=2))
-            for c in names:
-                groups = np.unique(marks[c])
-                if len(groups) < 2:
-                    continue
-                size = np.array([(marks[c] == g).sum() for g in groups], dtype=float)
-                total = np.stack([dist[:, marks[c] == g].sum(axis=1) for g in groups], axis=1)
-                mine = np.searchsorted(groups, part[c].to_numpy())
-                at = np.arange(len(part))
-                alone = size[mine] <= 1
-                a = total[at, mine] / np.maximum(size[mine] - 1, 1)
-                mean = total / size
-                mean[at, mine] = np.inf
-                b = mean.min(axis=1)
-                s = np.where(alone, 0.0, (b - a) / np.maximum(np.maximum(a, b), 1e-300))
-                yield pd.DataFrame({"label": c, "width": s})
-
-    spread = sample.select(*map(col, features), *map(col, labels)).repartition(
-        sample.sparkSession.sparkContext.defaultParallelism)
-    return (spread.mapInPandas(width, "label string, width double")
-            .groupBy("label").agg(F.avg("width").alias("silhouette"), F.count("*").alias("n")))
+def silhouettes(df: DataFrame, features: Sequence[str], labels: Sequence[str]) -> DataFrame:
+    """Mean silhouette of each label column over all rows, in squared Euclidean distances.
+
+    The mean squared distance of a row to a cluster follows from the cluster's size, sum and sum of
+    squares, so two passes score every label column, whatever their number, and no pairs are made.
+    Label columns with fewer than two clusters have no row."""
+    square = sum((col(f) * col(f) for f in features), F.lit(0.0))
+    pairs = F.array(*[F.struct(F.lit(c).alias("label"), col(c).cast("int").alias("cluster")) for c in labels])
+    sums = (df.select(F.explode(pairs).alias("_p"), square.alias("_q"), *map(col, features))
+            .groupBy("_p.label", "_p.cluster").agg(
+                F.count("*").alias("n"), F.sum("_q").alias("q"),
+                *[F.sum(col(f)).alias(f"s{i}") for i, f in enumerate(features)]))
+    clusters: dict[str, list] = {}
+    for r in sums.where("cluster is not null").collect():  # one row per label column and cluster
+        clusters.setdefault(r["label"], []).append(r)
+
+    def width(label: str) -> Column:
+        own = col(label).cast("int")
+        inside, outside, alone = F.lit(None).cast("double"), [], F.lit(False)
+        for r in clusters[label]:
+            n, here = r["n"], own == r["cluster"]
+            dot = sum((col(f) * (r[f"s{i}"] / n) for i, f in enumerate(features)), F.lit(0.0))
+            mean = F.greatest(F.lit(0.0), square + r["q"] / n - 2 * dot)
+            inside = F.when(here, mean * n / max(n - 1, 1)).otherwise(inside)
+            outside.append(F.when(~here, mean))
+            alone = alone | (here & F.lit(n == 1))
+        other = F.array_min(F.array(*outside))
+        return F.when(own.isNull(), None).when(alone, 0.0).otherwise(
+            (other - inside) / F.greatest(inside, other, F.lit(1e-300)))
+
+    usable = [c for c in labels if len(clusters.get(c, ())) > 1]
+    if not usable:
+        return df.sparkSession.createDataFrame([], "label string, silhouette double, n long")
+    row = df.agg(*[f(width(c)).alias(f"{k}{i}") for i, c in enumerate(usable)
+                   for k, f in (("m", F.avg), ("n", F.count))])
+    each = F.array(*[F.struct(F.lit(c).alias("label"), F.col(f"m{i}").alias("silhouette"),
+                              F.col(f"n{i}").alias("n")) for i, c in enumerate(usable)])
+    return row.select(F.explode(each).alias("r")).select("r.*")
 
 
 def select_k(scores: dict[int, float]) -> int | None:
@@ -146,11 +146,11 @@ def segment(df: DataFrame, numeric: Sequence[str], id_column: str, time: str | N
     with ThreadPoolExecutor(jobs) as pool:
         done = list(pool.map(train, [(k, s) for k in ks for s in range(starts)]))
     best = {k: min((r for r in done if r[0] == k), key=lambda r: r[1])[2] for k in ks}
-    sample = hash_sample(vectors, id_column, SILHOUETTE_SAMPLE)
+    marked = vectors
     for k, model in best.items():
-        sample = model.setPredictionCol(f"k{k}").transform(sample)
+        marked = model.setPredictionCol(f"k{k}").transform(marked)
     scores = {int(r["label"][1:]): r["silhouette"] for r in
-              silhouettes(sample.drop("_x"), z, [f"k{k}" for k in ks]).collect()}
+              silhouettes(marked.drop("_x"), z, [f"k{k}" for k in ks]).collect()}
     k = select_k(scores)
     vectors.unpersist()
     if k is None:

@@ -36,8 +36,7 @@ def dropped_durations(df: DataFrame, time: str) -> DataFrame:
     return df.agg(F.count_if(t.isNull() | (t < 0)).alias("rows_dropped"))
 
 
-def kaplan_meier(df: DataFrame, time: str, event: str, keys: Sequence[str] = (), *,
-                 large: bool | None = None) -> DataFrame:
+def kaplan_meier(df: DataFrame, time: str, event: str, keys: Sequence[str] = ()) -> DataFrame:
     """Survival at every distinct time with its 95 % band (log-minus-log scale)."""
     keys = list(keys)
     counts = value_counts(df, keys, time, {"d": F.sum(col(event)).cast("long"),
@@ -47,7 +46,7 @@ def kaplan_meier(df: DataFrame, time: str, event: str, keys: Sequence[str] = (),
                         F.lit(0).cast("long").alias("c"))
     counts = (counts.withColumn("t", F.col("t").cast("double")).unionByName(zero)
               .groupBy(*map(col, keys), "t").agg(F.sum("d").alias("d"), F.sum("c").alias("c")))
-    ran = running_sums(counts, keys, "t", {"_gone": "c"}, large=large)
+    ran = running_sums(counts, keys, "t", {"_gone": "c"})
     if keys:
         sizes = F.broadcast(sizes)  # one row per curve
         ran = ran.join(sizes, [ran[k].eqNullSafe(sizes[k]) for k in keys]).select(
@@ -63,7 +62,7 @@ def kaplan_meier(df: DataFrame, time: str, event: str, keys: Sequence[str] = (),
         F.col("d") / (F.col("n").cast("double") * (F.col("n") - F.col("d"))))
     ran = ran.withColumns({"_log": part, "_var": var, "_end": all_gone.cast("int")})
     ran = running_sums(ran.drop("_gone", "_size"), keys, "t",
-                       {"_slog": "_log", "_svar": "_var", "_over": "_end"}, large=large)
+                       {"_slog": "_log", "_svar": "_var", "_over": "_end"})
     s = F.when(F.col("_over") > 0, 0.0).otherwise(F.exp("_slog"))
     half = Z95 * F.sqrt("_svar") / -F.col("_slog")
     centre = F.log(-F.col("_slog"))
@@ -83,11 +82,10 @@ def survival_summary(curve: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
         F.min(F.when(F.col("s") <= 0.5, F.col("t"))).alias("median"), *picks)
 
 
-def downsample(curve: DataFrame, keys: Sequence[str] = (), points: int = CURVE_POINTS, *,
-               large: bool | None = None) -> DataFrame:
+def downsample(curve: DataFrame, keys: Sequence[str] = (), points: int = CURVE_POINTS) -> DataFrame:
     """At most `points` evenly spaced rows of each curve, both ends kept."""
     keys = list(keys)
-    placed = numbered(curve, keys, "t", "_pos", large=large)
+    placed = numbered(curve, keys, "t", "_pos")
     length = curve.groupBy(*map(col, keys)).agg(F.count("*").alias("_len"))
     if keys:
         length = F.broadcast(length)
@@ -146,8 +144,7 @@ def by_level(df: DataFrame, columns: Sequence[str], time: str, event: str) -> Da
     return long.join(big, ["variable", "level"], "left_semi")
 
 
-def logrank_sums(df: DataFrame, columns: Sequence[str], time: str, event: str, *,
-                 large: bool | None = None) -> DataFrame:
+def logrank_sums(df: DataFrame, columns: Sequence[str], time: str, event: str) -> DataFrame:
     """Observed and expected events and covariance sums per column; groups are numbered by level
     so each time is one row with one entry per group. The entries grow with the levels of the widest
     column given, and the sums with their square."""
@@ -162,7 +159,7 @@ def logrank_sums(df: DataFrame, columns: Sequence[str], time: str, event: str, *
     per_time = marked.groupBy("variable", col(time).alias("t")).agg(
         *[F.sum(F.when(F.col("_g") == g, col(event)).otherwise(0)).alias(f"d{g}") for g in ks],
         *[F.count_if(F.col("_g") == g).alias(f"c{g}") for g in ks])
-    ran = running_sums(per_time, ["variable"], "t", {f"k{g}": f"c{g}" for g in ks}, large=large)
+    ran = running_sums(per_time, ["variable"], "t", {f"k{g}": f"c{g}" for g in ks})
     size = F.broadcast(per_time.groupBy("variable").agg(
         *[F.sum(f"c{g}").alias(f"z{g}") for g in ks]))
     ran = ran.join(size, "variable")

@@ -85,9 +85,9 @@ def figures(s, d):
     return n.where(F.floor("number") % 2 == 0).select("item", F.col("number").alias("value"))
 
 
-def contacts(s, d, large=None):
+def contacts(s, d):
     ev = v.table(s, d, "events").withColumn("resolved", col("event_type") != "error")
-    return l.repeat_contacts(ev, "user_id", "event_type", "ts", "event_id", large=large)
+    return l.repeat_contacts(ev, "user_id", "event_type", "ts", "event_id")
 
 
 UNTIL = dt.datetime(2024, 1, 25)

@@ -197,11 +197,11 @@ QUERIES = {
         oracle("customers assignment", """
   WITH t AS (SELECT covariate, level, arm FROM (SELECT segment, nation, arm FROM customers
      JOIN assignment USING (customer_id)) UNPIVOT (level FOR covariate IN (segment, nation))),
-  g AS (SELECT covariate, level, count(*) FILTER (arm = 'treatment') AS t, count(*) FILTER (arm = 'control') AS c,
-     row_number() OVER (PARTITION BY covariate ORDER BY count(*) DESC, level) AS k FROM t GROUP BY 1, 2),
+  g AS (SELECT covariate, level, count(*) FILTER (arm = 'treatment') AS t, count(*) FILTER (arm = 'control') AS c
+     FROM t GROUP BY 1, 2),
   p AS (SELECT *, t / sum(t) OVER (PARTITION BY covariate) AS pt, c / sum(c) OVER (PARTITION BY covariate) AS pc
      FROM g),
-  q AS (SELECT *, (pt - pc) / sqrt((pt * (1 - pt) + pc * (1 - pc)) / 2) AS smd FROM p WHERE k <= 20)
+  q AS (SELECT *, (pt - pc) / sqrt((pt * (1 - pt) + pc * (1 - pc)) / 2) AS smd FROM p)
   SELECT covariate, level, round(smd, 9) AS smd, round(pt, 9) AS treatment_mean,
     round(pc, 9) AS control_mean, abs(smd) > 0.1 AS flagged FROM q""")),
     "segment_filter": (

@@ -53,9 +53,7 @@ def _scaled(s, d):
 
 def _silhouette(s, d):
     df = _scaled(s, d).withColumn("group", F.floor(v.unit("g", "customer_id") * 3).cast("int"))
-    z = [f"{c}_z" for c in SEG]
-    sample = g.hash_sample(df.select("customer_id", *z, "group"), "customer_id", g.SILHOUETTE_SAMPLE)
-    return g.silhouettes(sample, z, ["group"])
+    return g.silhouettes(df, [f"{c}_z" for c in SEG], ["group"])
 
 
 def _profile(s, d):
@@ -65,7 +63,7 @@ def _profile(s, d):
 
 def _segmentation(s, d):
     """Segments found by k-means: size and churn of each, with the chosen k."""
-    out = g.segment(base(s, d), SEG, "customer_id", ks=(2, 3, 4), starts=2)
+    out = g.segment(base(s, d), SEG, "customer_id")
     return out.frame.groupBy("segment").agg(
         F.count("*").alias("size"), F.avg("churned").alias("churn_rate")).withColumn("k", F.lit(out.k))
 
@@ -124,13 +122,14 @@ QUERIES = {
                              *[f"{c}_z" for c in SEG]),
         oracle("planted", f"""WITH {_FILL} SELECT customer_id, round(balance_z, 9) AS balance_z,
   round(revenue_z, 9) AS revenue_z, round(recency_z, 9) AS recency_z FROM z""")),
-    "silhouette_sample": (
+    "silhouette": (
         lambda s, d: rounded(_silhouette(s, d), "silhouette", places=7),
-        oracle("planted", f"""WITH {_FILL}, p AS (SELECT *, floor(unit('g:' || customer_id) * 3)::INTEGER AS k FROM z
-    ORDER BY unit('42:' || customer_id), customer_id LIMIT 2000),
-  w AS (SELECT a.customer_id AS i, a.k AS own, b.k AS other, sum(sqrt((a.balance_z - b.balance_z)^2
-    + (a.revenue_z - b.revenue_z)^2 + (a.recency_z - b.recency_z)^2)) AS t, count(*) AS c FROM p a, p b GROUP BY 1, 2, 3),
-  s AS (SELECT i, max(t / (c - 1)) FILTER (own = other) AS a, min(t / c) FILTER (own <> other) AS b FROM w GROUP BY 1)
+        oracle("planted", f"""WITH {_FILL}, p AS (SELECT *, floor(unit('g:' || customer_id) * 3)::INTEGER AS k,
+    balance_z^2 + revenue_z^2 + recency_z^2 AS q FROM z),
+  c AS (SELECT k, count(*) AS n, sum(q) AS q, sum(balance_z) AS s1, sum(revenue_z) AS s2, sum(recency_z) AS s3 FROM p GROUP BY 1),
+  w AS (SELECT customer_id AS i, p.k AS own, c.k AS other, n,
+    p.q + c.q / n - 2 * (balance_z * s1 + revenue_z * s2 + recency_z * s3) / n AS d FROM p, c),
+  s AS (SELECT i, max(d * n / (n - 1)) FILTER (own = other) AS a, min(d) FILTER (own <> other) AS b FROM w GROUP BY 1)
   SELECT 'group' AS label, round(avg((b - a) / greatest(a, b)), 7) AS silhouette, count(*) AS n FROM s""")),
     "segment_profile": (
         lambda s, d: rounded(_profile(s, d), "churn_rate", "lift", *[f"{p}_{c}" for p in ("mean", "z") for c in SEG],

@@ -206,8 +206,10 @@ CTES: dict[str, tuple[tuple[str, ...], str]] = {
               WHEN customer_id % 37 = 0 THEN lower(segment) ELSE segment END AS segment,
          CASE WHEN customer_id % 47 = 0 THEN ' ' WHEN customer_id % 53 = 0 THEN '1d'
               ELSE format('{:,.2f}', balance) END AS balance,
-         region, strftime(DATE '2001-02-01' - recency::INTEGER, CASE WHEN customer_id % 59 = 0 THEN '%-m/%-d/%Y'
-              WHEN customer_id % 61 = 0 THEN '%-d %b %Y' WHEN customer_id % 67 = 0 THEN '%b %-d, %Y' ELSE '%Y-%m-%d' END)
+         region, CASE WHEN customer_id % 59 = 0 THEN strftime(DATE '2001-02-01' - recency::INTEGER, '%-m/%-d/%Y')
+              WHEN customer_id % 61 = 0 THEN strftime(DATE '2001-02-01' - recency::INTEGER, '%-d %b %Y')
+              WHEN customer_id % 67 = 0 THEN strftime(DATE '2001-02-01' - recency::INTEGER, '%b %-d, %Y')
+              ELSE strftime(DATE '2001-02-01' - recency::INTEGER, '%Y-%m-%d') END
            AS last_order,
          CASE WHEN churned = 1 THEN 'Yes' ELSE 'No' END AS "Churn"
   FROM customers JOIN (VALUES (0), (1)) v(copy) ON copy = 0 OR customer_id % 50 = 0"""),

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-
 from pyspark.sql import SparkSession
 
 DEFAULTS = {
@@ -28,16 +25,3 @@ def get_session(app: str = "keepwell", master: str | None = None, **conf: str) -
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
-
-
-def checkpointed(df):
-    """Cut a long lineage through the shared checkpoint folder of the cluster."""
-    sc = df.sparkSession.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        configured = sc.getConf().get("spark.checkpoint.dir", None)
-        if configured is None:
-            if not sc.master.startswith("local"):
-                raise RuntimeError("set spark.checkpoint.dir to a shared folder")
-            configured = os.path.join(tempfile.mkdtemp(prefix="keepwell-"), "checkpoints")
-        sc.setCheckpointDir(configured)
-    return df.checkpoint()

@@ -15,11 +15,3 @@ def spark():
         "spark.ui.showConsoleProgress": "false"})
     yield session
     session.stop()
-
-
-@pytest.fixture
-def big_plans(spark):
-    """Every order-dependent step takes its plan for large data."""
-    spark.conf.set("keepwell.oneTaskBytes", "0b")
-    yield
-    spark.conf.unset("keepwell.oneTaskBytes")

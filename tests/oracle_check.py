@@ -1,6 +1,4 @@
 """Compare registered queries with their DuckDB SQL: python tests/oracle_check.py [pattern] [sf].
-
-With KEEPWELL_ONE_TASK_BYTES=0 every order-dependent step takes its bucketed plan for large data.
 """
 
 from __future__ import annotations
@@ -77,8 +75,6 @@ def main() -> int:
     sf = f"/root/testdata/{sys.argv[2] if len(sys.argv) > 2 else 'sf0.01'}"
     spark = get_session(master="local[8]", **{"spark.sql.shuffle.partitions": "8",
                                              "spark.driver.memory": "8g"})
-    if "KEEPWELL_ONE_TASK_BYTES" in os.environ:
-        spark.conf.set("keepwell.oneTaskBytes", os.environ["KEEPWELL_ONE_TASK_BYTES"])
     con = duckdb.connect()
     for t in TABLES:
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")

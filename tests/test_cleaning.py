@@ -104,7 +104,7 @@ def test_role_proposal(spark, table):
     assert p.role_problems(roles, facts) == []
     bad = Roles("Churn", "Maybe", ("id", "gone"), time="plan")
     text = " ".join(p.role_problems(bad, facts))
-    assert "Positive label" in text and "gone" in text and "must be numeric" in text
+    assert "positive label" in text and "gone" in text and "holds no numbers" in text
 
 
 def test_offer_columns_take_one_part_each(spark):
@@ -120,7 +120,7 @@ def test_offer_columns_take_one_part_each(spark):
 
 def test_target_problem_names_single_value(spark):
     df = spark.createDataFrame([("No", 1), ("No", 2), ("No", 3)], "churn string, x int")
-    assert "single value" in p.target_problem(p.collect_facts(df, df.columns))
+    assert "a single value" in p.target_problem(p.collect_facts(df, df.columns))
 
 
 def test_unordered_integers_need_an_id_name(spark):

@@ -26,12 +26,11 @@ def frame(spark, rows):
     return spark.createDataFrame(rows, "id long, k string, v double, y int")
 
 
-@pytest.mark.parametrize("large", [False, True])
 @pytest.mark.parametrize("descending", [False, True])
-def test_running_sums(frame, rows, large, descending):
+def test_running_sums(frame, rows, descending):
     counts = ordered.value_counts(frame, ["k"], "v", {"n": F.count("*")})
     got = {(r["k"], r["v"]): r["upto"] for r in ordered.running_sums(
-        counts, ["k"], "v", {"upto": "n"}, large=large, descending=descending).collect()}
+        counts, ["k"], "v", {"upto": "n"}, descending=descending).collect()}
     for key in {r[1] for r in rows}:
         mine = [r[2] for r in rows if r[1] == key]
         for v in set(mine):
@@ -39,30 +38,27 @@ def test_running_sums(frame, rows, large, descending):
             assert got[(key, v)] == want
 
 
-@pytest.mark.parametrize("large", [False, True])
-def test_previous_values(frame, rows, large):
+def test_previous_values(frame, rows):
     got = {r["id"]: r["before"] for r in ordered.previous_values(
-        frame, ["k"], ["v", "id"], {"before": "y"}, large=large).collect()}
+        frame, ["k"], ["v", "id"], {"before": "y"}).collect()}
     for key in {r[1] for r in rows}:
         mine = sorted((r for r in rows if r[1] == key), key=lambda r: (r[2], r[0]))
         for a, b in zip([None, *mine], mine):
             assert got[b[0]] == (a[3] if a else None)
 
 
-@pytest.mark.parametrize("large", [False, True])
-def test_greatest_before(frame, rows, large):
+def test_greatest_before(frame, rows):
     got = {r["id"]: r["top"] for r in ordered.greatest_before(
-        frame, [], ["v", "id"], "id", "top", large=large).collect()}
+        frame, [], ["v", "id"], "id", "top").collect()}
     best = None
     for r in sorted(rows, key=lambda r: (r[2], r[0])):
         assert got[r[0]] == best
         best = r[0] if best is None else max(best, r[0])
 
 
-@pytest.mark.parametrize("large", [False, True])
-def test_quantiles_interpolate(frame, rows, large):
+def test_quantiles_interpolate(frame, rows):
     probs = [0.0, 0.1, 0.25, 0.5, 0.9, 1.0]
-    got = {r["k"]: r["q"] for r in quantiles(frame, ["v"], probs, ["k"], large=large).collect()}
+    got = {r["k"]: r["q"] for r in quantiles(frame, ["v"], probs, ["k"]).collect()}
     for key in {r[1] for r in rows}:
         mine = sorted(r[2] for r in rows if r[1] == key)
         for p, q in zip(probs, got[key]):
@@ -75,8 +71,8 @@ def test_quantiles_interpolate(frame, rows, large):
 def test_quantiles_ignore_missing(spark):
     df = spark.createDataFrame([(1.0, None), (float("nan"), None), (3.0, None)], "a double, b double")
     got = {r["variable"]: r["q"] for r in quantiles(
-        df.select(F.when(~F.isnan("a"), F.col("a")).alias("a")), ["a"], [0.5], large=True).collect()}
-    assert got == {"a": [2.0]}
+        df.select("a", F.col("b").cast("double").alias("b")), ["a", "b"], [0.5]).collect()}
+    assert got == {"a": [2.0], "b": None}
 
 
 def test_evenly_spaced_keeps_ends(spark):

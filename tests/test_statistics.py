@@ -113,8 +113,7 @@ def test_all_events_end_at_zero(spark):
     assert (last["s"], last["lo"], last["hi"]) == (0.0, 0.0, 0.0)
 
 
-@pytest.mark.parametrize("large", [False, True])
-def test_logrank_two_groups_by_hand(spark, large):
+def test_logrank_two_groups_by_hand(spark):
     rows = [("g1", t, 1) for t in (1.0, 2.0, 3.0, 4.0, 5.0)] + [
         ("g2", t, e) for t, e in ((2.5, 1), (6.0, 1), (7.0, 0), (8.0, 1), (9.0, 0))]
     df = spark.createDataFrame(rows, "g string, t0 double, e int")
@@ -128,7 +127,7 @@ def test_logrank_two_groups_by_hand(spark, large):
             var += share * (1 - share) if total > 1 else 0
         n[g] -= 1
     stat = (5 - expect) ** 2 / var
-    got = survival.logrank_tests(survival.logrank_sums(df, ["g"], "t0", "e", large=large)).first()
+    got = survival.logrank_tests(survival.logrank_sums(df, ["g"], "t0", "e")).first()
     assert got["statistic"] == pytest.approx(stat) and got["df"] == 1
     assert got["p_value"] == pytest.approx(dist.chi2_sf(stat, 1))
 
@@ -156,30 +155,28 @@ def tied(spark):
     return rows, spark.createDataFrame(rows, "kind string, row_id long, y int, p double")
 
 
-@pytest.mark.parametrize("large", [False, True])
-def test_deciles_split_ties_by_row(tied, large):
+def test_deciles_split_ties_by_row(tied):
     rows, df = tied
     ranked = sorted(rows, key=lambda x: (-x[3], x[1]))
-    got = metrics.deciles(df, large=large).orderBy("decile").collect()
+    got = metrics.deciles(df).orderBy("decile").collect()
     at = 0
     for i, d in enumerate(got):
         size = 997 // 10 + (1 if i < 7 else 0)
         part = ranked[at:at + size]
         assert (d["n"], d["churners"]) == (size, sum(x[2] for x in part))
         at += size
-    top = metrics.at_top(df, large=large).first()
+    top = metrics.at_top(df).first()
     assert top["k"] == 100 and top["churners_in_top"] == sum(x[2] for x in ranked[:100])
 
 
-@pytest.mark.parametrize("large", [False, True])
-def test_auc_and_curves_by_pairs(tied, large):
+def test_auc_and_curves_by_pairs(tied):
     rows, df = tied
     pos = [x[3] for x in rows if x[2]]
     neg = [x[3] for x in rows if not x[2]]
     wins = sum((a > b) + 0.5 * (a == b) for a in pos for b in neg)
-    assert metrics.roc_auc(df, large=large).first()["roc_auc"] == pytest.approx(
+    assert metrics.roc_auc(df).first()["roc_auc"] == pytest.approx(
         wins / len(pos) / len(neg), abs=1e-12)
-    pts = metrics.roc_points(df, large=large).orderBy("point").collect()
+    pts = metrics.roc_points(df).orderBy("point").collect()
     area = sum((b["fpr"] - a["fpr"]) * (a["tpr"] + b["tpr"]) / 2 for a, b in zip(pts, pts[1:]))
     assert area == pytest.approx(wins / len(pos) / len(neg), abs=1e-9)
     assert (pts[0]["fpr"], pts[-1]["tpr"]) == (0, 1)
