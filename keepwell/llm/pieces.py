@@ -20,7 +20,6 @@ from __future__ import annotations
 import functools
 import heapq
 import re
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,7 +31,7 @@ from keepwell.llm.store import text_of
 
 SPACE = "▁"
 DROPOUT, VARIANTS = 0.1, 8
-MEMO = 300_000  # distinct words a worker remembers
+MEMO = 200_000  # distinct words a worker remembers, about
 SHORT = 48  # characters of a word that is merged side by side
 PIECE = 1 << 20
 _CUT = re.compile(r"(?<=[^ ])(?= )")
@@ -59,6 +58,11 @@ class Vocabulary:
         self.byte = [model.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
         self.char = {p: i for p, i in names.items() if len(p) == 1}
         self.char[" "] = self.char.pop(SPACE)
+        # symbols of characters: a piece, for other ASCII -3 minus its byte piece, for the rest -1
+        self.symbol = np.full(0x110000, -1, np.int32)
+        self.symbol[:128] = -3 - np.array(self.byte[:128])
+        for c, i in self.char.items():
+            self.symbol[ord(c)] = i
         self.bytes_of = [b""] * n
         for p, i in names.items():
             self.bytes_of[i] = p.replace(SPACE, " ").encode()
@@ -106,13 +110,19 @@ class Vocabulary:
         return form, rank
 
 
+def _codes(words: list[str]) -> np.ndarray:
+    """The code points of all words, one after the other."""
+    return np.frombuffer("".join(words).encode("utf-32-le"), np.uint32)
+
+
 def skipped(key, place, left, right, rate: float):
     """Whether the candidate at place is dropped."""
     return mixed(key ^ mixed(place << 40 ^ left << 20 ^ right)) < int(rate * 2 ** 64)
 
 
 def segment_by_heap(v: Vocabulary, symbols: list[int], key: int, rate: float) -> list[int]:
-    """Pieces of one word from its characters (negative: outside the vocabulary), agenda-wise."""
+    """Pieces of one word from its symbols (negative: outside the vocabulary), agenda-wise: the
+    places that merged into the one before hold -2."""
     ids, n = list(symbols), len(symbols)
     after, before = list(range(1, n + 1)), list(range(-1, n - 1))
     agenda = []
@@ -131,18 +141,14 @@ def segment_by_heap(v: Vocabulary, symbols: list[int], key: int, rate: float) ->
         q = after[p]
         if ids[p] != left or q >= n or ids[q] != right or skipped(key, p, left, right, rate):
             continue
-        ids[p], ids[q] = piece, -1
+        ids[p], ids[q] = piece, -2
         after[p] = after[q]
         if after[p] < n:
             before[after[p]] = p
         offer(p)
         if before[p] >= 0:
             offer(before[p])
-    out, p = [], 0
-    while p < n:
-        out.append(ids[p])
-        p = after[p]
-    return out
+    return ids
 
 
 def segment_together(v: Vocabulary, symbols: np.ndarray, keys: np.ndarray, rate: float) -> np.ndarray:
@@ -221,18 +227,23 @@ class Encoder:
             found.append(np.fromiter(map(self.words.__getitem__, words), np.int64, len(words)))
         return np.concatenate(found) if found else np.zeros(0, np.int64)
 
-    def _word_key(self, word: str) -> int:
-        return mixed(zlib.crc32(word.encode()) ^ self.seed << 32 & _MASK)
-
-    def _symbols(self, word: str) -> list[int]:
-        return [self.v.char.get(c, -1) for c in word]
+    def _word_keys(self, words: list[str]) -> np.ndarray:
+        """A hash under the seed of every word: the sum of those of its characters at their places."""
+        length = np.array([len(w) for w in words], np.int64)
+        codes = _codes(words).astype(np.uint64)
+        begin = np.cumsum(length) - length
+        place = (np.arange(len(codes)) - np.repeat(begin, length)).astype(np.uint64)
+        total = np.zeros(len(words) + 1, np.uint64)
+        total[1:] = np.cumsum(mixed(codes << np.uint64(32) ^ place), dtype=np.uint64)[begin + length - 1] if len(
+            codes) else 0
+        return mixed(np.diff(total) ^ np.uint64(self.seed << 32 & _MASK))
 
     def _learn(self, wanted: np.ndarray) -> None:
         """Segments words under keys: wanted holds word * variants + variant."""
         n = len(self.words) - len(self.keys)
         if n > 0:
             new = self.words.names[len(self.keys):]
-            self.keys = np.concatenate([self.keys, np.array([self._word_key(w) for w in new], np.uint64)])
+            self.keys = np.concatenate([self.keys, self._word_keys(new)])
             self.start = np.concatenate([self.start, np.full((n, self.variants), -1, np.int64)])
             self.size = np.concatenate([self.size, np.zeros((n, self.variants), np.int32)])
         missing = np.unique(wanted[self.start.ravel()[wanted] < 0])
@@ -248,46 +259,38 @@ class Encoder:
             group = np.flatnonzero((length > low) & (length <= high))
             for at in range(0, len(group), 20_000):
                 part = group[at:at + 20_000]
+                words = [names[i] for i in part]
                 symbols = np.full((len(part), high), -1, np.int64)
-                flat = np.array([s for i in part for s in self._symbols(names[i])], np.int64)
                 inside = np.arange(high) < length[part][:, None]
-                symbols[inside] = flat
+                symbols[inside] = self.v.symbol[_codes(words)]
                 out = segment_together(self.v, symbols, keys[part], self.rate)
-                unknown = (out == -1) & inside
                 keep = inside & (out != -2)
                 counts, flat = keep.sum(axis=1), out[keep]
-                if unknown.any():
-                    counts, flat = self._with_bytes([names[i] for i in part], out, keep)
+                flat = np.where(flat < -2, -3 - flat, flat)
                 ends = held + np.cumsum(counts)
                 self.start.ravel()[missing[part]], self.size.ravel()[missing[part]] = ends - counts, counts
                 made.append(flat.astype(np.int32))
                 held += len(flat)
+                for k in np.flatnonzero(((out == -1) & inside).any(axis=1)):
+                    held = self._spelled(words[k], out[k, :length[part[k]]], missing[part[k]], made, held)
         for i in np.flatnonzero(length > SHORT):
-            ids = segment_by_heap(self.v, self._symbols(names[i]), int(keys[i]), self.rate)
-            keep = np.zeros((1, length[i]), bool)
-            out = np.full((1, length[i]), -2, np.int64)
-            at = 0
-            for p in ids:  # a piece covers as many characters as it spells
-                out[0, at], keep[0, at] = p, True
-                at += len(self.v.bytes_of[p].decode()) if p >= 0 else 1
-            counts, flat = self._with_bytes([names[i]], out, keep)
-            self.start.ravel()[missing[i]], self.size.ravel()[missing[i]] = held, counts[0]
-            made.append(flat.astype(np.int32))
-            held += len(flat)
+            symbols = self.v.symbol[_codes([names[i]])].tolist()
+            out = segment_by_heap(self.v, symbols, int(keys[i]), self.rate)
+            held = self._spelled(names[i], out, missing[i], made, held)
         self.pieces = np.concatenate(made)
 
-    def _with_bytes(self, names: list[str], out: np.ndarray, keep: np.ndarray):
-        """Piece counts and pieces of the words, characters outside the vocabulary as bytes."""
-        counts, flat = np.zeros(len(names), np.int64), []
-        for k, word in enumerate(names):
-            before = len(flat)
-            for p in np.flatnonzero(keep[k]):
-                if out[k, p] >= 0:
-                    flat.append(out[k, p])
-                else:
-                    flat += [self.v.byte[b] for b in word[p].encode()]
-            counts[k] = len(flat) - before
-        return counts, np.array(flat, np.int64)
+    def _spelled(self, word: str, out, pair: int, made: list[np.ndarray], held: int) -> int:
+        """Keeps the pieces of a word whose odd characters become bytes; out: a piece or mark per
+        character."""
+        flat: list[int] = []
+        for c, piece in zip(word, out):
+            if piece >= 0:
+                flat.append(piece)
+            elif piece != -2:
+                flat += [self.v.byte[b] for b in c.encode()]
+        self.start.ravel()[pair], self.size.ravel()[pair] = held, len(flat)
+        made.append(np.array(flat, np.int32))
+        return held + len(flat)
 
     def encode(self, texts: list[str], documents: np.ndarray) -> Iterator[np.ndarray]:
         """Ids of each text; documents: unsigned longs that tell them apart."""
@@ -306,6 +309,8 @@ class Encoder:
                 if len(self.words) > MEMO:
                     self.clear()
         yield from self._ids(waiting)
+        if len(self.words) > MEMO:
+            self.clear()
 
     def _ids(self, waiting: list[np.ndarray]) -> Iterator[np.ndarray]:
         if not waiting:
@@ -341,7 +346,7 @@ def _vocabulary(path: str) -> Vocabulary:
     return Vocabulary(path)
 
 
-def _encode(path: str, rate: float, seed: int):
+def _encode(path: str, rate: float, seed: int, back: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(path, rate, seed)
         for batch in batches:
@@ -352,19 +357,24 @@ def _encode(path: str, rate: float, seed: int):
                 lists = pa.ListArray.from_arrays(
                     np.cumsum([0, *map(len, ids)]).astype(np.int32), np.concatenate(ids).astype(np.int32))
                 names = [c for c in part.schema.names if c not in ("_document", "_text")]
-                yield pa.RecordBatch.from_arrays([part.column(c) for c in names] + [lists],
-                                                 names=names + ["pieces"])
+                found = [part.column(c) for c in names] + [lists]
+                if back:
+                    found.append(pa.array([decode(encoder.v, x).decode("utf-8", "replace") for x in ids],
+                                          pa.string()))
+                yield pa.RecordBatch.from_arrays(found, names=names + ["pieces"] + ["decoded"] * back)
 
     return run
 
 
 def encode(docs: DataFrame, model: str, keep: tuple[str, ...] = ("doc_id",), rate: float = DROPOUT,
-           seed: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The columns keep and pieces (array of int) of every row."""
+           seed: int = 0, id_col: str = "doc_id", text_col: str = "text", back: bool = False) -> DataFrame:
+    """The columns keep and pieces (array of int) of every row; with back also decoded, the text that
+    its pieces spell."""
     rows = docs.select(*keep, F.xxhash64(F.lit(seed), F.col(id_col)).alias("_document"),
                        text_of(text_col).alias("_text"))
     kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
-    return rows.mapInArrow(_encode(model, rate, seed), f"{kinds}, pieces array<int>")
+    return rows.mapInArrow(_encode(model, rate, seed, back),
+                           f"{kinds}, pieces array<int>" + ", decoded string" * back)
 
 
 def _decode(path: str, keep: list[str], pieces: str):

@@ -97,10 +97,11 @@ DROPOUT_SEED = 17
 def op3_merge_dropout(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = public_tokenizers.path("piece_bpe_32k.model")
     docs = table(spark, sf_dir, "documents")
-    ids = pieces.encode(docs, model, seed=DROPOUT_SEED).withColumn("n_pieces", F.size("pieces").cast("long"))
-    back = pieces.decoded(ids.withColumn("pieces_hash", F.xxhash64("pieces")), model)
-    return back.select("doc_id", "n_pieces", "pieces_hash", F.length("text").cast("long").alias("n_chars"),
-                       F.sha2("text", 256).alias("text_sha256"))
+    back = pieces.encode(docs, model, seed=DROPOUT_SEED, back=True)
+    return back.select("doc_id", F.size("pieces").cast("long").alias("n_pieces"),
+                       F.xxhash64("pieces").alias("pieces_hash"),
+                       F.length("decoded").cast("long").alias("n_chars"),
+                       F.sha2("decoded", 256).alias("text_sha256"))
 
 
 def op9_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:

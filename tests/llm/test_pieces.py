@@ -50,9 +50,9 @@ def test_side_by_side_is_the_agenda():
     rng = random.Random(1)
     for _ in range(300):
         word = " " + "".join(rng.choice("etaoinshré漢▁") for _ in range(rng.randrange(0, 24)))
-        key, symbols = e._word_key(word), e._symbols(word)
-        out = pieces.segment_together(e.v, np.array([symbols], np.int64), np.array([key], np.uint64), 0.3)[0]
-        assert [x for x in out if x != -2] == pieces.segment_by_heap(e.v, symbols, key, 0.3)
+        key, symbols = e._word_keys([word]), e.v.symbol[pieces._codes([word])].astype(np.int64)
+        out = pieces.segment_together(e.v, symbols[None, :], key, 0.3)[0]
+        assert out.tolist() == pieces.segment_by_heap(e.v, symbols.tolist(), int(key[0]), 0.3)
 
 
 def test_tables(spark):
@@ -62,4 +62,6 @@ def test_tables(spark):
     back = pieces.decoded(ids, PATH).collect()
     key = lambda x: (x[0] is None, x)
     assert sorted(((r.doc_id, r.text) for r in back), key=key) == sorted(((i, t or "") for i, t, *_ in rows), key=key)
+    both = pieces.encode(docs, PATH, seed=2, back=True).collect()
+    assert sorted(((r.doc_id, r.decoded) for r in both), key=key) == sorted(((i, t or "") for i, t, *_ in rows), key=key)
     assert pieces.decoded(pieces.encode(docs.limit(0), PATH), PATH).count() == 0
