@@ -2,28 +2,24 @@
 
 from __future__ import annotations
 
-import itertools
 import math
 from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import GeneralizedLinearRegression
-from pyspark.ml.stat import Correlation
-from pyspark.ml.stat import Summarizer
+from pyspark.ml.stat import Correlation, Summarizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from keepwell.functions.scalar import col, half_even, hash_unit, risk_band
 from keepwell.operators.clean import spread, tall
 from keepwell.operators.model import Fitted, transform
-from keepwell.operators.segment import filled, hash_sample, scales
+from keepwell.operators.segment import filled, scales
 
-# Background rows, plotted features and points, diverging coefficient, refits,
+# Plotted features and points, diverging coefficient, refits,
 # reasons per customer, forest rows, 97.5 % normal point.
-BACKGROUND_ROWS = 100
 SAMPLE_FEATURES = 10
 SAMPLE_POINTS = 200
 MAX_COEF = 15.0
@@ -52,9 +48,8 @@ def contributions(fitted: Fitted, df: DataFrame, background: DataFrame, id_colum
                   ) -> DataFrame:
     """The frame with `contributions`: log-odds pushed by every feature, in feature order."""
     if fitted.learner == "boosting":
-        return tree_contributions(fitted, df)
-    rows = hash_sample(background, id_column, BACKGROUND_ROWS)
-    mean = transform(fitted, rows).agg(Summarizer.mean(F.col("_features")).alias("m")).first()["m"]
+        return path_contributions(fitted, df, background, id_column)
+    mean = transform(fitted, background).agg(Summarizer.mean(F.col("_features")).alias("m")).first()["m"]
     coef = fitted.model.stages[-1].coefficients.toArray()
     mean = mean.toArray()
     size = sum(w for _, _, w in owners(fitted))
@@ -73,82 +68,32 @@ def contributions(fitted: Fitted, df: DataFrame, background: DataFrame, id_colum
     return out.select(*map(col, df.columns), F.array(*parts).alias("contributions"))
 
 
-def _tree_nodes(fitted: Fitted) -> list[list[dict]]:
-    """Leaves of every tree: value and, per feature on the path, its conditions and the share of
-    training rows that meet them. A few hundred short records."""
-    model = fitted.model.stages[-1]
-    scale = list(model.treeWeights)
-    trees = []
-    for tree, weight in zip(model.trees, scale, strict=True):
-        leaves: list[dict] = []
-
-        def walk(node, path: dict, weight=weight, leaves=leaves) -> None:
-            if node.subtreeDepth() == 0:
-                leaves.append({"value": 2.0 * weight * node.prediction(),
-                               "path": {f: (list(c), r) for f, (c, r) in path.items()}})
-                return
-            split, total = node.split(), node.impurityStats().count()
-            f = split.featureIndex()
-            for child, left in ((node.leftChild(), True), (node.rightChild(), False)):
-                conds, share = path.get(f, ([], 1.0))
-                if "Continuous" in split.getClass().getSimpleName():
-                    cond = ("le" if left else "gt", float(split.threshold()))
-                else:
-                    cats = split.leftCategories() if left else split.rightCategories()
-                    cond = ("in", tuple(float(x) for x in cats))
-                walk(child, {**path, f: (conds + [cond],
-                                         share * child.impurityStats().count() / total)})
-
-        walk(tree._java_obj.rootNode(), {})
-        trees.append(leaves)
-    return trees
-
-
-def _meets(x: np.ndarray, conds: list[tuple]) -> np.ndarray:
-    ok = np.ones(len(x), dtype=bool)
-    for op, arg in conds:
-        ok &= x <= arg if op == "le" else x > arg if op == "gt" else np.isin(x, arg)
-    return ok.astype(float)
-
-
-def leaf_shapley(leaf: dict, x: np.ndarray, out: np.ndarray, owner: np.ndarray) -> None:
-    """Exact Shapley values of one leaf. Its value counts fully when a row meets a feature's
-    conditions and by the training share where the feature is unknown, so it is a product game
-    over the few features on the path."""
-    feats = list(leaf["path"])
-    m = len(feats)
-    met = [_meets(x[:, f], leaf["path"][f][0]) for f in feats]
-    share = [leaf["path"][f][1] for f in feats]
-    for i, f in enumerate(feats):
-        rest = [j for j in range(m) if j != i]
-        total = np.zeros(len(x))
-        for size in range(m):
-            w = math.factorial(size) * math.factorial(m - size - 1) / math.factorial(m)
-            for known in itertools.combinations(rest, size):
-                term = np.full(len(x), w)
-                for j in rest:
-                    term *= met[j] if j in known else share[j]
-                total += term
-        out[:, owner[f]] += leaf["value"] * (met[i] - share[i]) * total
-
-
-def tree_contributions(fitted: Fitted, df: DataFrame) -> DataFrame:
-    """Path-dependent tree Shapley values; trees travel to the tasks, rows stay in Arrow batches."""
-    trees = _tree_nodes(fitted)
+def path_contributions(fitted: Fitted, df: DataFrame, background: DataFrame, id_column: str
+                       ) -> DataFrame:
+    """Contributions of a model that is no sum of its features: the log-odds gained as features, one
+    after the other, take their value instead of the training mean, averaged over the feature order and
+    its reverse. They add up to the row's log-odds less those of the mean."""
     blocks = owners(fitted)
-    owner = np.concatenate([[i] * w for i, (_, _, w) in enumerate(blocks)]).astype(int)
-    out = transform(fitted, df).withColumn("_a", vector_to_array("_features"))
-
-    @F.pandas_udf("array<double>")
-    def explain(vectors: pd.Series) -> pd.Series:
-        x = np.stack(vectors.to_numpy()) if len(vectors) else np.zeros((0, len(owner)))
-        phi = np.zeros((len(x), len(blocks)))
-        for leaves in trees:
-            for leaf in leaves:
-                leaf_shapley(leaf, x, phi, owner)
-        return pd.Series(list(phi))
-
-    return out.select(*map(col, df.columns), explain("_a").alias("contributions"))
+    mean = transform(fitted, background).agg(Summarizer.mean(F.col("_features")).alias("m")).first()["m"].toArray()
+    size, k = len(mean), len(blocks)
+    ends = [0, *[min(at + width, size) for _, at, width in blocks[:-1]], size]
+    usual = F.array(*[F.lit(float(x)) for x in mean])
+    own = transform(fitted, df).select(col(id_column).alias("_id"), vector_to_array("_features").alias("_a"))
+
+    def mixed(first: Column, rest: Column, n: int) -> Column:
+        return F.concat(F.slice(first, 1, n), F.slice(rest, n + 1, size - n))
+
+    steps = F.array(*[mixed(F.col("_a"), usual, e) for e in ends], *[mixed(usual, F.col("_a"), e) for e in ends])
+    tall_rows = own.select("_id", F.posexplode(steps).alias("_k", "_v")).select(
+        "_id", "_k", array_to_vector("_v").alias("_features"))
+    chance = F.get(vector_to_array("_probability"), F.lit(1))
+    scored = fitted.model.stages[-1].transform(tall_rows).select(
+        "_id", F.struct("_k", F.log(chance / (1 - chance)).alias("m")).alias("_s"))
+    path = scored.groupBy("_id").agg(F.sort_array(F.collect_list("_s")).alias("_s"))
+    at = lambda i: F.get("_s", F.lit(i))["m"]
+    parts = [(at(i + 1) - at(i) + at(k + 1 + i) - at(k + 2 + i)) / 2 for i in range(k)]
+    found = path.select("_id", F.array(*parts).alias("contributions"))
+    return df.join(found, df[id_column].eqNullSafe(found["_id"])).drop("_id")
 
 
 def global_importance(explained: DataFrame, features: Sequence[str]) -> DataFrame:
@@ -356,6 +301,3 @@ def band_counts(predictions: DataFrame) -> DataFrame:
     counts = predictions.groupBy("risk_band").agg(F.count("*").alias("n"))
     return bands.join(counts, "risk_band", "left").select("risk_band",
                                                           F.coalesce("n", F.lit(0)).alias("n"))
-
-
-__all__ = ["contributions", "odds_ratios", "score_customers"]

@@ -391,6 +391,3 @@ def run_tests(df: DataFrame, categorical: Sequence[str], numeric: Sequence[str],
     if extra is not None:
         tests = tests.unionByName(extra)
     return rank_tests(with_bands(benjamini_hochberg(tests, alpha=alpha)))
-
-
-__all__ = ["association", "benjamini_hochberg", "categorical_tests", "numeric_tests", "run_tests"]

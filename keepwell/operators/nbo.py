@@ -18,7 +18,7 @@ from keepwell.functions.scalar import col, half_even, no_nan, offer_discount, sm
 # Defaults of the measured next best offer.
 NO_OFFER = "No offer"
 PROVEN, OBSERVED = "experiment-proven", "observational"
-MAX_OFFERS = 1000
+JOBS = 4  # models trained side by side
 MAX_RATES = 100_000
 
 
@@ -197,25 +197,26 @@ def acceptance_models(data: DataFrame, long: DataFrame, numeric: Sequence[str],
 
     catalog = long.groupBy("offer").agg(F.count("*").alias("shown"),
                                         F.sum("accepted").alias("accepted"))
+    offers = catalog.orderBy("offer").collect()  # one short row per offer
+
+    def trained(r):
+        if r["shown"] < cfg.min_exposures or not 0 < r["accepted"] < r["shown"]:
+            return None, None
+        mine = long.where(F.col("offer") == r["offer"]).select(
+            F.col("customer_id").cast("string").alias("_shown_to"), "accepted")
+        train = data.join(mine, data[id_column].cast("string") == mine["_shown_to"]).drop("_shown_to")
+        same = dict(learner="logistic", balanced=False)
+        return (ml.fit(train, numeric, categorical, "accepted", **same),
+                ml.cross_validated_auc(train, numeric, categorical, "accepted", id_column, **same))
+
+    with ThreadPoolExecutor(JOBS) as pool:
+        found = list(pool.map(trained, offers))
     rows, scored = [], data
-    offers = catalog.orderBy("offer").limit(MAX_OFFERS + 1).collect()
-    if len(offers) > MAX_OFFERS:
-        raise ValueError(f"more than {MAX_OFFERS} offers; group them before modelling")
-    for r in offers:
-        usable = r["shown"] >= cfg.min_exposures and 0 < r["accepted"] < r["shown"]
-        auc, name = None, None
-        if usable:
-            mine = long.where(F.col("offer") == r["offer"]).select("customer_id", "accepted")
-            train = data.join(mine, data[id_column].cast("string") == mine["customer_id"].cast("string"),
-                              "inner").drop(mine["customer_id"]).persist()
-            name = f"accept_{len(rows)}"
-            fitted = ml.fit(train, numeric, categorical, "accepted", learner="logistic",
-                            balanced=False)
-            auc = ml.cross_validated_auc(train, numeric, categorical, "accepted", id_column,
-                                         learner="logistic", balanced=False)
-            train.unpersist()
+    for i, (r, (fitted, auc)) in enumerate(zip(offers, found)):
+        name = f"accept_{i}" if fitted else None
+        if fitted:
             scored = ml.score(fitted, scored, name)
-        rows.append((r["offer"], r["shown"], r["accepted"], name, auc, not usable))
+        rows.append((r["offer"], r["shown"], r["accepted"], name, auc, fitted is None))
     table = data.sparkSession.createDataFrame(
         rows, "offer string, shown long, accepted long, column string, roc_auc double, "
         "low_data boolean")

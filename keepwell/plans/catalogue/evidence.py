@@ -178,11 +178,11 @@ QUERIES = {
         f"WITH {_REPEAT} SELECT event_id, is_repeat FROM rp"),
     "contact_rollup": (
         lambda s, d: l.contact_rollup(contacts(s, d), v.table(s, d, "customer").select(
-            col("c_custkey").alias("customer_id")), "user_id", "event_type", "ts", UNTIL, TYPES, "value", 15),
+            col("c_custkey").alias("customer_id")), "user_id", "event_type", "ts", UNTIL, TYPES, "value", 90),
         f"""WITH {_REPEAT}, g AS (SELECT user_id, count(*) AS contacts, """ + ", ".join(
             f"count(*) FILTER (event_type = '{c}') AS n_{c}" for c in TYPES) + """,
     count(*) FILTER (is_repeat) AS repeats, round(avg((event_type <> 'error')::INT), 2) AS resolution_rate,
-    round(avg(value), 2) AS mean_score FROM rp WHERE ts > TIMESTAMP '2024-01-10' AND ts <= TIMESTAMP '2024-01-25' GROUP BY 1)
+    round(avg(value), 2) AS mean_score FROM rp WHERE ts > TIMESTAMP '2023-10-27' AND ts <= TIMESTAMP '2024-01-25' GROUP BY 1)
   SELECT c_custkey AS customer_id, coalesce(contacts, 0) AS contacts, """ + ", ".join(
             f"coalesce(n_{c}, 0) AS n_{c}" for c in TYPES) + """, coalesce(repeats, 0) AS repeats, resolution_rate,
     mean_score FROM customer LEFT JOIN g ON user_id = c_custkey"""),

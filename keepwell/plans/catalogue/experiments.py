@@ -151,16 +151,10 @@ def _plans(s, d):
 
 
 def _design_table(s, d):
-    g = _plans(s, d)
-    p2 = col("p1") - 0.05
-    h = F.abs(2 * F.asin(F.sqrt("p1")) - 2 * F.asin(F.sqrt(p2)))
-    z = ds.Design(1).z_sum
-    n = F.pow(z / h, 2) * 2
-    need = F.ceil(n)
-    ok = col("p1") > 0.05
-    return g.where(ok).select("nation", "n", need.alias("n_treatment"), need.alias("n_control"),
-                              (col("n") >= 2 * need).alias("feasible"),
-                              F.ceil(2 * need / 500 * ds.DAYS_PER_MONTH).alias("duration_days"))
+    plan = ds.required_columns(ds.Design(1, mde=0.05), col("p1"), monthly_volume=500)
+    need = plan["n_treatment"] + plan["n_control"]
+    return _plans(s, d).where(col("p1") > 0.05).select(
+        "nation", "n", *[e.alias(k) for k, e in plan.items()], (col("n") >= need).alias("feasible"))
 
 
 QUERIES = {
@@ -214,11 +208,11 @@ QUERIES = {
   FROM assignment""")),
     "experiment_customers": (
         lambda s, d: a.experiment_customers(
-            v.dirty(s, d), v.predictions(s, d).where("customer_id % 7 <> 0"), "customer_id",
+            v.dirty(s, d), v.predictions(s, d), "customer_id",
             "row_id").select("customer_id", "row_id", "region", "churn_probability", "risk_band"),
         oracle("dirty predictions", """
   SELECT d.customer_id, row_id, region, churn_probability, risk_band FROM dirty d
-  JOIN predictions p ON d.customer_id = p.customer_id::VARCHAR WHERE p.customer_id % 7 <> 0
+  JOIN predictions p ON d.customer_id = p.customer_id::VARCHAR
   QUALIFY row_number() OVER (PARTITION BY d.customer_id ORDER BY row_id) = 1""")),
     "exclude_busy": (
         lambda s, d: a.exclude_busy(customers(s, d), _others(s, d), _experiments(s), 1)

@@ -42,7 +42,7 @@ def _fit(s, d, learner="logistic", trees=10):
 
 
 def _explained(s, d, learner="logistic"):
-    f = _fit(s, d, learner, 5)
+    f = _fit(s, d, learner, 50)
     return f, x.contributions(f, test(s, d), train(s, d), "customer_id")
 
 
@@ -89,7 +89,7 @@ def _held_scores(s, d, learner, trees=10):
 
 def _drivers(s, d):
     f, ex = _explained(s, d)
-    imp = ml.permutation_importance(f, test(s, d), "churned", "customer_id", repeats=2)
+    imp = ml.permutation_importance(f, test(s, d), "churned", "customer_id")
     odds, _ = x.odds_ratios(train(s, d), NUM, CAT, "churned")
     tests = h.run_tests(base(s, d), CAT, NUM, "churned")
     return x.driver_impact(imp, x.global_importance(ex, [*NUM, *CAT]), odds, tests)
@@ -105,9 +105,8 @@ def _predictions(s, d):
 
 def _acceptance(s, d):
     data = base(s, d).withColumn("customer_id", col("customer_id").cast("string"))
-    long = v.offer_history(s, d).withColumn("customer_id", col("customer_id").cast("string")).where(
-        col("offer").isin("1-URGENT", "2-HIGH"))
-    _, table = nbo.acceptance_models(data, long, ["balance"], ["region"])
+    long = v.offer_history(s, d).withColumn("customer_id", col("customer_id").cast("string"))
+    _, table = nbo.acceptance_models(data, long, NUM, CAT)
     return table
 
 
@@ -167,12 +166,11 @@ QUERIES = {
   SELECT "column", measure, round(value, 9) AS value FROM t WHERE abs(value) > 0.2
   UNION ALL SELECT variable, 'Cramér''s V', round(value, 9) FROM cv WHERE value > 0.2""")),
     "logistic_regression": (lambda s, d: _held_scores(s, d, "logistic"), None),
-    "gradient_boosting": (lambda s, d: _held_scores(s, d, "boosting", 5), None),
+    "gradient_boosting": (lambda s, d: _held_scores(s, d, "boosting", 50), None),
     "cross_validation": (
-        lambda s, d: ml.cross_validate(train(s, d).persist(), NUM, CAT, "churned", "customer_id",
-                                       learners=["logistic"]), None),
+        lambda s, d: ml.cross_validate(train(s, d), NUM, CAT, "churned", "customer_id"), None),
     "permutation_importance": (
-        lambda s, d: ml.permutation_importance(_fit(s, d), test(s, d), "churned", "customer_id", 3), None),
+        lambda s, d: ml.permutation_importance(_fit(s, d), test(s, d), "churned", "customer_id"), None),
     "calibration_raw_vs_isotonic": (_scores, None),
     "calibration_sigmoid": (_platt, None),
     "contributions_linear": (

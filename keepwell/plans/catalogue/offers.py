@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from keepwell.functions.scalar import col, formula_safe, offer_discount, risk_band
 from keepwell.operators import adhoc as q
 from keepwell.operators import business as b
+from keepwell.operators import explain as x
 from keepwell.operators import hypothesis as h
 from keepwell.operators import impact as t
 from keepwell.operators import nbo
@@ -269,17 +270,16 @@ QUERIES = {
                                              "churned", extra=o.offer_tests(history(s, d), people(s, d))),
                     None),
     "never_offered": (
-        lambda s, d: o.never_offered(people(s, d), history(s, d).where("offer = '2-HIGH'")),
-        oracle("offer_history planted", """SELECT customer_id IN (SELECT customer_id FROM offer_history
-  WHERE offer = '2-HIGH') AS offered, count(*) AS n, sum(churned)::BIGINT AS churned,
+        lambda s, d: o.never_offered(people(s, d), history(s, d)),
+        oracle("offer_history planted", """SELECT customer_id IN (SELECT customer_id FROM offer_history) AS offered, count(*) AS n, sum(churned)::BIGINT AS churned,
   avg(churned) AS churn_rate FROM planted GROUP BY 1""")),
     "selection_bias": (
-        lambda s, d: rounded(o.selection_bias(_pred(s, d), history(s, d).where("offer = '2-HIGH'")),
+        lambda s, d: rounded(o.selection_bias(_pred(s, d), history(s, d)),
                              "offered_mean_risk", "never_offered_mean_risk", "gap"),
         oracle("offer_history predictions", """SELECT round(a, 9) AS offered_mean_risk,
   round(b, 9) AS never_offered_mean_risk, round(a - b, 9) AS gap, a - b >= 0.05 AS flagged FROM (
   SELECT avg(churn_probability) FILTER (o) AS a, avg(churn_probability) FILTER (NOT o) AS b FROM (
-  SELECT churn_probability, customer_id IN (SELECT customer_id FROM offer_history WHERE offer = '2-HIGH') AS o
+  SELECT churn_probability, customer_id IN (SELECT customer_id FROM offer_history) AS o
   FROM predictions))""")),
     "offer_discount": (
         lambda s, d: v.table(s, d, "orders").select(F.concat_ws(
@@ -464,11 +464,11 @@ QUERIES = {
         oracle("planted", f"""SELECT segment AS label, count(*) AS customers, sum(churned)::BIGINT AS churners, scenario
   FROM planted, {_SCEN} WHERE segment = 'BUILDING' GROUP BY 1, 4""")),
     "customer_frame": (
-        lambda s, d: q.customer_frame(v.dirty(s, d), _pred(s, d).where("customer_id % 3 = 0"),
+        lambda s, d: q.customer_frame(v.dirty(s, d), _pred(s, d),
                                       "customer_id").select("row_id", "customer_id", "churn_probability",
                                                             "risk_band"),
         oracle("dirty predictions", """SELECT row_id, d.customer_id, churn_probability, risk_band FROM dirty d
-  LEFT JOIN predictions p ON d.customer_id = p.customer_id::VARCHAR AND p.customer_id % 3 = 0""")),
+  LEFT JOIN predictions p ON d.customer_id = p.customer_id::VARCHAR""")),
     "predictions_page": (
         lambda s, d: rounded(q.predictions_page(_pred(s, d), _small_nbo(s, d), band="High", query="1", page=2),
                              "expected_value", "runner_up_value", places=3),
@@ -488,9 +488,7 @@ QUERIES = {
   churn_probability, p.risk_band, p.actual_churn FROM nb JOIN predictions p ON p.customer_id = nb.customer_id
   WHERE nb.customer_id = 42""")),
     "band_counts": (
-        lambda s, d: s.createDataFrame([("High",), ("Medium",), ("Low",)], "risk_band string").join(
-            _pred(s, d).groupBy("risk_band").agg(F.count("*").alias("n")), "risk_band", "left")
-        .select("risk_band", F.coalesce("n", F.lit(0)).alias("n")),
+        lambda s, d: x.band_counts(_pred(s, d)),
         oracle("predictions", """SELECT b.risk_band, count(p.customer_id) AS n FROM (VALUES ('High'), ('Medium'),
   ('Low')) b(risk_band) LEFT JOIN predictions p ON p.risk_band = b.risk_band GROUP BY 1""")),
     "formula_safe_text": (
