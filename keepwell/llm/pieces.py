@@ -5,9 +5,10 @@ characters; of all neighbours that form a piece the best-scored, leftmost pair m
 candidate (its place in the word, left and right piece) is skipped for good where a hash of it under
 a key falls below the dropout rate, so one text gets varied segmentations that all decode to it; at
 rate 0 the result is the library's own. No piece has a space behind another character, so words are
-segmented on their own: a word has VARIANTS keys, and which of them holds at an occurrence follows
-from the seed, the document and the place. Short words are merged side by side in numpy, one merge of
-every word at a time; long ones by a heap.
+segmented on their own: every occurrence has a key, made of the seed, the document, the place and the
+word. What a word gives without dropout is remembered with the candidates that merge on the way; an
+occurrence whose key drops none of them takes it, every other one is segmented anew under its key.
+Short words are merged side by side in numpy, one merge of every word at a time; long ones by a heap.
 
 Defined cases: null and empty texts have no pieces; characters outside the vocabulary, the space sign
 U+2581 among them, become bytes and come back as they were; repeated rows get the same pieces; an
@@ -30,7 +31,7 @@ from pyspark.sql import functions as F
 from keepwell.llm.store import text_of
 
 SPACE = "▁"
-DROPOUT, VARIANTS = 0.1, 8
+DROPOUT = 0.1
 MEMO = 200_000  # distinct words a worker remembers, about
 SHORT = 48  # characters of a word that is merged side by side
 PIECE = 1 << 20
@@ -115,14 +116,20 @@ def _codes(words: list[str]) -> np.ndarray:
     return np.frombuffer("".join(words).encode("utf-32-le"), np.uint32)
 
 
+def candidate(place, left, right):
+    """The hash of a candidate that keys are combined with."""
+    return mixed(place << 40 ^ left << 20 ^ right)
+
+
 def skipped(key, place, left, right, rate: float):
     """Whether the candidate at place is dropped."""
-    return mixed(key ^ mixed(place << 40 ^ left << 20 ^ right)) < int(rate * 2 ** 64)
+    return mixed(key ^ candidate(place, left, right)) < int(rate * 2 ** 64)
 
 
-def segment_by_heap(v: Vocabulary, symbols: list[int], key: int, rate: float) -> list[int]:
+def segment_by_heap(v: Vocabulary, symbols: list[int], key: int, rate: float,
+                    trace: list | None = None) -> list[int]:
     """Pieces of one word from its symbols (negative: outside the vocabulary), agenda-wise: the
-    places that merged into the one before hold -2."""
+    places that merged into the one before hold -2; trace gets the candidates that merge."""
     ids, n = list(symbols), len(symbols)
     after, before = list(range(1, n + 1)), list(range(-1, n - 1))
     agenda = []
@@ -141,6 +148,8 @@ def segment_by_heap(v: Vocabulary, symbols: list[int], key: int, rate: float) ->
         q = after[p]
         if ids[p] != left or q >= n or ids[q] != right or skipped(key, p, left, right, rate):
             continue
+        if trace is not None:
+            trace.append(candidate(p, left, right))
         ids[p], ids[q] = piece, -2
         after[p] = after[q]
         if after[p] < n:
@@ -151,9 +160,10 @@ def segment_by_heap(v: Vocabulary, symbols: list[int], key: int, rate: float) ->
     return ids
 
 
-def segment_together(v: Vocabulary, symbols: np.ndarray, keys: np.ndarray, rate: float) -> np.ndarray:
+def segment_together(v: Vocabulary, symbols: np.ndarray, keys: np.ndarray, rate: float,
+                     trace: list | None = None) -> np.ndarray:
     """The same for many words at once; symbols: (words, places), filled up with -1. Merged-away places
-    of the result hold -2."""
+    of the result hold -2; trace gets pairs of arrays (word, candidate)."""
     n, width = symbols.shape
     ids = np.full((n, width + 2), -1, np.int64)  # a place before and one after every word
     ids[:, 1:-1] = symbols
@@ -181,6 +191,8 @@ def segment_together(v: Vocabulary, symbols: np.ndarray, keys: np.ndarray, rate:
             break
         q = after[live, p]
         nxt = after[live, q]
+        if trace is not None:
+            trace.append((live, candidate(*(x.astype(np.uint64) for x in (p - 1, ids[live, p], ids[live, q])))))
         ids[live, p], ids[live, q] = form[live, p], -2
         rank[live, q] = 0
         after[live, p], before[live, nxt] = nxt, p
@@ -199,18 +211,18 @@ class _Words(dict):
 class Encoder:
     """Whole texts to piece ids."""
 
-    def __init__(self, path: str, rate: float = DROPOUT, seed: int = 0, variants: int = VARIANTS):
+    def __init__(self, path: str, rate: float = DROPOUT, seed: int = 0):
         self.v, self.rate, self.seed = Vocabulary(path), rate, seed
-        self.variants = variants if rate > 0 else 1
         self.clear()
 
     def clear(self) -> None:
         self.words = _Words()
         self.words.names = []
         self.keys = np.zeros(0, np.uint64)
-        self.start = np.zeros((0, self.variants), np.int64)
-        self.size = np.zeros((0, self.variants), np.int32)
+        self.start, self.size = np.zeros(0, np.int64), np.zeros(0, np.int32)
         self.pieces = np.zeros(0, np.int32)
+        self.first, self.merges = np.zeros(0, np.int64), np.zeros(0, np.int32)  # into candidates
+        self.candidates = np.zeros(0, np.uint64)
 
     def _numbers(self, text: str) -> np.ndarray:
         found, at = [], 0
@@ -238,70 +250,95 @@ class Encoder:
             codes) else 0
         return mixed(np.diff(total) ^ np.uint64(self.seed << 32 & _MASK))
 
-    def _learn(self, wanted: np.ndarray) -> None:
-        """Segments words under keys: wanted holds word * variants + variant."""
-        n = len(self.words) - len(self.keys)
-        if n > 0:
-            new = self.words.names[len(self.keys):]
-            self.keys = np.concatenate([self.keys, self._word_keys(new)])
-            self.start = np.concatenate([self.start, np.full((n, self.variants), -1, np.int64)])
-            self.size = np.concatenate([self.size, np.zeros((n, self.variants), np.int32)])
-        missing = np.unique(wanted[self.start.ravel()[wanted] < 0])
-        if not len(missing):
+    def _learn(self) -> None:
+        """Segments new words without dropout and keeps the candidates that merge."""
+        known = len(self.keys)
+        new = self.words.names[known:]
+        if not new:
             return
-        number, variant = np.divmod(missing, self.variants)
-        keys = mixed(self.keys[number] + variant.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-        names = [self.words.names[i] for i in number]
-        length = np.array([len(w) for w in names])
-        made: list[np.ndarray] = [self.pieces]
-        held = len(self.pieces)
+        keys, trace = self._word_keys(new), []
+        start, size, pieces = self._segment(new, keys, 0.0, trace)
+        self.keys = np.concatenate([self.keys, keys])
+        self.start = np.concatenate([self.start, start + len(self.pieces)])
+        self.size = np.concatenate([self.size, size])
+        self.pieces = np.concatenate([self.pieces, pieces])
+        word = np.concatenate([np.zeros(0, np.int64), *(w for w, _ in trace)])
+        merged = np.concatenate([np.zeros(0, np.uint64), *(c for _, c in trace)])[np.argsort(word, kind="stable")]
+        merges = np.bincount(word, minlength=len(new)).astype(np.int32)
+        self.first = np.concatenate([self.first, len(self.candidates) + np.cumsum(merges, dtype=np.int64) - merges])
+        self.merges = np.concatenate([self.merges, merges])
+        self.candidates = np.concatenate([self.candidates, merged])
+
+    def _segment(self, words: list[str], keys: np.ndarray, rate: float, trace: list | None = None):
+        """(start, size, pieces) of words under keys; trace gets pairs of arrays (word, candidate)."""
+        start, size = np.zeros(len(words), np.int64), np.zeros(len(words), np.int32)
+        length = np.array([len(w) for w in words])
+        made: list[np.ndarray] = [np.zeros(0, np.int32)]
+        held = 0
+
+        def spell(at: int, out) -> None:
+            nonlocal held
+            flat = self._spelled(words[at], out)
+            start[at], size[at] = held, len(flat)
+            made.append(flat)
+            held += len(flat)
+
         for low, high in ((0, 8), (8, 12), (12, 20), (20, SHORT)):
             group = np.flatnonzero((length > low) & (length <= high))
             for at in range(0, len(group), 20_000):
                 part = group[at:at + 20_000]
-                words = [names[i] for i in part]
                 symbols = np.full((len(part), high), -1, np.int64)
                 inside = np.arange(high) < length[part][:, None]
-                symbols[inside] = self.v.symbol[_codes(words)]
-                out = segment_together(self.v, symbols, keys[part], self.rate)
+                symbols[inside] = self.v.symbol[_codes([words[i] for i in part])]
+                steps = None if trace is None else []
+                out = segment_together(self.v, symbols, keys[part], rate, steps)
+                if steps:
+                    trace += [(part[w], c) for w, c in steps]
                 keep = inside & (out != -2)
                 counts, flat = keep.sum(axis=1), out[keep]
                 flat = np.where(flat < -2, -3 - flat, flat)
-                ends = held + np.cumsum(counts)
-                self.start.ravel()[missing[part]], self.size.ravel()[missing[part]] = ends - counts, counts
+                start[part], size[part] = held + np.cumsum(counts) - counts, counts
                 made.append(flat.astype(np.int32))
                 held += len(flat)
                 for k in np.flatnonzero(((out == -1) & inside).any(axis=1)):
-                    held = self._spelled(words[k], out[k, :length[part[k]]], missing[part[k]], made, held)
+                    spell(part[k], out[k, :length[part[k]]])
         for i in np.flatnonzero(length > SHORT):
-            symbols = self.v.symbol[_codes([names[i]])].tolist()
-            out = segment_by_heap(self.v, symbols, int(keys[i]), self.rate)
-            held = self._spelled(names[i], out, missing[i], made, held)
-        self.pieces = np.concatenate(made)
-
-    def _spelled(self, word: str, out, pair: int, made: list[np.ndarray], held: int) -> int:
-        """Keeps the pieces of a word whose odd characters become bytes; out: a piece or mark per
-        character."""
+            symbols = self.v.symbol[_codes([words[i]])].tolist()
+            steps = None if trace is None else []
+            spell(i, segment_by_heap(self.v, symbols, int(keys[i]), rate, steps))
+            if steps:
+                trace.append((np.full(len(steps), i), np.array(steps, np.uint64)))
+        return start, size, np.concatenate(made)
+
+    def _spelled(self, word: str, out) -> np.ndarray:
+        """The pieces of a word whose odd characters become bytes; out: a piece or mark per character."""
         flat: list[int] = []
         for c, piece in zip(word, out):
             if piece >= 0:
                 flat.append(piece)
             elif piece != -2:
                 flat += [self.v.byte[b] for b in c.encode()]
-        self.start.ravel()[pair], self.size.ravel()[pair] = held, len(flat)
-        made.append(np.array(flat, np.int32))
-        return held + len(flat)
+        return np.array(flat, np.int32)
+
+    def _dropped(self, numbers: np.ndarray, keys: np.ndarray) -> np.ndarray:
+        """Positions of the occurrences that drop a candidate which merges without dropout."""
+        hit = np.zeros(len(numbers), bool)
+        for at in range(0, len(numbers), 50_000):
+            part = numbers[at:at + 50_000]
+            count = self.merges[part]
+            ends = np.cumsum(count, dtype=np.int64)
+            where = np.arange(ends[-1]) + np.repeat(self.first[part] - ends + count, count)
+            of = np.repeat(np.arange(at, at + len(part)), count)
+            hit[of[mixed(keys[of] ^ self.candidates[where]) < int(self.rate * 2 ** 64)]] = True
+        return np.flatnonzero(hit)
 
     def encode(self, texts: list[str], documents: np.ndarray) -> Iterator[np.ndarray]:
         """Ids of each text; documents: unsigned longs that tell them apart."""
         waiting, held = [], 0
         for text, doc in zip(texts, documents):
             numbers = self._numbers(" " + text if text else "")
-            if self.variants > 1:
-                place = np.arange(len(numbers), dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-                numbers = numbers * self.variants + (
-                    mixed(place ^ np.uint64(doc)) % np.uint64(self.variants)).astype(np.int64)
-            waiting.append(numbers)
+            place = np.arange(len(numbers), dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+            waiting.append((numbers, mixed(place ^ np.uint64(doc))))
             held += len(numbers)
             if held > 300_000:
                 yield from self._ids(waiting)
@@ -312,16 +349,23 @@ class Encoder:
         if len(self.words) > MEMO:
             self.clear()
 
-    def _ids(self, waiting: list[np.ndarray]) -> Iterator[np.ndarray]:
+    def _ids(self, waiting: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[np.ndarray]:
         if not waiting:
             return
-        numbers = np.concatenate(waiting)
-        self._learn(numbers)
-        begin, size = self.start.ravel()[numbers], self.size.ravel()[numbers]
+        numbers = np.concatenate([n for n, _ in waiting])
+        self._learn()
+        begin, size, pieces = self.start[numbers], self.size[numbers], self.pieces
+        if self.rate > 0:
+            keys = mixed(self.keys[numbers] ^ np.concatenate([k for _, k in waiting]))
+            anew = self._dropped(numbers, keys)
+            words = [self.words.names[i] for i in numbers[anew]]
+            start, size[anew], more = self._segment(words, keys[anew], self.rate)
+            begin[anew] = start + len(pieces)
+            pieces = np.concatenate([pieces, more])
         ends = np.cumsum(size, dtype=np.int64)
         total = int(ends[-1]) if len(ends) else 0
-        ids = self.pieces[np.arange(total) + np.repeat(begin - ends + size, size)]
-        upto = np.concatenate([[0], ends])[np.cumsum([0, *map(len, waiting)])]
+        ids = pieces[np.arange(total) + np.repeat(begin - ends + size, size)]
+        upto = np.concatenate([[0], ends])[np.cumsum([0, *(len(n) for n, _ in waiting)])]
         for a, b in zip(upto, upto[1:]):
             yield ids[a:b]
 

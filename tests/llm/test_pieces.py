@@ -65,3 +65,38 @@ def test_tables(spark):
     both = pieces.encode(docs, PATH, seed=2, back=True).collect()
     assert sorted(((r.doc_id, r.decoded) for r in both), key=key) == sorted(((i, t or "") for i, t, *_ in rows), key=key)
     assert pieces.decoded(pieces.encode(docs.limit(0), PATH), PATH).count() == 0
+
+
+def test_every_occurrence_drops_on_its_own():
+    e = pieces.Encoder(PATH, 0.1, 3)
+    texts = [" ".join(["a", "everything", "remarkable"] * 700)] * 10
+    plain = {w: encoded(0.0, [w])[1][0].tolist() for w in ("a", "everything", "remarkable")}
+    count, seen = {w: [0, 0] for w in plain}, {w: set() for w in plain}
+    for doc, text in enumerate(texts):
+        numbers = e._numbers(" " + text)
+        ids = list(e.encode([text], np.array([doc], np.uint64)))[0].tolist()
+        at = 0
+        for k, word in enumerate(e.words.names[n].strip() for n in numbers):
+            size = 1
+            while pieces.decode(e.v, np.array(ids[at:at + size])).decode().strip() != word:
+                size += 1
+            count[word][0] += ids[at:at + size] != plain[word]
+            count[word][1] += 1
+            seen[word].add(tuple(ids[at:at + size]))
+            at += size
+        assert at == len(ids)
+    assert len(plain["a"]) == 1  # one candidate, of the space and the letter
+    assert abs(count["a"][0] / count["a"][1] - 0.1) < 0.015
+    assert len(seen["everything"]) > 8 and len(seen["remarkable"]) > 8
+
+
+def test_an_occurrence_is_the_agenda_under_its_key():
+    words = ["internationalization", "everything", "the", "漢it", "averyverylongword" * 4] * 40
+    e, (ids,) = encoded(0.2, [" ".join(words)], 9, [77])
+    place = np.arange(len(words), dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    want = []
+    for word, at in zip(words, pieces.mixed(place ^ np.uint64(77))):
+        key = int(pieces.mixed(e._word_keys([" " + word]) ^ at)[0])
+        out = pieces.segment_by_heap(e.v, e.v.symbol[pieces._codes([" " + word])].tolist(), key, 0.2)
+        want += e._spelled(" " + word, [x if x > -3 else -3 - x for x in out]).tolist()
+    assert ids.tolist() == want
