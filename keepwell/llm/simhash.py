@@ -46,17 +46,22 @@ def _bit_counts(hashes: np.ndarray) -> np.ndarray:
     return sums.view(np.uint8).reshape(-1, 64).sum(axis=0, dtype=np.int64)
 
 
-def fingerprint(text: str) -> int:
+def shingle_hashes(text: str, shingle: int = SHINGLE) -> Iterator[np.ndarray]:
+    """XXH64 of every shingle, some at a time; nothing for a text without words."""
     words = text.encode().lower().split()  # bytes: A-Z only, and the six ASCII spaces
-    if not words:
-        return 0
-    n = max(1, len(words) - SHINGLE + 1)
-    counts = np.zeros(64, np.int64)
+    n = max(1, len(words) - shingle + 1) if words else 0
     for at in range(0, n, _STEP):
-        part = words[at:at + _STEP + SHINGLE - 1]
-        joined = map(b" ".join, zip(*(part[k:] for k in range(SHINGLE)))) if len(part) >= SHINGLE else [
+        part = words[at:at + _STEP + shingle - 1]
+        joined = map(b" ".join, zip(*(part[k:] for k in range(shingle)))) if len(part) >= shingle else [
             b" ".join(part)]
-        counts += _bit_counts(np.fromiter(map(xxh64_intdigest, joined, repeat(SEED)), np.uint64))
+        yield np.fromiter(map(xxh64_intdigest, joined, repeat(SEED)), np.uint64)
+
+
+def fingerprint(text: str) -> int:
+    counts, n = np.zeros(64, np.int64), 0
+    for hashes in shingle_hashes(text):
+        counts += _bit_counts(hashes)
+        n += len(hashes)
     return int(np.packbits(counts * 2 > n, bitorder="little").view("<u8")[0])
 
 
