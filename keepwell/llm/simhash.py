@@ -69,13 +69,15 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     for batch in batches:
         prints = np.array([fingerprint(t.as_py()) for t in batch.column("text")], np.uint64)
         yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), pa.array(prints.view(np.int64))], names=["doc_id", "fp"])
+            [batch.column("doc_id"), batch.column("sig"), pa.array(prints.view(np.int64))],
+            names=["doc_id", "sig", "fp"])
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, fp: the fingerprint of every row as a signed long."""
-    rows = docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text"))
-    return rows.mapInArrow(_fingerprints, "doc_id long, fp long")
+    """doc_id, sig (a hash of the text), fp: the fingerprint of every row as a signed long."""
+    text = text_of(text_col)
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("sig"), text.alias("text"))
+    return rows.mapInArrow(_fingerprints, "doc_id long, sig long, fp long")
 
 
 # -- the tree that deals fingerprints to shards -------------------------------------------------
@@ -205,24 +207,39 @@ def links(points: DataFrame) -> DataFrame:
     return dealt.groupBy("shard").applyInArrow(_shard_links, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, fp, component_id (the least id that links reach) for every row."""
+def _components(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """doc_id, sig, fp, component (a fingerprint) and component_id for every row."""
     folder = shared_folder(docs.sparkSession)
     rows = stored(fingerprints(docs, id_col, text_col), folder, "fingerprints")
     points = stored(rows.groupBy("fp").agg(F.min("doc_id").alias("first")), folder, "points")
     roots = connected_components(links(points), folder)
     named = points.join(roots, points.fp == roots.node, "left").select(
-        "fp", "first", F.coalesce("root", "fp").alias("root"))
-    least = named.groupBy("root").agg(F.min("first").alias("component_id"))
-    of = named.join(least, "root").select("fp", "component_id")
-    return rows.join(of, "fp").select("doc_id", "fp", "component_id")
+        "fp", "first", F.coalesce("root", "fp").alias("component"))
+    least = named.groupBy("component").agg(F.min("first").alias("component_id"))
+    of = named.join(least, "component").select("fp", "component", "component_id")
+    return rows.join(of, "fp").select("doc_id", "sig", "fp", "component", "component_id")
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, fp, component_id (the least id that links reach) for every row."""
+    return _components(docs, id_col, text_col).select("doc_id", "fp", "component_id")
+
+
+def one_of_each(docs: DataFrame, found: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """docs with one row of each component of found (doc_id, sig, component): that of the least id, null
+    ids last, then of the least hash of the text."""
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "sig"))
+    kept = found.groupBy("component").agg(least.alias("k")).select(
+        F.col("k.doc_id").alias("_kept_id"), F.col("k.sig").alias("_kept_sig"))
+    signed = docs.withColumn("_sig", F.xxhash64(text_of(text_col)))
+    rows = signed.join(kept, signed[id_col].eqNullSafe(kept["_kept_id"])
+                       & (signed["_sig"] == kept["_kept_sig"]), "left_semi")
+    return rows.dropDuplicates([id_col, "_sig"]).drop("_sig")
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with one document of each component, that of the least id; all columns stay."""
-    found = near_duplicates(docs, id_col, text_col)
-    kept = found.where("doc_id <=> component_id").select(F.col("doc_id").alias("_kept_id")).distinct()
-    return docs.join(kept, docs[id_col].eqNullSafe(kept["_kept_id"]), "left_semi")
+    """docs with one row of each component; all columns stay."""
+    return one_of_each(docs, _components(docs, id_col, text_col), id_col, text_col)
 
 
 def as_hex(fp: Column) -> Column:

@@ -100,3 +100,12 @@ def test_empty_and_null_ids(spark):
     docs = spark.createDataFrame([(None, "a b", "", 0), (5, "a b", "", 0), (None, "z q", "", 0)], KIND)
     got = sorted((r.doc_id is None, r.component_id or -1) for r in simhash.near_duplicates(docs).collect())
     assert got == [(False, 5), (True, -1), (True, 5)]
+
+
+def test_one_row_of_each_component_whatever_the_ids(spark):
+    rng = random.Random(6)
+    a, b, c, d = (" ".join(f"t{rng.randrange(4000)}" for _ in range(300)) for _ in range(4))
+    rows = [(1, a), (1, b), (0, b + " "), (5, a), (1, a), (None, c), (None, c + "  "), (None, d), (7, d)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r.doc_id or -1, r.text.strip()) for r in simhash.drop_near_duplicates(docs).collect())
+    assert got == sorted([(1, a), (-1, b), (-1, c), (7, d)])
