@@ -6,7 +6,21 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keepwell.llm import exact, language, mixing, pieces, secrets, shards, simhash, token_files, topk, urls
+from keepwell.llm import (
+    exact,
+    language,
+    merkle,
+    mixing,
+    pieces,
+    secrets,
+    shards,
+    simhash,
+    token_files,
+    topk,
+    urls,
+    vector_codes,
+    warc,
+)
 from keepwell.llm.store import shared_folder, table
 
 
@@ -132,6 +146,97 @@ def op10_extendible_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.join(sizes, "shard").select("doc_id", "shard", "n_bytes", "shard_bytes", "shard_rows")
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lowered = F.translate("text", urls.UPPER, urls.LOWER)
+    made = merkle.manifest(table(spark, sf_dir, "documents"), changes={"text": lowered},
+                           where=F.crc32(F.col("doc_id").cast("string")) % 3 == 0, copies=False)
+    return made.select(F.col("id").alias("doc_id"), "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
+
+
+def _merkle_sql(levels: int, top_levels: int) -> str:
+    """The SQL of op11 for at most 8 ** levels rows of a language and 8 ** top_levels languages."""
+    def field(x: str) -> str:
+        return f"CASE WHEN {x} IS NULL THEN '-' ELSE strlen({x}::VARCHAR) || ':' || {x}::VARCHAR END"
+
+    plain = " || ".join(field(x) for x in ("doc_id", "source", "lang", "n_chars", "text"))
+    crc = ("xor(list_reduce(list_prepend(4294967295::BIGINT, [ascii(d)::BIGINT for d in string_split(doc_id::VARCHAR, '')]), "
+           "lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], "
+           "lambda a, z: xor(a >> 1, 3988292384 * (a & 1)))), 4294967295)")
+    out = [f"""WITH d AS (SELECT doc_id, lang, sha256({plain}) AS leaf, {crc} % 3 = 0 AS hit,
+    sha256({plain.replace(field("text"), field(f"translate(text, '{urls.UPPER}', '{urls.LOWER}')"))}) AS low FROM documents),
+  v0 AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos,
+    CASE WHEN hit THEN low ELSE leaf END AS fold, '' AS proof FROM d),
+  n0 AS MATERIALIZED (SELECT lang, pos, leaf AS h, count(*) OVER (PARTITION BY lang) AS n FROM v0)"""]
+
+    def rise(rows: str, nodes: str, k: int, tree: str) -> None:
+        key = f"b.{tree} IS NOT DISTINCT FROM r.{tree}" if tree else "true"
+        tree_, by = (f"{tree}, ", f"{tree}, pos // 8, n") if tree else ("", "pos // 8, n")
+        out.append(f"""  r_{nodes}{k} AS (SELECT {tree_}pos // 8 AS pos, n, list(h ORDER BY pos) AS hs FROM {nodes}{k} GROUP BY {by}),
+  {nodes}{k + 1} AS MATERIALIZED (SELECT {tree_}pos, CASE WHEN n = 1 THEN hs[1] ELSE sha256(array_to_string(hs, '')) END AS h,
+    (n + 7) // 8 AS n FROM r_{nodes}{k}),
+  {rows}{k + 1} AS MATERIALIZED (SELECT b.* EXCLUDE (pos, fold, proof), b.pos // 8 AS pos,
+    CASE WHEN n = 1 THEN fold ELSE sha256(array_to_string(hs[:b.pos % 8], '') || fold || array_to_string(hs[b.pos % 8 + 2:], ''))
+    END AS fold, CASE WHEN n = 1 THEN proof
+    ELSE proof || array_to_string(hs[:b.pos % 8], '') || array_to_string(hs[b.pos % 8 + 2:], '') END AS proof
+    FROM {rows}{k} b JOIN r_{nodes}{k} r ON {key} AND r.pos = b.pos // 8)""")
+
+    for k in range(levels):
+        rise("v", "n", k, "lang")
+    out.append(f"""  m0 AS MATERIALIZED (SELECT lang, h AS subroot, h, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS pos,
+    count(*) OVER () AS n FROM n{levels}),
+  w0 AS MATERIALIZED (SELECT v.* EXCLUDE (pos), m0.pos, subroot FROM v{levels} v JOIN m0 ON v.lang IS NOT DISTINCT FROM m0.lang)""")
+    for k in range(top_levels):
+        rise("w", "m", k, "")
+    end = f"""
+SELECT doc_id, leaf, subroot, m.h AS root, sha256(proof) AS proof_sha256, fold AS folded_root, fold = m.h AS verified
+FROM w{top_levels} JOIN m{top_levels} m ON true"""
+    return ",\n".join(out) + end
+
+
+def op12_warc_captures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{shared_folder(spark)}/archives"
+    warc.write(table(spark, sf_dir, "pages"), path)
+    return warc.digests(warc.assemble(warc.records(spark, path, with_payload=False)))
+
+
+_OP12 = f"""
+WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
+  f AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first_id FROM p)
+SELECT page_id, payload_bytes, payload_digest,
+  CASE WHEN payload_bytes >= {warc.LEAST} AND page_id <> first_id THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN payload_bytes >= {warc.LEAST} AND page_id <> first_id THEN first_id END AS refers_to
+FROM f
+"""
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compressed(table(spark, sf_dir, "embeddings"))
+
+
+def _vector_code_sql(parts: int = vector_codes.PARTS, entries: int = vector_codes.ENTRIES,
+                     rounds: int = vector_codes.ROUNDS) -> str:
+    out = [f"""WITH v AS MATERIALIZED (SELECT vec_id, label, row_number() OVER (ORDER BY vec_id) AS no,
+    list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS e FROM embeddings
+    WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+  x AS MATERIALIZED (SELECT vec_id, label, no, part,
+    e[part * len(e) // {parts} + 1:(part + 1) * len(e) // {parts}] AS e FROM v, range({parts}) AS r (part)),
+  b0 AS MATERIALIZED (SELECT part, no - 1 AS entry, e FROM x WHERE no <= {entries})"""]
+    for k in range(rounds + 1):
+        out.append(f"""  a{k} AS MATERIALIZED (SELECT x.no, x.part, min((list_sum(list_transform(list_zip(x.e, b.e),
+      lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT, b.entry)) AS best FROM x JOIN b{k} b ON x.part = b.part
+    GROUP BY x.no, x.part)""")
+        if k < rounds:
+            out.append(f"""  c{k} AS (SELECT a.part, a.best[2] AS entry, i, floor(sum(x.e[i])::DECIMAL(38, 0) / count(*))::BIGINT AS m
+    FROM a{k} a JOIN x ON a.no = x.no AND a.part = x.part, range(1, len(x.e) + 1) AS d (i) GROUP BY ALL),
+  b{k + 1} AS MATERIALIZED (SELECT b.part, b.entry, coalesce(c.e, b.e) AS e FROM b{k} b LEFT JOIN
+    (SELECT part, entry, list(m ORDER BY i) AS e FROM c{k} GROUP BY ALL) c ON b.part = c.part AND b.entry = c.entry)""")
+    end = f"""  o AS (SELECT v.vec_id, v.label, string_agg(printf('%02x', best[2]), '' ORDER BY part) AS code, sum(best[1])::BIGINT AS error
+    FROM a{rounds} a JOIN v ON a.no = v.no GROUP BY v.no, v.vec_id, v.label)
+SELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error,
+  (SELECT sha256(string_agg(array_to_string(e, ','), ',' ORDER BY part, entry)) FROM b{rounds}) AS codebooks_sha256 FROM o"""
+    return ",\n".join([*out, end])
+
+
 QUERIES = {
     "op1_token_files": (op1_token_files, None),
     "op2_language_id": (op2_language_id, None),
@@ -143,4 +248,7 @@ QUERIES = {
     "op8_soft_mixing": (op8_soft_mixing, None),
     "op9_topk_search": (op9_topk_search, _OP9),
     "op10_extendible_shards": (op10_extendible_shards, None),
+    "op11_merkle_manifest": (op11_merkle_manifest, _merkle_sql(7, 2)),
+    "op12_warc_captures": (op12_warc_captures, _OP12),
+    "op13_vector_codes": (op13_vector_codes, _vector_code_sql()),
 }
