@@ -40,6 +40,7 @@ LEAST = 100  # bytes from which an equal payload is not written twice
 DATE = "2024-01-01T00:00:00Z"
 ANCHORS = ("response", "revisit", "resource")
 RECORDS_PER_FILE = 100_000
+SALTS = 32
 #: Fixed values.
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 CRLF = "\r\n"
@@ -331,6 +332,13 @@ def digests(captures: DataFrame) -> DataFrame:
         "capture", "page_id", F.col("response.http_length").alias("payload_bytes"),
         F.col("response.digest").alias("payload_digest"), F.col("response.kind").alias("record_type"),
         F.col("response.refers").alias("refers"))
-    pages = flat.where("record_type <> 'revisit'").select(F.col("capture").alias("refers"), F.col("page_id").alias("refers_to"))
-    return flat.join(pages, "refers", "left").select(
-        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    # a response that very many revisits refer to is looked up under SALTS keys; only those that are referred to
+    named = flat.where("refers IS NOT NULL").select(F.col("refers").alias("capture")).distinct()
+    pages = flat.where("record_type <> 'revisit'").select("capture", F.col("page_id").alias("refers_to")).join(
+        named, "capture", "left_semi").select(F.col("capture").alias("of"), "refers_to", F.explode(
+            F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    flat = flat.withColumns({"key": F.coalesce("refers", "capture"),  # no key is null
+                             "at": F.pmod(F.xxhash64("capture"), F.lit(SALTS)).cast("int")})
+    return flat.join(pages, (F.col("key") == F.col("of")) & (F.col("at") == F.col("salt")), "left").select(
+        "page_id", "payload_bytes", "payload_digest", "record_type",
+        F.when(F.col("refers").isNotNull(), F.col("refers_to")).alias("refers_to"))
