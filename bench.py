@@ -76,7 +76,7 @@ def stages(spark, folder):
     def surviving():
         df = survival.durations(stored("base"), "tenure")
         steps = (lambda: survival.downsample(survival.kaplan_meier(df, "tenure", "churned")),
-                 lambda: survival.logrank_tests(survival.logrank_sums(
+                 lambda: survival.logrank_tests(survival.logrank_counts(
                      df, ["region", "segment"], "tenure", "churned")))
         with ThreadPoolExecutor(2) as pool:
             list(pool.map(lambda step: run(step()), steps))

@@ -1,9 +1,10 @@
 """Order-dependent computations that never sort a whole column in one task.
 
-Rows are cut into value ranges, as many as the session has shuffle partitions: edges come from one
-approximate-quantile pass and enter the plan as literals, so a recomputed task always sees the same
-edges. Rows are ordered inside (key, range); the few totals per range are carried forward and joined
-back. Edges affect only the size of the pieces, never the result.
+Rows are written once, dealt to ranges of (keys, order) and numbered by range: Spark chooses the range
+bounds from a sample, and since the table is written, a recomputed task sees the same ranges. Inside a
+range a window does the work; what a range passes on to the next ones is one row per key and range,
+carried forward by a window over those few rows and joined back. A key that holds most rows lies in
+many ranges, keys with few rows share one. Bounds affect only the size of the pieces, never the result.
 """
 
 from __future__ import annotations
@@ -14,103 +15,63 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from keepwell.functions.scalar import col
+from keepwell.functions.stored import stored
 
-LEAST_RANGES = 8
-_BUCKET = "_range"
-
-
-def _sortable(df: DataFrame, name: str) -> Column:
-    """A double that orders like the column (dates and timestamps by their microseconds, texts by
-    their first six bytes)."""
-    kind = df.schema[name].dataType.typeName()
-    if kind == "string":
-        head = F.substring(F.encode(col(name), "UTF-8"), 1, 6)
-        return F.conv(F.rpad(F.hex(head), 12, "0"), 16, 10).cast("double")
-    if kind in ("timestamp", "timestamp_ntz", "date"):
-        return F.unix_micros(col(name).cast("timestamp")).cast("double")
-    return col(name).cast("double")
-
-
-def with_range(df: DataFrame, keys: Sequence[str], order: Sequence[str], *, per_key: bool,
-               ranges: int | None = None) -> DataFrame:
-    """Add the range number. Every edge value gets a range of its own, so one very frequent
-    value cannot swell its neighbours; such a range is cut again by the tie-breaking column."""
-    if ranges is None:
-        ranges = max(LEAST_RANGES, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    probs = F.array(*[F.lit((i + 1) / (ranges + 1)) for i in range(ranges)])
-
-    def edges_of(frame: DataFrame, name: str, by: Sequence[str]) -> DataFrame:
-        q = F.percentile_approx(_sortable(frame, name), probs, F.lit(20 * ranges))
-        return frame.groupBy(*map(col, by)).agg(F.array_distinct(q).alias("_edges"))
-
-    def place(edges: Column, value: Column) -> Column:
-        return (F.size(F.filter(edges, lambda e: e < value))
-                + F.size(F.filter(edges, lambda e: e <= value)))
-
-    first = order[0]
-    spark = df.sparkSession
-    if per_key and keys:
-        table = edges_of(df, first, keys)
-        rows = table.collect()  # one short array per key; keys here are column and level names
-        edges = F.broadcast(spark.createDataFrame(rows, table.schema))
-        out = df.join(edges, [df[k].eqNullSafe(edges[k]) for k in keys], "left")
-        out = out.select(*[df[c] for c in df.columns], edges["_edges"])
-        value = _sortable(df, first)
-        out = out.withColumn(_BUCKET, F.coalesce(place(F.col("_edges"), value), F.lit(0)))
-        return out.drop("_edges")
-    cuts = {}
-    for name in order[:2]:
-        row = edges_of(df, name, []).first()
-        cuts[name] = F.array(*[F.lit(float(e)) for e in (row["_edges"] or [])]).cast("array<double>")
-    place_first = F.coalesce(place(cuts[first], _sortable(df, first)), F.lit(0)).cast("long")
-    if len(order) > 1:
-        inner = F.coalesce(place(cuts[order[1]], _sortable(df, order[1])), F.lit(0))
-        place_first = (place_first * (4 * ranges)
-                       + F.when(place_first % 2 == 1, inner).otherwise(0))
-    return df.withColumn(_BUCKET, place_first)
+RANGE = "_range"
 
 
-def running_sums(df: DataFrame, keys: Sequence[str], order: str, sums: dict[str, str], *,
-                 descending: bool = False, per_key: bool = True) -> DataFrame:
-    """Inclusive running totals {new column: summed column} per key in value order. The order
-    values must be distinct within a key (aggregate to distinct values first)."""
-    def ordering(name: str) -> Column:
-        return col(name).desc() if descending else col(name).asc()
+def ranged(df: DataFrame, keys: Sequence[str], order: Sequence[str], *, descending: bool = False
+           ) -> DataFrame:
+    """df, written in ranges of (keys, order), with the range number."""
+    by = [*(col(k).asc() for k in keys), *(col(o).desc() if descending else col(o).asc() for o in order)]
+    return stored(df.repartitionByRange(*by).withColumn(RANGE, F.spark_partition_id()))
+
+
+def _carry(cut: DataFrame, keys: Sequence[str], totals: dict[str, Column], over: dict[str, Column]) -> DataFrame:
+    """keys, range and what the ranges before it pass on: aggregates of a range, then of all before."""
+    before = Window.partitionBy(*map(col, keys)).orderBy(RANGE).rowsBetween(Window.unboundedPreceding, -1)
+    each = cut.groupBy(*map(col, keys), RANGE).agg(*[c.alias(n) for n, c in totals.items()])
+    return each.select(*map(col, keys), RANGE, *[c.over(before).alias(n) for n, c in over.items()])
+
+
+def _joined(local: DataFrame, carried: DataFrame, keys: Sequence[str]) -> DataFrame:
+    on = [local[p].eqNullSafe(carried[p]) for p in keys] + [local[RANGE] == carried[RANGE]]
+    return local.join(carried, on, "left")
+
 
-    cut = with_range(df, keys, [order], per_key=per_key)
-    parts = [*keys, _BUCKET]
-    inner = (Window.partitionBy(*map(col, parts)).orderBy(ordering(order))
+def running_over(cut: DataFrame, keys: Sequence[str], order: str, sums: dict[str, str], *,
+                 descending: bool = False) -> DataFrame:
+    """Inclusive running totals {new column: summed column} of a table that ranged() has cut."""
+    by = col(order).desc() if descending else col(order).asc()
+    inner = (Window.partitionBy(*map(col, [*keys, RANGE])).orderBy(by)
              .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     local = cut.select("*", *[F.sum(col(c)).over(inner).alias(new) for new, c in sums.items()])
-    outer = (Window.partitionBy(*map(col, keys)).orderBy(ordering(_BUCKET))
-             .rowsBetween(Window.unboundedPreceding, -1))
-    totals = cut.groupBy(*map(col, parts)).agg(
-        *[F.sum(col(c)).alias(f"_t_{new}") for new, c in sums.items()])
-    before = totals.select(*map(col, parts), *[
-        F.coalesce(F.sum(col(f"_t_{new}")).over(outer), F.lit(0)).alias(f"_b_{new}")
-        for new in sums])
-    joined = local.join(before, [local[p].eqNullSafe(before[p]) for p in parts], "left")
-    return joined.select(*[local[c] for c in df.columns], *[
-        (local[new] + before[f"_b_{new}"]).alias(new) for new in sums])
+    carried = _carry(cut, keys, {f"_t_{new}": F.sum(col(c)) for new, c in sums.items()},
+                     {f"_b_{new}": F.sum(col(f"_t_{new}")) for new in sums})
+    return _joined(local, carried, keys).select(*[local[c] for c in cut.columns], *[
+        (local[new] + F.coalesce(carried[f"_b_{new}"], F.lit(0))).alias(new) for new in sums])
+
+
+def running_sums(df: DataFrame, keys: Sequence[str], order: str, sums: dict[str, str], *,
+                 descending: bool = False) -> DataFrame:
+    """Inclusive running totals {new column: summed column} per key in value order. The order
+    values must be distinct within a key (aggregate to distinct values first)."""
+    cut = ranged(df, keys, [order], descending=descending)
+    return running_over(cut, keys, order, sums, descending=descending).drop(RANGE)
 
 
 def previous_values(df: DataFrame, keys: Sequence[str], order: Sequence[str],
                     values: dict[str, str]) -> DataFrame:
-    """Values of the preceding row of the same key {new column: source column}. A hot key is
-    cut into ranges; each range takes its first predecessor from the last row before it."""
+    """Values of the preceding row of the same key {new column: source column}; the first row of a
+    range takes them from the last row of the ranges before it."""
+    cut = ranged(df, keys, order)
     by = [col(o).asc() for o in order]
-    cut = with_range(df, keys, order, per_key=False)
-    parts = [*keys, _BUCKET]
-    inner = Window.partitionBy(*map(col, parts)).orderBy(*by)
+    inner = Window.partitionBy(*map(col, [*keys, RANGE])).orderBy(*by)
     local = cut.select("*", F.row_number().over(inner).alias("__pos"), *[
         F.lag(col(c)).over(inner).alias(new) for new, c in values.items()])
-    packed = F.struct(*map(col, order), *[col(c).alias(f"__v{i}")
-                                          for i, c in enumerate(values.values())])
-    last = cut.groupBy(*map(col, parts)).agg(F.max(packed).alias("__last"))
-    outer = Window.partitionBy(*map(col, keys)).orderBy(_BUCKET)
-    carried = last.select(*map(col, parts), F.lag("__last").over(outer).alias("__carry"))
-    joined = local.join(carried, [local[p].eqNullSafe(carried[p]) for p in parts], "left")
-    return joined.select(*[local[c] for c in df.columns], *[
+    packed = F.struct(*map(col, order), *[col(c).alias(f"__v{i}") for i, c in enumerate(values.values())])
+    carried = _carry(cut, keys, {"__last": F.max(packed)}, {"__carry": F.last("__last")})
+    return _joined(local, carried, keys).select(*[local[c] for c in df.columns], *[
         F.when(local["__pos"] == 1, F.col(f"__carry.__v{i}")).otherwise(local[new]).alias(new)
         for i, new in enumerate(values)])
 
@@ -118,19 +79,13 @@ def previous_values(df: DataFrame, keys: Sequence[str], order: Sequence[str],
 def greatest_before(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str,
                     new: str) -> DataFrame:
     """Largest value among the rows before the current one (running maximum, exclusive)."""
-    by = [col(o).asc() for o in order]
-    cut = with_range(df, keys, order, per_key=False)
-    parts = [*keys, _BUCKET]
-    inner = (Window.partitionBy(*map(col, parts)).orderBy(*by)
+    cut = ranged(df, keys, order)
+    inner = (Window.partitionBy(*map(col, [*keys, RANGE])).orderBy(*[col(o).asc() for o in order])
              .rowsBetween(Window.unboundedPreceding, -1))
     local = cut.select("*", F.max(col(value)).over(inner).alias(new))
-    outer = (Window.partitionBy(*map(col, keys)).orderBy(_BUCKET)
-             .rowsBetween(Window.unboundedPreceding, -1))
-    tops = cut.groupBy(*map(col, parts)).agg(F.max(col(value)).alias("_top"))
-    carried = tops.select(*map(col, parts), F.max("_top").over(outer).alias("_carry"))
-    joined = local.join(carried, [local[p].eqNullSafe(carried[p]) for p in parts], "left")
-    return joined.select(*[local[c] for c in df.columns],
-                         F.greatest(local[new], carried["_carry"]).alias(new))
+    carried = _carry(cut, keys, {"_top": F.max(col(value))}, {"_carry": F.max("_top")})
+    return _joined(local, carried, keys).select(
+        *[local[c] for c in df.columns], F.greatest(local[new], carried["_carry"]).alias(new))
 
 
 def value_counts(df: DataFrame, keys: Sequence[str], value: str,
@@ -143,9 +98,12 @@ def value_counts(df: DataFrame, keys: Sequence[str], value: str,
 def numbered(df: DataFrame, keys: Sequence[str], order: str, new: str, *,
              descending: bool = False) -> DataFrame:
     """Row number in order of a column whose values are distinct within a key."""
-    one = running_sums(df.withColumn("_one", F.lit(1).cast("long")), keys, order, {new: "_one"},
-                       descending=descending)
-    return one.drop("_one")
+    cut = ranged(df, keys, [order], descending=descending)
+    by = col(order).desc() if descending else col(order).asc()
+    local = cut.withColumn(new, F.row_number().over(Window.partitionBy(*map(col, [*keys, RANGE])).orderBy(by)))
+    carried = _carry(cut, keys, {"_n": F.count("*")}, {"_before": F.sum("_n")})
+    return _joined(local, carried, keys).select(*[local[c] for c in df.columns], (
+        local[new] + F.coalesce(carried["_before"], F.lit(0))).alias(new))
 
 
 def evenly_spaced(df: DataFrame, keys: Sequence[str], position: str, length: Column,

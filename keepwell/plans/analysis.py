@@ -67,7 +67,7 @@ def survival_stage(df: DataFrame, roles: Roles) -> dict[str, DataFrame]:
             curves = survival.kaplan_meier(long, roles.time, y, ["variable", "level"])
             out["survival_by_level"] = survival.downsample(curves, ["variable", "level"])
             out["logrank"] = survival.logrank_tests(
-                survival.logrank_sums(usable, picked, roles.time, y))
+                survival.logrank_counts(usable, picked, roles.time, y))
     return out
 
 

@@ -68,11 +68,51 @@ def _curves(s, d):
     return sv.kaplan_meier(long, "tenure", "churned", ["variable", "level"])
 
 
-def _sums(s, d):
-    return sv.logrank_sums(sv.durations(with_wealth(s, d), "tenure"),
+def _counts(s, d):
+    return sv.logrank_counts(sv.durations(with_wealth(s, d), "tenure"),
                            ["region", "segment", "wealth"], "tenure", "churned")
 
 
+_RISK = """
+  WITH lv AS (SELECT variable, level, tenure AS t, churned AS d FROM (SELECT region, segment,
+     CASE WHEN balance >= 5000 THEN 'rich' ELSE 'other' END AS wealth, tenure, churned FROM planted
+     WHERE tenure >= 0) UNPIVOT (level FOR variable IN (region, segment, wealth))),
+  g AS (SELECT variable, level, count(*) AS z FROM lv GROUP BY 1, 2 HAVING count(*) >= 5),
+  ts AS (SELECT DISTINCT variable, t FROM lv),
+  a AS (SELECT ts.variable, g.level, ts.t, coalesce(sum(d), 0) AS dg, count(lv.t) AS cg
+        FROM ts JOIN g ON g.variable = ts.variable
+        LEFT JOIN lv ON lv.variable = ts.variable AND lv.level = g.level AND lv.t = ts.t
+        GROUP BY 1, 2, 3),
+  r AS (SELECT *, sum(cg) OVER (PARTITION BY variable, level ORDER BY t
+                ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS ng FROM a),
+  m AS (SELECT *, sum(ng) OVER v AS n, sum(dg) OVER v AS d FROM r
+        WINDOW v AS (PARTITION BY variable, t))"""
+
+
+def _logrank_form(pivots: int) -> str:
+    """The form gap . inverse covariance . gap for up to pivots + 1 levels: the covariance, bordered by the
+    gaps, is eliminated level by level, and the corner is left."""
+    steps = ",\n".join(f"""  e{p + 1} AS MATERIALIZED (SELECT a.variable, a.i, a.j, a.v - coalesce(b.v * c.v / nullif(d.v, 0), 0) AS v FROM e{p} a
+    LEFT JOIN e{p} b ON b.variable = a.variable AND b.i = a.i AND b.j = {p}
+    LEFT JOIN e{p} c ON c.variable = a.variable AND c.i = {p} AND c.j = a.j
+    LEFT JOIN e{p} d ON d.variable = a.variable AND d.i = {p} AND d.j = {p} WHERE a.i > {p} AND a.j > {p})"""
+                       for p in range(pivots))
+    return f""",
+  w AS (SELECT *, dense_rank() OVER (PARTITION BY variable ORDER BY level) - 1 AS i,
+    CASE WHEN n > 1 THEN d * (n - d) / (n - 1) ELSE 0 END AS s FROM m),
+  z AS (SELECT variable, max(i) AS top FROM w GROUP BY 1),
+  gap AS (SELECT variable, i, sum(dg - d * ng / n) AS v FROM w GROUP BY 1, 2),
+  e0 AS MATERIALIZED (SELECT a.variable, a.i, b.i AS j, sum(a.s * (a.ng / a.n) * ((a.i = b.i)::INT - b.ng / b.n)) AS v
+    FROM w a JOIN w b ON a.variable = b.variable AND a.t = b.t JOIN z ON z.variable = a.variable
+    WHERE a.i < top AND b.i < top GROUP BY 1, 2, 3
+    UNION ALL SELECT gap.variable, i, 999, v FROM gap JOIN z ON z.variable = gap.variable WHERE i < top
+    UNION ALL SELECT gap.variable, 999, i, v FROM gap JOIN z ON z.variable = gap.variable WHERE i < top
+    UNION ALL SELECT variable, 999, 999, 0 FROM z),
+{steps}
+  SELECT e.variable, round(-v, 6) AS statistic, top::INTEGER AS df FROM e{pivots} e JOIN z ON z.variable = e.variable
+  WHERE i = 999 AND j = 999"""
+
+
 def _association(s, d):
     return sv.association(sv.level_counts(with_wealth(s, d),
                                           ["region", "segment", "nation", "wealth"], "churned"))
@@ -200,23 +240,13 @@ QUERIES = {
   SELECT variable, round(sqrt(sum((retained - e0)^2 / e0 + (churned - e1)^2 / e1) / n), 9)
     AS cramers_v FROM x GROUP BY variable, n ORDER BY cramers_v DESC, variable LIMIT 3""")),
     "logrank_table": (
-        lambda s, d: rounded(sv.logrank_table(_sums(s, d)), "expected", "variance", places=6),
-        oracle("planted", """
-  WITH lv AS (SELECT variable, level, tenure AS t, churned AS d FROM (SELECT region, segment,
-     CASE WHEN balance >= 5000 THEN 'rich' ELSE 'other' END AS wealth, tenure, churned FROM planted
-     WHERE tenure >= 0) UNPIVOT (level FOR variable IN (region, segment, wealth))),
-  g AS (SELECT variable, level, count(*) AS z FROM lv GROUP BY 1, 2 HAVING count(*) >= 5),
-  ts AS (SELECT DISTINCT variable, t FROM lv),
-  a AS (SELECT ts.variable, g.level, ts.t, coalesce(sum(d), 0) AS dg, count(lv.t) AS cg
-        FROM ts JOIN g ON g.variable = ts.variable
-        LEFT JOIN lv ON lv.variable = ts.variable AND lv.level = g.level AND lv.t = ts.t
-        GROUP BY 1, 2, 3),
-  r AS (SELECT *, sum(cg) OVER (PARTITION BY variable, level ORDER BY t
-                ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS ng FROM a),
-  m AS (SELECT *, sum(ng) OVER v AS n, sum(dg) OVER v AS d FROM r
-        WINDOW v AS (PARTITION BY variable, t))
+        lambda s, d: rounded(sv.logrank_table(_counts(s, d)), "expected", "variance", places=6),
+        oracle("planted", _RISK + """
   SELECT variable, level, sum(dg)::BIGINT AS observed, round(sum(d * ng / n), 6) AS expected,
     round(sum(CASE WHEN n > 1 THEN d * (n - d) / (n - 1) * (ng / n) * (1 - ng / n) ELSE 0 END), 6)
     AS variance FROM m GROUP BY 1, 2""")),
-    "logrank_test": (lambda s, d: sv.logrank_tests(_sums(s, d)), None),
+    "logrank_statistic": (
+        lambda s, d: rounded(sv.logrank_statistics(_counts(s, d)), "statistic", places=6),
+        oracle("planted", _RISK + _logrank_form(5))),
+    "logrank_test": (lambda s, d: sv.logrank_tests(_counts(s, d)), None),
 }

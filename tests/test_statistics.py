@@ -4,6 +4,7 @@ import datetime as dt
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -127,11 +128,59 @@ def test_logrank_two_groups_by_hand(spark):
             var += share * (1 - share) if total > 1 else 0
         n[g] -= 1
     stat = (5 - expect) ** 2 / var
-    got = survival.logrank_tests(survival.logrank_sums(df, ["g"], "t0", "e")).first()
+    got = survival.logrank_tests(survival.logrank_counts(df, ["g"], "t0", "e")).first()
     assert got["statistic"] == pytest.approx(stat) and got["df"] == 1
     assert got["p_value"] == pytest.approx(dist.chi2_sf(stat, 1))
 
 
+def _dense_logrank(rows):
+    """The statistic from the written-out covariance."""
+    levels = sorted({g for g, _, _ in rows})
+    k = {g: i for i, g in enumerate(levels)}
+    left = np.zeros(len(levels))
+    for g, _, _ in rows:
+        left[k[g]] += 1
+    gap, cov = np.zeros(len(levels)), np.zeros((len(levels), len(levels)))
+    by_time = {}
+    for g, t, e in rows:
+        by_time.setdefault(t, []).append((k[g], e))
+    for t in sorted(by_time):
+        n, d = left.sum(), sum(e for _, e in by_time[t])
+        for i, e in by_time[t]:
+            gap[i] += e
+        gap -= d * left / n
+        if n > 1:
+            cov += d * (n - d) / (n - 1) * (np.diag(left / n) - np.outer(left, left) / n ** 2)
+        for i, _ in by_time[t]:
+            left[i] -= 1
+    return gap @ np.linalg.pinv(cov) @ gap, np.diag(cov)
+
+
+@pytest.mark.parametrize("levels", [2, 5, 60])
+def test_logrank_in_a_task_and_as_tables(spark, levels):
+    rnd = random.Random(levels)
+    rows = [(f"l{rnd.randrange(levels):03d}", float(rnd.randrange(40)), int(rnd.random() < 0.6)) for _ in range(levels * 30)]
+    rows += [("early", 0.5, 0)] * 6  # gone before the first event that others see
+    df = spark.createDataFrame(rows, "g string, t0 double, e int").repartition(3)
+    stat, diagonal = _dense_logrank(rows)
+    counts = survival.logrank_counts(df, ["g"], "t0", "e")
+    one = survival.logrank_statistics(counts).first()
+    assert one["statistic"] == pytest.approx(stat, rel=1e-8) and one["df"] == len(diagonal) - 1
+    table = survival.logrank_table(counts).orderBy("level").collect()
+    assert [r["variance"] for r in table] == pytest.approx(list(diagonal[np.argsort(sorted({g for g, _, _ in rows}))]), abs=1e-9)
+    if levels <= 5:
+        spread = survival.logrank_statistics(counts, in_one=0).first()
+        assert spread["statistic"] == pytest.approx(stat, rel=1e-8)
+
+
+def test_logrank_of_thousands_of_levels(spark):
+    df = spark.range(60_000).select(
+        (F.col("id") % 5000).cast("string").alias("g"), F.pmod(F.xxhash64("id"), F.lit(70)).cast("double").alias("t0"),
+        (F.pmod(F.xxhash64("id", F.lit(1)), F.lit(3)) == 0).cast("int").alias("e"))
+    got = survival.logrank_tests(survival.logrank_counts(df, ["g"], "t0", "e")).first()
+    assert got["df"] == 4999 and 4000 < got["statistic"] < 6000  # no level differs: about its df
+
+
 def test_many_levels_fold_into_other(spark):
     rows = [(f"l{i:02d}", i % 2) for i in range(25) for _ in range(30 - i)]
     df = spark.createDataFrame(rows, "level string, y int")
