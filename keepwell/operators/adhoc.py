@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from keepwell.functions.ordered import ranged, running_over, value_counts
 from keepwell.functions.scalar import col
 from keepwell.operators.filters import Filter, FilterError, as_number, question_predicate
 
@@ -46,8 +47,7 @@ def filter_and_aggregate(df: DataFrame, metric: str, *, filters: Sequence[Filter
     g = rows.groupBy("group").agg(F.count("*").alias("n"), made.alias("value"))
     shown = g if most is None else g.orderBy("group").limit(most)
     if metric == "median":
-        middle = rows.where(F.col("_v").isNotNull()).groupBy("group").agg(F.median("_v").alias("_m"))
-        middle = middle.withColumnRenamed("group", "_g")
+        middle = _medians(rows).withColumnRenamed("group", "_g")
         shown = shown.join(middle, shown["group"].eqNullSafe(middle["_g"]), "left").select(
             "group", "n", F.col("_m").alias("value"))
     total = F.broadcast(g.agg(F.count("*").alias("groups_total")))  # one row
@@ -55,6 +55,19 @@ def filter_and_aggregate(df: DataFrame, metric: str, *, filters: Sequence[Filter
     return shown.crossJoin(total).withColumn("truncated", cut)
 
 
+def _medians(rows: DataFrame) -> DataFrame:
+    """group, _m: the middle value, or the mean of the two, of every group, from running counts of
+    distinct values; no group is held in one place."""
+    counts = value_counts(rows, ["group"], "_v", {"c": F.count("*")})
+    cut = ranged(counts, ["group"], ["_v"])
+    sizes = cut.groupBy(F.col("group").alias("_of")).agg(F.sum("c").alias("size"))
+    ran = running_over(cut, ["group"], "_v", {"upto": "c"})
+    ran = ran.join(sizes, ran["group"].eqNullSafe(sizes["_of"]))
+    low, high = (F.min(F.when(F.col("upto") > rank, F.col("_v"))) for rank in (
+        F.floor((F.col("size") - 1) / 2), F.ceil((F.col("size") - 1) / 2)))
+    return ran.groupBy("group").agg(((low + high) / 2).alias("_m"))
+
+
 def customer_frame(clean: DataFrame, predictions: DataFrame, id_column: str) -> DataFrame:
     """Cleaned rows with the customer's probability and band (null when not scored)."""
     first = predictions.groupBy(F.col("customer_id").cast("string").alias("_id")).agg(

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from keepwell.functions.quantiles import quantiles
-from keepwell.functions.scalar import col
+from keepwell.functions.scalar import col, no_nan
+from keepwell.functions.stored import stored
 from keepwell.operators.clean import spread, tall
 
 # Limits of the description.
@@ -123,19 +126,59 @@ def varying(df: DataFrame, columns: Sequence[str]) -> list[str]:
     return [c for i, c in enumerate(columns) if row[f"v{i}"]]
 
 
+def _gram(centres: np.ndarray):
+    """Per task and column a: for every column b the count, sums, squares and products of rows that have both."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        c = len(centres)
+        sums = np.zeros((4, c, c))
+        for batch in batches:
+            x = np.column_stack([batch.column(i).to_numpy(zero_copy_only=False) for i in range(c)]) - centres
+            there = np.isfinite(x)
+            x[~there] = 0.0
+            mask = there.astype(float)
+            sums += [mask.T @ mask, x.T @ mask, (x * x).T @ mask, x.T @ x]
+        if sums.any():
+            yield pa.RecordBatch.from_arrays([pa.array(range(c), pa.int32()), pa.array([sums[:, a].tobytes() for a in range(c)], pa.binary())],
+                                             names=["a", "sums"])
+
+    return run
+
+
+def _added(width: int):
+    def run(key: tuple, group: pa.Table) -> pa.Table:
+        total = np.zeros((4, width))
+        for part in group.column("sums"):
+            total += np.frombuffer(part.as_buffer()).reshape(4, width)
+        return pa.table({"a": pa.array([key[0].as_py()] * width, pa.int32()), **{
+            n: pa.array(x, pa.float64()) for n, x in zip(("n", "x", "xx", "xy"), total)}, "b": pa.array(range(width), pa.int32())}).select(
+            ["a", "b", "n", "x", "xx", "xy"])
+
+    return run
+
+
 def correlation_matrix(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Pairwise-complete Pearson r of every pair in one aggregate."""
-    used = varying(df, columns)
-    pairs = [(a, b) for i, a in enumerate(used) for b in used[i:]]
-    row = df.agg(*[F.corr(col(a).cast("double"), col(b).cast("double")).alias(f"r{i}")
-                   for i, (a, b) in enumerate(pairs)])
-    cells = []
-    for i, (a, b) in enumerate(pairs):
-        r = F.lit(1.0) if a == b else col(f"r{i}")
-        cells.append(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), r.alias("r")))
-        if a != b:
-            cells.append(F.struct(F.lit(b).alias("a"), F.lit(a).alias("b"), r.alias("r")))
-    return row.select(F.explode(F.array(*cells)).alias("c")).select("c.a", "c.b", "c.r")
+    """Pearson r of every pair over the rows that have both (NaN counts as missing); null where one of
+    them does not vary there. One pass forms the products of all columns as matrices, centred first; a
+    task passes on one row per column."""
+    names = list(columns)
+    means = df.agg(*[F.struct(F.avg(no_nan(col(c).cast("double"))).alias("m"), (F.min(no_nan(col(c).cast("double"))) < F.max(
+        no_nan(col(c).cast("double")))).alias("v")).alias(f"s{i}") for i, c in enumerate(names)]).first()
+    used = [(c, means[i]["m"]) for i, c in enumerate(names) if means[i]["v"]]
+    spark = df.sparkSession
+    if not used:
+        return spark.createDataFrame([], "a string, b string, r double")
+    rows = df.select(*[col(c).cast("double").alias(f"x{i}") for i, (c, _) in enumerate(used)])
+    sums = rows.mapInArrow(_gram(np.array([m for _, m in used])), "a int, sums binary").groupBy("a").applyInArrow(
+        _added(len(used)), "a int, b int, n double, x double, xx double, xy double")
+    sums = stored(sums)  # read for both sides of a pair
+    other = sums.select(F.col("a").alias("b"), F.col("b").alias("a"), F.col("x").alias("y"), F.col("xx").alias("yy"))
+    n = F.col("n")
+    vx, vy = (F.greatest(F.col(q) - F.col(s) * F.col(s) / n, F.lit(0.0)) for q, s in (("xx", "x"), ("yy", "y")))
+    # what is left of a column that does not vary is rounding only
+    flat = (vx <= 1e-12 * F.col("xx")) | (vy <= 1e-12 * F.col("yy"))
+    r = F.when(F.col("a") == F.col("b"), 1.0).when((n > 1) & ~flat, (F.col("xy") - F.col("x") * F.col("y") / n) / F.sqrt(vx * vy))
+    name = F.array(*[F.lit(c) for c, _ in used])
+    return sums.join(other, ["a", "b"]).select(F.get(name, F.col("a")).alias("a"), F.get(name, F.col("b")).alias("b"), r.alias("r"))
 
 
 def correlation_with_target(df: DataFrame, columns: Sequence[str], y: str) -> DataFrame:

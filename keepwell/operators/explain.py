@@ -22,6 +22,7 @@ from keepwell.operators.segment import filled, scales
 # reasons per customer, forest rows, 97.5 % normal point.
 SAMPLE_FEATURES = 10
 SAMPLE_POINTS = 200
+SEED = 42
 MAX_COEF = 15.0
 TOP_REASONS = 3
 FOREST_ROWS = 15
@@ -44,11 +45,11 @@ def owners(fitted: Fitted) -> list[tuple[str, int, int]]:
     return out
 
 
-def contributions(fitted: Fitted, df: DataFrame, background: DataFrame, id_column: str
-                  ) -> DataFrame:
-    """The frame with `contributions`: log-odds pushed by every feature, in feature order."""
+def contributions(fitted: Fitted, df: DataFrame, background: DataFrame, orders: int = 1) -> DataFrame:
+    """The frame with `contributions`: log-odds pushed by every feature, in feature order (orders: see
+    path_contributions)."""
     if fitted.learner == "boosting":
-        return path_contributions(fitted, df, background, id_column)
+        return path_contributions(fitted, df, background, orders)
     mean = transform(fitted, background).agg(Summarizer.mean(F.col("_features")).alias("m")).first()["m"]
     coef = fitted.model.stages[-1].coefficients.toArray()
     mean = mean.toArray()
@@ -68,32 +69,48 @@ def contributions(fitted: Fitted, df: DataFrame, background: DataFrame, id_colum
     return out.select(*map(col, df.columns), F.array(*parts).alias("contributions"))
 
 
-def path_contributions(fitted: Fitted, df: DataFrame, background: DataFrame, id_column: str
-                       ) -> DataFrame:
+def feature_orders(k: int, orders: int) -> list[list[int]]:
+    """Orders of k features and their reverses: the columns' own, then shuffles by a fixed seed."""
+    rng, out = np.random.default_rng(SEED), []
+    for n in range(max(1, orders)):
+        order = list(range(k)) if n == 0 else rng.permutation(k).tolist()
+        out += [order, order[::-1]]
+    return out
+
+
+def path_contributions(fitted: Fitted, df: DataFrame, background: DataFrame, orders: int = 1) -> DataFrame:
     """Contributions of a model that is no sum of its features: the log-odds gained as features, one
-    after the other, take their value instead of the training mean, averaged over the feature order and
-    its reverse. They add up to the row's log-odds less those of the mean."""
+    after the other, take their value instead of the training mean, averaged over `orders` orders of the
+    features and their reverses. They add up to the row's log-odds less those of the mean; more orders come
+    nearer to the mean over all k! of them. A row is scored where it lies: nothing is joined by its id."""
     blocks = owners(fitted)
     mean = transform(fitted, background).agg(Summarizer.mean(F.col("_features")).alias("m")).first()["m"].toArray()
     size, k = len(mean), len(blocks)
-    ends = [0, *[min(at + width, size) for _, at, width in blocks[:-1]], size]
-    usual = F.array(*[F.lit(float(x)) for x in mean])
-    own = transform(fitted, df).select(col(id_column).alias("_id"), vector_to_array("_features").alias("_a"))
-
-    def mixed(first: Column, rest: Column, n: int) -> Column:
-        return F.concat(F.slice(first, 1, n), F.slice(rest, n + 1, size - n))
-
-    steps = F.array(*[mixed(F.col("_a"), usual, e) for e in ends], *[mixed(usual, F.col("_a"), e) for e in ends])
-    tall_rows = own.select("_id", F.posexplode(steps).alias("_k", "_v")).select(
-        "_id", "_k", array_to_vector("_v").alias("_features"))
-    chance = F.get(vector_to_array("_probability"), F.lit(1))
-    scored = fitted.model.stages[-1].transform(tall_rows).select(
-        "_id", F.struct("_k", F.log(chance / (1 - chance)).alias("m")).alias("_s"))
-    path = scored.groupBy("_id").agg(F.sort_array(F.collect_list("_s")).alias("_s"))
-    at = lambda i: F.get("_s", F.lit(i))["m"]
-    parts = [(at(i + 1) - at(i) + at(k + 1 + i) - at(k + 2 + i)) / 2 for i in range(k)]
-    found = path.select("_id", F.array(*parts).alias("contributions"))
-    return df.join(found, df[id_column].eqNullSafe(found["_id"])).drop("_id")
+    spans = [range(at, min(at + width, size)) for _, at, width in blocks]
+    learner = fitted.model.stages[-1].copy()
+    learner.setFeaturesCol("_step").setPredictionCol("").setProbabilityCol("").setRawPredictionCol("_r")
+    out = transform(fitted, df).select(*map(col, df.columns), vector_to_array("_features").alias("_a"))
+    known: dict[frozenset, str] = {}
+
+    def scored(own: frozenset) -> str:
+        """Column with the log-odds of the row where these features, and only they, are its own."""
+        nonlocal out
+        if own not in known:
+            mine = {i for f in own for i in spans[f]}
+            usual = F.array(*[F.lit(None).cast("double") if i in mine else F.lit(float(mean[i])) for i in range(size)])
+            mixed = F.zip_with(F.col("_a"), usual, lambda x, u: F.coalesce(u, x))
+            name = known[own] = f"_m{len(known)}"
+            out = learner.transform(out.withColumn("_step", array_to_vector(mixed))).withColumn(
+                name, 2.0 * F.get(vector_to_array("_r"), F.lit(1))).drop("_step", "_r")
+        return known[own]
+
+    paths = [[scored(frozenset(order[:n])) for n in range(k + 1)] for order in feature_orders(k, orders)]
+    gains: list[list[Column]] = [[] for _ in range(k)]
+    for order, path in zip(feature_orders(k, orders), paths, strict=True):
+        for n, f in enumerate(order):
+            gains[f].append(F.col(path[n + 1]) - F.col(path[n]))
+    parts = [sum(g[1:], g[0]) / len(g) for g in gains]
+    return out.select(*map(col, df.columns), F.array(*parts).alias("contributions"))
 
 
 def global_importance(explained: DataFrame, features: Sequence[str]) -> DataFrame:

@@ -12,25 +12,25 @@ from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.feature import OneHotEncoder, SQLTransformer, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.pipeline import Pipeline
-from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from keepwell.functions.quantiles import quantiles
 from keepwell.functions.scalar import col, hash_unit
+from keepwell.functions.stored import stored
 from keepwell.operators import metrics
 from keepwell.operators.describe import correlation_with_target
+from keepwell.operators.isotonic import interpolated, isotonic
 from keepwell.operators.segment import Scale, scales
 from keepwell.operators.survival import association, level_counts
 
-# Seed, test share, folds, leakage limits, shuffles, isotonic size, inverse penalty.
+# Seed, test share, folds, leakage limits, shuffles, inverse penalty.
 SEED = 42
 TEST_SHARE = 0.2
 FOLDS = 5
 LEAK_AUC = 0.99
 LEAK_R = 0.9
 REPEATS = 10
-ISOTONIC_ROWS = 1000
 C = 1.0
 LEARNERS = ("logistic", "boosting")
 GROUP_ROWS = 2000
@@ -181,8 +181,7 @@ def fold_scores(df: DataFrame, numeric: Sequence[str], categorical: Sequence[str
                 id_column: str, learners: Sequence[str] = LEARNERS, *, balanced: bool = True,
                 trees: int = 50) -> DataFrame:
     """Held-out scores of every learner and fold: kind 'learner|fold', row_id, y, p."""
-    df = df.select(id_column, y, *map(col, [*numeric, *categorical]),
-                   fold_column(id_column).alias("_fold")).persist()
+    df = stored(df.select(id_column, y, *map(col, [*numeric, *categorical]), fold_column(id_column).alias("_fold")))
 
     def held_out(task: tuple[str, int]) -> DataFrame:
         learner, k = task
@@ -287,30 +286,25 @@ class Calibrated:
 
 def calibrate(train: DataFrame, numeric: Sequence[str], categorical: Sequence[str], y: str,
               id_column: str, *, learner: str = "logistic", trees: int = 50,
-              method: str | None = None) -> Calibrated:
+              method: str = "isotonic") -> Calibrated:
     """Five (model, calibrator) pairs: each model learns on four folds, its calibrator on the
-    scores of the fifth (isotonic from 1,000 rows, else Platt's sigmoid)."""
-    df = train.withColumn("_fold", fold_column(id_column)).persist()
-    if method is None:
-        method = "isotonic" if df.count() >= ISOTONIC_ROWS else "sigmoid"
+    scores of the fifth (method: isotonic, or Platt's sigmoid)."""
+    if method not in ("isotonic", "sigmoid"):
+        raise ValueError(f"unknown calibration method '{method}'")
+    df = stored(train.withColumn("_fold", fold_column(id_column)))
 
     def pair(k: int):
         model = fit(df.where(F.col("_fold") != k), numeric, categorical, y, learner=learner,
                     trees=trees)
         held = margin(model, df.where(F.col("_fold") == k), "_m").select(
             "_m", col(y).cast("double").alias("_y"))
-        return model, _isotonic(held) if method == "isotonic" else _sigmoid(held)
+        return model, isotonic(held, "_m", "_y") if method == "isotonic" else _sigmoid(held)
 
     with ThreadPoolExecutor(JOBS) as pool:
         pairs = list(pool.map(pair, range(FOLDS)))
-    df.unpersist()
     return Calibrated([p[0] for p in pairs], [p[1] for p in pairs], method)
 
 
-def _isotonic(held: DataFrame):
-    return IsotonicRegression(featuresCol="_m", labelCol="_y", predictionCol="_c").fit(held)
-
-
 def _sigmoid(held: DataFrame) -> tuple[float, float]:
     """Slope and intercept on Platt's softened targets, as two weighted rows per score."""
     n = {r["_y"]: r["n"] for r in held.groupBy("_y").agg(F.count("*").alias("n")).collect()}
@@ -331,7 +325,7 @@ def score_calibrated(c: Calibrated, df: DataFrame, name: str = "p_calibrated") -
     for i, (model, cal) in enumerate(zip(c.models, c.calibrators, strict=True)):
         out = margin(model, out, "_m")
         if c.method == "isotonic":
-            out = cal.setPredictionCol(f"_c{i}").transform(out).drop("_m")
+            out = interpolated(out, "_m", cal, f"_c{i}").drop("_m")
         else:
             a, b = cal
             out = out.withColumn(f"_c{i}", 1 / (1 + F.exp(-(a * F.col("_m") + b)))).drop("_m")
@@ -357,7 +351,7 @@ def train_and_evaluate(df: DataFrame, numeric: Sequence[str], categorical: Seque
     if not [*numeric, *categorical]:
         raise ValueError("No usable feature columns for the model.")
     keep = df.select(id_column, y, *map(col, [*numeric, *categorical]))
-    both = stratified_split(keep, y, id_column).persist()
+    both = stored(stratified_split(keep, y, id_column))
     train = both.where(~F.col("is_test"))
     cv = cross_validate(train, numeric, categorical, y, id_column, learners, trees=trees)
     best = choose(cv)

@@ -19,7 +19,6 @@ from keepwell.functions.scalar import col, half_even, no_nan, offer_discount, sm
 NO_OFFER = "No offer"
 PROVEN, OBSERVED = "experiment-proven", "observational"
 JOBS = 4  # models trained side by side
-MAX_RATES = 100_000
 
 
 @dataclass(frozen=True)
@@ -102,54 +101,50 @@ def score_next_best_offers(customers: DataFrame, rates: DataFrame, costs: DataFr
     """Best offer, runner-up and inputs for every Medium or High risk customer.
 
     `customers`: customer_id, segment, churn_probability, risk_band[, revenue][, one column of
-    predicted acceptance per offer named in `acceptance`]. The rate table (offers x segments)
-    becomes one map per segment."""
-    spark = customers.sparkSession
-    rated = retention_lift(rates, cfg.measured_lift).withColumn(
-        "_eligible", F.coalesce(offer_discount("offer"), F.lit(0.0)) <= cfg.max_discount + 1e-12)
-    wanted = [rated.limit(MAX_RATES + 1)] + ([costs.limit(MAX_RATES + 1)] if costs is not None else [])
-    with ThreadPoolExecutor(2) as pool:  # one row per offer and segment, and one per offer
-        found = list(pool.map(DataFrame.collect, wanted))
-    if len(found[0]) > MAX_RATES:
-        raise ValueError(f"more than {MAX_RATES} offer rates; group offers or segments first")
-    base = {r["offer"]: r for r in found[0] if r["segment"] is None and r["_eligible"]}
-    names = sorted(base)
-    price = {r["offer"]: r["offer_cost"] for r in found[1]} if costs is not None else {}
-    by_segment: dict = {}
-    for r in found[0]:
-        if r["segment"] is not None and r["_eligible"]:
-            by_segment.setdefault(r["segment"], {})[r["offer"]] = (
-                r["p_accept"], r["stay_if_accepted"], r["stay_if_declined"], r["retention_lift"])
-    kind = customers.schema["segment"].dataType.simpleString()
-    maps = F.broadcast(spark.createDataFrame(
-        list(by_segment.items()), f"segment {kind}, _rates map<string,struct<p_accept:double,"
-        "stay_if_accepted:double,stay_if_declined:double,retention_lift:double>>"))
-    c = customers.where(F.col("risk_band").isin(*cfg.bands)).join(maps, "segment", "left")
+    predicted acceptance per offer named in `acceptance`]. Rates over all segments are one array of
+    offers in one row, those of a segment one map, joined by segment; an offer without a cost costs
+    nothing."""
+    rated = retention_lift(rates, cfg.measured_lift).where(
+        F.coalesce(offer_discount("offer"), F.lit(0.0)) <= cfg.max_discount + 1e-12)
+    names = ("p_accept", "stay_if_accepted", "stay_if_declined", "retention_lift")
+    whole = rated.where("segment IS NULL").select("offer", *names)
+    if costs is None:
+        whole = whole.withColumn("cost", F.lit(0.0))
+    else:
+        price = costs.groupBy(F.col("offer").alias("_o")).agg(F.min("offer_cost").cast("double").alias("cost"))
+        whole = whole.join(price, F.col("offer") == F.col("_o"), "left").withColumn("cost", F.coalesce("cost", F.lit(0.0)))
+    one = whole.agg(F.sort_array(F.collect_list(F.struct("offer", *names, "cost"))).alias("_all"))  # one row
+    if whole.isEmpty():
+        raise ValueError("no offer is eligible")
+    each = rated.where("segment IS NOT NULL").groupBy(F.col("segment").alias("_segment")).agg(
+        F.map_from_entries(F.collect_list(F.struct("offer", F.struct(*names)))).alias("_rates"))
+    c = customers.where(F.col("risk_band").isin(*cfg.bands)).join(each, F.col("segment") == F.col("_segment"), "left")
     if declined is not None:
         refused = declined.groupBy("customer_id").agg(F.collect_set("offer").alias("_refused"))
         c = c.join(refused, "customer_id", "left")
     else:
         c = c.withColumn("_refused", F.lit(None).cast("array<string>"))
-    c = c.withColumn("_value", customer_value(revenue, cfg.horizon_months))
+    c = c.withColumn("_value", customer_value(revenue, cfg.horizon_months)).crossJoin(one)
     p = F.col("churn_probability")
-    options = []
-    for o in names:
-        b, r = base[o], F.try_element_at("_rates", F.lit(o))
-        pa = (col(acceptance[o]) if acceptance and o in acceptance
-              else F.coalesce(r["p_accept"], F.lit(b["p_accept"])))
-        lift = F.coalesce(r["retention_lift"], F.lit(b["retention_lift"]))
-        cost = F.lit(float(price.get(o, 0.0)))
-        ev = p * pa * lift * F.col("_value") - pa * cost
-        options.append(F.struct(
-            (-ev).alias("rank"), F.lit(o).alias("offer"), ev.alias("ev"), pa.alias("p_accept"),
-            F.coalesce(r["stay_if_accepted"], F.lit(b["stay_if_accepted"])).alias("stay_accepted"),
-            F.coalesce(r["stay_if_declined"], F.lit(b["stay_if_declined"])).alias("stay_declined"),
+    predicted = F.create_map(*[x for o, name in acceptance.items() for x in (F.lit(o), col(name))]) if acceptance else None
+    lifted = F.array(*map(F.lit, cfg.measured_lift)).cast("array<string>")
+
+    def option(b: Column) -> Column:
+        r = F.try_element_at("_rates", b["offer"])
+        accept, modelled = F.coalesce(r["p_accept"], b["p_accept"]), F.lit(False)
+        if predicted is not None:
+            modelled = b["offer"].isin(*acceptance)
+            accept = F.when(modelled, F.try_element_at(predicted, b["offer"])).otherwise(accept)
+        lift, cost = F.coalesce(r["retention_lift"], b["retention_lift"]), b["cost"]
+        ev = p * accept * lift * F.col("_value") - accept * cost
+        return F.struct(
+            (-ev).alias("rank"), b["offer"].alias("offer"), ev.alias("ev"), accept.alias("p_accept"),
+            F.coalesce(r["stay_if_accepted"], b["stay_if_accepted"]).alias("stay_accepted"),
+            F.coalesce(r["stay_if_declined"], b["stay_if_declined"]).alias("stay_declined"),
             lift.alias("lift"), cost.alias("cost"),
-            F.lit(o.lower() in cfg.measured_lift).alias("proven"),
-            F.lit(not (acceptance and o in acceptance)).alias("low_data")))
-    if not options:
-        raise ValueError("no offer is eligible")
-    allowed = F.filter(F.array(*options), lambda x: ~F.coalesce(
+            F.array_contains(lifted, F.lower(b["offer"])).alias("proven"), (~modelled).alias("low_data"))
+
+    allowed = F.filter(F.transform("_all", option), lambda x: ~F.coalesce(
         F.array_contains("_refused", x["offer"]), F.lit(False)))
     c = c.withColumn("_options", F.sort_array(allowed))
     best, second = F.get("_options", F.lit(0)), F.get("_options", F.lit(1))

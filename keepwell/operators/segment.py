@@ -2,23 +2,26 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-from concurrent.futures import ThreadPoolExecutor
+import math
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.feature import VectorAssembler
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from keepwell.functions.quantiles import quantiles
 from keepwell.functions.scalar import col, no_nan, ratio
+from keepwell.functions.stored import stored
 from keepwell.operators.describe import varying
 
 # Seed, range of k, starts, fewest features, label length.
 SEED = 42
 K_RANGE = range(2, 9)
-STARTS = 1  # k-means|| spreads its centres before the first iteration
+STARTS = 10
+SAMPLE = 10_000  # rows that starting centres are drawn from, about
+TOLERANCE = 1e-4  # a start rests once its centres move less
 MIN_FEATURES = 2
 LABEL_FEATURES = 2
 
@@ -104,6 +107,89 @@ def select_k(scores: dict[int, float]) -> int | None:
     return min(scores, key=lambda k: (-scores[k], k)) if scores else None
 
 
+def spread_centres(rows: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
+    """k starting centres, each drawn by its squared distance to those before it."""
+    centres = [rows[rng.integers(len(rows))]]
+    far = ((rows - centres[0]) ** 2).sum(axis=1)
+    while len(centres) < k:
+        total = far.sum()
+        at = rng.integers(len(rows)) if total <= 0 else min(int(np.searchsorted(np.cumsum(far), rng.random() * total)), len(rows) - 1)
+        centres.append(rows[at])
+        far = np.minimum(far, ((rows - centres[-1]) ** 2).sum(axis=1))
+    return np.array(centres)
+
+
+def _matrix(batch: pa.RecordBatch, width: int) -> np.ndarray:
+    return np.column_stack([batch.column(i).to_numpy() for i in range(width)]).reshape(-1, width)
+
+
+def _nearest(rows: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(number of the nearest centre, squared distance) of every row."""
+    far = (centres ** 2).sum(axis=1) - 2 * (rows @ centres.T)
+    at = far.argmin(axis=1)
+    return at, np.maximum(far[np.arange(len(rows)), at] + (rows ** 2).sum(axis=1), 0.0)
+
+
+def _step(models: dict[int, np.ndarray], width: int):
+    """Per task, model and cluster: size, squared distances and sum of the rows."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = {m: np.zeros((len(c), width + 2)) for m, c in models.items()}
+        for batch in batches:
+            rows = _matrix(batch, width)
+            for m, centres in models.items():
+                at, far = _nearest(rows, centres)
+                sums[m][:, 0] += np.bincount(at, minlength=len(centres))
+                sums[m][:, 1] += np.bincount(at, far, len(centres))
+                for d in range(width):
+                    sums[m][:, d + 2] += np.bincount(at, rows[:, d], len(centres))
+        flat = [(m, k, row) for m, table in sums.items() for k, row in enumerate(table) if row[0]]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([f[0] for f in flat], pa.int32()), pa.array([f[1] for f in flat], pa.int32()),
+             *[pa.array([f[2][i] for f in flat], pa.float64()) for i in range(width + 2)]],
+            names=["model", "cluster", "n", "cost", *[f"s{d}" for d in range(width)]])
+
+    return run
+
+
+def lloyd(rows: DataFrame, starts: dict[int, np.ndarray], max_iter: int, tolerance: float = TOLERANCE
+          ) -> dict[int, tuple[float, np.ndarray]]:
+    """(cost, centres) of every start after its iterations. All starts, whatever their k, share the pass
+    over the rows, so the number of jobs is that of the iterations; the driver sees one row per centre.
+    Empty clusters keep their centre. The cost is that of the last pass."""
+    width = len(rows.columns)
+    kind = "model int, cluster int, n double, cost double" + "".join(f", s{d} double" for d in range(width))
+    now, rest, cost = dict(starts), set(), {}
+    for turn in range(max_iter + 1):  # the last pass only measures
+        live = {m: c for m, c in now.items() if m not in rest}
+        if not live:
+            break
+        step = rows.mapInArrow(_step(live, width), kind).groupBy("model", "cluster").agg(
+            *[F.sum(c).alias(c) for c in ("n", "cost", *[f"s{d}" for d in range(width)])]).collect()
+        for m in live:
+            mine = [r for r in step if r["model"] == m]
+            cost[m] = sum(r["cost"] for r in mine)
+            if turn == max_iter:
+                continue
+            centres = now[m].copy()
+            for r in mine:
+                centres[r["cluster"]] = [r[f"s{d}"] / r["n"] for d in range(width)]
+            if ((centres - now[m]) ** 2).sum(axis=1).max() <= tolerance ** 2:
+                rest.add(m)
+            now[m] = centres
+    return {m: (cost.get(m, math.inf), now[m]) for m in starts}
+
+
+def clusters(df: DataFrame, columns: Sequence[str], models: dict[str, np.ndarray]) -> DataFrame:
+    """df with the nearest centre of every model {new column: centres}, in one pass."""
+    wanted = list(models)
+    out = df
+    for name in wanted:
+        far = F.array(*[F.struct(sum(((col(c) - F.lit(float(x))) * (col(c) - F.lit(float(x))) for c, x in zip(columns, centre)),
+                                     F.lit(0.0)).alias("d"), F.lit(k).alias("k")) for k, centre in enumerate(models[name])])
+        out = out.withColumn(name, F.array_min(far)["k"])
+    return out
+
+
 @dataclass
 class Segmentation:
     frame: DataFrame | None
@@ -114,10 +200,10 @@ class Segmentation:
 
 
 def segment(df: DataFrame, numeric: Sequence[str], id_column: str, time: str | None = None, *,
-            ks: Sequence[int] = tuple(K_RANGE), starts: int = STARTS, max_iter: int = 20,
-            jobs: int = 4) -> Segmentation:
-    """k-means for every k and start on the scaled features (read once, kept on the executors);
-    the best start per k is scored by silhouette. Adds `segment` to the frame."""
+            ks: Sequence[int] = tuple(K_RANGE), starts: int = STARTS, max_iter: int = 20) -> Segmentation:
+    """k-means for every k and start on the scaled features, all in the same passes; the start of least
+    cost per k is scored by silhouette. Starting centres come from a hash sample of about SAMPLE rows.
+    Adds `segment` to the frame."""
     features = segment_features(df, numeric, time)
     if len(features) < MIN_FEATURES:
         return Segmentation(None, None, {}, features,
@@ -126,33 +212,22 @@ def segment(df: DataFrame, numeric: Sequence[str], id_column: str, time: str | N
     fit = scales(df, features)
     z = [f"{f}_z" for f in features]
     scaled = impute_and_scale(df, features, fit)
-    vectors = VectorAssembler(inputCols=z, outputCol="_x").transform(scaled).select(
-        id_column, *z, "_x").persist()
-    total = vectors.count()
-    ks = [k for k in ks if k < total]
-
-    def train(task: tuple[int, int]):
-        k, start = task
-        model = KMeans(k=k, seed=SEED + start, maxIter=max_iter, featuresCol="_x",
-                       predictionCol="_cluster").fit(vectors)
-        return k, model.summary.trainingCost, model
-
-    with ThreadPoolExecutor(jobs) as pool:
-        done = list(pool.map(train, [(k, s) for k in ks for s in range(starts)]))
-    best = {k: min((r for r in done if r[0] == k), key=lambda r: r[1])[2] for k in ks}
-    marked = vectors
-    for k, model in best.items():
-        marked = model.setPredictionCol(f"k{k}").transform(marked)
-    scores = {int(r["label"][1:]): r["silhouette"] for r in
-              silhouettes(marked.drop("_x"), z, [f"k{k}" for k in ks]).collect()}
+    rows = stored(scaled.select(col(id_column).alias("_id"), *z))
+    total = rows.count()
+    part = F.pmod(F.xxhash64(F.lit("start"), "_id"), F.lit(1 << 40)) < int(2 ** 40 * min(1.0, SAMPLE / max(total, 1)))
+    sample = rows.where(part).orderBy(F.xxhash64("_id"), *z).select(*z).toPandas().to_numpy(float)
+    ks = [k for k in ks if k < total and k <= len(sample)]
+    begin = {k * 1000 + s: spread_centres(sample, k, np.random.default_rng((SEED, k, s))) for k in ks for s in range(starts)}
+    done = lloyd(rows.select(*z), begin, max_iter)
+    best = {k: min((done[m] for m in done if m // 1000 == k), key=lambda r: r[0])[1] for k in ks}
+    marked = clusters(rows, z, {f"k{k}": c for k, c in best.items()})
+    scores = {int(r["label"][1:]): r["silhouette"] for r in silhouettes(marked, z, [f"k{k}" for k in ks]).collect()}
     k = select_k(scores)
-    vectors.unpersist()
     if k is None:
         return Segmentation(None, None, scores, features, "Clustering found no separable groups.")
-    chosen = best[k].setPredictionCol("_cluster")
-    out = chosen.transform(VectorAssembler(inputCols=z, outputCol="_x").transform(scaled))
     kept = [col(c) for c in df.columns if c != "segment"]
-    return Segmentation(out.select(*kept, F.col("_cluster").alias("segment")), k, scores, features)
+    out = clusters(scaled, z, {"_cluster": best[k]}).select(*kept, F.col("_cluster").alias("segment"))
+    return Segmentation(out, k, scores, features)
 
 
 def segment_profile(df: DataFrame, segment_column: str, features: Sequence[str], y: str,

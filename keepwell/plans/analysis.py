@@ -135,7 +135,7 @@ def run(df: DataFrame, roles: Roles, out: str, row_id: str = "row_id",
     keep("deciles", metrics.deciles(long_scores))
     keep("calibration", metrics.calibration_bins(long_scores))
     train = trained.frame.where("not is_test")
-    explained = explain.contributions(trained.fitted, trained.frame, train, key)
+    explained = explain.contributions(trained.fitted, trained.frame, train)
     predictions = keep("predictions", explain.score_customers(
         explained, trained.fitted, key, y, "p_raw", "p_calibrated", options.high, options.medium))
     strength = explain.global_importance(explained.where("is_test"), [*numeric, *words])
@@ -171,5 +171,4 @@ def run(df: DataFrame, roles: Roles, out: str, row_id: str = "row_id",
             ready, nbo.offer_rates(long, people), None, nbo.declined_recently(long),
             revenue=roles.revenue))
     keep("facts", facts.facts_table(parts))
-    trained.frame.unpersist()
     return done

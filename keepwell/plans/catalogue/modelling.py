@@ -43,7 +43,7 @@ def _fit(s, d, learner="logistic", trees=10):
 
 def _explained(s, d, learner="logistic"):
     f = _fit(s, d, learner, 50)
-    return f, x.contributions(f, test(s, d), train(s, d), "customer_id")
+    return f, x.contributions(f, test(s, d), train(s, d))
 
 
 def _scaled(s, d):
@@ -98,7 +98,7 @@ def _drivers(s, d):
 def _predictions(s, d):
     f = _fit(s, d)
     scored = ml.score(f, base(s, d), "p")
-    ex = x.contributions(f, scored, train(s, d), "customer_id")
+    ex = x.contributions(f, scored, train(s, d))
     return x.score_customers(ex, f, "customer_id", "churned", "p").withColumn(
         "reasons", F.concat_ws(" | ", "reasons"))
 

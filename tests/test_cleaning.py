@@ -1,5 +1,9 @@
 """Profiling, roles and cleaning on a small table with known faults."""
 
+import csv
+import io
+import random
+
 import pytest
 
 from keepwell.operators import clean as c
@@ -183,3 +187,60 @@ def test_catalogue_rules(tmp_path):
         path.write_text(text)
         with pytest.raises(cat.CatalogueError, match=words):
             cat.load_catalogue(path)
+
+
+def _serial(data, encoding="utf-8"):
+    """Rows by Python's own reader: record number and cells of each record after the header."""
+    rows = list(csv.reader(io.StringIO(data.decode(encoding), newline="")))
+    return [(k, [c or None for c in row]) for k, row in enumerate(rows) if k and any(row)]
+
+
+@pytest.mark.parametrize("end,piece", [("\n", 400), ("\r\n", 1700), ("\n", 1 << 20)])
+def test_csv_in_byte_ranges(spark, tmp_path, end, piece):
+    rnd = random.Random(piece)
+    cell = lambda: rnd.choice(["", "a", "5\" pipe", "x\ny", 'say ""', "a,b", "é", "\n\n", "plain text", '"' * 3,
+                               "long " * rnd.randrange(40)])
+    out = io.StringIO(newline="")
+    writer = csv.writer(out, lineterminator=end)
+    writer.writerow(["id", "first name", "note"])
+    for i in range(400):
+        writer.writerow([i, cell(), cell()])
+        if i % 97 == 0:
+            out.write(f'{i}b,6" tall,an "inner" quote{end}{end}')
+    data = out.getvalue().encode()
+    (tmp_path / "in.csv").write_bytes(data)
+    before = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(piece))
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    try:
+        table, _ = files.read_csv(spark, str(tmp_path / "in.csv"), 1)
+        ranges = len(files.layout(spark, str(tmp_path / "in.csv")))
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert ranges >= len(data) // piece * 0.9  # a range may hold no line's beginning
+    got = [(r["row_id"], [r["id"], r["first name"], r["note"]]) for r in table.orderBy("row_id").collect()]
+    assert got == _serial(data)
+    assert [r["row_id"] for r in table.orderBy("row_id").collect()] == [k for k, _ in got]
+
+
+def test_csv_faults(spark, tmp_path):
+    def read(name, data):
+        (tmp_path / name).write_bytes(data)
+        return files.read_csv(spark, str(tmp_path / name), 1)
+
+    with pytest.raises(files.FileRejected, match="not closed"):
+        read("open.csv", b'a,b\n1,"2\n3,4\n')
+    with pytest.raises(files.FileRejected, match="no header"):
+        read("empty.csv", b"")
+    with pytest.raises(files.FileRejected, match="different number"):
+        read("short.csv", b"a,b\n1\n")
+    two = tmp_path / "two"
+    two.mkdir()
+    (two / "1.csv").write_bytes(b"a,b\n1,2\n")
+    (two / "2.csv").write_bytes(b"a,b\n3,4")
+    table, _ = files.read_csv(spark, str(two), 1)
+    assert sorted(map(tuple, table.collect())) == [("1", "2", 1), ("3", "4", 3)]
+    (two / "3.csv").write_bytes(b"a,c\n3,4")
+    with pytest.raises(files.FileRejected, match="differ"):
+        files.read_csv(spark, str(two), 1)

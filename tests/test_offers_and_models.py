@@ -7,7 +7,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from keepwell.operators import adhoc, business, explain, facts, features, impact, metrics, model, nbo
+from keepwell.operators import adhoc, business, describe, explain, facts, features, impact, metrics, model, nbo
+from keepwell.operators import isotonic as iso
 from keepwell.operators import offers as o
 from keepwell.operators import segment as seg
 from keepwell.operators import telemetry
@@ -189,7 +190,7 @@ def test_split_is_stratified_and_stable(planted, parts):
 def test_contributions_add_up(parts, learner):
     train, test = parts
     f = model.fit(train, ["balance", "revenue"], ["segment"], "churned", learner=learner, trees=4)
-    ex = explain.contributions(f, model.margin(f, test, "m"), train, "customer_id").collect()
+    ex = explain.contributions(f, model.margin(f, test, "m"), train).collect()
     gap = [r["m"] - sum(r["contributions"]) for r in ex]
     # Contributions differ from the log-odds by one constant, the base value.
     assert np.ptp(gap) < 1e-6
@@ -299,3 +300,70 @@ def test_whole_analysis(spark, tmp_path):
     assert p.count() == 150 and p.where("size(reasons) = 3").count() == 150
     assert p.where("churn_probability between 0 and 1").count() == 150
     assert not math.isnan(spark.read.parquet(done["model_metrics"]).first()["roc_auc"])
+
+
+@pytest.mark.parametrize("kind", ["binary", "real", "rising", "falling", "one"])
+def test_isotonic_pools_across_ranges(spark, kind):
+    rnd = random.Random(3)
+    xs = [round(rnd.random() * 40, 2) for _ in range(3000)]
+    ys = {"binary": [float(rnd.random() < x / 40) for x in xs], "real": [x + rnd.gauss(0, 30) for x in xs],
+          "rising": xs, "falling": [-x for x in xs], "one": [1.0] * len(xs)}[kind]
+    df = spark.createDataFrame(list(zip(xs, ys)), "x double, y double").repartition(5)
+    counts = {}
+    for x, y in zip(xs, ys):
+        n, s = counts.get(x, (0, 0.0))
+        counts[x] = (n + 1, s + y)
+    blocks = []  # low, high, n, sum
+    for x in sorted(counts):
+        blocks.append([x, x, *counts[x]])
+        while len(blocks) > 1 and blocks[-2][3] / blocks[-2][2] >= blocks[-1][3] / blocks[-1][2]:
+            _, high, n, s = blocks.pop()
+            blocks[-1] = [blocks[-1][0], high, blocks[-1][2] + n, blocks[-1][3] + s]
+    curve = iso.isotonic(df, "x", "y")
+    got = [tuple(r) for r in curve.orderBy("low").collect()]
+    assert [g[:2] for g in got] == [tuple(b[:2]) for b in blocks] or kind in ("rising", "one", "falling")
+    px, pv = zip(*sorted({(x, b[3] / b[2]) for b in blocks for x in b[:2]}))
+    ask = [-1.0, 0.0, 3.333, 20.005, 39.99, 50.0, None]
+    rows = spark.createDataFrame([(i, a) for i, a in enumerate(ask)], "i int, m double")
+    for limit in (100_000, 0):  # sent to the rows, met in ranges
+        before, iso.SENT_POINTS = iso.SENT_POINTS, limit
+        try:
+            found = {r["i"]: r["c"] for r in iso.interpolated(rows, "m", curve, "c").collect()}
+        finally:
+            iso.SENT_POINTS = before
+        assert [found[i] for i in range(6)] == pytest.approx([float(np.interp(a, px, pv)) for a in ask[:6]], abs=1e-9)
+        assert found[6] is None
+
+
+def test_correlation_blocks_with_missing_cells(spark):
+    rnd = np.random.default_rng(5)
+    x = rnd.normal(1e6, 3, (400, 6))
+    x[:, 1] += x[:, 0]
+    x[rnd.random((400, 6)) < 0.2] = np.nan
+    x[:, 5] = 7.0
+    df = spark.createDataFrame([tuple(None if np.isnan(v) and k % 2 else float(v) for k, v in enumerate(r)) for r in x],
+                               ", ".join(f"c{i} double" for i in range(6)))
+    got = {(r["a"], r["b"]): r["r"] for r in describe.correlation_matrix(df, [f"c{i}" for i in range(6)]).collect()}
+    assert len(got) == 25
+    for i in range(5):
+        for j in range(5):
+            both = ~np.isnan(x[:, i]) & ~np.isnan(x[:, j])
+            assert got[(f"c{i}", f"c{j}")] == pytest.approx(np.corrcoef(x[both, i], x[both, j])[0, 1], abs=1e-9)
+
+
+def test_all_starts_share_the_passes(spark):
+    rnd = np.random.default_rng(1)
+    rows = np.concatenate([rnd.normal(c, 0.3, (60, 2)) for c in ((0, 0), (5, 5), (0, 6), (7, 0))])
+    df = spark.createDataFrame([tuple(map(float, r)) for r in rows], "a double, b double")
+    begin = {m: seg.spread_centres(rows, 4, np.random.default_rng(m)) for m in range(5)}
+    before = spark.sparkContext.statusTracker().getJobIdsForGroup(None)
+    done = seg.lloyd(df, begin, 15)
+    jobs = len(set(spark.sparkContext.statusTracker().getJobIdsForGroup(None)) - set(before))
+    assert jobs <= 2 * 16
+    for m, (cost, centres) in done.items():
+        now = begin[m]
+        for _ in range(40):
+            at = ((rows[:, None] - now[None]) ** 2).sum(axis=2).argmin(axis=1)
+            now = np.array([rows[at == k].mean(axis=0) if (at == k).any() else now[k] for k in range(4)])
+        assert cost == pytest.approx(((rows[:, None] - now[None]) ** 2).sum(axis=2).min(axis=1).sum(), rel=1e-6)
+        assert centres == pytest.approx(now, abs=1e-3)
