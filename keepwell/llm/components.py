@@ -7,7 +7,7 @@ import itertools
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keepwell.llm.store import stored
+from keepwell.llm.store import removed, stored
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -33,6 +33,7 @@ def connected_components(edges: DataFrame, folder: str) -> DataFrame:
     seen = None
     for step in itertools.count(1):
         now = stored(_star(_star(now, True), False), folder, f"edges-{step}")
+        removed(edges.sparkSession, folder, f"edges-{step - 1}")
         state = now.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first()
         if state == seen:
             return now.select(F.col("a").alias("node"), F.col("b").alias("root"))

@@ -18,7 +18,7 @@ gives an empty result; other columns are not looked at.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import repeat
 
 import numpy as np
@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
 from keepwell.llm.components import connected_components
-from keepwell.llm.store import in_sample, shared_folder, stored, text_of
+from keepwell.llm.store import fresh, in_sample, shared_folder, stored, text_of
 
 SHINGLE, SEED, LINK = 4, 42, 4
 SHARD = 1 << 15  # fingerprints at home in a shard, about
@@ -57,14 +57,19 @@ def shingle_hashes(text: str, shingle: int = SHINGLE) -> Iterator[np.ndarray]:
         yield np.fromiter(map(xxh64_intdigest, joined, repeat(SEED)), np.uint64)
 
 
-def fingerprint(text: str) -> int:
+def majority(parts: Iterable[np.ndarray]) -> int:
+    """The bits that are set in over half of all hashes."""
     counts, n = np.zeros(64, np.int64), 0
-    for hashes in shingle_hashes(text):
+    for hashes in parts:
         counts += _bit_counts(hashes)
         n += len(hashes)
     return int(np.packbits(counts * 2 > n, bitorder="little").view("<u8")[0])
 
 
+def fingerprint(text: str) -> int:
+    return majority(shingle_hashes(text))
+
+
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         prints = np.array([fingerprint(t.as_py()) for t in batch.column("text")], np.uint64)
@@ -76,7 +81,7 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, sig (a hash of the text), fp: the fingerprint of every row as a signed long."""
     text = text_of(text_col)
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("sig"), text.alias("text"))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("sig"), text.alias("text"))
     return rows.mapInArrow(_fingerprints, "doc_id long, sig long, fp long")
 
 
@@ -227,14 +232,24 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def one_of_each(docs: DataFrame, found: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """docs with one row of each component of found (doc_id, sig, component): that of the least id, null
-    ids last, then of the least hash of the text."""
-    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "sig"))
-    kept = found.groupBy("component").agg(least.alias("k")).select(
-        F.col("k.doc_id").alias("_kept_id"), F.col("k.sig").alias("_kept_sig"))
-    signed = docs.withColumn("_sig", F.xxhash64(text_of(text_col)))
-    rows = signed.join(kept, signed[id_col].eqNullSafe(kept["_kept_id"])
-                       & (signed["_sig"] == kept["_kept_sig"]), "left_semi")
-    return rows.dropDuplicates([id_col, "_sig"]).drop("_sig")
+    ids last, then of the least hash of the text; all columns stay. The few rows that go are looked up, so
+    that the texts are not shuffled while those are a small table."""
+    folder, sig = shared_folder(docs.sparkSession), fresh(docs, "_sig")
+    rows = found.groupBy("component", "doc_id", "sig").agg(F.count("*").alias("n"))
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "sig")).alias("k")
+    kept = rows.groupBy("component").agg(least, F.count("*").alias("rows")).where("rows > 1")
+    first = kept.select(F.col("component").alias("of"), F.col("k.doc_id").alias("kept_id"), F.col("k.sig").alias("kept_sig"))
+    joined = rows.join(first, rows["component"] == first["of"])
+    gone = stored(joined.where(~(F.col("doc_id").eqNullSafe(F.col("kept_id")) & (F.col("sig") == F.col("kept_sig")))).select(
+        F.col("doc_id").alias("gone_id"), F.col("sig").alias("gone_sig")), folder, "gone")
+    again = stored(rows.where("n > 1").select(F.col("doc_id").alias("again_id"), F.col("sig").alias("again_sig")), folder, "again")
+    signed = docs.withColumn(sig, F.xxhash64(text_of(text_col)))
+    left = signed.join(gone, signed[id_col].eqNullSafe(gone["gone_id"]) & (signed[sig] == gone["gone_sig"]), "left_anti")
+    if again.isEmpty():
+        return left.drop(sig)
+    on = left[id_col].eqNullSafe(again["again_id"]) & (left[sig] == again["again_sig"])
+    once = left.join(again, on, "left_semi").dropDuplicates([id_col, sig])  # rows that repeat id and text
+    return left.join(again, on, "left_anti").unionByName(once).drop(sig)
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

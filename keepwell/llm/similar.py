@@ -1,16 +1,25 @@
 """Near duplicates by exact Jaccard similarity of word shingles, none missed.
 
-A text is the set of XXH64 values of its five-word shingles. All shingles have one order, rare before
-frequent (frequencies of a bounded sample; any order is right, this one keeps groups small). Two sets
-of similarity t or more share one of the first n - ceil(t n) + 1 values of each (prefix filter), and
-at the first value they share, what is left of both must still reach the overlap that t asks for
-(positional filter). Values with one text are dropped; under every other value, each text is first
-compared with the least one, and after the components of these links all pairs of different
-components are compared: a group of copies costs one comparison a copy, and no pair is left out. A
-pair is a link only where the exact similarity of both sets is t or more.
-
-Defined cases: as in simhash; texts without words are linked to each other, fewer words than a shingle
-form one; texts of equal shingle sets are linked without a comparison.
+A text is the set of XXH64 values of its five-word shingles. Candidates come from two sources. The
+first are SimHash fingerprints of the shingles, linked through the vantage-point trees of operator 5.
+Fingerprints alone miss most pairs near the least similarity, so the second is a prefix filter: all
+shingles have one order, rare before frequent (frequencies of a bounded sample; any order is right, this
+one keeps groups small). Two sets of similarity t or more share one of the first n - ceil(t n) + 1
+values of each, and at the first value they share, what is left of both must still reach the overlap
+that t asks for (positional filter). Values with one text are dropped; under every other value, each
+text is first compared with the least one, and after the components of these links all pairs of
+different components are compared: a group of copies costs one comparison a copy, and no pair is left
+out. Candidates whose histograms of shingle classes cannot overlap enough are ruled out; a pair is a
+link only where the exact similarity of both sets is t or more. A text that many others are compared
+with is sent to groups of bounded size. Tables are deleted once their successor is written.
+
+Shingles are compared by their 64-bit hashes, and a set is named by the hash of its values: two texts
+of equal names count as one set.
+
+Defined cases: a null text counts as empty; texts without words are linked to each other, fewer words
+than a shingle form one; equal sets are linked without a comparison; very long texts are taken whole;
+rows that repeat id and text are one row; a null id ranks last; ties cannot arise, as a link has no
+rank; all columns stay, whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -25,12 +34,14 @@ from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
 from keepwell.llm.components import connected_components
-from keepwell.llm.simhash import one_of_each, shingle_hashes
-from keepwell.llm.store import in_sample, shared_folder, stored, text_of
+from keepwell.llm.simhash import links, majority, one_of_each, shingle_hashes
+from keepwell.llm.store import in_sample, removed, shared_folder, stored, text_of
 
 SHINGLE, SIMILARITY = 5, 0.8
 SAMPLE = 10_000  # texts whose shingles are counted for the order, about
 FREQUENT = 1 << 17  # shingles that the order knows as frequent, at most
+BUCKETS = 256  # classes of the histogram that rules pairs out
+GROUP = 500  # pairs that one text meets in a group
 
 
 def shingle_set(text: str, shingle: int = SHINGLE) -> np.ndarray:
@@ -57,15 +68,20 @@ def _sketches(frequent: np.ndarray, rank: np.ndarray, shingle: int, least: float
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
-                sets = [shingle_set(t.as_py(), shingle) for t in part.column("text")]
+                sets, prints = [], []
+                for text in part.column("text"):
+                    hashes = list(shingle_hashes(text.as_py(), shingle))
+                    prints.append(majority(hashes))
+                    sets.append(np.unique(np.concatenate([np.zeros(0, np.uint64), *hashes])))
                 first = [prefix(s, frequent, rank, least) for s in sets]
                 yield pa.RecordBatch.from_arrays(
                     [part.column("doc_id"), part.column("sig"),
                      pa.array(np.array([xxh64_intdigest(s.tobytes()) for s in sets], np.uint64).view(np.int64)),
-                     pa.array([len(s) for s in sets], pa.int64()),
+                     pa.array([len(s) for s in sets], pa.int64()), pa.array(np.array(prints, np.uint64).view(np.int64)),
+                     pa.array([histogram(s).tobytes() for s in sets], pa.binary()),
                      pa.ListArray.from_arrays(np.cumsum([0, *map(len, first)]).astype(np.int32),
                                               np.concatenate(first).view(np.int64))],
-                    names=["doc_id", "sig", "node", "size", "keys"])
+                    names=["doc_id", "sig", "node", "size", "fp", "hist", "keys"])
 
     return run
 
@@ -169,14 +185,22 @@ def _by_key(rows: DataFrame, *more: str) -> DataFrame:
 
 # -- exact similarity --------------------------------------------------------------------------
 
-def _sets(shingle: int):
+def histogram(values: np.ndarray) -> np.ndarray:
+    """How many of the values fall into each of BUCKETS classes; of a set too large for 16 bits, any."""
+    counts = np.bincount((values % np.uint64(BUCKETS)).astype(np.int64), minlength=BUCKETS)
+    return (counts if counts.max(initial=0) < 1 << 16 else np.full(BUCKETS, (1 << 16) - 1)).astype(np.uint16)
+
+
+def _could_be(least: float):
+    """Pairs whose histograms leave room for the overlap that the similarity asks for."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
-                sets = [shingle_set(t.as_py(), shingle).tobytes() for t in part.column("text")]
-                yield pa.RecordBatch.from_arrays([part.column("node"), pa.array(sets, pa.binary())],
-                                                 names=["node", "values"])
+            a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint16).reshape(-1, BUCKETS)
+                    for c in ("hist_a", "hist_b"))
+            both = np.minimum(a, b).sum(axis=1, dtype=np.int64)
+            size = batch.column("size_a").to_numpy() + batch.column("size_b").to_numpy()
+            keep = both >= np.ceil(least / (1 + least) * size - 1e-9)
+            yield batch.select(["a", "b"]).filter(pa.array(keep))
 
     return run
 
@@ -187,54 +211,89 @@ def jaccard(a: np.ndarray, b: np.ndarray) -> float:
     return both / (len(a) + len(b) - both)
 
 
-def _similar(least: float):
+def _similar(shingle: int, least: float):
+    """Links of each group: its first row is the text a, the others stream past it."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group = mine = None
         for batch in batches:
-            sets = zip(batch.column("values_a"), batch.column("values_b"))
-            good = [jaccard(np.frombuffer(p.as_buffer(), np.uint64), np.frombuffer(q.as_buffer(), np.uint64))
-                    >= least for p, q in sets]
-            yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
+            found: list[tuple[int, int]] = []
+            for a, part, b, text in zip(*(batch.column(c).to_pylist() for c in ("a", "part", "b")), batch.column("text")):
+                if (a, part) != group:
+                    group, mine = (a, part), None
+                if b is None:
+                    mine = shingle_set(text.as_py(), shingle) if mine is None else mine
+                elif jaccard(mine, shingle_set(text.as_py(), shingle)) >= least:
+                    found.append((a, b))
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
     return run
 
 
-def _confirmed(pairs: DataFrame, sketches: DataFrame, texts: DataFrame, shingle: int, least: float,
+def _confirmed(pairs: DataFrame, rows: DataFrame, texts: DataFrame, shingle: int, least: float,
                folder: str, name: str) -> DataFrame:
-    """The pairs (a, b) whose sets have the similarity least or more."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    one = sketches.select("node", "sig").join(wanted, "node", "left_semi").groupBy("node").agg(
-        F.min("sig").alias("sig"))
-    found = texts.select("sig", "text").join(one, "sig").dropDuplicates(["node"]).select("node", "text")
-    sets = stored(found.mapInArrow(_sets(shingle), "node long, values binary"), folder, f"sets-{name}")
-    left = sets.select(F.col("node").alias("a"), F.col("values").alias("values_a"))
-    right = sets.select(F.col("node").alias("b"), F.col("values").alias("values_b"))
-    both = pairs.join(left, "a").join(right, "b").select("a", "b", "values_a", "values_b")
-    return stored(both.mapInArrow(_similar(least), "a long, b long"), folder, f"links-{name}")
+    """The pairs (a, b) whose sets have the similarity least or more. Histograms rule most others out; of
+    what is left, a text goes to each group of up to GROUP pairs that share it once and to the others once
+    a pair."""
+    spark = pairs.sparkSession
+    firsts = rows.groupBy("node").agg(F.min_by(F.struct("doc_id", "sig", "size", "hist"), F.struct(
+        F.col("doc_id").isNull(), "doc_id", "sig")).alias("r"))
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    ends = stored(firsts.join(ends, "node", "left_semi").select("node", "r.*"), folder, f"ends-{name}")
+    sides = [ends.select(F.col("node").alias(c), F.col("size").alias(f"size_{c}"), F.col("hist").alias(f"hist_{c}")) for c in "ab"]
+    near = pairs.join(sides[0], "a").join(sides[1], "b").mapInArrow(_could_be(least), "a long, b long")
+    near = stored(near, folder, f"near-{name}")
+    groups = near.groupBy("a").agg(F.ceil(F.count("*") / GROUP).cast("int").alias("parts"))
+    sent = near.join(groups, "a").select("a", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part"), "b")
+    sent = sent.select("a", "part", "b", F.col("b").alias("node")).unionByName(sent.select("a", "part").distinct().select(
+        "a", "part", F.lit(None).cast("long").alias("b"), F.col("a").alias("node")))
+    sent = stored(sent.join(ends.select("node", "doc_id", "sig"), "node").select(
+        "a", "part", "b", F.col("doc_id").alias("of_id"), F.col("sig").alias("of_sig")), folder, f"sent-{name}")
+    moved = texts.join(sent, texts["doc_id"].eqNullSafe(sent["of_id"]) & (texts["sig"] == sent["of_sig"])).select(
+        "a", "part", "b", "text")
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    met = moved.repartition(parts, "a", "part").sortWithinPartitions("a", "part", F.col("b").asc_nulls_first())
+    links = stored(met.mapInArrow(_similar(shingle, least), "a long, b long"), folder, f"links-{name}")
+    removed(spark, folder, f"ends-{name}", f"near-{name}", f"sent-{name}")
+    return links
+
+
+def _tree_pairs(rows: DataFrame, folder: str) -> DataFrame:
+    """a, b: texts of one fingerprint with the least of them, and the links that vantage-point trees find
+    between fingerprints."""
+    points = stored(rows.groupBy("fp").agg(F.min("node").alias("node")), folder, "points")
+    forest = links(points)
+    left, right = (points.select(F.col("fp").alias(c), F.col("node").alias(f"node_{c}")) for c in "ab")
+    far = forest.join(left, "a").join(right, "b").select(F.col("node_a").alias("x"), F.col("node_b").alias("y"))
+    same = rows.select("fp", F.col("node").alias("x")).join(points.select("fp", F.col("node").alias("y")), "fp").select("x", "y")
+    return far.unionByName(same).where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
 
 
 def _components(docs: DataFrame, id_col: str, text_col: str, shingle: int, least: float) -> DataFrame:
     """doc_id, sig (a hash of the text), component (a shingle set) for every row."""
-    folder = shared_folder(docs.sparkSession)
+    spark, folder = docs.sparkSession, shared_folder(docs.sparkSession)
     text = text_of(text_col)
-    texts = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("sig"), text.alias("text"))
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("sig"), text.alias("text"))
     made = texts.mapInArrow(_sketches(*_frequent(texts, shingle), shingle, least),
-                            "doc_id long, sig long, node long, size long, keys array<long>")
+                            "doc_id long, sig long, node long, size long, fp long, hist binary, keys array<long>")
     sketches = stored(made, folder, "sketches")
+    rows = stored(sketches.drop("keys"), folder, "rows")
     keys = sketches.select("node", "size", F.posexplode("keys").alias("pos", "key")).select(
         "key", "node", "size", F.col("pos").cast("long").alias("pos"))
     kind = "key long, node long, size long, pos long"
     shared = stored(_by_key(keys, "node").mapInArrow(_shared(least), f"{kind}, first long"), folder, "shared")
-    stars = stored(shared.where("first IS NOT NULL").select(
-        F.least("node", "first").alias("a"), F.greatest("node", "first").alias("b")).distinct(), folder, "stars")
-    links = _confirmed(stars, sketches, texts, shingle, least, folder, "stars")
-    root = connected_components(links, f"{folder}/first")
+    removed(spark, folder, "sketches")
+    stars = shared.where("first IS NOT NULL").select(F.least("node", "first").alias("a"), F.greatest("node", "first").alias("b"))
+    stars = stored(stars.unionByName(_tree_pairs(rows, folder)).distinct(), folder, "stars")
+    found = _confirmed(stars, rows, texts, shingle, least, folder, "stars")
+    root = connected_components(found, f"{folder}/first")
     placed = shared.join(root, "node", "left").select(
         "key", "node", "size", "pos", F.coalesce("root", "node").alias("comp"))
     rest = _by_key(placed).mapInArrow(_pairs(least), "a long, b long").distinct().join(stars, ["a", "b"], "left_anti")
     rest = stored(rest, folder, "pairs")
-    links = links.unionByName(_confirmed(rest, sketches, texts, shingle, least, folder, "pairs"))
-    root = connected_components(links, f"{folder}/all")
-    return sketches.join(root, "node", "left").select("doc_id", "sig", F.coalesce("root", "node").alias("component"))
+    removed(spark, folder, "shared", "stars", "points")
+    found = found.unionByName(_confirmed(rest, rows, texts, shingle, least, folder, "pairs"))
+    root = connected_components(found, f"{folder}/all")
+    return rows.join(root, "node", "left").select("doc_id", "sig", F.coalesce("root", "node").alias("component"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE,

@@ -52,3 +52,19 @@ def equal(left: DataFrame, right: DataFrame, *names: str) -> Column:
 def in_sample(key: Column, size: int, rows: int) -> Column:
     """Chooses about size of rows rows by the hash of key: the same ones in every run."""
     return F.pmod(F.xxhash64(F.lit("sample"), key), F.lit(1 << 40)) < int(2 ** 40 * min(1.0, size / max(rows, 1)))
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """name, made longer until the table has no such column."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def removed(spark: SparkSession, folder: str, *names: str) -> None:
+    """Deletes tables that no later pass reads."""
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    for name in names:
+        path = hadoop.Path(f"{folder}/{name}")
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
