@@ -50,7 +50,7 @@ def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
                        (F.sha2("decoded", 256) == F.col("text_hash")).alias("lossless"))
 
 
-STAGES = [("language ID", identify_language), ("exact dedup", exact_dedup), ("SimHash near-dedup", near_dedup),
+STAGES = [("language ID", identify_language), ("exact dedup", exact_dedup), ("near-dedup", near_dedup),
           ("mixing to target weights", mix_domains), ("SentencePiece encoding", encode_pieces)]
 ORACLE_SQL = None  # trained models and fingerprints; tests/llm holds each stage against brute force
 
