@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keepwell.llm.store import equal, shared_folder, stored, text_of
+from keepwell.llm.store import equal, fresh, shared_folder, stored, text_of
 
 WHITE = r"[\x20\x09-\x0D]+"
 CHUNK = 1 << 20
@@ -83,7 +83,7 @@ def _chunks(docs: DataFrame, id_col: str, text_col: str, chunk: int, *more) -> D
     """Chunks of every text without white space; an empty text has one empty chunk."""
     text = text_of(text_col)
     norm = docs.select(
-        F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("sig"), *more,
+        F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("sig"), *more,
         F.regexp_replace(text, WHITE, "").cast("binary").alias("norm"))
     parts = F.transform(
         F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil(F.octet_length("norm") / chunk).cast("int") - 1)),
@@ -172,9 +172,9 @@ def _differing(texts: DataFrame, rows: DataFrame, several: DataFrame, attempt: i
 
 def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without the rows whose text another row keeps; all columns stay."""
+    sig, of_id, of_sig = (fresh(docs, c) for c in ("_sig", "_kept_id", "_kept_sig"))
     found = exact_duplicates(docs, id_col, text_col).where("kept").select(
-        F.col("doc_id").alias("_kept_id"), F.col("sig").alias("_kept_sig"))
-    signed = docs.withColumn("_sig", F.xxhash64(text_of(text_col)))
-    kept = signed.join(found, signed[id_col].eqNullSafe(found["_kept_id"])
-                       & (signed["_sig"] == found["_kept_sig"]), "left_semi")
-    return kept.dropDuplicates([id_col, "_sig"]).drop("_sig")
+        F.col("doc_id").alias(of_id), F.col("sig").alias(of_sig))
+    signed = docs.withColumn(sig, F.xxhash64(text_of(text_col)))
+    kept = signed.join(found, F.col(id_col).eqNullSafe(F.col(of_id)) & (F.col(sig) == F.col(of_sig)), "left_semi")
+    return kept.dropDuplicates([id_col, sig]).drop(sig)

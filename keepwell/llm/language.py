@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from keepwell.llm.store import in_sample, text_of
+from keepwell.llm.store import fresh, in_sample, text_of
 
 UNKNOWN = "und"
 WINDOW = 256
@@ -203,10 +203,10 @@ def keep_identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """docs without texts whose language cannot be told: "und", or a score below least. All columns
     stay; a label that is missing is filled with the prediction."""
     found = predict(docs, train(docs, id_col, text_col, label_col), id_col, text_col)
+    pred, of_id, of_sig, sig = (fresh(docs, c) for c in ("_pred", "_of_id", "_of_sig", "_text_sig"))
     found = found.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)).groupBy(
-        "doc_id", "sig").agg(F.first("lang_pred").alias("_pred"))
-    found = found.withColumnsRenamed({"doc_id": "_id", "sig": "_sig"})
-    rows = docs.withColumn("_text_sig", F.xxhash64(text_of(text_col)))
-    kept = rows.join(found, rows[id_col].eqNullSafe(found["_id"]) & (rows["_text_sig"] == found["_sig"]))
-    return kept.select(*[F.coalesce(label_col, "_pred").alias(c) if c == label_col else rows[c]
+        F.col("doc_id").alias(of_id), F.col("sig").alias(of_sig)).agg(F.first("lang_pred").alias(pred))
+    rows = docs.withColumn(sig, F.xxhash64(text_of(text_col)))
+    kept = rows.join(found, F.col(id_col).eqNullSafe(F.col(of_id)) & (F.col(sig) == F.col(of_sig)))
+    return kept.select(*[F.coalesce(label_col, pred).alias(c) if c == label_col else rows[c]
                          for c in docs.columns])

@@ -27,7 +27,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from keepwell.llm.store import in_sample, shared_folder, stored, text_of
+from keepwell.llm.store import fresh, in_sample, shared_folder, stored, text_of
 
 SAMPLE = 10_000  # labelled documents learnt from, about
 FEATURES, PASSES, PENALTY = 1 << 14, 40, 1e-2
@@ -148,14 +148,14 @@ def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], budget:
     """docs, each row as often as its rate says: the whole part, and once more where the hash of its id
     falls below the rest."""
     rates = document_rates(docs, labelled, targets, budget, id_col, text_col)
-    rates = rates.groupBy("doc_id", "sig").agg(F.first("rate").alias("_rate")).withColumnsRenamed(
-        {"doc_id": "_id", "sig": "_sig"})
-    unit = F.pmod(F.xxhash64(F.lit("mix"), F.col("_id"), F.col("_sig")), F.lit(1 << 40)) / float(1 << 40)
-    copies = (F.floor("_rate") + (unit < F.col("_rate") - F.floor("_rate")).cast("long")).cast("int")
-    rows = docs.withColumn("_text_sig", F.xxhash64(text_of(text_col)))
-    rows = rows.join(rates, rows[id_col].eqNullSafe(rates["_id"]) & (rows["_text_sig"] == rates["_sig"]))
+    of_id, of_sig, rate, sig, copy = (fresh(docs, c) for c in ("_of_id", "_of_sig", "_rate", "_text_sig", "_copy"))
+    rates = rates.groupBy(F.col("doc_id").alias(of_id), F.col("sig").alias(of_sig)).agg(F.first("rate").alias(rate))
+    unit = F.pmod(F.xxhash64(F.lit("mix"), F.col(of_id), F.col(of_sig)), F.lit(1 << 40)) / float(1 << 40)
+    copies = (F.floor(rate) + (unit < F.col(rate) - F.floor(rate)).cast("long")).cast("int")
+    rows = docs.withColumn(sig, F.xxhash64(text_of(text_col)))
+    rows = rows.join(rates, F.col(id_col).eqNullSafe(F.col(of_id)) & (F.col(sig) == F.col(of_sig)))
     often = F.when(copies > 0, F.sequence(F.lit(1), copies))
-    return rows.withColumn("_copy", F.explode(often)).select(*[rows[c] for c in docs.columns])
+    return rows.withColumn(copy, F.explode(often)).select(*[rows[c] for c in docs.columns])
 
 
 def label_domains(labels: DataFrame) -> DataFrame:

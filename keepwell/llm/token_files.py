@@ -284,7 +284,7 @@ def write(docs: DataFrame, tokenizer: str, folder: str, id_col: str = "doc_id",
           text_col: str = "text") -> None:
     """folder/documents and folder/vocabulary, from the texts of docs."""
     work = shared_folder(docs.sparkSession)
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_of(text_col)).alias("sig"),
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_of(text_col)).alias("sig"),
                        text_of(text_col).alias("text"))
     ids = stored(rows.mapInArrow(_tokenize(tokenizer), "doc_id long, sig long, width int, ids binary"),
                  work, "ids")

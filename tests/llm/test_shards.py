@@ -44,10 +44,23 @@ def test_every_shard_fits(spark):
 
 def test_small_empty_and_clashing(spark):
     one = spark.createDataFrame([(1, "abc", 0, "")], KIND)
-    assert [r.shard for r in shards.directory(one, 1000).collect()] == [""]
+    assert [r.shard for r in shards.directory(one, 1000).shards.collect()] == [""]
     assert shards.assign(one, shards.directory(one, 1000)).first().shard == ""
     none = one.limit(0)
-    assert shards.directory(none, 1000).count() == 0
+    assert shards.directory(none, 1000).shards.count() == 0
     shards.write(none, f"{shared_folder(spark)}/shards", 1000)
     with pytest.raises(ValueError):
         shards.write(one.withColumn("Shard", F.lit(1)), "x", 10)
+
+
+def test_rows_that_the_directory_has_not_seen(spark):
+    rng = random.Random(2)
+    rows = [(i, "x" * rng.randrange(200), 1, "a") for i in range(3000)] + [(5, "y" * 50, 1, "a")] * 2000
+    found = shards.directory(spark.createDataFrame(rows, KIND), 3000)
+    assert len(found.splits) > 1
+    more = spark.createDataFrame([(10_000 + i, "new", i, "b") for i in range(1000)], KIND).withColumnRenamed("_x", "_address")
+    placed = shards.assign(more, found)
+    assert placed.columns == [*more.columns, "shard"] and placed.count() == 1000
+    assert sorted(r._address for r in placed.collect()) == list(range(1000))
+    known = {r.shard for r in found.shards.collect()}
+    assert all(r.shard in known or len(r.shard) == found.bits for r in placed.collect())
