@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
@@ -12,7 +13,7 @@ from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.feature import OneHotEncoder, SQLTransformer, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.pipeline import Pipeline
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from keepwell.functions.quantiles import quantiles
@@ -168,13 +169,41 @@ def margin(fitted: Fitted, df: DataFrame, name: str) -> DataFrame:
     return out.select(*map(col, df.columns), m.alias(name))
 
 
-def save(fitted: Fitted, path: str) -> None:
-    fitted.model.write().overwrite().save(path)
-
-
-def load(path: str, like: Fitted) -> Fitted:
-    return Fitted(PipelineModel.load(path), like.learner, like.numeric, like.categorical,
-                  like.scales, like.levels)
+def save(fitted: Fitted, path: str, calibrated: Calibrated | None = None) -> None:
+    """The whole model below path: pipeline, names, scales and levels, and the calibrating models with
+    their curves or slopes, if given."""
+    spark = SparkSession.active()
+    fitted.model.write().overwrite().save(f"{path}/pipeline")
+    about = {"learner": fitted.learner, "numeric": fitted.numeric, "categorical": fitted.categorical, "levels": fitted.levels,
+             "scales": {c: [s.median, s.mean, s.sd] for c, s in fitted.scales.items()}}
+    if calibrated is not None:
+        about |= {"method": calibrated.method, "folds": len(calibrated.models)}
+        for k, (model, cal) in enumerate(zip(calibrated.models, calibrated.calibrators, strict=True)):
+            save(model, f"{path}/fold-{k}")
+            rows = cal if calibrated.method == "isotonic" else spark.createDataFrame([cal], "slope double, intercept double")
+            rows.write.mode("overwrite").parquet(f"{path}/curve-{k}")
+    spark.createDataFrame([(json.dumps(about),)], "about string").coalesce(1).write.mode("overwrite").json(f"{path}/about")
+
+
+def load(path: str) -> Fitted:
+    about = _about(path)
+    return Fitted(PipelineModel.load(f"{path}/pipeline"), about["learner"], about["numeric"], about["categorical"],
+                  {c: Scale(*s) for c, s in about["scales"].items()}, about["levels"])
+
+
+def load_calibrated(path: str) -> Calibrated | None:
+    """The calibrating models that were saved with the model, None if there were none."""
+    about, spark = _about(path), SparkSession.active()
+    if "method" not in about:
+        return None
+    curves = [spark.read.parquet(f"{path}/curve-{k}") for k in range(about["folds"])]
+    if about["method"] != "isotonic":
+        curves = [tuple(c.select("slope", "intercept").first()) for c in curves]
+    return Calibrated([load(f"{path}/fold-{k}") for k in range(about["folds"])], curves, about["method"])
+
+
+def _about(path: str) -> dict:
+    return json.loads(SparkSession.active().read.schema("about string").json(f"{path}/about").first()["about"])
 
 
 def fold_scores(df: DataFrame, numeric: Sequence[str], categorical: Sequence[str], y: str,

@@ -35,6 +35,16 @@ def _facts(s, d):
     return p.column_facts(v.dirty(s, d), TEXT, "row_id")
 
 
+def _column_facts(s, d):
+    return p.collect_facts(v.dirty(s, d), TEXT, "row_id")
+
+
+def _likely_columns(s, facts):
+    found = [("target", c) for c in p.likely_targets(facts)]
+    found += [(role, c) for role, c in (("time", p.likely_time(facts)), ("revenue", p.likely_revenue(facts))) if c]
+    return s.createDataFrame(found, "role string, column string")
+
+
 def _typed(s, d):
     return v.dirty(s, d).withColumn("balance", to_number("balance"))
 
@@ -109,28 +119,34 @@ QUERIES = {
   SELECT "column", min(trim(value)) AS low, max(trim(value)) AS high FROM ({_UNPIVOT})
   WHERE trim(value) <> '' GROUP BY 1 HAVING count(DISTINCT trim(value)) = 2""")),
     "minority_label": (
-        lambda s, d: _facts(s, d).where("is_binary").select(
-            "column", F.when(F.col("n_high") <= F.col("n_low"), F.col("high"))
-            .otherwise(F.col("low")).alias("minority")),
+        lambda s, d: s.createDataFrame([(f.column, p.positive_label(f)) for f in _column_facts(s, d) if f.is_binary],
+                                       "column string, minority string"),
         oracle("dirty", f"""
   WITH g AS (SELECT "column", trim(value) AS t, count(*) AS n FROM ({_UNPIVOT})
              WHERE trim(value) <> '' GROUP BY 1, 2)
-  SELECT "column", first(t ORDER BY n, t DESC) AS minority FROM g GROUP BY 1
-  HAVING count(*) = 2""")),
+  SELECT "column", first(t ORDER BY coalesce(list_position({list(p.POSITIVE_WORDS)!r}, lower(t)), 99), n, t DESC) AS minority
+  FROM g GROUP BY 1 HAVING count(*) = 2""")),
+    "likely_columns": (
+        lambda s, d: _likely_columns(s, _column_facts(s, d)),
+        oracle("dirty", f"""
+  WITH o AS (SELECT * FROM (VALUES {", ".join(f"({c!r}, {i})" for i, c in enumerate(TEXT))}) t("column", i)),
+  f AS (SELECT "column", count(DISTINCT trim(value)) = 2 AS two,
+      avg((TRY_CAST(trim(value) AS DOUBLE) IS NOT NULL)::INT) AS ns FROM ({_UNPIVOT}) WHERE trim(value) <> '' GROUP BY 1)
+  SELECT 'target' AS role, "column" FROM f JOIN o USING ("column") WHERE two AND regexp_matches("column", '(?i){p.TARGET_NAME}')
+  UNION ALL (SELECT 'time', "column" FROM f JOIN o USING ("column")
+    WHERE ns > {p.TYPE_SHARE} AND regexp_matches("column", '(?i){p.TIME_NAME}') ORDER BY i LIMIT 1)
+  UNION ALL (SELECT 'revenue', "column" FROM f JOIN o USING ("column")
+    WHERE ns > {p.TYPE_SHARE} AND regexp_matches("column", '(?i){p.REVENUE_NAME}') ORDER BY i LIMIT 1)""")),
     "semantic_types": (
         lambda s, d: p.semantic_types(_facts(s, d)),
         oracle("dirty", f"""
   WITH {_TYPES} SELECT * FROM st""")),
     "target_feasible": (
-        lambda s, d: _facts(s, d).select(
-            "column", "is_binary", "single_value",
-            F.col("column").rlike("(?i)" + p.TARGET_NAME).alias("named_like_target")),
+        lambda s, d: s.createDataFrame([(p.target_problem(_column_facts(s, d)) is None,)], "feasible boolean"),
         oracle("dirty", f"""
-  SELECT "column", count(DISTINCT trim(value)) = 2 AS is_binary,
-         count(DISTINCT trim(value)) = 1 AS single_value,
-         regexp_matches("column", '(?i)churn|exited|attrition|\\bleft\\b|cancel')
-           AS named_like_target
-  FROM ({_UNPIVOT}) WHERE trim(value) <> '' GROUP BY 1""")),
+  WITH f AS (SELECT count(DISTINCT trim(value)) AS n, regexp_matches("column", '(?i){p.TARGET_NAME}') AS named
+    FROM ({_UNPIVOT}) WHERE trim(value) <> '' GROUP BY "column")
+  SELECT bool_or(n = 2) AND (bool_or(n = 2 AND named) OR NOT bool_or(n = 1 AND named)) AS feasible FROM f""")),
     "role_diff": (
         _role_diff,
         oracle("dirty", f"""

@@ -7,6 +7,7 @@ from keepwell.operators import explain as x
 from keepwell.operators import hypothesis as h
 from keepwell.operators import metrics as m
 from keepwell.operators import model as ml
+from keepwell.operators.isotonic import isotonic
 from keepwell.operators import nbo
 from keepwell.operators import segment as g
 from keepwell.plans import views as v
@@ -173,6 +174,15 @@ QUERIES = {
         lambda s, d: ml.permutation_importance(_fit(s, d), test(s, d), "churned", "customer_id"), None),
     "calibration_raw_vs_isotonic": (_scores, None),
     "calibration_sigmoid": (_platt, None),
+    "isotonic_steps": (
+        lambda s, d: rounded(isotonic(base(s, d), "tenure", "churned"), "value"),
+        oracle("planted", """
+  WITH x AS (SELECT tenure::DOUBLE AS x, count(*) AS n, sum(churned) AS y FROM planted WHERE tenure IS NOT NULL GROUP BY 1),
+  r AS (SELECT x, n, y, row_number() OVER (ORDER BY x) AS i, sum(n) OVER (ORDER BY x) AS cn, sum(y) OVER (ORDER BY x) AS cy FROM x),
+  ab AS (SELECT a.i AS a, b.i AS b, (b.cy - a.cy + a.y) / (b.cn - a.cn + a.n) AS m FROM r a JOIN r b ON b.i >= a.i),
+  lo AS (SELECT a, b AS i, min(m) OVER (PARTITION BY a ORDER BY b DESC) AS m FROM ab),
+  v AS (SELECT i, max(m) AS v FROM lo GROUP BY 1)
+  SELECT min(x) AS low, max(x) AS high, round(v, 9) AS value FROM v JOIN r USING (i) GROUP BY round(v, 9)""")),
     "contributions_linear": (
         lambda s, d: (lambda f, e: x.global_importance(e, [*f.numeric, *f.categorical]))(*_explained(s, d)),
         None),

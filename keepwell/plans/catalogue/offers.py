@@ -284,9 +284,10 @@ QUERIES = {
     "offer_discount": (
         lambda s, d: v.table(s, d, "orders").select(F.concat_ws(
             "", "o_orderpriority", F.lit(" "), (col("o_orderkey") % 45).cast("string"),
-            F.lit("% Discount")).alias("offer")).distinct().select(
-            "offer", offer_discount("offer").alias("discount"),
-            (F.coalesce(offer_discount("offer"), F.lit(0.0)) <= 0.2 + 1e-12).alias("eligible")),
+            F.lit("% Discount")).alias("offer")).distinct().transform(lambda t: t.select(
+                "offer", offer_discount("offer").alias("discount")).join(
+                    nbo.eligible_offers(t).withColumn("_in", F.lit(True)), "offer", "left").select(
+                        "offer", "discount", F.coalesce("_in", F.lit(False)).alias("eligible"))),
         """SELECT DISTINCT o_orderpriority || ' ' || (o_orderkey % 45) || '% Discount' AS offer,
   (o_orderkey % 45)::DOUBLE / 100 AS discount, (o_orderkey % 45)::DOUBLE / 100 <= 0.2 AS eligible FROM orders"""),
     "discount_cap": (

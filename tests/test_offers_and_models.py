@@ -247,8 +247,13 @@ def test_calibration_lowers_brier(parts):
 def test_saved_model_scores_the_same(parts, tmp_path):
     train, test = parts
     f = model.fit(train, ["balance"], ["segment"], "churned")
-    model.save(f, str(tmp_path / "m"))
-    g = model.load(str(tmp_path / "m"), f)
+    c = model.calibrate(train, ["balance"], ["segment"], "churned", "customer_id", method="sigmoid")
+    model.save(f, str(tmp_path / "m"), c)
+    g = model.load(str(tmp_path / "m"))
+    assert (g.learner, g.numeric, g.categorical, g.scales, g.levels) == (f.learner, f.numeric, f.categorical, f.scales, f.levels)
+    back = model.load_calibrated(str(tmp_path / "m"))
+    one, two = (model.score_calibrated(x, test, "p").select("customer_id", F.col("p").alias(n)) for x, n in ((c, "p"), (back, "q")))
+    assert one.join(two, "customer_id").where("abs(p - q) > 1e-12").count() == 0
     a = model.score(f, test, "p").select("customer_id", "p")
     b = model.score(g, test, "p").select("customer_id", F.col("p").alias("q"))
     assert a.join(b, "customer_id").where("abs(p - q) > 1e-12").count() == 0
@@ -367,3 +372,36 @@ def test_all_starts_share_the_passes(spark):
             now = np.array([rows[at == k].mean(axis=0) if (at == k).any() else now[k] for k in range(4)])
         assert cost == pytest.approx(((rows[:, None] - now[None]) ** 2).sum(axis=2).min(axis=1).sum(), rel=1e-6)
         assert centres == pytest.approx(now, abs=1e-3)
+
+
+def test_contributions_of_rows_that_repeat_an_id(parts):
+    train, test = parts
+    f = model.fit(train, ["balance"], ["segment"], "churned", learner="boosting", trees=3)
+    few = test.orderBy("customer_id").limit(6).withColumn("no", F.monotonically_increasing_id())
+    alone = {r["no"]: r["contributions"] for r in explain.contributions(f, few, train).collect()}
+    same = few.withColumn("customer_id", F.lit(None).cast(few.schema["customer_id"].dataType))
+    got = {r["no"]: r["contributions"] for r in explain.contributions(f, same, train).collect()}
+    assert len(got) == 6 and all(got[k] == pytest.approx(alone[k]) for k in alone)
+    more = {r["no"]: r["contributions"] for r in explain.contributions(f, few, train, orders=3).collect()}
+    assert all(sum(more[k]) == pytest.approx(sum(alone[k])) for k in alone)
+
+
+def test_offers_without_a_bound_on_rates_and_costs(spark):
+    customers = spark.createDataFrame([("a", "s1", 0.9, "High", 100.0), ("b", "s9", 0.8, "High", 100.0)],
+                                      "customer_id string, segment string, churn_probability double, risk_band string, arpu double")
+    n = 100_100
+    rates = spark.range(n).selectExpr("concat('offer ', id) AS offer", "CAST(NULL AS string) AS segment", "0.1 AS p_accept",
+                                      "0.9 AS stay_if_accepted", "0.5 AS stay_if_declined").selectExpr(
+        "offer", "segment", "CAST(p_accept AS double) AS p_accept", "CAST(stay_if_accepted AS double) AS stay_if_accepted",
+        "CAST(stay_if_declined AS double) AS stay_if_declined")
+    costs = spark.range(n).selectExpr("concat('offer ', id) AS offer", "CAST(IF(id = 77, 1, 500) AS double) AS offer_cost")
+    got = nbo.score_next_best_offers(customers, rates, costs, None, revenue="arpu").collect()
+    assert {(r["customer_id"], r["best_offer"], r["offer_cost"], r["eligible_offers"]) for r in got} == {
+        ("a", "offer 77", 1.0, n), ("b", "offer 77", 1.0, n)}
+
+
+def test_median_of_a_group(spark):
+    rows = [("a", float(i % 7)) for i in range(1001)] + [("b", 1.0), ("b", 4.0), ("c", None)]
+    df = spark.createDataFrame(rows, "g string, v double")
+    got = {r["group"]: r["value"] for r in adhoc.filter_and_aggregate(df, "median", column="v", group_by="g").collect()}
+    assert got == {"a": 3.0, "b": 2.5, "c": None}

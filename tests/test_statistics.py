@@ -340,3 +340,17 @@ def test_results_file_is_read_as_text(spark, tmp_path):
     f.write_text("customer_id,churned\n1,0\n")
     with pytest.raises(r.ResultsError, match="group"):
         r.read_results(spark, str(f))
+
+
+def test_design_limits_are_inclusive():
+    for alpha, fits in ((0.2, True), (0.20000005, False)):
+        d = ds.Design(experiment_id=1, alpha=alpha)
+        if fits:
+            d.check()
+        else:
+            with pytest.raises(ds.DesignError):
+                d.check()
+    for share in (0.05, 0.95):
+        ds.Design(experiment_id=1, control_share=share).check()
+    with pytest.raises(ds.DesignError):
+        ds.Design(experiment_id=1, control_share=0.0499999999).check()
