@@ -304,17 +304,16 @@ def with_verdict(j: DataFrame) -> DataFrame:
     j = j.withColumn("verdict", verdict)
     v, open_end = F.col("verdict"), (F.col("verdict") == "inconclusive") & ~good
     reasons = F.array_compact(F.array(
-        F.when(v == "untrustworthy", "Sample ratio mismatch: the split differs from the plan."),
-        F.when((v == "dont_ship") & bad, "The interval shows the offer increased churn."),
-        F.when((v == "dont_ship") & loses, "The offer costs more than the customers it saves."),
-        F.when(v == "ship", "Churn fell, net value is positive and no guardrail was breached."),
-        F.when(open_end, "The interval of the difference includes 0."),
-        F.when((v == "inconclusive") & value.isNull(), "Net value is unknown."),
+        F.when(v == "untrustworthy", "arms are not split as planned"),
+        F.when((v == "dont_ship") & bad, "churn rose: the whole interval lies above zero"),
+        F.when((v == "dont_ship") & loses, "net value is below zero"),
+        F.when(v == "ship", "churn fell at a gain, within all guardrails"),
+        F.when(open_end, "the interval leaves the sign of the change open"),
+        F.when((v == "inconclusive") & value.isNull(), "no net value: customer value or cost is missing"),
         F.when((v == "inconclusive") & breach,
-               F.concat(F.lit("Guardrail breached: "), F.array_join("breached", ", "), F.lit("."))),
+               F.concat(F.lit("guardrails crossed: "), F.array_join("breached", ", "))),
         F.when(open_end & (more_t == 0) & (more_c == 0),
-               "The test reached its planned size; any effect is probably smaller than the "
-               "minimum detectable effect.")))
+               "planned size reached: what is left to find is below the planned effect")))
     return j.withColumns({"reasons": reasons, "extra_treatment": F.when(open_end, more_t),
                           "extra_control": F.when(open_end, more_c)})
 

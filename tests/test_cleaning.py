@@ -148,7 +148,7 @@ def test_csv_round_trip(spark, tmp_path):
     assert [r["plan"] for r in df.orderBy("row_id").collect()] == ["Café", "y"]
     typed = files.unify_mixed_columns(df, ["id", "plan", "x"])
     assert dict(typed.dtypes)["x"] == "bigint" and dict(typed.dtypes)["plan"] == "string"
-    with pytest.raises(files.FileRejected, match="at least 100"):
+    with pytest.raises(files.FileRejected, match="100 or more"):
         files.read_csv(spark, str(path))
 
 
@@ -159,7 +159,7 @@ def test_csv_encoding_and_ragged_rows(spark, tmp_path):
     assert files.read_csv(spark, str(latin), 1)[0].first()["name"] == "Zoë €"
     ragged = tmp_path / "ragged.csv"
     ragged.write_text("a,b\n1,2\n1,2,3\n")
-    with pytest.raises(files.FileRejected, match="different number"):
+    with pytest.raises(files.FileRejected, match="another number"):
         files.read_csv(spark, str(ragged), 1)
 
 
@@ -233,7 +233,7 @@ def test_csv_faults(spark, tmp_path):
         read("open.csv", b'a,b\n1,"2\n3,4\n')
     with pytest.raises(files.FileRejected, match="no header"):
         read("empty.csv", b"")
-    with pytest.raises(files.FileRejected, match="different number"):
+    with pytest.raises(files.FileRejected, match="another number"):
         read("short.csv", b"a,b\n1\n")
     two = tmp_path / "two"
     two.mkdir()
