@@ -6,15 +6,16 @@ import math
 from collections.abc import Sequence
 
 import numpy as np
-from pyspark.ml.feature import VectorAssembler
+import pandas as pd
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.regression import GeneralizedLinearRegression
 from pyspark.ml.stat import Correlation, Summarizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from keepwell.functions.scalar import col, half_even, hash_unit, risk_band
+from keepwell.functions.stored import stored
 from keepwell.operators.clean import spread, tall
+from keepwell.operators.logit import contrasts, fit_absorbed
 from keepwell.operators.model import Fitted, transform
 from keepwell.operators.segment import filled, scales
 
@@ -26,10 +27,12 @@ SEED = 42
 MAX_COEF = 15.0
 TOP_REASONS = 3
 FOREST_ROWS = 15
-MAX_TERMS = 4096  # the solver's limit
+MAX_TERMS = 4096  # terms beside the absorbed column: their matrix is dense
 Z95 = 1.959963984540054
 MISSING = "Missing"
 
+erfc_of = np.vectorize(math.erfc, otypes=[float])
+
 
 def owners(fitted: Fitted) -> list[tuple[str, int, int]]:
     """(feature, first position, width) of every feature in the model vector. One-hot blocks have
@@ -192,58 +195,84 @@ def separated_terms(wide: DataFrame, names: Sequence[str]) -> list[str]:
     return out
 
 
-def independent_terms(wide: DataFrame, names: Sequence[str]) -> list[str]:
-    """Columns that raise the rank beside an intercept, in order: one pass for the correlations of all
-    columns, then one Cholesky decomposition that skips what earlier columns explain."""
-    if not names:
-        return []
-    data = VectorAssembler(inputCols=list(names), outputCol="_x").transform(wide.select(*names))
-    corr = np.nan_to_num(Correlation.corr(data, "_x").first()[0].toArray(), nan=0.0)
-    spread_of = wide.agg(*[F.stddev_pop(c).alias(c) for c in names]).first()
-    kept: list[int] = []
-    rows = np.zeros((0, 0))
-    for i, c in enumerate(names):
-        part = np.linalg.solve(rows, corr[i, kept]) if kept else np.zeros(0)
-        rest = 1.0 - part @ part
-        if spread_of[c] and rest > 1e-9:
-            grown = np.zeros((len(kept) + 1, len(kept) + 1))
-            grown[:-1, :-1], grown[-1, :-1], grown[-1, -1] = rows, part, math.sqrt(rest)
-            rows = grown
-            kept.append(i)
-    return [names[i] for i in kept]
+def _widest(train: DataFrame, categorical: Sequence[str]) -> str | None:
+    """The column of the most levels (estimated, one aggregate), the first of equal ones."""
+    if not categorical:
+        return None
+    row = train.agg(*[F.approx_count_distinct(col(c)).alias(f"n{i}") for i, c in enumerate(categorical)]).first()
+    return categorical[max(range(len(categorical)), key=lambda i: (row[i], -i))]
+
+
+def _level_table(train: DataFrame, column: str, y: str) -> tuple[DataFrame, str]:
+    """(level, apart: one outcome only), written once; and the most frequent level."""
+    counts = stored(train.groupBy(F.coalesce(col(column).cast("string"), F.lit(MISSING)).alias("level")).agg(
+        F.count("*").alias("n"), F.sum(col(y).cast("double")).alias("ones")))
+    first = counts.agg(F.min_by("level", F.struct(-F.col("n"), "level"))).first()[0]
+    apart = (F.col("level") != first) & ((F.col("ones") == 0) | (F.col("ones") == F.col("n")))
+    return counts.select("level", apart.alias("apart")), first
+
 
+def _wald(rows: DataFrame) -> DataFrame:
+    """rows: feature, term, label, coef, se."""
+    @F.pandas_udf("double")
+    def p_value(coef: pd.Series, se: pd.Series) -> pd.Series:
+        return pd.Series(erfc_of(np.abs(coef.to_numpy() / se.to_numpy()) / math.sqrt(2)))
 
-ODDS_SCHEMA = ("feature string, term string, label string, coef double, se double, "
-               "odds_ratio double, ci_lower double, ci_upper double, p_value double")
+    return rows.select(
+        "feature", "term", "label", "coef", "se", F.exp("coef").alias("odds_ratio"),
+        F.exp(F.col("coef") - Z95 * F.col("se")).alias("ci_lower"),
+        F.exp(F.col("coef") + Z95 * F.col("se")).alias("ci_upper"), p_value("coef", "se").alias("p_value"))
 
 
 def odds_ratios(train: DataFrame, numeric: Sequence[str], categorical: Sequence[str], y: str
-                ) -> tuple[DataFrame, list[tuple[str, str]]]:
-    """Unpenalised logit terms with Wald intervals, in design order, and notes on dropped terms. Terms
-    that separate the outcomes or depend on others are found beforehand; where several terms separate
-    them only together, those whose coefficients run away are left out and the rest is fitted again.
-    An error of the fit is an error."""
-    cols, terms = odds_ratio_design(train, numeric, categorical)
+                ) -> tuple[DataFrame, DataFrame]:
+    """(unpenalised logit terms with Wald intervals; term, reason of the terms left out). The categorical
+    column of the most levels is absorbed (`logit`), so it may have any number of them and stays a table;
+    all other terms together are at most MAX_TERMS. Left out are terms that separate the outcomes by
+    themselves, terms that the levels or earlier terms explain, and, after a fit, those whose coefficients
+    run away; rows of a level that is left out count as the reference level."""
+    spark, wide_column = train.sparkSession, _widest(train, categorical)
+    cols, terms = odds_ratio_design(train, numeric, [c for c in categorical if c != wide_column])
     short = {f"t{i}": t for i, t in enumerate(cols)}
-    wide = train.select(col(y).cast("double").alias("_y"), *[cols[t].alias(c) for c, t in short.items()])
+    if wide_column:
+        levels, first = _level_table(train, wide_column, y)
+        level = F.coalesce(col(wide_column).cast("string"), F.lit(MISSING))
+    else:
+        levels, first, level = spark.createDataFrame([], "level string, apart boolean"), "", F.lit("")
+    wide = stored(train.select(col(y).cast("double").alias("_y"), level.alias("_of"),
+                               *[cols[t].alias(c) for c, t in short.items()]))
     apart = separated_terms(wide, list(short))
-    kept = independent_terms(wide, [c for c in short if c not in apart])
-    notes = [(short[c], "separates the outcomes" if c in apart else "depends on other terms")
-             for c in short if c not in kept]
-    while kept:
-        data = VectorAssembler(inputCols=kept, outputCol="_x").transform(wide)
-        fit = GeneralizedLinearRegression(family="binomial", link="logit", featuresCol="_x", labelCol="_y",
-                                          maxIter=200, tol=1e-8, regParam=0.0).fit(data)
-        found = list(zip(kept, fit.coefficients, fit.summary.coefficientStandardErrors, fit.summary.pValues))
-        wild = [c for c, b, se, _ in found if abs(b) > MAX_COEF or not math.isfinite(se)]
-        if not wild:
-            rows = [(terms[short[c]]["feature"], short[c], terms[short[c]]["label"], float(b), float(se),
-                     math.exp(b), math.exp(b - Z95 * se), math.exp(b + Z95 * se), float(p))
-                    for c, b, se, p in found]
-            return train.sparkSession.createDataFrame(rows, ODDS_SCHEMA), notes
-        notes += [(short[c], "separates the outcomes together with others") for c in wild]
-        kept = [c for c in kept if c not in wild]
-    raise ValueError(f"no term of the model can be estimated: {notes}")
+    kept = [c for c in short if c not in apart]
+    notes = [(short[c], "separates the outcomes") for c in apart]
+    gone = levels.where("apart").select("level", F.lit("separates the outcomes").alias("reason"))
+    while True:
+        merged = wide.join(gone.select(F.col("level").alias("_gone")), F.col("_of") == F.col("_gone"), "left")
+        x = F.array(*map(F.col, kept)) if kept else F.array().cast("array<double>")
+        found = fit_absorbed(merged.select(F.col("_y").alias("y"), F.when(F.col("_gone").isNotNull(), first).otherwise(
+            F.col("_of")).alias("level"), x.alias("x")), len(kept))
+        used = [kept[i] for i in found.kept]
+        notes += [(short[c], "depends on other terms") for c in kept if c not in used]
+        se = np.sqrt(np.maximum(np.diag(found.inverse), 0.0))
+        wild = [c for c, b, s in zip(used, found.coef, se) if abs(b) > MAX_COEF or not s > 0]
+        against = stored(contrasts(found, first))
+        far = against.where((F.abs("coef") > MAX_COEF) | F.isnan("se"))
+        if not wild and far.isEmpty():
+            break
+        together = "separates the outcomes together with others"
+        notes += [(short[c], together) for c in wild]
+        kept = [c for c in used if c not in wild]
+        gone = gone.unionByName(far.select("level", F.lit(together).alias("reason")))
+    rows = [(terms[short[c]]["feature"], short[c], terms[short[c]]["label"], float(b), float(s))
+            for c, b, s in zip(used, found.coef, se)]
+    out = spark.createDataFrame(rows, "feature string, term string, label string, coef double, se double")
+    left_out = spark.createDataFrame(notes, "term string, reason string")
+    if wide_column:
+        name = lambda text, c: F.concat(F.lit(text), F.col(c))
+        out = out.unionByName(against.select(
+            F.lit(wide_column).alias("feature"), name(f"{wide_column} = ", "level").alias("term"),
+            F.concat(F.lit(f"{wide_column}: "), "level", F.lit(f" vs {first}")).alias("label"), "coef", "se"))
+        left_out = left_out.unionByName(gone.select(name(f"{wide_column} = ", "level").alias("term"), "reason"))
+    return _wald(out), left_out
 
 
 def driver_impact(importance: DataFrame, mean_abs: DataFrame, odds: DataFrame, tests: DataFrame

@@ -139,8 +139,9 @@ def run(df: DataFrame, roles: Roles, out: str, row_id: str = "row_id",
     predictions = keep("predictions", explain.score_customers(
         explained, trained.fitted, key, y, "p_raw", "p_calibrated", options.high, options.medium))
     strength = explain.global_importance(explained.where("is_test"), [*numeric, *words])
-    odds, _ = explain.odds_ratios(train, numeric, words, y)
+    odds, left_out = explain.odds_ratios(train, numeric, words, y)
     keep("odds_ratios", odds)
+    keep("odds_ratio_terms_left_out", left_out)
     rank = model.permutation_importance(trained.fitted, test, y, key, options.repeats)
     drivers = keep("drivers", explain.driver_impact(rank, strength, odds, tests))
 
