@@ -16,7 +16,7 @@ from keepwell.functions.scalar import col, half_even, hash_unit, risk_band
 from keepwell.functions.stored import stored
 from keepwell.operators.clean import spread, tall
 from keepwell.operators.logit import contrasts, fit_absorbed
-from keepwell.operators.model import Fitted, transform
+from keepwell.operators.model import Fitted, owners, transform
 from keepwell.operators.segment import filled, scales
 
 # Plotted features and points, diverging coefficient, refits,
@@ -34,20 +34,6 @@ MISSING = "Missing"
 erfc_of = np.vectorize(math.erfc, otypes=[float])
 
 
-def owners(fitted: Fitted) -> list[tuple[str, int, int]]:
-    """(feature, first position, width) of every feature in the model vector. One-hot blocks have
-    a place for each level and one for unknown levels."""
-    out, at = [], 0
-    for c in fitted.numeric:
-        out.append((c, at, 1))
-        at += 1
-    for c in fitted.categorical:
-        width = len(fitted.levels[c]) + 1
-        out.append((c, at, width))
-        at += width
-    return out
-
-
 def contributions(fitted: Fitted, df: DataFrame, background: DataFrame, orders: int = 1) -> DataFrame:
     """The frame with `contributions`: log-odds pushed by every feature, in feature order (orders: see
     path_contributions)."""

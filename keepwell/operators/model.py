@@ -11,7 +11,7 @@ from functools import reduce
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.feature import OneHotEncoder, SQLTransformer, StringIndexer, VectorAssembler
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.pipeline import Pipeline
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -35,6 +35,7 @@ REPEATS = 10
 C = 1.0
 LEARNERS = ("logistic", "boosting")
 GROUP_ROWS = 2000
+BASE = "\t"  # the score without a swap, among features
 JOBS = 5  # folds fitted at the same time
 
 
@@ -152,6 +153,20 @@ def fit(df: DataFrame, numeric: Sequence[str], categorical: Sequence[str], y: st
     return Fitted(model, learner, list(numeric), list(categorical), scale, levels)
 
 
+def owners(fitted: Fitted) -> list[tuple[str, int, int]]:
+    """(feature, first position, width) of every feature in the model vector. One-hot blocks have
+    a place for each level and one for unknown levels."""
+    out, at = [], 0
+    for c in fitted.numeric:
+        out.append((c, at, 1))
+        at += 1
+    for c in fitted.categorical:
+        width = len(fitted.levels[c]) + 1
+        out.append((c, at, width))
+        at += width
+    return out
+
+
 def transform(fitted: Fitted, df: DataFrame) -> DataFrame:
     return fitted.model.transform(df)
 
@@ -272,34 +287,75 @@ def leakage_warnings(train: DataFrame, numeric: Sequence[str], categorical: Sequ
     return out
 
 
+def _swapped_scores(fitted: Fitted, df: DataFrame) -> tuple[DataFrame, list[Column], Column]:
+    """(df with what a row passes on, `_own`; score of every feature with the value of `_next`; own score).
+    A linear model passes on one log-odds term per feature, trees the feature vector."""
+    blocks, out = owners(fitted), transform(fitted, df)
+    learner, keep = fitted.model.stages[-1], [*map(col, df.columns)]
+    if fitted.learner == "logistic":
+        coef, x = learner.coefficients.toArray(), vector_to_array("_features")
+        terms = [F.aggregate(F.zip_with(F.slice(x, at + 1, width), F.array(*[F.lit(float(c)) for c in coef[at:at + width]]),
+                                        lambda v, c: F.coalesce(v * c, F.lit(0.0))), F.lit(0.0), lambda s, v: s + v)
+                 for _, at, width in blocks]
+
+        def chance(changed: int | None) -> Column:
+            """Terms are added in one order, so that equal rows have equal scores whatever was swapped."""
+            m = F.lit(float(learner.intercept))
+            for i in range(len(blocks)):
+                m = m + F.get("_next" if i == changed else "_own", F.lit(i))
+            return 1 / (1 + F.exp(-m))
+
+        return out.select(*keep, F.array(*terms).alias("_own")), [chance(i) for i in range(len(blocks))], chance(None)
+    used = set(learner.featureImportances.indices.tolist())
+    names = [f"_swap_{i}" for i, (_, at, width) in enumerate(blocks) if used & set(range(at, at + width))]
+    scores = [F.col(f"_swap_{i}") if f"_swap_{i}" in names else F.col("_base") for i in range(len(blocks))]
+    return out.select(*keep, vector_to_array("_features").alias("_own")), scores, F.col("_base")
+
+
+def _tree_scores(fitted: Fitted, moved: DataFrame) -> DataFrame:
+    """moved with the score of every feature that the trees use, swapped, and of the row as it is."""
+    learner = fitted.model.stages[-1].copy()
+    learner.setFeaturesCol("_step").setPredictionCol("").setRawPredictionCol("").setProbabilityCol("_chance")
+    used = set(learner.featureImportances.indices.tolist())
+    size = learner.numFeatures
+    tried = [("_base", range(0))] + [(f"_swap_{i}", range(at, min(at + width, size))) for i, (_, at, width) in
+                                     enumerate(owners(fitted)) if used & set(range(at, at + width))]
+    for name, span in tried:
+        mine = F.array(*[F.get("_next" if j in span else "_own", F.lit(j)) for j in range(size)])
+        moved = learner.transform(moved.withColumn("_step", array_to_vector(mine))).withColumn(
+            name, F.get(vector_to_array("_chance"), F.lit(1))).drop("_step", "_chance")
+    return moved
+
+
 def permutation_importance(fitted: Fitted, test: DataFrame, y: str, id_column: str,
                            repeats: int = REPEATS) -> DataFrame:
     """ROC-AUC lost when one column is shuffled: mean, sd and rank per feature.
 
-    Rows are dealt into random groups of about 2,000 per repeat and values move one place round
-    inside their group in random order, so a shuffle is a small window, not a global sort. All
-    repeats and features are scored in one plan."""
+    Rows are dealt into random groups of about 2,000 per repeat and take over the values of the row
+    before them in random order, so a shuffle is a small window, not a global sort. A row is shuffled
+    once a repeat, as one array, and all features are scored beside each other where it then lies; trees are
+    asked only about features that they use."""
     features = [*fitted.numeric, *fitted.categorical]
-    base = metrics.roc_auc(metrics.long_scores(score(fitted, test, "p"), y, {"base": "p"},
-                                               id_column)).first()["roc_auc"]
     groups = max(1, test.count() // GROUP_ROWS)
-    dealt = test.select(id_column, y, *map(col, features)).withColumn(
-        "_r", F.explode(F.array(*[F.lit(r) for r in range(repeats)])))
+    rows, scores, own = _swapped_scores(fitted, test.select(id_column, y, *map(col, features)))
+    dealt = rows.select(col(id_column).alias("row_id"), col(y).cast("int").alias("y"), "_own", F.explode(
+        F.array(*[F.lit(r) for r in range(repeats)])).alias("_r"))
     dealt = dealt.withColumns({
-        "_g": F.pmod(F.xxhash64(col(id_column), F.lit("group"), F.col("_r")), F.lit(groups)),
-        "_o": F.xxhash64(col(id_column), F.lit("order"), F.col("_r"))})
-    w = Window.partitionBy("_r", "_g").orderBy("_o", id_column)
+        "_g": F.pmod(F.xxhash64("row_id", F.lit("group"), F.col("_r")), F.lit(groups)),
+        "_o": F.xxhash64("row_id", F.lit("order"), F.col("_r"))})
+    w = Window.partitionBy("_r", "_g").orderBy("_o", "row_id", "y", "_own")
     every = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    moved = dealt.withColumns({f"_s_{f}": F.when(F.row_number().over(w) == 1, F.last(col(f)).over(
-        every)).otherwise(F.lag(col(f)).over(w)) for f in features})
-    one = moved.withColumn("_f", F.explode(F.array(*[F.lit(f) for f in features])))
-    swapped = one.withColumns({f: F.when(F.col("_f") == f, col(f"_s_{f}")).otherwise(col(f))
-                               for f in features})
-    swapped = swapped.withColumn("kind", F.concat_ws("\t", "_f", F.col("_r").cast("string"))).select(
-        "kind", F.col(id_column).alias("row_id"), col(y).cast("int").alias("y"), *map(col, features))
-    scored = score(fitted, swapped, "p").select("kind", "row_id", "y", "p")
-    loss = metrics.roc_auc(scored).select(F.split("kind", "\t")[0].alias("feature"),
-                                          (F.lit(base) - F.col("roc_auc")).alias("loss"))
+    moved = dealt.withColumn("_next", F.coalesce(F.lag("_own").over(w), F.last("_own").over(every)))
+    if fitted.learner != "logistic":
+        moved = _tree_scores(fitted, moved)
+    repeat = F.col("_r").cast("string")
+    kinds = [F.struct(F.concat_ws("\t", F.lit(f), repeat).alias("kind"), p.alias("p")) for f, p in zip(features, scores)]
+    kinds.append(F.struct(F.when(F.col("_r") == 0, BASE).alias("kind"), own.alias("p")))
+    long = moved.select("row_id", "y", F.explode(F.array(*kinds)).alias("_s")).select("_s.kind", "row_id", "y", "_s.p")
+    auc = stored(metrics.roc_auc(long.where("kind IS NOT NULL")))  # one row per feature and repeat
+    base = F.broadcast(auc.where(F.col("kind") == BASE).select(F.col("roc_auc").alias("_base")))
+    loss = auc.where(F.col("kind") != BASE).crossJoin(base).select(
+        F.split("kind", "\t")[0].alias("feature"), (F.col("_base") - F.col("roc_auc")).alias("loss"))
     out = loss.groupBy("feature").agg(F.avg("loss").alias("importance_mean"),
                                       F.stddev_pop("loss").alias("importance_sd"))
     place = F.row_number().over(Window.orderBy(F.desc("importance_mean"), "feature"))

@@ -270,6 +270,27 @@ def test_importance_ranks_the_signal_first(parts):
     assert rows[-1]["feature"] == "recency" and rows[0]["importance_mean"] > 0.02
 
 
+@pytest.mark.parametrize("learner", ["logistic", "boosting"])
+def test_importance_equals_scored_copies(parts, learner):
+    """One repeat, one group: the loss equals that of scoring a copy whose column has moved one row on."""
+    train, test = parts
+    test = test.limit(1500).cache()
+    f = model.fit(train, ["balance", "recency"], ["segment"], "churned", learner=learner, trees=5)
+    got = {r["feature"]: r["importance_mean"] for r in
+           model.permutation_importance(f, test, "churned", "customer_id", 1).collect()}
+    order = F.xxhash64("customer_id", F.lit("order"), F.lit(0))
+    rows = test.select("customer_id", "churned", "balance", "recency", "segment").orderBy(order).collect()
+
+    def auc(data):
+        frame = test.sparkSession.createDataFrame(data, "customer_id long, churned int, balance double, recency double, segment string")
+        return metrics.roc_auc(metrics.long_scores(model.score(f, frame, "p"), "churned", {"m": "p"}, "customer_id")).first()["roc_auc"]
+
+    plain = [(int(r[0]), int(r[1]), *(None if v is None else float(v) for v in r[2:4]), r[4]) for r in rows]
+    for at, feature in ((2, "balance"), (3, "recency"), (4, "segment")):
+        moved = [(*r[:at], plain[i - 1][at], *r[at + 1:]) for i, r in enumerate(plain)]
+        assert abs(auc(plain) - auc(moved) - got[feature]) < 1e-9, feature
+
+
 def test_calibration_lowers_brier(parts):
     train, test = parts
     f = model.fit(train, ["balance"], ["segment"], "churned")
