@@ -4,12 +4,15 @@ Lower-cased text is read as UTF-8 in windows of WINDOW bytes. Filters of several
 bytes (a filter is one weight per byte value and place), each keeps its largest response in the
 window, and a softmax over those gives the language. A document's probabilities are the means over
 all of its windows, weighted by their bytes. The network learns from a bounded sample of the labelled
-rows: about SAMPLE of them, chosen by a hash of id and text,
-repeated rows once, two pieces of a text each.
+texts: about SAMPLE of them in equal parts for every language, but never fewer than about LEAST of a language (all,
+if there are fewer), chosen by a hash of the text, copies once, two pieces of a text each. So a language that is rare
+is learnt from tables of every size.
 
 Defined cases: null texts and texts without a letter are "und" with score 0; without labelled rows
 every text is; repeated rows each get their prediction; rows with a null id are never learnt from; an
-empty table gives an empty result; other columns are not looked at.
+empty table gives an empty result; very long texts are read whole, window by window; languages of equal
+probability go to the first in order; a text under two labels is learnt under both; other columns are not
+looked at, whatever their names.
 """
 
 from __future__ import annotations
@@ -27,7 +30,8 @@ from keepwell.llm.store import fresh, in_sample, text_of
 UNKNOWN = "und"
 WINDOW = 256
 WIDTHS, FILTERS = (2, 3, 4), 16
-SAMPLE = 6000  # labelled rows learnt from, about
+SAMPLE = 6000  # labelled texts learnt from, about
+LEAST = 200  # of each language, about, where there are as many
 EPOCHS, BATCH, RATE, SEED = 6, 64, 0.02, 11
 _TOGETHER = 64  # windows convolved at once
 
@@ -129,15 +133,18 @@ def held_out(id_col: str = "doc_id") -> Column:
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang",
           sample: int = SAMPLE) -> Model | None:
     """Learns from labelled rows that are not held out; None if there are none."""
-    text = F.col(text_col)
+    text, label = F.col(text_col), F.col(label_col)
     room = F.greatest(F.length(text) - WINDOW, F.lit(1))
-    labelled = docs.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col))
-    chosen = labelled.where(in_sample(F.xxhash64(id_col, text), sample, labelled.count()) & text.rlike(r"\p{L}"))
-    rows = chosen.select(
-        F.xxhash64(F.col(id_col).cast("string"), text).alias("h"), F.col(label_col).alias("label"),
-        F.substring(text, 1, WINDOW).alias("head"),
-        F.substring(text, (F.pmod(F.xxhash64(text), room) + 1).cast("int"), F.lit(WINDOW)).alias("mid")
-    ).distinct().sort("h", "label").collect()  # about sample rows, repeated ones once
+    labelled = docs.where(label.isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col) & text.rlike(r"\p{L}")).select(
+        F.xxhash64(text).alias("h"), label.alias("label"), F.substring(text, 1, WINDOW).alias("head"),
+        F.substring(text, (F.pmod(F.xxhash64(text), room) + 1).cast("int"), F.lit(WINDOW)).alias("mid"))
+    texts = {r.label: r.n for r in labelled.groupBy("label").agg(  # one row per language, as the model has
+        F.approx_count_distinct("h").alias("n")).collect()}
+    if not texts:
+        return None
+    each = max(LEAST, sample // len(texts))
+    there = F.create_map(*[F.lit(x) for pair in texts.items() for x in pair])[F.col("label")]
+    rows = labelled.where(in_sample(F.col("h"), each, there)).distinct().sort("h", "label", "head", "mid").collect()
     if not rows:
         return None
     return fit([r.head for r in rows] + [r.mid for r in rows], [r.label for r in rows] * 2)

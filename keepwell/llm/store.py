@@ -49,9 +49,12 @@ def equal(left: DataFrame, right: DataFrame, *names: str) -> Column:
     return on
 
 
-def in_sample(key: Column, size: int, rows: int) -> Column:
+def in_sample(key: Column, size: int, rows: int | Column) -> Column:
     """Chooses about size of rows rows by the hash of key: the same ones in every run."""
-    return F.pmod(F.xxhash64(F.lit("sample"), key), F.lit(1 << 40)) < int(2 ** 40 * min(1.0, size / max(rows, 1)))
+    unit = F.pmod(F.xxhash64(F.lit("sample"), key), F.lit(1 << 40))
+    if isinstance(rows, Column):
+        return unit < F.lit(float(1 << 40)) * F.least(F.lit(1.0), F.lit(float(size)) / F.greatest(rows, F.lit(1)))
+    return unit < int(2 ** 40 * min(1.0, size / max(rows, 1)))
 
 
 def fresh(df: DataFrame, name: str) -> str:

@@ -73,3 +73,26 @@ def test_without_labels(spark):
     assert language.predict(one, language.train(one)).first().lang_pred == "und"
     same = spark.createDataFrame([(2, "abc", "xx", None), (3, "abd", "xx", None), (4, "q", "xx", None)], KIND)
     assert {r.lang_pred for r in language.predict(same, language.train(same)).collect()} == {"xx"}
+
+
+def test_a_rare_language_is_learnt(spark):
+    """One text in 400 is labelled zz; a uniform sample of 200 would hold half a text of it."""
+    words = {"aa": "lorem ipsum dolor sit amet", "zz": "qwx zzyk vuuq xxaj"}
+    rows = [(i, f"{words['zz' if i % 400 == 1 else 'aa']} {i}", "zz" if i % 400 == 1 else "aa") for i in range(20_000)]
+    rows += [(100_000 + i, words["aa"], "aa") for i in range(8_000)]  # copies are one text
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language.train(docs, sample=200)
+    got = language.predict(docs.where("lang = 'zz'"), model)
+    assert model.languages == ["aa", "zz"] and got.where("lang_pred <> 'zz'").isEmpty()
+
+
+def test_responses_equal_a_plain_loop():
+    rng = np.random.default_rng(2)
+    model = language.fit(["some words here", "otras palabras"] * 4, ["en", "es"] * 4)
+    x = rng.integers(0, 256, (3, language.WINDOW)).astype(np.uint8)
+    got, _ = model.responses(x)
+    for n, row in enumerate(x):
+        want = [max(0.0, max(sum(float(filters[j, row[at + j], f]) for j in range(len(filters)))
+                             for at in range(len(row) - len(filters) + 1)))
+                for filters in model.filters for f in range(language.FILTERS)]
+        assert np.abs(got[n] - want).max() < 1e-4
