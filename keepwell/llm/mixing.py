@@ -1,7 +1,8 @@
 """Mixing sources to target weights by soft membership. DataFrame functions only.
 
 A multinomial logistic regression over hashed word frequencies, trained on a bounded sample of a
-labelled table (about SAMPLE labelled documents, chosen by a hash of the id), gives every
+labelled table (about SAMPLE labelled documents, in equal parts for every domain, chosen by a hash of the
+id and weighted by what each stands for, so that a rare domain is learnt and stays rare), gives every
 document a probability per domain. Document rates, one each to begin with and never negative, are then
 fitted by projected gradient so that the expected tokens of every domain, sum(rate * tokens *
 probability), match target weight times budget in the least-squares sense. The gradient of a document
@@ -50,16 +51,19 @@ def classifier(docs: DataFrame, labelled: DataFrame, domains: list[str], id_col:
     known = known.where("_labelled IS NOT NULL AND _label IS NOT NULL")
     ids = docs.select(F.col(id_col).alias("_there"))
     known = known.distinct().join(ids, known["_labelled"] == ids["_there"], "left_semi")
-    chosen = known.where(in_sample(F.col("_labelled"), sample, known.count()))
+    sizes = known.groupBy("_label").agg(F.count("*").alias("_n"))  # a row per domain at most
+    each = max(1, sample // len(domains))
+    chosen = known.join(F.broadcast(sizes), "_label").where(in_sample(F.col("_labelled"), each, F.col("_n"))).select(
+        "_labelled", "_label", F.greatest(F.lit(1.0), F.col("_n") / each).alias("_weight"))
     rows = docs.select(F.col(id_col).alias("_id"), text_of(text_col).alias("_text"))
     rows = rows.join(F.broadcast(chosen), F.col("_id") == F.col("_labelled"))  # about sample rows
-    rows = rows.select("_id", "_text", "_label").dropDuplicates(["_id", "_label"])
+    rows = rows.select("_id", "_text", "_label", "_weight").dropDuplicates(["_id", "_label"])
     rows = stored(rows, shared_folder(docs.sparkSession), "labelled")
     if rows.isEmpty():
         return None
     return LogisticRegression(featuresCol="_shares", labelCol="_label", family="multinomial", maxIter=PASSES,
-                              regParam=PENALTY, probabilityCol="_chances").fit(
-        _features(rows).select("_shares", "_label"))
+                              regParam=PENALTY, probabilityCol="_chances", weightCol="_weight").fit(
+        _features(rows).select("_shares", "_label", "_weight"))
 
 
 def memberships(docs: DataFrame, model, domains: list[str], id_col: str = "doc_id", text_col: str = "text"

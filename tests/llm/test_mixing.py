@@ -94,3 +94,16 @@ def test_few_or_no_labels_and_empty_tables(spark):
     assert mixing.mix(docs.limit(0), one, {"x": 1, "y": 1}).columns == docs.columns
     with pytest.raises(ValueError):
         mixing.document_rates(docs, one, {"x": 0})
+
+
+def test_a_rare_domain_is_learnt_and_stays_rare(spark):
+    rng = random.Random(8)
+    kinds = ["toxic" if i % 500 == 0 else "good" for i in range(10_000)]
+    made = [(i, " ".join(rng.choices(WORDS[k], k=30))) for i, k in enumerate(kinds)]
+    docs = spark.createDataFrame(made, "doc_id long, text string")
+    labelled = spark.createDataFrame(list(enumerate(kinds)), "doc_id long, domain string")
+    model = mixing.classifier(docs, labelled, ["good", "toxic"], sample=60)
+    got = mixing.memberships(docs, model, ["good", "toxic"]).collect()
+    toxic = [r.p[1] for r in got if kinds[r.doc_id] == "toxic"]
+    assert min(toxic) > np.mean([r.p[1] for r in got if kinds[r.doc_id] == "good"])
+    assert np.mean([r.p[1] for r in got]) < 0.1
