@@ -9,6 +9,10 @@ to the far half as guests too, and guests follow every branch their ball of radi
 leaf is a shard, searched by a tree of its own; homes are compared with homes and guests, so every
 pair meets in exactly one shard. A shard passes on a spanning forest of its links, never all pairs.
 
+A sample that the driver may hold tells at most some thousand shards apart. Shards that are still too large
+get trees of their own, each from a bounded sample of its own points and built in a task, until none is
+larger than it should be; so a shard does not grow with the table, and no tree is larger than a sample.
+
 Defined cases: a null text counts as empty; texts without words have fingerprint zero and are linked
 to each other; fewer than four words form one shingle; equal texts share a fingerprint and cost one
 point; repeated rows each get their component; a null id is named by no component; an empty table
@@ -17,8 +21,11 @@ gives an empty result; other columns are not looked at.
 
 from __future__ import annotations
 
+import itertools
+import json
 import math
 from collections.abc import Iterable, Iterator
+from functools import reduce
 from itertools import repeat
 
 import numpy as np
@@ -123,9 +130,11 @@ def _split(homes: np.ndarray, guests: np.ndarray, vantage, radius: int, fp: np.n
             (homes[~near], np.concatenate([guests[e > radius - LINK], crossing])))
 
 
-def route(tree: list | None, fp: np.ndarray) -> Iterator[tuple[str, np.ndarray, np.ndarray]]:
-    """(leaf, homes, guests) with positions in fp."""
-    open_ = [("r", tree, np.arange(len(fp)), np.zeros(0, np.int64))]
+def route(tree: list | None, fp: np.ndarray, home: np.ndarray | None = None, name: str = "r"
+          ) -> Iterator[tuple[str, np.ndarray, np.ndarray]]:
+    """(leaf, homes, guests) with positions in fp; all are at home where home is not given."""
+    at = np.arange(len(fp))
+    open_ = [(name, tree, *((at, at[:0]) if home is None else (at[home], at[~home])))]
     while open_:
         name, node, homes, guests = open_.pop()
         if node is None:
@@ -135,19 +144,76 @@ def route(tree: list | None, fp: np.ndarray) -> Iterator[tuple[str, np.ndarray,
             open_ += [(name + "n", node[2], *near), (name + "f", node[3], *far)]
 
 
+def _placed(leaf: str, fp: np.ndarray, homes: np.ndarray, guests: np.ndarray) -> pa.RecordBatch:
+    at = np.concatenate([homes, guests]).astype(np.int64)
+    return pa.RecordBatch.from_arrays(
+        [pa.array([leaf] * len(at), pa.string()), pa.array(fp[at].view(np.int64)),
+         pa.array(np.arange(len(at)) < len(homes))], names=["shard", "fp", "home"])
+
+
 def _deal(tree: list | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fp = batch.column("fp").to_numpy().view(np.uint64)
             for leaf, homes, guests in route(tree, fp):
-                at = np.concatenate([homes, guests]).astype(np.int64)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([leaf] * len(at), pa.string()), pa.array(fp[at].view(np.int64)),
-                     pa.array(np.arange(len(at)) < len(homes))], names=["shard", "fp", "home"])
+                yield _placed(leaf, fp, homes, guests)
+
+    return run
+
+
+def _grown(shard: int):
+    """The tree of each shard as text, from a sample of its points; nothing where none splits them."""
+    def run(group: pa.Table) -> pa.Table:
+        fp = np.sort(group.column("fp").to_numpy()).view(np.uint64)
+        tree = build_tree(fp, math.ceil(math.log2(group.column("n")[0].as_py() / shard)))
+        told = [json.dumps(tree, default=int)] if tree else []
+        return pa.table({"shard": group.column("shard").slice(0, len(told)), "tree": pa.array(told, pa.string())})
 
     return run
 
 
+def _deal_on(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Points sent down the trees of their shards; a shard's tree comes before its points."""
+    name = tree = None
+    for batch in batches:
+        shards, trees = batch.column("shard").to_pylist(), batch.column("tree")
+        point = trees.is_null().to_numpy(zero_copy_only=False)
+        fp = batch.column("fp").fill_null(0).to_numpy().view(np.uint64)
+        home = batch.column("home").fill_null(False).to_numpy(zero_copy_only=False)
+        begin = [n for n, s in enumerate(shards) if not n or s != shards[n - 1]]
+        for low, high in zip(begin, [*begin[1:], len(shards)]):
+            if shards[low] != name:
+                name, tree = shards[low], json.loads(trees[low].as_py())
+            mine = point[low:high]  # a shard's tree comes once for each of its parts in this task
+            here = fp[low:high][mine]
+            for leaf, homes, guests in route(tree, here, home[low:high][mine], name):
+                yield _placed(leaf, here, homes, guests)
+
+
+def _split_on(dealt: DataFrame, folder: str, shard: int, sample: int) -> DataFrame:
+    """dealt, with shards of more than twice the wanted size dealt on by trees of their own."""
+    spark, done = dealt.sparkSession, []
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    now = stored(dealt, folder, "dealt-0")
+    for step in itertools.count(1):
+        sizes = now.where("home").groupBy("shard").agg(F.count("*").alias("n")).where(F.col("n") > 2 * shard)
+        chosen = now.where("home").join(sizes, "shard").where(in_sample(F.col("fp"), sample, F.col("n")))
+        trees = stored(chosen.select("shard", "fp", "n").groupBy("shard").applyInArrow(
+            _grown(shard), "shard string, tree string"), folder, f"trees-{step}")
+        if trees.isEmpty():
+            return reduce(DataFrame.unionByName, done, now)
+        done.append(now.join(trees, "shard", "left_anti"))
+        none = F.lit(None)
+        rows = now.join(trees.select("shard"), "shard", "left_semi").select(
+            "shard", F.pmod(F.xxhash64("fp"), F.lit(parts)).cast("int").alias("part"), "fp", "home", none.cast("string").alias("tree"))
+        every = trees.select("shard", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"),
+                             none.cast("long").alias("fp"), none.cast("boolean").alias("home"), "tree")
+        met = rows.unionByName(every).repartition(parts, "shard", "part").sortWithinPartitions(
+            "shard", "part", F.col("tree").desc_nulls_last())
+        now = stored(met.select("shard", "fp", "home", "tree").mapInArrow(
+            _deal_on, "shard string, fp long, home boolean"), folder, f"dealt-{step}")
+
+
 # -- links within a shard -----------------------------------------------------------------------
 
 class _Forest:
@@ -202,13 +268,14 @@ def _shard_links(group: pa.Table) -> pa.Table:
     return pa.table({"a": fp[moved].view(np.int64), "b": fp[root[moved]].view(np.int64)})
 
 
-def links(points: DataFrame) -> DataFrame:
+def links(points: DataFrame, shard: int = SHARD, sample: int = SAMPLE) -> DataFrame:
     """a, b: a spanning forest of the links between the distinct fingerprints of points (fp)."""
-    n = points.count()
-    depth = min(max(0, math.ceil(math.log2(max(n, 1) / SHARD))), int(math.log2(SAMPLE / 16)))
-    sample = points.where(in_sample(F.col("fp"), SAMPLE, n)).select("fp").toPandas()["fp"]
-    tree = build_tree(np.sort(sample.to_numpy(np.int64)).view(np.uint64), depth)
+    n, folder = points.count(), shared_folder(points.sparkSession)
+    depth = min(max(0, math.ceil(math.log2(max(n, 1) / shard))), int(math.log2(sample / 16)))
+    chosen = points.where(in_sample(F.col("fp"), sample, n)).select("fp").toPandas()["fp"]
+    tree = build_tree(np.sort(chosen.to_numpy(np.int64)).view(np.uint64), depth)
     dealt = points.select("fp").mapInArrow(_deal(tree), "shard string, fp long, home boolean")
+    dealt = _split_on(dealt, folder, shard, sample)
     return dealt.groupBy("shard").applyInArrow(_shard_links, "a long, b long")
 
 

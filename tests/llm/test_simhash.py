@@ -109,3 +109,43 @@ def test_one_row_of_each_component_whatever_the_ids(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     got = sorted((r.doc_id or -1, r.text.strip()) for r in simhash.drop_near_duplicates(docs).collect())
     assert got == sorted([(1, a), (-1, b), (-1, c), (7, d)])
+
+
+def test_shards_too_large_for_one_sample_get_trees_of_their_own(spark):
+    """Samples of 128 points tell 8 shards apart; 6,000 points in shards of 50 need deeper trees."""
+    rng = random.Random(11)
+    prints = [rng.getrandbits(64) for _ in range(5000)]
+    for p in prints[:1000]:
+        flips = sum(1 << b for b in rng.sample(range(64), rng.randrange(1, 6)))
+        prints.append(p ^ flips)
+    prints = list(dict.fromkeys(prints))
+    signed = [p - 2**64 if p >= 2**63 else p for p in prints]
+    points = spark.createDataFrame([(p,) for p in signed], "fp long")
+    dealt = simhash._split_on(points.mapInArrow(simhash._deal(None), "shard string, fp long, home boolean"),
+                              simhash.shared_folder(spark), 50, 128).groupBy("shard").agg({"home": "count"}).count()
+    assert dealt > 40
+    pairs = simhash.links(points, 50, 128).collect()
+    up = {p: p for p in prints}
+
+    def root(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    for a, b in pairs:
+        x, y = a % 2**64, b % 2**64
+        i, j = sorted((root(x), root(y)))
+        up[j] = i
+    every = np.array(prints, np.uint64)
+    want = {p: p for p in prints}
+
+    def wanted(i):
+        while want[i] != i:
+            i = want[i]
+        return i
+
+    for n, p in enumerate(every):
+        for q in every[n + 1:][np.bitwise_count(every[n + 1:] ^ p) <= 4]:
+            i, j = sorted((wanted(int(p)), wanted(int(q))))
+            want[j] = i
+    assert {p: root(p) for p in prints} == {p: wanted(p) for p in prints}
