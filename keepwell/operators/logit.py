@@ -22,7 +22,8 @@ from pyspark.sql import functions as F
 
 from keepwell.functions.stored import stored
 
-STEPS, TOLERANCE = 60, 1e-9  # Newton steps at most; largest change of a coefficient at the end
+STEPS, TOLERANCE = 60, 1e-8  # Newton steps at most; largest change of a coefficient at the end
+RUNAWAY = 20.0  # log-odds beyond which a coefficient has no finite value
 RANK_LOSS = 1e-9  # share of a term's variance that must be left beside levels and earlier terms
 _KIND = "level string, i int, a double, d double, g double, v array<double>"
 
@@ -193,10 +194,12 @@ def fit_absorbed(rows: DataFrame, k: int) -> LogitFit:
         delta = np.linalg.solve(schur, right) if len(kept) else np.zeros(0)
         beta = beta + delta
         moved = stored(levels.mapInArrow(_moved(delta), "level string, a double, step double"))
-        most = max(moved.agg(F.max("step")).first()[0] or 0.0, np.abs(delta).max(initial=0.0))
+        ends = moved.agg(F.max("step").alias("step"), F.max(F.abs("a")).alias("a")).first()
+        most = max(ends["step"] or 0.0, np.abs(delta).max(initial=0.0))
+        far = max(ends["a"] or 0.0, np.abs(beta).max(initial=0.0))
         now = rows.join(moved.select("level", "a"), "level")
         levels, own, schur, right = _tables(now, beta)
-        if most < TOLERANCE or not np.isfinite(most) or np.linalg.matrix_rank(schur) < len(kept):
+        if most < TOLERANCE or far > RUNAWAY or not np.isfinite(most) or np.linalg.matrix_rank(schur) < len(kept):
             break
     return LogitFit(kept, beta, np.linalg.pinv(schur), levels)
 
