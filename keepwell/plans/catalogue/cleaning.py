@@ -45,6 +45,15 @@ def _likely_columns(s, facts):
     return s.createDataFrame(found, "role string, column string")
 
 
+def _target_feasible(s, facts):
+    """What the rule sees in every column that holds a value, and what it says of the table."""
+    feasible = p.target_problem(facts) is None
+    rows = [(f.column, f.is_binary, f.single_value, feasible) for f in facts if f.low is not None]
+    out = s.createDataFrame(rows, "column string, is_binary boolean, single_value boolean, feasible boolean")
+    return out.select("column", "is_binary", "single_value",
+                      F.col("column").rlike("(?i)" + p.TARGET_NAME).alias("named_like_target"), "feasible")
+
+
 def _typed(s, d):
     return v.dirty(s, d).withColumn("balance", to_number("balance"))
 
@@ -142,11 +151,13 @@ QUERIES = {
         oracle("dirty", f"""
   WITH {_TYPES} SELECT * FROM st""")),
     "target_feasible": (
-        lambda s, d: s.createDataFrame([(p.target_problem(_column_facts(s, d)) is None,)], "feasible boolean"),
+        lambda s, d: _target_feasible(s, _column_facts(s, d)),
         oracle("dirty", f"""
-  WITH f AS (SELECT count(DISTINCT trim(value)) AS n, regexp_matches("column", '(?i){p.TARGET_NAME}') AS named
+  WITH f AS (SELECT "column", count(DISTINCT trim(value)) AS n, regexp_matches("column", '(?i){p.TARGET_NAME}') AS named
     FROM ({_UNPIVOT}) WHERE trim(value) <> '' GROUP BY "column")
-  SELECT bool_or(n = 2) AND (bool_or(n = 2 AND named) OR NOT bool_or(n = 1 AND named)) AS feasible FROM f""")),
+  SELECT "column", n = 2 AS is_binary, n = 1 AS single_value, named AS named_like_target,
+         bool_or(n = 2) OVER () AND (bool_or(n = 2 AND named) OVER () OR NOT bool_or(n = 1 AND named) OVER ()) AS feasible
+  FROM f""")),
     "role_diff": (
         _role_diff,
         oracle("dirty", f"""

@@ -127,6 +127,18 @@ def test_target_problem_names_single_value(spark):
     assert "a single value" in p.target_problem(p.collect_facts(df, df.columns))
 
 
+def test_target_query_shows_every_column(spark):
+    from keepwell.plans.catalogue.cleaning import _target_feasible
+
+    kind = "churn string, plan string, x string, note string"
+    for rows, feasible in (([("No", "a", "1", " "), ("No", "b", "2", None), ("No", "a", "3", "")], False),
+                           ([("No", "a", "1", " "), ("Yes", "b", "2", None), ("No", "a", "3", "")], True)):
+        df = spark.createDataFrame(rows, kind)
+        got = sorted(tuple(r) for r in _target_feasible(spark, p.collect_facts(df, df.columns)).collect())
+        assert got == [("churn", feasible, not feasible, True, feasible), ("plan", True, False, False, feasible),
+                       ("x", False, False, False, feasible)]
+
+
 def test_unordered_integers_need_an_id_name(spark):
     df = spark.createDataFrame([(i, (i * 37) % 101, i * 2, (i * 53) % 101) for i in range(101)],
                                "row_id long, amount long, seq long, user_key long")
