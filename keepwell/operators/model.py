@@ -37,6 +37,7 @@ LEARNERS = ("logistic", "boosting")
 GROUP_ROWS = 2000
 BASE = "\t"  # the score without a swap, among features
 JOBS = 5  # folds fitted at the same time
+ROWS_A_TASK = 250_000  # rows that a task of a learner's pass reads, about
 
 
 class LeakageError(ValueError):
@@ -123,7 +124,8 @@ def feature_pipeline(df: DataFrame, numeric: Sequence[str], categorical: Sequenc
 
 def fit(df: DataFrame, numeric: Sequence[str], categorical: Sequence[str], y: str, *,
         learner: str = "logistic", balanced: bool = True, trees: int = 50) -> Fitted:
-    """Fill, scale, encode and learn on this frame only."""
+    """Fill, scale, encode and learn on this frame only. The encoded rows are written once: a learner passes over
+    them many times, and what its tasks send to the driver grows with their number, so that follows the rows."""
     counts = {r["y"]: r["n"] for r in class_weights(df, y).collect()}
     n = sum(counts.values())
     stages, scale = feature_pipeline(df, numeric, categorical)
@@ -136,16 +138,19 @@ def fit(df: DataFrame, numeric: Sequence[str], categorical: Sequence[str], y: st
               "predictionCol": "_prediction", "probabilityCol": "_probability",
               "rawPredictionCol": "_raw"}
     if learner == "logistic":
-        stages.append(LogisticRegression(maxIter=2000, elasticNetParam=0.0, regParam=1.0 / (C * n),
-                                         standardization=False, tol=1e-6, **common))
+        learning = LogisticRegression(maxIter=2000, elasticNetParam=0.0, regParam=1.0 / (C * n),
+                                      standardization=False, tol=1e-6, **common)
     elif learner == "boosting":
-        boosted = GBTClassifier(maxIter=trees, maxDepth=5, stepSize=0.1, seed=SEED,
-                                featuresCol="_features", labelCol="_label",
-                                predictionCol="_prediction", weightCol="_weight")
-        stages.append(boosted.setProbabilityCol("_probability").setRawPredictionCol("_raw"))
+        learning = GBTClassifier(maxIter=trees, maxDepth=5, stepSize=0.1, seed=SEED,
+                                 featuresCol="_features", labelCol="_label",
+                                 predictionCol="_prediction", weightCol="_weight")
+        learning.setProbabilityCol("_probability").setRawPredictionCol("_raw")
     else:
         raise ValueError(f"unknown learner '{learner}'")
-    model = Pipeline(stages=stages).fit(train)
+    shaped = Pipeline(stages=stages).fit(train)
+    rows = stored(shaped.transform(train).select("_features", "_label", "_weight"))
+    tasks = max(train.sparkSession.sparkContext.defaultParallelism, -(-n // ROWS_A_TASK))
+    model = PipelineModel([*shaped.stages, learning.fit(rows.coalesce(tasks))])
     levels: dict[str, list[str]] = {}
     if categorical:
         for c, names in zip(categorical, model.stages[1].labelsArray, strict=True):

@@ -463,3 +463,57 @@ def test_median_of_a_group(spark):
     df = spark.createDataFrame(rows, "g string, v double")
     got = {r["group"]: r["value"] for r in adhoc.filter_and_aggregate(df, "median", column="v", group_by="g").collect()}
     assert got == {"a": 3.0, "b": 2.5, "c": None}
+
+
+def _customers(spark, n=400):
+    """Rows of their own with a counter of how often a cell of `balance` was computed."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(x):
+        seen.add(1)
+        return x
+
+    rng = np.random.default_rng(12)
+    rows = [(i, float(b), float(r), float(c), f"s{i % 3}", f"r{i % 2}", int(b + e > 0)) for i, (b, r, c, e) in
+            enumerate(rng.normal(size=(n, 4)))]
+    df = spark.createDataFrame(rows, "customer_id long, _b double, revenue double, recency double, segment string, "
+                               "region string, churned int")
+    return df.withColumn("balance", F.udf(counted, "double").asNondeterministic()("_b")).drop("_b"), seen
+
+
+@pytest.mark.parametrize("learner", ["logistic", "boosting"])
+def test_learners_read_few_partitions(spark, monkeypatch, learner):
+    kind, parts = {"logistic": model.LogisticRegression, "boosting": model.GBTClassifier}[learner], []
+    fit = kind.fit
+    monkeypatch.setattr(kind, "fit", lambda self, rows: parts.append(rows.rdd.getNumPartitions()) or fit(self, rows))
+    df, _ = _customers(spark)
+    rows = df.repartition(60).persist()
+    model.fit(rows, ["balance"], ["segment"], "churned", learner=learner, trees=2)
+    assert parts and max(parts) <= spark.sparkContext.defaultParallelism
+
+
+def test_offer_models_join_customers_once(spark):
+    df, seen = _customers(spark)
+    rows = [(i, f"offer {k}", (i * 7 + k) % 3 // 2) for i in range(400) for k in range(2)]
+    long = spark.createDataFrame(rows, "customer_id long, offer string, accepted int")
+    _, table = nbo.acceptance_models(df, long, ["balance"], ["segment"])
+    got = {r["offer"]: (r["shown"], r["low_data"]) for r in table.collect()}
+    assert got == {"offer 0": (400, False), "offer 1": (400, False)}
+    assert seen.value == 400
+
+
+def test_model_queries_build_customers_once(spark, monkeypatch):
+    from keepwell.plans.catalogue import modelling
+
+    df, seen = _customers(spark)
+    monkeypatch.setattr(modelling, "base", lambda s, d: df)
+    known, held, rows = modelling._parts(spark, "")
+    assert known.count() + held.count() == rows.count() == 400 and held.count() > 40
+    assert seen.value == 400
+
+
+def test_metrics_score_once(spark):
+    df, seen = _customers(spark)
+    long = metrics.long_scores(df, "churned", {"raw": "balance"}, "customer_id")
+    assert metrics.evaluate(long).first()["n"] == 400
+    assert seen.value == 400
