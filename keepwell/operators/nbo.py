@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from keepwell.functions.scalar import col, half_even, no_nan, offer_discount, smoothed
+from keepwell.functions.stored import stored
 
 # Defaults of the measured next best offer.
 NO_OFFER = "No offer"
@@ -187,19 +188,24 @@ def acceptance_models(data: DataFrame, long: DataFrame, numeric: Sequence[str],
     """(customers with one predicted-acceptance column per modelled offer, table of the models).
 
     Offers shown at least `min_exposures` times with both outcomes get an unweighted logistic
-    model on the customer features; the others keep the smoothed segment rate."""
+    model on the customer features; the others keep the smoothed segment rate. Customers meet what they were
+    shown once, for all offers; every fit reads its offer from that table."""
     from keepwell.operators import model as ml
 
+    long = stored(long.select("offer", "customer_id", "accepted"))
+
     catalog = long.groupBy("offer").agg(F.count("*").alias("shown"),
                                         F.sum("accepted").alias("accepted"))
     offers = catalog.orderBy("offer").collect()  # one short row per offer
+    seen = long.select(F.col("offer").alias("_offer"), F.col("customer_id").cast("string").alias("_shown_to"), "accepted")
+    features = dict.fromkeys([id_column, *numeric, *categorical])
+    shown = stored(data.select(*map(col, features)).join(
+        seen, data[id_column].cast("string") == seen["_shown_to"]).drop("_shown_to"))
 
     def trained(r):
         if r["shown"] < cfg.min_exposures or not 0 < r["accepted"] < r["shown"]:
             return None, None
-        mine = long.where(F.col("offer") == r["offer"]).select(
-            F.col("customer_id").cast("string").alias("_shown_to"), "accepted")
-        train = data.join(mine, data[id_column].cast("string") == mine["_shown_to"]).drop("_shown_to")
+        train = shown.where(F.col("_offer") == r["offer"])
         same = dict(learner="logistic", balanced=False)
         return (ml.fit(train, numeric, categorical, "accepted", **same),
                 ml.cross_validated_auc(train, numeric, categorical, "accepted", id_column, **same))
