@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from keepwell.functions.scalar import col
+from keepwell.functions.stored import stored
 from keepwell.operators import explain as x
 from keepwell.operators import hypothesis as h
 from keepwell.operators import metrics as m
@@ -34,17 +35,21 @@ def train(s, d):
     return split(s, d).where(~col("is_test"))
 
 
-def test(s, d):
-    return split(s, d).where(col("is_test"))
+def _parts(s, d):
+    """(training part, test part, all customers), written once for all passes over them."""
+    rows = stored(base(s, d).select("customer_id", *NUM, *CAT, "churned"))
+    both = stored(ml.stratified_split(rows, "churned", "customer_id"))
+    return both.where(~col("is_test")), both.where(col("is_test")), rows
 
 
-def _fit(s, d, learner="logistic", trees=10):
-    return ml.fit(train(s, d), NUM, CAT, "churned", learner=learner, trees=trees)
+def _fit(known, learner="logistic", trees=10):
+    return ml.fit(known, NUM, CAT, "churned", learner=learner, trees=trees)
 
 
 def _explained(s, d, learner="logistic"):
-    f = _fit(s, d, learner, 50)
-    return f, x.contributions(f, test(s, d), train(s, d))
+    known, held, _ = _parts(s, d)
+    f = _fit(known, learner, 50)
+    return f, x.contributions(f, held, known)
 
 
 def _scaled(s, d):
@@ -70,36 +75,47 @@ def _segmentation(s, d):
 
 
 def _scores(s, d):
-    f = _fit(s, d)
-    c = ml.calibrate(train(s, d), NUM, CAT, "churned", "customer_id")
-    out = ml.score_calibrated(c, ml.score(f, test(s, d), "raw"), "calibrated")
+    known, held, _ = _parts(s, d)
+    f = _fit(known)
+    c = ml.calibrate(known, NUM, CAT, "churned", "customer_id")
+    out = ml.score_calibrated(c, ml.score(f, held, "raw"), "calibrated")
     return m.evaluate(m.long_scores(out, "churned", {"raw": "raw", "calibrated": "calibrated"},
                                     "customer_id"))
 
 
 def _platt(s, d):
-    c = ml.calibrate(train(s, d), NUM, CAT, "churned", "customer_id", method="sigmoid")
-    return ml.score_calibrated(c, test(s, d), "p").select("customer_id", "p")
+    known, held, _ = _parts(s, d)
+    c = ml.calibrate(known, NUM, CAT, "churned", "customer_id", method="sigmoid")
+    return ml.score_calibrated(c, held, "p").select("customer_id", "p")
 
 
 def _held_scores(s, d, learner, trees=10):
-    f = _fit(s, d, learner, trees)
-    long = m.long_scores(ml.score(f, test(s, d), "p"), "churned", {learner: "p"}, "customer_id")
+    known, held, _ = _parts(s, d)
+    f = _fit(known, learner, trees)
+    long = m.long_scores(ml.score(f, held, "p"), "churned", {learner: "p"}, "customer_id")
     return m.evaluate(long)
 
 
+def _importance(s, d):
+    known, held, _ = _parts(s, d)
+    return ml.permutation_importance(_fit(known), held, "churned", "customer_id")
+
+
 def _drivers(s, d):
-    f, ex = _explained(s, d)
-    imp = ml.permutation_importance(f, test(s, d), "churned", "customer_id")
-    odds, _ = x.odds_ratios(train(s, d), NUM, CAT, "churned")
-    tests = h.run_tests(base(s, d), CAT, NUM, "churned")
+    known, held, rows = _parts(s, d)
+    f = _fit(known, trees=50)
+    ex = x.contributions(f, held, known)
+    imp = ml.permutation_importance(f, held, "churned", "customer_id")
+    odds, _ = x.odds_ratios(known, NUM, CAT, "churned")
+    tests = h.run_tests(rows, CAT, NUM, "churned")
     return x.driver_impact(imp, x.global_importance(ex, [*NUM, *CAT]), odds, tests)
 
 
 def _predictions(s, d):
-    f = _fit(s, d)
-    scored = ml.score(f, base(s, d), "p")
-    ex = x.contributions(f, scored, train(s, d))
+    known, _, rows = _parts(s, d)
+    f = _fit(known)
+    scored = ml.score(f, rows, "p")
+    ex = x.contributions(f, scored, known)
     return x.score_customers(ex, f, "customer_id", "churned", "p").withColumn(
         "reasons", F.concat_ws(" | ", "reasons"))
 
@@ -169,9 +185,8 @@ QUERIES = {
     "logistic_regression": (lambda s, d: _held_scores(s, d, "logistic"), None),
     "gradient_boosting": (lambda s, d: _held_scores(s, d, "boosting", 50), None),
     "cross_validation": (
-        lambda s, d: ml.cross_validate(train(s, d), NUM, CAT, "churned", "customer_id"), None),
-    "permutation_importance": (
-        lambda s, d: ml.permutation_importance(_fit(s, d), test(s, d), "churned", "customer_id"), None),
+        lambda s, d: ml.cross_validate(_parts(s, d)[0], NUM, CAT, "churned", "customer_id"), None),
+    "permutation_importance": (_importance, None),
     "calibration_raw_vs_isotonic": (_scores, None),
     "calibration_sigmoid": (_platt, None),
     "isotonic_steps": (
@@ -201,8 +216,8 @@ QUERIES = {
   st AS (SELECT avg(b) AS m1, stddev_pop(b) AS s1, avg(r) AS m2, stddev_pop(r) AS s2, avg(e) AS m3, stddev_pop(e) AS s3 FROM f)
   SELECT customer_id, round((b - m1) / s1, 9) AS balance, round((r - m2) / s2, 9) AS revenue, round((e - m3) / s3, 9) AS recency,
     {{levels}} FROM f, st""")),
-    "odds_ratios": (lambda s, d: x.odds_ratios(train(s, d), NUM, CAT, "churned")[0], None),
-    "forest_rows": (lambda s, d: x.forest_rows(x.odds_ratios(train(s, d), NUM, CAT, "churned")[0]), None),
+    "odds_ratios": (lambda s, d: x.odds_ratios(_parts(s, d)[0], NUM, CAT, "churned")[0], None),
+    "forest_rows": (lambda s, d: x.forest_rows(x.odds_ratios(_parts(s, d)[0], NUM, CAT, "churned")[0]), None),
     "driver_impact": (_drivers, None),
     "score_customers": (_predictions, None),
     "acceptance_models": (_acceptance, None),
