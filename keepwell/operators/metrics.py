@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from keepwell.functions.ordered import (evenly_spaced, numbered, previous_values, running_sums,
                                         value_counts)
 from keepwell.functions.scalar import col, ratio
+from keepwell.functions.stored import stored
 
 # Top share, bins, deciles, curve sizes, classification threshold.
 TOP_SHARE = 0.10
@@ -210,7 +211,8 @@ def threshold_metrics(long: DataFrame, threshold: float = THRESHOLD) -> DataFram
 
 
 def evaluate(long: DataFrame) -> DataFrame:
-    """Headline metrics per score kind."""
+    """Headline metrics per score kind. The scores are written once: models do not score again for every metric."""
+    long = stored(long)
     size = long.groupBy(KIND).agg(F.count("*").alias("n"), F.avg("y").alias("churn_rate"))
     out = size
     for part in (roc_auc(long), pr_auc(long), brier(long)):
