@@ -7,9 +7,11 @@ shingles have one order, rare before frequent (frequencies of a bounded sample;
 one keeps groups small). Two sets of similarity t or more share one of the first n - ceil(t n) + 1
 values of each, and at the first value they share, what is left of both must still reach the overlap
 that t asks for (positional filter). Values with one text are dropped; under every other value, each
-text is first compared with the least one, and after the components of these links all pairs of
-different components are compared: a group of copies costs one comparison a copy, and no pair is left
-out. Candidates whose histograms of shingle classes cannot overlap enough are ruled out; a pair is a
+text is first compared with the least one, then along a least spanning tree of the pairs of different
+components, and after the components of these links all pairs of different components are compared: a
+group of copies costs one comparison a copy and turn, and no pair is left out. Each text brings a bitmap with the parity of its shingles per class: sets differ in at least as many
+shingles as bitmaps in bits, so a pair that differs in more bits than the similarity allows ends where it
+is met and is never a row. Candidates whose histograms of shingle classes cannot overlap enough are ruled out; a pair is a
 link only where the exact similarity of both sets is t or more. A text that many others are compared
 with is sent to groups of bounded size. Tables are deleted once their successor is written.
 
@@ -41,6 +43,7 @@ SHINGLE, SIMILARITY = 5, 0.8
 SAMPLE = 10_000  # texts whose shingles are counted for the order, about
 FREQUENT = 1 << 17  # shingles that the order knows as frequent, at most
 BUCKETS = 256  # classes of the histogram that rules pairs out
+BITS = 1024  # classes of the bitmap that rules pairs out where they meet
 GROUP = 500  # pairs that one text meets in a group
 
 
@@ -79,9 +82,10 @@ def _sketches(frequent: np.ndarray, rank: np.ndarray, shingle: int, least: float
                      pa.array(np.array([xxh64_intdigest(s.tobytes()) for s in sets], np.uint64).view(np.int64)),
                      pa.array([len(s) for s in sets], pa.int64()), pa.array(np.array(prints, np.uint64).view(np.int64)),
                      pa.array([histogram(s).tobytes() for s in sets], pa.binary()),
+                     pa.array([bitmap(s).tobytes() for s in sets], pa.binary()),
                      pa.ListArray.from_arrays(np.cumsum([0, *map(len, first)]).astype(np.int32),
                                               np.concatenate(first).view(np.int64))],
-                    names=["doc_id", "sig", "node", "size", "fp", "hist", "keys"])
+                    names=["doc_id", "sig", "node", "size", "fp", "hist", "bits", "keys"])
 
     return run
 
@@ -111,7 +115,7 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[dict[str, np.ndar
     """Columns of whole runs of one key and where the runs begin; batches come sorted by key."""
     held: list[dict[str, np.ndarray]] = []
     for batch in batches:
-        now = {c: batch.column(c).to_numpy() for c in batch.schema.names}
+        now = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in batch.schema.names}
         key = now["key"]
         if not len(key):
             continue
@@ -152,28 +156,82 @@ def _shared(least: float):
     return run
 
 
+def bitmap(values: np.ndarray) -> np.ndarray:
+    """Whether the number of values in each of BITS classes is odd, as bits."""
+    counts = np.bincount((values >> np.uint64(32)).astype(np.int64) % BITS, minlength=BITS)
+    return np.packbits((counts & 1).astype(np.uint8))
+
+
+def _close(x: dict[str, np.ndarray], i: int, at: np.ndarray, bits: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Those of at that can be similar enough to i and lie in another component, and the share of differing bits."""
+    at = at[possible(x["size"][i], x["pos"][i], x["size"][at], x["pos"][at], least) & (x["comp"][at] != x["comp"][i])]
+    both = x["size"][i] + x["size"][at]
+    most = both - 2 * np.ceil(least / (1 + least) * both - 1e-9)  # shingles in which they may differ
+    apart = np.bitwise_count(bits[i] ^ bits[at]).sum(axis=1, dtype=np.int64)
+    return at[apart <= most], (apart / both)[apart <= most]
+
+
+def _of_each_run(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[dict[str, np.ndarray], np.ndarray]]:
+    """Columns and bitmaps of each run whose texts lie in several components."""
+    for x, begin in _runs(batches):
+        several = np.minimum.reduceat(x["comp"], begin) != np.maximum.reduceat(x["comp"], begin)
+        for low, high in zip(begin[several], np.append(begin[1:], len(x["key"]))[several]):
+            yield ({c: x[c][low:high] for c in ("key", "node", "size", "pos", "comp")},
+                   np.frombuffer(b"".join(x["bits"][low:high]), np.uint64).reshape(-1, BITS // 64))
+
+
+def _forest(least: float):
+    """Texts that can be similar to one of another component under their value; other: that on the edge by which a
+    least spanning tree of these pairs reaches them. A text is one row, whatever the number of its pairs."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out, held = [], 0
+        for x, bits in _of_each_run(batches):
+            n = len(x["node"])
+            far, parent = np.full(n, np.inf), np.full(n, -1)
+            open_, met = np.ones(n, bool), np.zeros(n, bool)
+            for _ in range(n):
+                left = np.flatnonzero(open_)
+                i = left[np.argmin(far[left])]
+                open_[i] = False
+                left = left[left != i]
+                same = left[x["comp"][left] == x["comp"][i]]
+                far[same], parent[same] = -1.0, -1
+                at, share = _close(x, i, left, bits, least)
+                met[i] |= len(at) > 0
+                met[at] = True
+                nearer = share < far[at]
+                far[at[nearer]], parent[at[nearer]] = share[nearer], i
+            if met.any():
+                other = np.where(parent < 0, x["node"], x["node"][parent])[met]
+                out.append([*[x[c][met] for c in ("key", "node", "size", "pos")], other])
+                held += len(other)
+            if held > 1 << 16:
+                yield _table(out, "key", "node", "size", "pos", "other")
+                out, held = [], 0
+        if held:
+            yield _table(out, "key", "node", "size", "pos", "other")
+
+    return run
+
+
+def _table(parts: list, *names: str) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*parts)], names=list(names))
+
+
 def _pairs(least: float):
     """a, b: texts of different components under one value that can be similar enough."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for x, begin in _runs(batches):
-            end = np.append(begin[1:], len(x["key"]))
-            several = np.minimum.reduceat(x["comp"], begin) != np.maximum.reduceat(x["comp"], begin)
-            a, b, held = [], [], 0
-            for low, high in zip(begin[several], end[several]):
-                node, size, pos, comp = (x[c][low:high] for c in ("node", "size", "pos", "comp"))
-                for i in range(len(node) - 1):
-                    able = possible(size[i], pos[i], size[i + 1:], pos[i + 1:], least) & (comp[i + 1:] != comp[i])
-                    other = node[i + 1:][able]
-                    a.append(np.minimum(other, node[i]))
-                    b.append(np.maximum(other, node[i]))
-                    held += len(other)
-                    if held > 1 << 18:
-                        yield pa.RecordBatch.from_arrays(
-                            [pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
-                        a, b, held = [], [], 0
-            if held:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
+        out, held = [], 0
+        for x, bits in _of_each_run(batches):
+            for i in range(len(bits) - 1):
+                other = x["node"][_close(x, i, np.arange(i + 1, len(bits)), bits, least)[0]]
+                out.append([np.minimum(other, x["node"][i]), np.maximum(other, x["node"][i])])
+                held += len(other)
+                if held > 1 << 18:
+                    yield _table(out, "a", "b")
+                    out, held = [], 0
+        if held:
+            yield _table(out, "a", "b")
 
     return run
 
@@ -257,6 +315,12 @@ def _confirmed(pairs: DataFrame, rows: DataFrame, texts: DataFrame, shingle: int
     return links
 
 
+def _placed(rows: DataFrame, marked: DataFrame, root: DataFrame) -> DataFrame:
+    """rows by value, with the component and the bitmap of each text."""
+    of = marked.join(root, "node", "left").select("node", F.coalesce("root", "node").alias("comp"), "bits")
+    return _by_key(rows.join(of, "node").select("key", "node", "size", "pos", "comp", "bits"))
+
+
 def _tree_pairs(rows: DataFrame, folder: str) -> DataFrame:
     """a, b: texts of one fingerprint with the least of them, and the links that vantage-point trees find
     between fingerprints."""
@@ -274,7 +338,7 @@ def _components(docs: DataFrame, id_col: str, text_col: str, shingle: int, least
     text = text_of(text_col)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("sig"), text.alias("text"))
     made = texts.mapInArrow(_sketches(*_frequent(texts, shingle), shingle, least),
-                            "doc_id long, sig long, node long, size long, fp long, hist binary, keys array<long>")
+                            "doc_id long, sig long, node long, size long, fp long, hist binary, bits binary, keys array<long>")
     sketches = stored(made, folder, "sketches")
     rows = stored(sketches.drop("keys"), folder, "rows")
     keys = sketches.select("node", "size", F.posexplode("keys").alias("pos", "key")).select(
@@ -286,11 +350,17 @@ def _components(docs: DataFrame, id_col: str, text_col: str, shingle: int, least
     stars = stored(stars.unionByName(_tree_pairs(rows, folder)).distinct(), folder, "stars")
     found = _confirmed(stars, rows, texts, shingle, least, folder, "stars")
     root = connected_components(found, f"{folder}/first")
-    placed = shared.join(root, "node", "left").select(
-        "key", "node", "size", "pos", F.coalesce("root", "node").alias("comp"))
-    rest = _by_key(placed).mapInArrow(_pairs(least), "a long, b long").distinct().join(stars, ["a", "b"], "left_anti")
-    rest = stored(rest, folder, "pairs")
-    removed(spark, folder, "shared", "stars", "points")
+    marked = stored(rows.groupBy("node").agg(F.min("bits").alias("bits")), folder, "marked")
+    met = _placed(shared, marked, root).mapInArrow(_forest(least), f"{kind}, other long")
+    close = stored(met, folder, "close")
+    removed(spark, folder, "shared")
+    trees = close.where("node <> other").select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b"))
+    trees = stored(trees.distinct().join(stars, ["a", "b"], "left_anti"), folder, "trees")
+    found = found.unionByName(_confirmed(trees, rows, texts, shingle, least, folder, "trees"))
+    root = connected_components(found, f"{folder}/second")
+    rest = _placed(close.drop("other"), marked, root).mapInArrow(_pairs(least), "a long, b long").distinct()
+    rest = stored(rest.join(stars.unionByName(trees), ["a", "b"], "left_anti"), folder, "pairs")
+    removed(spark, folder, "close", "marked", "stars", "trees", "points")
     found = found.unionByName(_confirmed(rest, rows, texts, shingle, least, folder, "pairs"))
     root = connected_components(found, f"{folder}/all")
     return rows.join(root, "node", "left").select("doc_id", "sig", F.coalesce("root", "node").alias("component"))

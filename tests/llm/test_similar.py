@@ -77,3 +77,33 @@ def test_one_row_of_each_component_whatever_the_ids(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     got = sorted((r.doc_id or -1, r.text.strip()) for r in similar.drop_near_duplicates(docs).collect())
     assert got == sorted([(1, a), (-1, b), (-1, c), (7, d)])
+
+
+def test_pairs_of_a_group_are_few(spark, monkeypatch):
+    """Texts that all link to each other, but not to the least one, cost no comparison per pair."""
+    rng = random.Random(11)
+    word = lambda: f"t{rng.randrange(3000)}"
+    base, asked = [word() for _ in range(200)], []
+    texts = []
+    for k in range(120):
+        copy = list(base)
+        for at in rng.sample(range(5, 195, 5), 2 + k % 2):  # two copies: 176 / 216 shingles; one with three: 171 / 221
+            copy[at] = f"own{k}x{at}"
+        texts.append(" ".join(copy))
+    confirmed = similar._confirmed
+    monkeypatch.setattr(similar, "_confirmed", lambda pairs, *more: asked.append(pairs.count()) or confirmed(pairs, *more))
+    docs = spark.createDataFrame(list(enumerate(texts)), KIND)
+    want, pairs = slow_components(dict(enumerate(texts)))
+    assert {r.doc_id: r.component_id for r in similar.near_duplicates(docs).collect()} == want
+    assert pairs > 1000 and sum(asked[1:]) < 400
+
+
+def test_bitmaps_never_rule_out_a_link():
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    for n in (5, 40, 700, 5000):
+        a = np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64))
+        b = np.unique(np.concatenate([a[n // 9:], rng.integers(0, 1 << 63, n // 10, dtype=np.uint64)]))
+        apart = np.bitwise_count(similar.bitmap(a) ^ similar.bitmap(b)).sum()
+        assert apart <= len(np.setxor1d(a, b))
