@@ -7,13 +7,13 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.functions import vector_to_array
 from pyspark.ml.stat import Correlation, Summarizer
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 
 from keepwell.functions.scalar import col, half_even, hash_unit, risk_band
-from keepwell.functions.stored import stored
+from keepwell.functions.stored import shared_folder, stored
 from keepwell.operators.clean import spread, tall
 from keepwell.operators.logit import contrasts, fit_absorbed
 from keepwell.operators.model import Fitted, owners, transform
@@ -23,7 +23,6 @@ from keepwell.operators.segment import filled, scales
 # reasons per customer, forest rows, 97.5 % normal point.
 SAMPLE_FEATURES = 10
 SAMPLE_POINTS = 200
-SEED = 42
 MAX_COEF = 15.0
 TOP_REASONS = 3
 FOREST_ROWS = 15
@@ -34,7 +33,7 @@ MISSING = "Missing"
 erfc_of = np.vectorize(math.erfc, otypes=[float])
 
 
-def contributions(fitted: Fitted, df: DataFrame, background: DataFrame, orders: int = 1) -> DataFrame:
+def contributions(fitted: Fitted, df: DataFrame, background: DataFrame, orders: int | None = None) -> DataFrame:
     """The frame with `contributions`: log-odds pushed by every feature, in feature order (orders: see
     path_contributions)."""
     if fitted.learner == "boosting":
@@ -58,48 +57,97 @@ def contributions(fitted: Fitted, df: DataFrame, background: DataFrame, orders:
     return out.select(*map(col, df.columns), F.array(*parts).alias("contributions"))
 
 
-def feature_orders(k: int, orders: int) -> list[list[int]]:
-    """Orders of k features and their reverses: the columns' own, then shuffles by a fixed seed."""
-    rng, out = np.random.default_rng(SEED), []
-    for n in range(max(1, orders)):
-        order = list(range(k)) if n == 0 else rng.permutation(k).tolist()
-        out += [order, order[::-1]]
+def _left(split: Row, v: float) -> bool:
+    """Whether the value goes left, as Spark decides it, also for a mean that is no category."""
+    values, n = split["leftCategoriesOrThreshold"], split["numCategories"]
+    if n < 0:
+        return v <= values[0]
+    return v in values if len(values) <= n // 2 else v in values or v not in range(n)
+
+
+def _leaves(spark: SparkSession, fitted: Fitted, mean: np.ndarray) -> list[tuple[list, list]]:
+    """(splits, leaves) of every tree. A split is (feature, None, threshold), or (feature, level, whether other levels
+    and this one go left). A leaf is (log-odds, needs, keeps), the features on its path with their [(split, goes left)]:
+    the mean passes those of `keeps`, but not those of `needs`. The driver reads the nodes that Spark saves, some
+    dozens a tree whatever the rows."""
+    learner = fitted.model.stages[-1]
+    places: list[tuple[int, int | None]] = [(i, None) for i in range(len(fitted.numeric))]
+    if fitted.categorical:  # a place for each level, one for unknown levels, one for invalid ones
+        for i, n in enumerate(fitted.model.stages[2].categorySizes, len(fitted.numeric)):
+            places += [(i, level) for level in range(n + 1)]
+    folder = shared_folder(spark)
+    learner.write().save(folder)
+    nodes: dict[int, dict[int, Row]] = {}
+    for r in spark.read.parquet(f"{folder}/data").select("treeID", "nodeData").collect():
+        nodes.setdefault(r["treeID"], {})[r["nodeData"]["id"]] = r["nodeData"]
+    out = []
+    for tree, weight in enumerate(learner.treeWeights):
+        splits, leaves, open_paths = [], [], [(0, {}, {})]
+        while open_paths:
+            at, steps, passes = open_paths.pop()
+            node = nodes[tree][at]
+            if node["leftChild"] < 0:
+                leaves.append((2.0 * weight * node["prediction"], [(f, own) for f, own in steps.items() if not passes[f]],
+                               [(f, own) for f, own in steps.items() if passes[f]]))
+                continue
+            split = node["split"]
+            place = split["featureIndex"]
+            f, level = places[place]
+            for child, go in ((node["leftChild"], True), (node["rightChild"], False)):
+                met = passes.get(f, True) and _left(split, float(mean[place])) == go
+                open_paths.append((child, steps | {f: [*steps.get(f, []), (len(splits), go)]}, passes | {f: met}))
+            splits.append((f, level, split["leftCategoriesOrThreshold"][0] if level is None else (
+                _left(split, 0.0), _left(split, 1.0))))
+        out.append((splits, leaves))
     return out
 
 
-def path_contributions(fitted: Fitted, df: DataFrame, background: DataFrame, orders: int = 1) -> DataFrame:
+def _shapley(trees: list[tuple[list, list]]):
+    """(feature, row) scaled values and numbers of levels -> (feature, row) contributions. With the mean for all but
+    some own features, a row is in a leaf if they include all of `needs`, which the row passes, and none of `keeps`
+    that it fails; the mean gain over all orders is a closed form of how many there are of both."""
+    def run(x: np.ndarray) -> np.ndarray:
+        out = np.zeros(x.shape)
+        for splits, leaves in trees:
+            left = [x[f] <= rule if level is None else np.where(x[f] == level, rule[1], rule[0]) for f, level, rule in splits]
+            sides = [(~go, go) for go in left]
+            for value, needs, keeps in leaves:
+                passed = np.ones(x.shape[1], bool)
+                for _, own in needs:
+                    for n, go in own:
+                        passed &= sides[n][go]
+                at = np.flatnonzero(passed)
+                if not len(at):
+                    continue
+                failed = [~np.logical_and.reduce([sides[n][go][at] for n, go in own]) for _, own in keeps]
+                b = sum((g.astype(int) for g in failed), np.zeros(len(at), int))
+                a, ways = len(needs), [math.comb(len(needs) + n, n) for n in range(len(keeps) + 1)]
+                for f, _ in needs:
+                    out[f, at] += np.array([value / (a * w) for w in ways])[b]
+                lost = np.array([0.0, *[value / (n * w) for n, w in enumerate(ways[1:], 1)]])[b]
+                for (f, _), g in zip(keeps, failed, strict=True):
+                    out[f, at] -= np.where(g, lost, 0.0)
+        return out
+
+    return run
+
+
+def path_contributions(fitted: Fitted, df: DataFrame, background: DataFrame, orders: int | None = None) -> DataFrame:
     """Contributions of a model that is no sum of its features: the log-odds gained as features, one
-    after the other, take their value instead of the training mean, averaged over `orders` orders of the
-    features and their reverses. They add up to the row's log-odds less those of the mean; more orders come
-    nearer to the mean over all k! of them. A row is scored where it lies: nothing is joined by its id."""
-    blocks = owners(fitted)
+    after the other, take their value instead of the training mean, averaged over all k! orders of the
+    features (Shapley values). They are exact, leaf by leaf, at a cost that does not grow with k!, and add up to
+    the row's log-odds less those of the mean. A row is scored where it lies: nothing is joined by its id.
+    `orders` was the number of orders to average; all of them are taken now, whatever it says."""
     mean = transform(fitted, background).agg(Summarizer.mean(F.col("_features")).alias("m")).first()["m"].toArray()
-    size, k = len(mean), len(blocks)
-    spans = [range(at, min(at + width, size)) for _, at, width in blocks]
-    learner = fitted.model.stages[-1].copy()
-    learner.setFeaturesCol("_step").setPredictionCol("").setProbabilityCol("").setRawPredictionCol("_r")
-    out = transform(fitted, df).select(*map(col, df.columns), vector_to_array("_features").alias("_a"))
-    known: dict[frozenset, str] = {}
-
-    def scored(own: frozenset) -> str:
-        """Column with the log-odds of the row where these features, and only they, are its own."""
-        nonlocal out
-        if own not in known:
-            mine = {i for f in own for i in spans[f]}
-            usual = F.array(*[F.lit(None).cast("double") if i in mine else F.lit(float(mean[i])) for i in range(size)])
-            mixed = F.zip_with(F.col("_a"), usual, lambda x, u: F.coalesce(u, x))
-            name = known[own] = f"_m{len(known)}"
-            out = learner.transform(out.withColumn("_step", array_to_vector(mixed))).withColumn(
-                name, 2.0 * F.get(vector_to_array("_r"), F.lit(1))).drop("_step", "_r")
-        return known[own]
-
-    paths = [[scored(frozenset(order[:n])) for n in range(k + 1)] for order in feature_orders(k, orders)]
-    gains: list[list[Column]] = [[] for _ in range(k)]
-    for order, path in zip(feature_orders(k, orders), paths, strict=True):
-        for n, f in enumerate(order):
-            gains[f].append(F.col(path[n + 1]) - F.col(path[n]))
-    parts = [sum(g[1:], g[0]) / len(g) for g in gains]
-    return out.select(*map(col, df.columns), F.array(*parts).alias("contributions"))
+    shapley = _shapley(_leaves(df.sparkSession, fitted, mean))
+
+    @F.pandas_udf("array<double>")
+    def pushed(x: pd.DataFrame) -> pd.Series:
+        return pd.Series([*shapley(x.to_numpy(dtype=float).T.copy()).T])
+
+    own = [*[f"_z_{c}" for c in fitted.numeric], *[f"_i_{c}" for c in fitted.categorical]]
+    return transform(fitted, df).select(*map(col, df.columns), pushed(F.struct(*[
+        col(c).alias(f"x{i}") for i, c in enumerate(own)])).alias("contributions"))
 
 
 def global_importance(explained: DataFrame, features: Sequence[str]) -> DataFrame:

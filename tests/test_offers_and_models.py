@@ -1,10 +1,12 @@
 """Offers, money, models, explanations, claim checks and the whole analysis."""
 
+import itertools
 import math
 import random
 
 import numpy as np
 import pytest
+from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
 from keepwell.operators import adhoc, business, describe, explain, facts, features, impact, metrics, model, nbo
@@ -444,6 +446,37 @@ def test_contributions_of_rows_that_repeat_an_id(parts):
     assert all(sum(more[k]) == pytest.approx(sum(alone[k])) for k in alone)
 
 
+def test_tree_contributions_are_the_mean_over_all_orders(spark):
+    rnd = np.random.default_rng(8)
+    raw = [(float(rnd.normal()), float(rnd.normal()), *map(str, rnd.integers(0, 3, 3))) for _ in range(400)]
+    rows = [(*r, int((r[0] > 0) ^ (r[1] > 0.3) ^ (r[2] == "2") if r[3] != "1" else (r[4] == "2") ^ (r[0] > 0.5))) for r in raw]
+    kinds = "a double, b double, c string, d string, e string"
+    f = model.fit(spark.createDataFrame(rows, f"{kinds}, y int"), ["a", "b"], ["c", "d", "e"], "y", learner="boosting", trees=6)
+    back = spark.createDataFrame(raw[:300], kinds)
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate([*raw[:12], (None, 0.1, "2", None, "new"), raw[0]])], f"no int, {kinds}")
+    cells = model.transform(f, df).orderBy("no").select("_features", "_o_c", "_o_d", "_o_e").collect()
+    at = np.cumsum([0, 1, 1, *[r.size for r in cells[0][1:]]])
+    own = np.array([r[0].toArray() for r in cells])
+    mean = np.mean([r[0].toArray() for r in model.transform(f, back).select("_features").collect()], axis=0)
+
+    def mixed(row, mine):
+        return Vectors.dense([row[j] if any(at[i] <= j < at[i + 1] for i in mine) else mean[j] for j in range(at[-1])])
+
+    sets = [frozenset(s) for n in range(6) for s in itertools.combinations(range(5), n)]
+    steps = spark.createDataFrame([(no, k, mixed(row, s)) for no, row in enumerate(own) for k, s in enumerate(sets)],
+                                  ["no", "k", "_features"])
+    odds = {(r["no"], sets[r["k"]]): 2 * r["_raw"][1] for r in f.model.stages[-1].transform(steps).collect()}
+    orders = list(itertools.permutations(range(5)))
+    got = {r["no"]: r["contributions"] for r in explain.contributions(f, df, back).collect()}
+    assert len(got) == len(own)
+    for no in got:
+        want = [np.mean([odds[no, frozenset(o[:o.index(i) + 1])] - odds[no, frozenset(o[:o.index(i)])] for o in orders]) for i in range(5)]
+        assert got[no] == pytest.approx(want, abs=1e-9)
+        assert sum(got[no]) == pytest.approx(odds[no, sets[-1]] - odds[no, frozenset()])
+    assert sum(abs(v) > 0.01 for v in got[0]) >= 4
+    assert got[0] == got[13]
+
+
 def test_offers_without_a_bound_on_rates_and_costs(spark):
     customers = spark.createDataFrame([("a", "s1", 0.9, "High", 100.0), ("b", "s9", 0.8, "High", 100.0)],
                                       "customer_id string, segment string, churn_probability double, risk_band string, arpu double")
